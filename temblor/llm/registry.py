@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from temblor.llm import chat_format, quality_rules, secret_scan, token_output
+from temblor.llm import chat_format, mixing, quality_rules, secret_scan, token_output, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_chat_format": chat_format.query,
     "op4_secret_scan": secret_scan.query,
+    "op5_url_filter": url_filter.query,
+    "op6_mixing": mixing.query,
     "op7_token_output": token_output.query,
 }
 ORACLE = {
     "op1_quality_rules": quality_rules.SQL,
     "op2_chat_format": chat_format.SQL,
     "op4_secret_scan": secret_scan.SQL,
+    "op5_url_filter": url_filter.SQL,
 }
