@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from temblor.llm import chat_format, mixing, quality_rules, secret_scan, token_output, url_filter
+from temblor.llm import chat_format, decontaminate, mixing, quality_rules, secret_scan, token_output, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_chat_format": chat_format.query,
+    "op3_decontaminate": decontaminate.query,
     "op4_secret_scan": secret_scan.query,
     "op5_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
