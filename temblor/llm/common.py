@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from temblor.session import ship_package
+
 #: What separates words everywhere: blank, tab, line feed, vertical tab, form feed, return.
 #: ``bytes.split()`` without arguments splits at exactly these.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -48,7 +50,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, for rows may be long texts."""
+    """Arrow batches of few rows, for rows may be long texts; Python workers get this package."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
