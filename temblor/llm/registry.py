@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from temblor.llm import chat_format, decontaminate, minhash, mixing, quality_rules, secret_scan, token_output, url_filter
+from temblor.llm import chat_format, decontaminate, minhash, mixing, quality_rules, secret_scan, suffix_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_url_filter": url_filter.query,
     "op6_mixing": mixing.query,
     "op7_token_output": token_output.query,
+    "op8_suffix_dedup": suffix_dedup.query,
     "op9_minhash": minhash.query,
 }
 ORACLE = {
