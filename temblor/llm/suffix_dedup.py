@@ -221,14 +221,14 @@ STRETCH = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i
 
 def equal_stretches(buffer: np.ndarray, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class of equal stretches of one anchor, and the least document of each one's class."""
-    groups = np.unique(mixed(s["hash"] + s["place"].astype(U) * U(131) + s["len"].astype(U)), return_inverse=True)[1]
+    groups = np.unique(mixed(mixed(s["hash"]) + s["place"].astype(U) * U(131) + s["len"].astype(U)), return_inverse=True)[1]
     classes = deep_shallow(buffer, at, s["len"].astype(np.int64), groups)[1]
     return classes, _least(s["doc"], classes)
 
 
-def covered(buffer: np.ndarray, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretch numbers and byte spans that other stretches' smaller documents cover, and the windows
-    (stretch number, offset) that are the least of their class."""
+def covered(buffer: np.ndarray, s: np.ndarray, at: np.ndarray, pending: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch numbers and byte spans that other stretches' smaller documents cover, and, of the stretches
+    marked in ``pending``, the windows (stretch number, offset) that are the least of their class."""
     classes, least = equal_stretches(buffer, s, at)
     whole = np.flatnonzero(s["doc"] > least)
     first = np.full(int(classes.max()) + 1, -1)
@@ -239,7 +239,7 @@ def covered(buffer: np.ndarray, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     number = np.repeat(speakers, windows)
     offset = np.arange(len(number)) - np.repeat(np.cumsum(windows) - windows, windows)
     anchor = s["place"][number] - offset
-    groups = np.unique(mixed(s["hash"][number] + anchor.astype(U)), return_inverse=True)[1]
+    groups = np.unique(mixed(mixed(s["hash"][number]) + anchor.astype(U)), return_inverse=True)[1]
     several = np.bincount(groups)[groups] > 1
     lead = np.ones(len(number), dtype=bool)
     if several.any():
@@ -252,14 +252,21 @@ def covered(buffer: np.ndarray, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     end = hit & ~np.append(hit[1:] & (number[1:] == number[:-1]), False)
     spans_of, low, high = number[begin], offset[begin], offset[end] + LENGTH
     twin_of = first[classes[own]]
-    index = np.argsort(spans_of, kind="stable")
-    left = np.searchsorted(spans_of[index], twin_of, "left")
-    n = np.searchsorted(spans_of[index], twin_of, "right") - left
-    pick = index[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    numbers = np.concatenate([whole, np.repeat(own, n)])
+
+    def twins(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For what is known of speakers: the stretches it holds for, and its index for each."""
+        index = np.argsort(numbers, kind="stable")
+        left = np.searchsorted(numbers[index], twin_of, "left")
+        n = np.searchsorted(numbers[index], twin_of, "right") - left
+        return np.repeat(own, n), index[np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+    found, pick = twins(spans_of)
+    numbers = np.concatenate([whole, found])
     lows = np.concatenate([np.zeros(len(whole), np.int64), low[pick]])
     highs = np.concatenate([s["len"][whole].astype(np.int64), high[pick]])
-    return numbers, lows, highs, number[lead], offset[lead]
+    waiting = np.flatnonzero(lead & pending[number])
+    found, pick = twins(number[waiting])
+    return numbers, lows, highs, found, offset[waiting][pick]
 
 
 # ---- on tables
@@ -309,38 +316,55 @@ def _anchor_blocks(n_buckets: int):
     return run
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Blocks, as they come: sorted by bucket and kind."""
+    for batch in batches:
+        yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+
+
+def _hash_rows(h: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(doc, kind="stable")
+    h, doc = h[order], doc[order]
+    edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
+    stops = np.append(edges[1:], len(doc))
+    for low in range(0, len(edges), 20_000):
+        some = edges[low : low + 20_000]
+        found = [h[a:b].tobytes() for a, b in zip(some, stops[low : low + 20_000], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(found, pa.binary())], names=["doc_id", "hashes"])
+
+
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]):
     """Step 1, in a bucket: the documents' repeated hashes, in rows (doc_id, hashes)."""
-    heads: dict[int, list[np.ndarray]] = {}
-    bodies: dict[int, list[np.ndarray]] = {}
+    current, heads, bodies, hot_hashes = None, [], [], np.empty(0, U)
 
-    def out(h: np.ndarray, doc: np.ndarray):
-        order = np.argsort(doc, kind="stable")
-        h, doc = h[order], doc[order]
-        edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-        for low in range(0, len(edges), 20_000):
-            some = edges[low : low + 20_000]
-            stops = np.append(edges, len(doc))[low + 1 : low + 1 + len(some)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array([h[a:b].tobytes() for a, b in zip(some, stops, strict=True)], pa.binary())], names=["doc_id", "hashes"])
-
-    for batch in batches:
-        for bucket, kind, head, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            h, doc = np.frombuffer(head, U), np.frombuffer(body, np.int64)
-            if kind:
-                yield from out(h, doc)
-            else:
-                heads.setdefault(bucket, []).append(h)
-                bodies.setdefault(bucket, []).append(doc)
-    for bucket in heads:
-        h, doc = np.concatenate(heads[bucket]), np.concatenate(bodies[bucket])
+    def settle():
+        nonlocal heads, bodies, hot_hashes
+        if not heads:
+            return
+        h, doc = np.concatenate(heads), np.concatenate(bodies)
+        heads, bodies = [], []
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         edges = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         size = np.diff(np.append(edges, len(h)))
         hot = np.repeat(size > CHUNK, size)
+        hot_hashes = h[edges][size > CHUNK]
         again = np.repeat(size > 1, size) & (doc != np.iinfo(np.int64).min)
         # the lowest bit, set in every hash, is cleared where the anchor is in so many batches
-        yield from out(h[again] - hot[again].astype(U), doc[again])
+        yield from _hash_rows(h[again] - hot[again].astype(U), doc[again])
+
+    for bucket, kind, head, body in _grouped(batches):
+        if bucket != current:
+            yield from settle()
+            current, hot_hashes = bucket, np.empty(0, U)
+        h, doc = np.frombuffer(head, U), np.frombuffer(body, np.int64)
+        if kind:
+            yield from settle()
+            yield from _hash_rows(h - np.isin(h, hot_hashes).astype(U), doc)
+        else:
+            heads.append(h)
+            bodies.append(doc)
+    yield from settle()
 
 
 def _stretch_blocks(n_buckets: int):
@@ -396,33 +420,41 @@ def _spans(doc, row, low, high, digest=None) -> pa.RecordBatch:
 def _covered_spans(batches: Iterator[pa.RecordBatch]):
     """Step 3, in a bucket: spans that smaller documents cover; with a digest, a window of a hot anchor
     that is the least of its class in this chunk."""
-    heads: dict[int, list] = {}
-    for batch in batches:
-        for bucket, kind, head, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if kind:
-                x = np.frombuffer(head, np.int64).reshape(-1, 4)
-                if len(x):
-                    yield _spans(*x.T)
-            else:
-                heads.setdefault(bucket, []).append((np.frombuffer(head, STRETCH), body))
-    for blocks in heads.values():
+    blocks: list[tuple[np.ndarray, bytes]] = []
+    current = None
+
+    def settle():
+        nonlocal blocks
+        if not blocks:
+            return
         s = np.concatenate([x for x, _ in blocks])
         data = b"".join([y for _, y in blocks])
+        blocks = []
         at = np.cumsum(s["len"], dtype=np.int64) - s["len"]
         buffer = np.frombuffer(data + bytes(64), np.uint8)
         chunk = s.copy()
         chunk["hash"] = mixed(s["hash"] + U(2) * _salt(s))
-        i, low, high, lead, offset = covered(buffer, chunk, at)
+        i, low, high, lead, offset = covered(buffer, chunk, at, (s["hash"] & U(1)) == 0)
         if len(i):
             yield _spans(s["doc"][i], s["row"][i], s["pos"][i] + low, s["pos"][i] + high)
-        hot = (s["hash"][lead] & U(1)) == 0
-        lead, offset = lead[hot], offset[hot]
         if len(lead):
             begin = (at[lead] + offset).tolist()
             digests = [hashlib.blake2b(data[a : a + LENGTH], digest_size=16).digest() for a in begin]
             start = s["pos"][lead] + offset
             yield _spans(s["doc"][lead], s["row"][lead], start, start + LENGTH, digests)
 
+    for bucket, kind, head, body in _grouped(batches):
+        if bucket != current:
+            yield from settle()
+            current = bucket
+        if kind:
+            x = np.frombuffer(head, np.int64).reshape(-1, 4)
+            if len(x):
+                yield _spans(*x.T)
+        else:
+            blocks.append((np.frombuffer(head, STRETCH), body))
+    yield from settle()
+
 
 def _results(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
@@ -460,11 +492,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     marked = dealt.join(copies, ["doc_id", "row"], "left")
     whole = marked.filter("doc_id IS NOT NULL AND copy IS NULL")
     blocks = map_arrow(whole.select("doc_id", "text"), _anchor_blocks(n_buckets), _BLOCK)
-    repeated = map_arrow(blocks.repartition("bucket").select("bucket", "kind", "head", "body"), _repeated_anchors, "doc_id long, hashes binary")
+    repeated = map_arrow(blocks.repartition("bucket").sortWithinPartitions("bucket", "kind"), _repeated_anchors, "doc_id long, hashes binary")
     repeated = repeated.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     with_anchors = whole.join(repeated, "doc_id").select("doc_id", "row", "text", "hashes")
-    stretches = map_arrow(with_anchors, _stretch_blocks(n_buckets), _BLOCK).repartition("bucket")
-    found = stored(map_arrow(stretches.select("bucket", "kind", "head", "body"), _covered_spans, _SPANS), "spans")
+    stretches = map_arrow(with_anchors, _stretch_blocks(n_buckets), _BLOCK).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    found = stored(map_arrow(stretches, _covered_spans, _SPANS), "spans")
     windows = found.filter("digest IS NOT NULL")
     first = windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     late = windows.join(first, "digest").filter("doc_id > first").select("doc_id", "row", "low", "high")
