@@ -95,20 +95,23 @@ def measure_text(data: bytes) -> tuple[int, int, int, int, int]:
     return len(words), n_symbols, len(lines), len(lines) - len(set(lines)), repeated_words(words)
 
 
+def _measures(text: pa.Array) -> list[pa.Array]:
+    """The measurements of a batch of texts, in the order of ``MEASURES``."""
+    rows = []
+    for data, n in zip(as_bytes(text), pc.utf8_length(text).to_pylist(), strict=True):
+        if data is None:
+            rows.append((0,) * 6)
+            continue
+        n_words, n_symbols, n_lines, n_dup, n_repeat = measure_text(data)
+        spaces = len(data) - len(data.translate(None, SPACES))
+        rows.append((n_words, n - spaces, n_symbols, n_lines, n_dup, n_repeat))
+    columns = zip(*rows, strict=True) if rows else [()] * 6
+    return [pa.array(c, pa.int64()) for c in columns]
+
+
 def _measure_batches(batches):
     for batch in batches:
-        text = batch.column(1)
-        points = pc.utf8_length(text).to_pylist()
-        rows = []
-        for data, n in zip(as_bytes(text), points, strict=True):
-            if data is None:
-                rows.append((0,) * 6)
-                continue
-            n_words, n_symbols, n_lines, n_dup, n_repeat = measure_text(data)
-            spaces = len(data) - len(data.translate(None, SPACES))
-            rows.append((n_words, n - spaces, n_symbols, n_lines, n_dup, n_repeat))
-        columns = zip(*rows, strict=True) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=[batch.schema.names[0], *MEASURES])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *_measures(batch.column(1))], names=[batch.schema.names[0], *MEASURES])
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,6 +157,19 @@ def ablation(book: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES) -
     )
 
 
+def kept_documents(docs: DataFrame, policy: Policy = STRICT, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows that a policy keeps, with all their columns, in one pass over the texts."""
+
+    def run(batches):
+        for batch in batches:
+            row = pa.StructArray.from_arrays(batch.columns, names=batch.schema.names)
+            yield pa.RecordBatch.from_arrays([row, *_measures(batch.column(batch.schema.get_field_index(text_col)))], names=["row", *MEASURES])
+
+    schema = f"row {docs.schema.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES)
+    book = map_arrow(docs, run, schema).withColumn("failures", failures(rules))
+    return apply_policy(book, policy, rules).filter("kept").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = ledger(table(spark, sf_dir, "documents"))
     judged = apply_policy(apply_policy(book, BASE, column="base_kept"), STRICT)
