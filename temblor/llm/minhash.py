@@ -7,9 +7,11 @@ place j, so every place fills, and the places concentrate as independent minima
 places make the candidates: at a similarity of 0.85, 40 bands of 8 miss a pair with a chance below 4e-6.
 
 Candidates are verified on the full sets. No bucket is expanded into all its pairs: equal sets are one
-class first; in every bucket each class is verified against the bucket's least class; connected classes
-are then one component, and only classes of a bucket that are in different components are paired and
-verified. Components come from alternating large-star and small-star steps on tables in the shared
+class first; each class is verified against the least class of its buckets; connected classes are then
+one component, and in every bucket one class a component is verified against the least component's; at
+last only classes of a bucket that are in different components still are paired and verified, so that no
+link is lost. Of those, a class can share no more than its shingles that any other one has; what this
+bound rules out is not paired. Components come from alternating large-star and small-star steps on tables in the shared
 folder.
 
 Defined results: words are split at ASCII white space and A-Z lower-cased; a text of one to four words
@@ -177,6 +179,30 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
+def _open_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, key, class, root) of the buckets with classes of several components."""
+    named = buckets.join(found.withColumnRenamed("node", "class"), "class", "left").select("band", "key", "class", F.coalesce("root", "class").alias("root"))
+    several = named.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
+    return named.join(several, ["band", "key"], "left_semi")
+
+
+def _shared_sizes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, n, c): a set's size, and how many of its shingles another of the classes has. No other class
+    shares more than c of them, so those that cannot be linked with any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            ids = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["class", "item"])
+
+    some = sets.join(classes, F.col("doc_id") == F.col("class")).select("class", "items")
+    alone = map_arrow(some, run, "class long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
+    sizes = some.select("class", (F.length("items") / 8).cast("long").alias("n"))
+    sizes = sizes.join(alone.groupBy("class").agg(F.count("*").alias("u")), "class", "left").select("class", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    return sizes.filter(100 * F.col("c") >= SIMILARITY * F.col("n"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     signed = stored(signatures(docs), "signatures")
@@ -186,20 +212,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a bucket is a band and a key; those of one class only are of no use
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class").alias("least")).filter("n > 1")
     buckets = stored(rows.join(shared, ["band", "key"]).select("band", "key", "class", "least"), "buckets")
-    spokes = stored(buckets.filter(F.col("class") > F.col("least")).select(F.col("least").alias("a"), F.col("class").alias("b")).distinct(), "spokes")
     nodes = buckets.select(F.col("class").alias("doc_id")).distinct()
     sets = stored(full_sets(docs.join(nodes, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
-    links = stored(verified(spokes, sets), "verified")
-    found = components(links)
-    # classes of one bucket that are not connected yet
-    named = buckets.join(found.withColumnRenamed("node", "class"), "class", "left").select("band", "key", "class", F.coalesce("root", "class").alias("root"))
-    mixed_buckets = named.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band", "key")
-    open_rows = stored(named.join(mixed_buckets, ["band", "key"], "left_semi"), "open-buckets")
-    left = open_rows.select("band", "key", F.col("class").alias("a"), F.col("root").alias("p"))
-    right = open_rows.select("band", "key", F.col("class").alias("b"), F.col("root").alias("q"))
-    rest = left.join(right, ["band", "key"]).filter("a < b AND p <> q").select("a", "b").distinct().join(spokes, ["a", "b"], "left_anti")
-    more = stored(verified(stored(rest, "rest"), sets), "verified")
-    found = stored(components(links.union(more)), "components")
+    # first, each class with the least of its buckets' least
+    tested = stored(buckets.groupBy(F.col("class").alias("b")).agg(F.min("least").alias("a")).filter("a < b").select("a", "b"), "pairs")
+    found = components(stored(verified(tested, sets), "verified"))
+    # then, in each bucket, one class of each component with one of the bucket's least component
+    speakers = _open_buckets(buckets, found).groupBy("band", "key", "root").agg(F.min("class").alias("class"))
+    low = speakers.groupBy("band", "key").agg(F.min(F.struct("root", "class")).alias("low"))
+    pairs = speakers.join(low, ["band", "key"]).filter(F.col("root") > F.col("low.root"))
+    pairs = pairs.select(F.least("class", "low.class").alias("a"), F.greatest("class", "low.class").alias("b")).distinct()
+    pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(pairs, sets)))
+    # last, all classes of a bucket that are in different components still and can be linked at all
+    rows = _open_buckets(buckets, found)
+    rows = stored(rows.join(_shared_sizes(sets, rows.select("class").distinct()), "class"), "open-buckets")
+    rows = rows.join(classes.select("class", "bands"), "class")
+    left = rows.select("band", "key", F.col("class").alias("a"), F.col("root").alias("p"), F.col("n").alias("m"), F.col("c").alias("s"), F.col("bands").alias("x"))
+    right = rows.select("band", "key", F.col("class").alias("b"), F.col("root").alias("q"), "n", "c", F.col("bands").alias("y"))
+    possible = f"a < b AND p <> q AND {100 + SIMILARITY} * least(s, c) >= {SIMILARITY} * (m + n)"
+    first = F.expr("NOT exists(sequence(0, l.band), i -> i < l.band AND x[i] = y[i])")  # a pair meets once, in its first band
+    left, right = left.alias("l"), right.alias("r")
+    rest = left.join(right, F.expr("l.band = r.band AND l.key = r.key") & F.expr(possible) & first).select("a", "b")
+    rest = stored(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), "pairs")
+    found = stored(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(rest, sets))), "components")
     roots = classes.select("set_hash", "class").join(found, F.col("class") == F.col("node"), "left").select("set_hash", F.coalesce("root", "class").alias("root"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(roots, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("root")), F.col("doc_id")).alias("component_id"))
