@@ -127,7 +127,7 @@ def asymmetry(quakes: DataFrame) -> DataFrame:
     rows = quakes.withColumn("n20", F.count("*").over(trailing(keys, p["window"]))).withColumn("recent", F.count("*").over(trailing(keys, p["half"])))
     old = F.col("n20") - F.col("recent")
     rows = rows.withColumn("raw", F.when(F.col("n20") >= p["least"], F.when(old == 0, F.col("recent").cast("double")).otherwise(F.col("recent") / old)))
-    score = F.coalesce(geo.half_even(F.least(F.col("raw") / p["scale"], F.lit(1.0))), F.lit(0.0))
+    score = F.when(F.col("raw").isNull(), 0.0).otherwise(geo.half_even(F.least(F.col("raw") / p["scale"], F.lit(1.0))))  # least() skips nulls
     return rows.withColumn("asymmetry_ratio", geo.half_even(F.col("raw"))).withColumn("asymmetry", score).drop("n20", "recent", "raw")
 
 

@@ -77,7 +77,7 @@ def ranked(quakes: DataFrame, k: int = TOP, by_zone: bool = True) -> DataFrame:
     if not by_zone:
         best = zones.drop("rank").orderBy(*order).limit(k)
         zones = best.withColumn("rank", F.row_number().over(W.orderBy(*order)))
-    return zones.select("rank", "event_id", "region", geo.half_even(F.col("magnitude"), 1).alias("magnitude"), "lat", "lon", "us")
+    return zones.select(F.col("rank").cast("long").alias("rank"), "event_id", "region", geo.half_even(F.col("magnitude"), 1).alias("magnitude"), "lat", "lon", "us")
 
 
 def user_alerts(quakes: DataFrame, users: DataFrame, sent: DataFrame | None = None, least: float = 1.0) -> DataFrame:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from temblor.plans import basic, signal_queries  # noqa: F401
+from temblor.plans import basic, cluster_queries, signal_queries, stream_queries  # noqa: F401
 
 QUERIES, ORACLE = basic.QUERIES, basic.ORACLE
