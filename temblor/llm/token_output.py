@@ -33,7 +33,6 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -48,20 +47,22 @@ DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000
 LEVEL = 3
 
-#: The public byte-level pre-tokenizer's pattern, a fixed value of the vocabulary.
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The public byte-level pre-tokenizer's pattern for ASCII and Latin letters, spelled out; a fixed value
+#: of the vocabulary. Letters come first, for speed.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+PRETOKENS = rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Ids of texts, with the tokenizers library.
+    """Ids of whole texts, by the tokenizers library.
 
-    A byte-level vocabulary encodes each pre-token by itself, so the ids of pre-tokens are kept and each
-    is encoded once. Texts with characters on which two regex engines might disagree about the
-    pre-tokens go through the library whole.
+    A byte-level vocabulary encodes each pre-token by itself, so the library encodes each distinct
+    pre-token once and its ids are kept. This holds for texts of ASCII and Latin letters, for which
+    ``PRETOKENS`` says what the public pattern says; other texts go through the library whole.
     """
 
-    ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ɏ]")
-    MOST_KEPT, LONGEST_KEPT = 400_000, 40
+    ODD = re.compile(f"[^\t-\r -~{_LETTERS}]")
+    MOST_KEPT, MOST_CHARS = 600_000, 16 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -71,33 +72,38 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and spec["normalizer"] is None
-        self.split = regex.compile(PRETOKENS).findall if plain else None
+        self.split = re.compile(PRETOKENS).findall if plain else None
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kept: dict[str, bytes] = {}
+        self.chars = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as native unsigned integers of ``code``."""
-        out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if self.split is None or self.ODD.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        odd, kept = set(whole), self.kept
+        odd = [i for i, t in enumerate(texts) if self.split is None or self.ODD.search(t)]
+        out: dict[int, bytes] = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
+        if len(self.kept) > self.MOST_KEPT or self.chars > self.MOST_CHARS:
+            self.kept, self.chars = {}, 0
+        get, found, gaps = self.kept.get, {}, []
         for i, text in enumerate(texts):
-            if i in odd or not text:
+            if i in out:
                 continue
             pieces = self.split(text)
-            try:
-                out[i] = b"".join([kept[p] for p in pieces])
-            except KeyError:
-                new = list({p for p in pieces if p not in kept})
-                fresh = dict(zip(new, self._ids(new), strict=True))
-                out[i] = b"".join([kept[p] if p in kept else fresh[p] for p in pieces])
-                if len(kept) < self.MOST_KEPT:
-                    kept.update((p, x) for p, x in fresh.items() if len(p) <= self.LONGEST_KEPT)
-        return out
+            ids = found[i] = list(map(get, pieces))
+            k = -1
+            for _ in range(ids.count(None)):
+                k = ids.index(None, k + 1)
+                gaps.append((ids, k, pieces[k]))
+        new = list({p for _, _, p in gaps})
+        self.kept.update(zip(new, self._ids(new), strict=True))
+        self.chars += sum(map(len, new))
+        for ids, k, p in gaps:
+            ids[k] = get(p)
+        for i, ids in found.items():
+            out[i] = b"".join(ids)
+        return [out[i] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
@@ -119,8 +125,9 @@ def _slices(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(SAMPLE_DOCS).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    samples = [x for x in encoder(tokenizer).encode([r.text or "" for r in rows]) if x]
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("text").limit(SAMPLE_DOCS).collect()
+    samples = [x for x in Encoder(tokenizer).encode([r.text or "" for r in rows]) if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few samples: their own bytes serve as a raw dictionary
