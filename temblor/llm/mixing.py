@@ -28,7 +28,7 @@ from temblor.llm.common import WORD, stored, table
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, SEED = 128, 4096, 20240229
 #: Documents in a bucket of the offset sums; sources up to which their table is broadcast.
-BUCKET, MOST_BROADCAST = 20_000, 50_000
+BUCKET, MOST_BROADCAST = 5_000, 50_000
 CELLS = 1 << 16
 
 
@@ -70,7 +70,7 @@ def layout(docs: DataFrame, sources: DataFrame, n_docs: int, n_sources: int) ->
     named = _small(sources.select("sid", F.col("source").alias("s"), "source_size", "target"), n_sources)
     rows = docs.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(max(1, n_docs // BUCKET))))
-    inside = W.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "copy")
+    inside = W.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("bucket_start"))
