@@ -50,7 +50,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingles:
     """Sorted distinct shingle hashes of texts; keeps the hashes of words."""
 
-    MOST_KEPT = 500_000
+    MOST_KEPT = 150_000
 
     def __init__(self):
         self.words: dict[bytes, int] = {}

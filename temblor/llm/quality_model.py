@@ -38,7 +38,7 @@ _SYMBOLS = b"#*$%&|<>"
 class Features:
     """The buckets of a text's features; keeps the hashes of words."""
 
-    MOST_KEPT = 500_000
+    MOST_KEPT = 150_000
 
     def __init__(self, buckets: int = BUCKETS):
         self.buckets = buckets
