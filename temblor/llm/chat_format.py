@@ -228,9 +228,10 @@ class _Expression:
         while self.peek(".", "["):
             dot = self.take()[1] == "."
             kind, key = self.take()
+            key = key if dot else key[1:-1]
             if kind != ("name" if dot else "str") or key.startswith("_"):
                 raise TemplateError(f"no such key: {key!r}")
-            out = Item(out, key if dot else key[1:-1])
+            out = Item(out, key)
             if not dot:
                 self.need("]")
         return out
