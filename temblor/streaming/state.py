@@ -119,7 +119,10 @@ def fused(row: dict[str, float]) -> tuple[float, str, int | None]:
     """(global score, level, strong signals) of seven scores."""
     if row["cluster"] < s.QUIET:
         return 0.0, "NONE", None
-    score = half_even(sum(w * row[n] for n, w in s.WEIGHTS.items()))
+    total = 0.0
+    for n, w in s.WEIGHTS.items():  # in this order, uncompensated: sum() would differ in the last bit
+        total += w * row[n]
+    score = half_even(total)
     strong = sum(row[n] >= s.STRONG for n in s.SIGNALS)
     level = "LOW" if strong < 2 else "ALERT" if score >= s.ALERT else "VIGILANCE" if score >= s.VIGILANCE else "LOW"
     return score, level, strong
