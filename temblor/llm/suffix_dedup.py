@@ -22,7 +22,8 @@ windows are salted by document into ``SALTS`` chunks, each chunk is sorted by it
 documents of the chunks' classes are merged by the windows' digests.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``LENGTH`` lose nothing; rows of
-one doc_id never remove each other's bytes; a null id loses nothing and removes nothing; an empty table
+one doc_id never remove each other's bytes; a null id (and the least long, which stands
+for it) loses nothing and removes nothing; an empty table
 gives no rows; other columns are not read. Texts of any length are processed in segments.
 """
 
@@ -33,17 +34,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from temblor.llm.common import as_bytes, map_arrow, stored, table
+from temblor.llm.common import as_bytes, map_arrow, table
 from temblor.llm.minhash import mixed
 
 LENGTH, GRAM, SHALLOW = 50, 24, 16
 SEGMENT = 1 << 17
 #: An anchor is hot in more batches than this, and its windows are then dealt into so many chunks.
-CHUNK, SALTS = 64, 256
+CHUNK, SALTS = 1000, 256
 U = np.uint64
+NO_ID = -(1 << 63)  # stands for a null id inside the plan
+#: What is kept of an anchor's hash. Two anchors that share it are only sorted together.
+KEPT_BITS = U(0xFFFFFFFFFFFF0000)
 
 # ---- anchors
 
@@ -91,7 +98,7 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         own = padded[around] == h[at][:, None]
         first = np.argmax(own, axis=1)
         last = reach - np.argmax(own[:, ::-1], axis=1)
-        found.append((low + at, h[at], low + at - reach + first, low + at - reach + last))
+        found.append((low + at, (h[at] & KEPT_BITS) | U(1), low + at - reach + first, low + at - reach + last))
     if not found:
         return (np.empty(0, np.int64), np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -216,7 +223,7 @@ def _least(values: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 #: A stretch: hash of its anchor, document, row, where it starts in the text, the anchor's place in it,
 #: its length, and its offset in a buffer of bytes.
-STRETCH = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("pos", "<i8"), ("place", "<i4"), ("len", "<i4")])
+STRETCH = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("pos", "<i8"), ("place", "<i4"), ("len", "<i4")])
 
 
 def equal_stretches(buffer: np.ndarray, s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +278,22 @@ def covered(buffer: np.ndarray, s: np.ndarray, at: np.ndarray, pending: np.ndarr
 
 # ---- on tables
 
+def _pack(h: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> bytes:
+    """Columns of a block, small: hashes without their cut bits, documents as differences, zstandard."""
+    steps = np.diff(doc, prepend=np.int64(0))
+    columns = [(h >> U(32)).astype("<u4"), ((h >> U(16)) & U(0xFFFF)).astype("<u2"), (h & U(1)).astype("u1"), steps, *more]
+    return len(h).to_bytes(4, "little") + zstandard.compress(b"".join(c.tobytes() for c in columns), 3)
+
+
+def _unpack(data: bytes, *more: str) -> list[np.ndarray]:
+    n, data, at, out = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:]), 0, []
+    for kind in ("<u4", "<u2", "u1", "<i8", *more):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    high, low, flag, steps, *rest = out
+    return [(high.astype(U) << U(32)) | (low.astype(U) << U(16)) | flag.astype(U), np.cumsum(steps), *rest]
+
+
 _BLOCK = "bucket int, kind int, head binary, body binary"
 _NAMES = ["bucket", "kind", "head", "body"]
 
@@ -280,9 +303,15 @@ def _block(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=_NAMES)
 
 
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(h) % U(n)).astype(np.int64)
+
+
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
+    edges = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
     for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
@@ -303,14 +332,14 @@ def _anchor_blocks(n_buckets: int):
             new = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
             size = np.diff(np.append(np.flatnonzero(new), len(h)))
             many = np.repeat(size > 1, size)
+            once = np.flatnonzero(new)
+            sole = np.where(many[once], np.iinfo(np.int64).min, doc[once])
             rows = []
-            bucket = ((h >> U(40)) % U(n_buckets)).astype(np.int64)
-            for b, k in _by_bucket(bucket[new]):
-                k = np.flatnonzero(new)[k]
-                rows.append((b, 0, h[k].tobytes(), np.where(many[k], np.iinfo(np.int64).min, doc[k]).tobytes()))
-            for b, k in _by_bucket(bucket[many]):
-                k = np.flatnonzero(many)[k]
-                rows.append((b, 1, h[k].tobytes(), doc[k].tobytes()))
+            for kind, keys, owners in ((0, h[once], sole), (1, h[many], doc[many])):
+                order = np.argsort(owners, kind="stable")
+                keys, owners = keys[order], owners[order]
+                for b, k in _by_bucket(_bucket(keys, n_buckets)):
+                    rows.append((b, kind, _pack(keys[k], owners[k]), b""))
             yield _block(rows)
 
     return run
@@ -357,7 +386,7 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]):
         if bucket != current:
             yield from settle()
             current, hot_hashes = bucket, np.empty(0, U)
-        h, doc = np.frombuffer(head, U), np.frombuffer(body, np.int64)
+        h, doc = _unpack(head)
         if kind:
             yield from settle()
             yield from _hash_rows(h - np.isin(h, hot_hashes).astype(U), doc)
@@ -367,6 +396,18 @@ def _repeated_anchors(batches: Iterator[pa.RecordBatch]):
     yield from settle()
 
 
+def _pack_stretches(s: np.ndarray) -> bytes:
+    return _pack(s["hash"], s["doc"], s["row"].astype("<i4"), s["pos"].astype("<i8"), s["place"].astype("u1"), s["len"].astype("u1"))
+
+
+def _unpack_stretches(data: bytes) -> np.ndarray:
+    columns = _unpack(data, "<i4", "<i8", "u1", "u1")
+    s = np.empty(len(columns[0]), STRETCH)
+    for name, column in zip(STRETCH.names, columns, strict=True):
+        s[name] = column
+    return s
+
+
 def _stretch_blocks(n_buckets: int):
     """Step 2: the stretches at a batch's repeated anchors, by bucket; kind 1: spans covered already."""
 
@@ -397,79 +438,158 @@ def _stretch_blocks(n_buckets: int):
                 padded = np.concatenate([text, np.zeros(64, np.uint8)])
                 classes, least = equal_stretches(padded, s, start)
                 done = s["doc"] > least
-                spans = np.column_stack([s["doc"][done], s["row"][done], s["pos"][done], s["pos"][done] + s["len"][done]])
-                rows.append((int(s["hash"][0] % U(n_buckets)), 1, spans.tobytes(), b""))
+                rows.append((int(_bucket(s["hash"][:1], n_buckets)[0]), 1, _pack_stretches(s[done]), b""))
                 s, start = s[~done], start[~done]
-                bucket = (mixed(s["hash"] + U(2) * _salt(s)) % U(n_buckets)).astype(np.int64)
+                order = np.argsort(s["doc"], kind="stable")
+                s, start = s[order], start[order]
+                bucket = _bucket(s["hash"] + U(2) * _salt(s), n_buckets)
                 data = text.tobytes()
                 for b, j in _by_bucket(bucket):
-                    rows.append((b, 0, s[j].tobytes(), b"".join([data[a : a + n] for a, n in zip(start[j].tolist(), s["len"][j].tolist(), strict=True)])))
+                    rows.append((b, 0, _pack_stretches(s[j]), zstandard.compress(b"".join([data[a : a + n] for a, n in zip(start[j].tolist(), s["len"][j].tolist(), strict=True)]), 3)))
             yield _block(rows)
 
     return run
 
 
-_SPANS = "doc_id long, row long, low long, high long, digest binary"
+#: Rows of spans: packed ones of many documents, or one window of a hot anchor with its digest.
+_SPANS = "part int, digest binary, doc_id long, row int, low long, high long, spans binary"
+_SPAN_TYPES = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+_SPAN_NAMES = [x.split()[0] for x in _SPANS.split(", ")]
 
 
-def _spans(doc, row, low, high, digest=None) -> pa.RecordBatch:
-    digests = pa.nulls(len(doc), pa.binary()) if digest is None else pa.array(digest, pa.binary())
-    return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x), pa.int64()) for x in (doc, row, low, high)), digests], names=["doc_id", "row", "low", "high", "digest"])
+def _packed_spans(doc, row, low, high, n_parts: int) -> pa.RecordBatch:
+    """Spans by the part of their document, each part's in one packed row."""
+    doc, row, low, high = (np.asarray(x, dtype=np.int64) for x in (doc, row, low, high))
+    order = np.argsort(doc, kind="stable")
+    doc, row, low, high = doc[order], row[order], low[order], high[order]
+    parts, packed = [], []
+    for part, k in _by_bucket(_bucket(doc.view(U), n_parts)):
+        columns = (np.diff(doc[k], prepend=np.int64(0)), row[k].astype("<i4"), low[k], (high[k] - low[k]).astype("<u2"))
+        parts.append(part)
+        packed.append(len(k).to_bytes(4, "little") + zstandard.compress(b"".join(c.tobytes() for c in columns), 3))
+    n = len(parts)
+    columns = [pa.array(parts, pa.int32()), *(pa.nulls(n, t) for t in _SPAN_TYPES[1:6]), pa.array(packed, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=_SPAN_NAMES)
+
+
+def _unpacked_spans(data: bytes) -> tuple[np.ndarray, ...]:
+    n, data = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:])
+    doc, row = np.cumsum(np.frombuffer(data, np.int64, n)), np.frombuffer(data, "<i4", n, 8 * n)
+    low = np.frombuffer(data, np.int64, n, 12 * n)
+    return doc, row, low, low + np.frombuffer(data, "<u2", n, 20 * n)
+
+
+def _windows(doc, row, low, digests: list[bytes], n_parts: int) -> pa.RecordBatch:
+    parts = [int.from_bytes(x[:4], "little") % n_parts for x in digests]
+    columns = [pa.array(parts, pa.int32()), pa.array(digests, pa.binary()), pa.array(doc), pa.array(np.asarray(row, np.int32)), pa.array(low), pa.array(low + LENGTH), pa.nulls(len(parts), pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=_SPAN_NAMES)
 
 
-def _covered_spans(batches: Iterator[pa.RecordBatch]):
+def _covered_spans(n_parts: int):
     """Step 3, in a bucket: spans that smaller documents cover; with a digest, a window of a hot anchor
     that is the least of its class in this chunk."""
-    blocks: list[tuple[np.ndarray, bytes]] = []
-    current = None
 
-    def settle():
-        nonlocal blocks
-        if not blocks:
-            return
-        s = np.concatenate([x for x, _ in blocks])
-        data = b"".join([y for _, y in blocks])
-        blocks = []
-        at = np.cumsum(s["len"], dtype=np.int64) - s["len"]
-        buffer = np.frombuffer(data + bytes(64), np.uint8)
-        chunk = s.copy()
-        chunk["hash"] = mixed(s["hash"] + U(2) * _salt(s))
-        i, low, high, lead, offset = covered(buffer, chunk, at, (s["hash"] & U(1)) == 0)
-        if len(i):
-            yield _spans(s["doc"][i], s["row"][i], s["pos"][i] + low, s["pos"][i] + high)
-        if len(lead):
-            begin = (at[lead] + offset).tolist()
-            digests = [hashlib.blake2b(data[a : a + LENGTH], digest_size=16).digest() for a in begin]
-            start = s["pos"][lead] + offset
-            yield _spans(s["doc"][lead], s["row"][lead], start, start + LENGTH, digests)
+    def run(batches: Iterator[pa.RecordBatch]):
+        blocks: list[tuple[np.ndarray, bytes]] = []
+        current = None
+
+        def settle():
+            nonlocal blocks
+            if not blocks:
+                return
+            s = np.concatenate([x for x, _ in blocks])
+            data = b"".join([y for _, y in blocks])
+            blocks = []
+            at = np.cumsum(s["len"], dtype=np.int64) - s["len"]
+            buffer = np.frombuffer(data + bytes(64), np.uint8)
+            chunk = s.copy()
+            chunk["hash"] = mixed(s["hash"] + U(2) * _salt(s))
+            i, low, high, lead, offset = covered(buffer, chunk, at, (s["hash"] & U(1)) == 0)
+            if len(i):
+                yield _packed_spans(s["doc"][i], s["row"][i], s["pos"][i] + low, s["pos"][i] + high, n_parts)
+            if len(lead):
+                begin = (at[lead] + offset).tolist()
+                digests = [hashlib.blake2b(data[a : a + LENGTH], digest_size=16).digest() for a in begin]
+                yield _windows(s["doc"][lead], s["row"][lead], s["pos"][lead] + offset, digests, n_parts)
+
+        for bucket, kind, head, body in _grouped(batches):
+            if bucket != current:
+                yield from settle()
+                current = bucket
+            if kind:
+                x = _unpack_stretches(head)
+                if len(x):
+                    yield _packed_spans(x["doc"], x["row"], x["pos"], x["pos"] + x["len"], n_parts)
+            else:
+                blocks.append((_unpack_stretches(head), zstandard.decompress(body)))
+        yield from settle()
 
-    for bucket, kind, head, body in _grouped(batches):
-        if bucket != current:
-            yield from settle()
-            current = bucket
-        if kind:
-            x = np.frombuffer(head, np.int64).reshape(-1, 4)
-            if len(x):
-                yield _spans(*x.T)
-        else:
-            blocks.append((np.frombuffer(head, STRETCH), body))
-    yield from settle()
+    return run
+
+
+def _merged_windows(n_parts: int):
+    """Packed spans as they are; of windows, sorted by digest, those that a smaller document has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        held, digest = [], None
+
+        def late():
+            least = min(r[0] for r in held) if held else 0
+            return [r for r in held if r[0] > least]
+
+        for batch in batches:
+            packed = batch.filter(pc.is_valid(batch.column("spans")))
+            if packed.num_rows:
+                yield packed
+            windows = batch.filter(pc.is_null(batch.column("spans")))
+            out = []
+            for found, *row in zip(*(windows.column(n).to_pylist() for n in ("digest", "doc_id", "row", "low", "high")), strict=True):
+                if found != digest:
+                    out += late()
+                    held, digest = [], found
+                held.append(row)
+            if out:
+                yield _packed_spans(*zip(*out, strict=True), n_parts)
+        if out := late():
+            yield _packed_spans(*zip(*out, strict=True), n_parts)
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]):
+    """All spans of a part's documents, joined where they touch: (doc_id, row, lows, highs)."""
+    parts = [_unpacked_spans(x) for batch in batches for x in batch.column("spans").to_pylist()]
+    if not parts:
+        return
+    doc, row, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((low, row, doc))
+    doc, row, low, high = doc[order], row[order], low[order], high[order]
+    fresh = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
+    far = np.cumsum(fresh).astype(np.int64) << 40  # keeps documents apart under one running maximum
+    reach = np.maximum.accumulate(far + high)
+    begin = np.append(True, (far + low)[1:] > reach[:-1])
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], len(doc)) - 1
+    doc, row, low, high = doc[first], row[first], low[first], (reach - far)[last]
+    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
+    stop = np.append(edge[1:], len(doc))
+    for a in range(0, len(edge), 10_000):
+        k = slice(a, a + 10_000)
+        spans = list(zip(edge[k].tolist(), stop[k].tolist(), strict=True))
+        columns = [pa.array(doc[edge[k]]), pa.array(row[edge[k]].astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (low, high))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "lows", "highs"])
 
 
 def _results(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         rows = []
-        for doc, data, copy, lows, highs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for doc, data, copy, number, found in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             data = data or b""
             if copy and len(data) >= LENGTH:
                 spans = [(0, len(data))]
             else:
-                spans = []
-                for a, b in sorted(zip(lows or (), highs or (), strict=True)):
-                    if spans and a <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(spans[-1][1], b))
-                    else:
-                        spans.append((a, b))
+                own = next((x for x in found or () if x["row"] == number), None)
+                spans = list(zip(*(np.frombuffer(own[k], np.int64).tolist() for k in ("lows", "highs")), strict=True)) if own else []
             kept, at = [], 0
             for a, b in spans:
                 kept.append(data[at:a])
@@ -483,26 +603,29 @@ def _results(batches: Iterator[pa.RecordBatch]):
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes) of every document."""
-    n_buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("row"))
-    dealt = rows.repartition("doc_id")
-    digests = rows.filter("doc_id IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("digest"), "row")
-    least = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    copies = digests.join(least, "digest").filter("doc_id > least").select("doc_id", "row").distinct().withColumn("copy", F.lit(True))
-    marked = dealt.join(copies, ["doc_id", "row"], "left")
-    whole = marked.filter("doc_id IS NOT NULL AND copy IS NULL")
-    blocks = map_arrow(whole.select("doc_id", "text"), _anchor_blocks(n_buckets), _BLOCK)
-    repeated = map_arrow(blocks.repartition("bucket").sortWithinPartitions("bucket", "kind"), _repeated_anchors, "doc_id long, hashes binary")
-    repeated = repeated.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    with_anchors = whole.join(repeated, "doc_id").select("doc_id", "row", "text", "hashes")
+    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a key that is never null: with it all three uses of the dealt texts have one plan, so one exchange
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
+    rows = docs.select(key, F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
+    dealt = rows.repartition("key")
+    # each distinct text of a document has a number, and is a copy if a smaller document has it too
+    digests = rows.filter(F.col("key") != NO_ID).select("key", "hash", F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
+    numbers = digests.withColumn("row", F.row_number().over(W.partitionBy("key").orderBy("hash")))
+    least = digests.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
+    known = numbers.join(least, "digest", "left").select("key", F.struct("hash", "row", F.coalesce(F.col("key") > F.col("least"), F.lit(False)).alias("copy")).alias("own"))
+    known = known.groupBy("key").agg(F.collect_list("own").alias("texts"))
+    own = F.get(F.filter("texts", lambda x: x["hash"] == F.col("hash")), F.lit(0))
+    marked = dealt.join(known, "key", "left").withColumn("own", own).select("key", "text", "own.row", "own.copy")
+    whole = marked.filter("copy = false")
+    blocks = map_arrow(whole.select("key", "text"), _anchor_blocks(n_buckets), _BLOCK).repartition("bucket").sortWithinPartitions("bucket", "kind")
+    repeated = map_arrow(blocks, _repeated_anchors, "doc_id long, hashes binary").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    with_anchors = whole.join(repeated.withColumnRenamed("doc_id", "key"), "key").select("key", "row", "text", "hashes")
     stretches = map_arrow(with_anchors, _stretch_blocks(n_buckets), _BLOCK).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    found = stored(map_arrow(stretches, _covered_spans, _SPANS), "spans")
-    windows = found.filter("digest IS NOT NULL")
-    first = windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    late = windows.join(first, "digest").filter("doc_id > first").select("doc_id", "row", "low", "high")
-    spans = found.filter("digest IS NULL").select("doc_id", "row", "low", "high").unionByName(late)
-    spans = spans.groupBy("doc_id", "row").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    final = marked.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "copy", "lows", "highs")
+    found = map_arrow(stretches, _covered_spans(n_buckets), _SPANS)
+    settled = map_arrow(found.repartition("part").sortWithinPartitions("digest"), _merged_windows(n_buckets), _SPANS)
+    spans = map_arrow(settled.repartition("part"), _runs, "doc_id long, row int, lows binary, highs binary")
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "lows", "highs")).alias("spans"))
+    final = marked.join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "row", "spans")
     return map_arrow(final, _results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>")
 
 
