@@ -79,6 +79,8 @@ class Incremental:
     """Incremental k-means, one point at a time, with updates that spread as far as a centre moved."""
 
     centres: list[tuple[float, float]]
+    tiny: float = TINY_SHIFT
+    big: float = BIG_SHIFT
     points: list[tuple[float, float]] = field(default_factory=list)
     labels: list[int] = field(default_factory=list)
 
@@ -98,10 +100,10 @@ class Incremental:
         norm = math.hypot(*old)
         shift = 0.0 if norm < 1e-10 else math.hypot(new[0] - old[0], new[1] - old[1]) / norm
         self.centres[c] = new
-        if shift < TINY_SHIFT:
+        if shift < self.tiny:
             return c, shift, "none", 0
         moved: set[int] = set()
-        if shift < BIG_SHIFT:
+        if shift < self.big:
             touched = {c}
             for i in [i for i, label in enumerate(self.labels) if label == c]:
                 if (to := self._nearest(self.points[i])) != c:

@@ -86,6 +86,19 @@ def shares(results: DataFrame, category: str, value: str, good: float = 0.8) ->
     return found.withColumn("share", F.col("n") / results.count())
 
 
+def pivoted(results: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """A table of ``value`` with a line for each ``row`` and a column for each ``column``."""
+    return results.groupBy(row).pivot(column).agg(F.first(value))
+
+
+def coded(results: DataFrame, name: str, codes: dict[str, int], default: int = -1) -> DataFrame:
+    """Adds ``<name>_code`` by a table of codes, and the default for what it lacks."""
+    code = F.lit(default)
+    for k, v in codes.items():
+        code = F.when(F.col(name) == k, v).otherwise(code)
+    return results.withColumn(f"{name}_code", code)
+
+
 def best(results: DataFrame, value: str, by: str | None = None, least: float | None = None) -> DataFrame:
     """The row with the largest ``value`` among those with ``by`` at least ``least``."""
     rows = results if by is None else results.filter(F.col(by) >= least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.operators import anomaly, dbscan, kmeans, metrics, signals
+from temblor.operators import anomaly, benchmarks, dbscan, kmeans, metrics, signals, views
 from temblor.plans.basic import QUERIES, query
 from temblor.plans.sql_base import QUAKES, r
 from temblor.sources.quakes import read_quakes
@@ -180,3 +180,32 @@ def q_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["q_anomaly"] = q_anomaly
+
+
+def q_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.sweep(read_quakes(spark, sf_dir))
+
+
+def q_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agreement of incremental with full runs, thresholds against thresholds; a bounded feed."""
+    rows = read_quakes(spark, sf_dir).orderBy("us", "event_id").select("lat", "lon").limit(200).collect()
+    return metrics.pivoted(benchmarks.thresholds(spark, [tuple(r) for r in rows]), "big", "tiny", "ari")
+
+
+def q_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every read view as JSON rows."""
+    quakes, out = read_quakes(spark, sf_dir), None
+    for name, view in views.VIEWS.items():
+        rows = views.as_json(view(quakes)).select(F.lit(name).alias("view"), "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"WITH {QUAKES} SELECT event_id FROM q WHERE us <= 1704067200000000 + 5400000000 AND us < 1704067200000000 + 5400000000 - 3600000000")
+def q_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a sliding hour has lost an hour and a half after the first event."""
+    return dbscan.expired(read_quakes(spark, sf_dir), 1704067200000000 + 5_400_000_000).select("event_id")
+
+
+for f in (q_kmeans_sweep, q_threshold_grid, q_views):
+    QUERIES[f.__name__] = f

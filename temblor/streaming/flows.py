@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -88,6 +89,16 @@ def snapshots(stream: DataFrame, path: str, checkpoint: str, every: str = SNAPSH
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def wait_for_update(query: StreamingQuery, seen: int | None, timeout: int = 120) -> int | None:
+    """The number of the latest batch with rows, once it is past ``seen`` or the time is over."""
+    end = time.monotonic() + timeout
+    while True:
+        done = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+        if (done and (seen is None or done[-1] > seen)) or time.monotonic() >= end or not query.isActive:
+            return done[-1] if done else None
+        time.sleep(0.2)
+
+
 def alert_log(rows: DataFrame) -> DataFrame:
     """The threshold events of a signal stream."""
     return signals.threshold_alerts(rows)

@@ -27,3 +27,12 @@ def test_incremental_log(spark, sf_dir):
 def test_grid_has_all_settings(spark, sf_dir):
     grid = registry.QUERIES["q_dbscan_grid"](spark, sf_dir).toPandas()
     assert len(grid) == 9 and ((grid.clustered + grid.noise) == 1000).all()
+
+
+def test_benchmark_tables(spark, sf_dir):
+    sweep = registry.QUERIES["q_kmeans_sweep"](spark, sf_dir).toPandas()
+    assert list(sweep.sort_values("k").inertia) == sorted(sweep.inertia, reverse=True)
+    grid = registry.QUERIES["q_threshold_grid"](spark, sf_dir).toPandas()
+    assert len(grid) == 5 and len(grid.columns) == 7
+    views = registry.QUERIES["q_views"](spark, sf_dir).toPandas()
+    assert views["view"].nunique() == 8
