@@ -21,4 +21,6 @@ ORACLE = {
     "op2_chat_format": chat_format.SQL,
     "op4_secret_scan": secret_scan.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op8_suffix_dedup": suffix_dedup.SQL,
+    "op9_minhash": minhash.SQL,
 }

@@ -631,3 +631,18 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).drop("spans")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+hit AS (SELECT w.doc_id, i FROM w JOIN f USING (k) WHERE w.doc_id > least),
+b AS (SELECT doc_id, substr(h, 2 * j + 1, 2) AS byte, j FROM (SELECT doc_id, h, unnest(range(0, n)) AS j FROM d)),
+l AS (SELECT b.doc_id, j, byte, max(i) OVER (PARTITION BY b.doc_id ORDER BY j) AS i FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND i = j),
+c AS (SELECT doc_id, j, byte, coalesce(j - i < 50, false) AS gone FROM l),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY j), false) AS begins FROM c),
+t AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY j) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
