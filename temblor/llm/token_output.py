@@ -23,6 +23,7 @@ from __future__ import annotations
 import array
 import hashlib
 import json
+import os
 import re
 import struct
 import zlib
@@ -62,9 +63,10 @@ class Encoder:
     """
 
     ODD = re.compile(f"[^\t-\r -~{_LETTERS}]")
-    MOST_KEPT, MOST_CHARS = 600_000, 16 << 20
+    MOST_KEPT, MOST_CHARS = 800_000, 16 << 20
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
