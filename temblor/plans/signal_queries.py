@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from temblor.operators import signals
-from temblor.plans.basic import ORACLE, QUERIES, on_quakes
-from temblor.plans.sql_base import QUAKES, ema_sql, haversine_sql, r
-from temblor.sources.quakes import read_quakes
+from temblor.plans.basic import on_quakes
+from temblor.plans.sql_base import ema_sql, haversine_sql, r
 
 MINUTE = signals.MINUTE
 ROWS = "ORDER BY us, event_id ROWS UNBOUNDED PRECEDING"
