@@ -77,7 +77,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     ours, items = benchmark_windows(benchmark)
     ours = stored(ours, "leak-items")
-    theirs = docs.select("doc_id", F.posexplode(windows(tokens(F.col("text")))).alias("at", "window"))
+    # the outer form, for else the optimiser tests the size of the windows first and computes them twice
+    theirs = docs.select("doc_id", F.posexplode_outer(windows(tokens(F.col("text")))).alias("at", "window"))
     hits = stored(theirs.join(_sized(ours), "window").select("doc_id", "item_id", "at", "item_at", "n_windows").distinct(), "leak-hits")
     line = W.partitionBy("doc_id", "item_id", "diagonal").orderBy("at")
     runs = hits.withColumn("diagonal", F.col("at") - F.col("item_at")).withColumn("run", F.col("at") - F.row_number().over(line))

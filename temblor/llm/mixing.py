@@ -154,6 +154,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     parts = pieces.groupBy("sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "after"))).alias("parts"))
     parts = placed.filter("size > 0").select("sid", "start", "doc_id", "copy").join(parts, ["sid", "start"]).select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "pass", "parts")
     words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    joined = numbered.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c"))).withColumn("words", words)
-    text = F.rtrim(F.array_join(F.flatten(F.transform("parts", lambda p: F.slice("words", (p["first"] + 1).cast("int"), (p["after"] - p["first"]).cast("int")))), ""))
+    joined = numbered.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")))
+    cut = lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), (p["after"] - p["first"]).cast("int"))))
+    # the words as a lambda's variable: the optimiser would move their expression into the loop over parts
+    text = F.rtrim(F.array_join(F.get(F.transform(F.array(words), cut), F.lit(0)), ""))
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
