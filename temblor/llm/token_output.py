@@ -63,7 +63,7 @@ class Encoder:
     """
 
     ODD = re.compile(f"[^\t-\r -~{_LETTERS}]")
-    MOST_KEPT, MOST_CHARS = 800_000, 16 << 20
+    MOST_KEPT, MOST_CHARS = 400_000, 16 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
