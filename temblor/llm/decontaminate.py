@@ -5,8 +5,9 @@ what remains is a template, and windows of ``WINDOW`` template tokens of documen
 with those of the benchmark. A document leaks an item if it holds ``SHARE`` of the item's windows, or a
 run of ``RUN`` consecutive ones on one diagonal (13 words of one passage), and its slots agree: each of
 the item's values stands for one value of the document and the reverse, over ``AGREE`` of the slots. An
-item with other numbers or names is so caught as well as a verbatim copy. Everything runs as DataFrame
-operations.
+item with other numbers or names is so caught as well as a verbatim copy. Agreement is judged for each
+occurrence (a run, a diagonal, the whole document), and one that agrees is enough, so that copies and
+variants in one document do not speak against each other. Everything runs as DataFrame operations.
 
 Whole texts are read. The benchmark's windows are broadcast up to ``MOST_BROADCAST`` of them, and beyond
 it joined by a shuffle on the window's hash; the same holds for ids of documents with matches.
@@ -80,29 +81,55 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # the outer form, for else the optimiser tests the size of the windows first and computes them twice
     theirs = docs.select("doc_id", F.posexplode_outer(windows(tokens(F.col("text")))).alias("at", "window"))
     hits = stored(theirs.join(_sized(ours), "window").select("doc_id", "item_id", "at", "item_at", "n_windows").distinct(), "leak-hits")
+    hits = hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
     line = W.partitionBy("doc_id", "item_id", "diagonal").orderBy("at")
-    runs = hits.withColumn("diagonal", F.col("at") - F.col("item_at")).withColumn("run", F.col("at") - F.row_number().over(line))
-    runs = runs.groupBy("doc_id", "item_id", "diagonal", "run").agg(F.count("*").alias("n")).groupBy("doc_id", "item_id").agg(F.max("n").alias("run"))
+    hits = stored(hits.withColumn("part", F.col("at") - F.row_number().over(line)), "leak-lines")
+    runs = hits.groupBy("doc_id", "item_id", "diagonal", "part").agg(F.count("*").alias("run"))
+    lines = runs.groupBy("doc_id", "item_id", "diagonal").agg(F.max("run").alias("run"))
+    shares = hits.groupBy("doc_id", "item_id", "diagonal").agg((F.count("*") / F.first("n_windows")).alias("share"))
     places = hits.groupBy("doc_id", "item_id", "item_at").agg(F.first("n_windows").alias("n_windows"))
-    shares = places.groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n_windows")).alias("share"))
-    alike = stored(shares.join(runs, ["doc_id", "item_id"]).filter((F.col("share") >= SHARE) | (F.col("run") >= RUN)), "leak-pairs")
-    # slots of the pairs that are alike as templates
-    with_match = docs.join(_sized(alike.select("doc_id").distinct()), "doc_id", "left_semi")
+    whole = places.groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n_windows")).alias("share"))
+    whole = whole.join(lines.groupBy("doc_id", "item_id").agg(F.max("run").alias("run")), ["doc_id", "item_id"])
+    enough = (F.col("share") >= SHARE) | (F.col("run") >= RUN)
+    whole = stored(whole.filter(enough), "leak-pairs")
+    # the occurrences of an item: runs, diagonals, and the document as a whole for what edits spread over diagonals
+    none = F.lit(None).cast("int")
+    found = runs.filter(F.col("run") >= RUN).select("doc_id", "item_id", "diagonal", "part")
+    found = found.union(shares.filter(F.col("share") >= SHARE).select("doc_id", "item_id", "diagonal", none))
+    found = stored(found.union(whole.select("doc_id", "item_id", none, none)), "leak-occurrences")
+    # their slots
+    with_match = docs.join(_sized(whole.select("doc_id").distinct()), "doc_id", "left_semi")
     theirs = _slots(with_match.select("doc_id", tokens(F.col("text")).alias("tokens")), "doc_id").distinct()
     ours = _slots(items, "item_id").select("item_id", F.col("at").alias("item_at"), F.col("value").alias("item_value"))
     reach = F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1)))
-    covered = hits.join(alike, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "at", "item_at", reach.alias("k"))
-    covered = covered.select("doc_id", "item_id", (F.col("at") + F.col("k")).alias("at"), (F.col("item_at") + F.col("k")).alias("item_at")).distinct()
-    slots = covered.join(ours, ["item_id", "item_at"]).join(theirs, ["doc_id", "at"])
-    pairs = slots.groupBy("doc_id", "item_id", "item_value", "value").agg(F.count("*").alias("n"))
-
-    def agreed(by: str, name: str) -> DataFrame:
-        best = pairs.groupBy("doc_id", "item_id", by).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-        return best.groupBy("doc_id", "item_id").agg((F.sum("most") / F.sum("n")).alias(name), F.sum("n").alias(f"n_{name}"))
-
-    both = agreed("item_value", "forth").join(agreed("value", "back"), ["doc_id", "item_id"])
-    judged = alike.join(both, ["doc_id", "item_id"], "left").withColumn("agreement", F.coalesce(F.least("forth", "back"), F.lit(1.0)))
-    return judged.filter(F.col("agreement") >= AGREE).select("doc_id", "item_id", "share", "run", F.coalesce("n_forth", F.lit(0)).alias("n_slots"), "agreement")
+    covered = hits.join(whole, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "diagonal", "part", "at", "item_at", reach.alias("k"))
+    covered = covered.select("doc_id", "item_id", "diagonal", "part", (F.col("at") + F.col("k")).alias("at"), (F.col("item_at") + F.col("k")).alias("item_at")).distinct()
+    slots = stored(covered.join(ours, ["item_id", "item_at"]).join(theirs, ["doc_id", "at"]), "leak-slots")
+    by = ["doc_id", "item_id", "diagonal", "part"]
+    # a slot between two runs of a diagonal lies in both, and counts once for the diagonal and the document
+    once = slots.drop("part").distinct()
+    levels = [(slots, by), (once.withColumn("part", none), by[:3]), (once.withColumn("diagonal", none).withColumn("part", none), by[:2])]
+    pairs = None
+    for rows, key in levels:
+        rows = rows.groupBy(*by, "item_value", "value").agg(F.count("*").alias("n"))
+        wanted = found.filter(F.col("part").isNotNull() if len(key) == 4 else F.col("part").isNull() & (F.col("diagonal").isNotNull() if len(key) == 3 else F.col("diagonal").isNull()))
+        rows = rows.join(wanted.select(*key), key, "left_semi").select(*by, "item_value", "value", "n")
+        pairs = rows if pairs is None else pairs.union(rows)
+    pairs = stored(pairs, "leak-slot-pairs")
+
+    def agreed(side: str, name: str) -> DataFrame:
+        best = pairs.groupBy(*by, side).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+        return best.groupBy(*by).agg((F.sum("most") / F.sum("n")).alias(name), F.sum("n").alias(f"n_{name}"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"d": F.coalesce(F.col("diagonal").cast("long"), F.lit(1 << 40)), "p": F.coalesce(F.col("part").cast("long"), F.lit(1 << 40))}).drop("diagonal", "part")
+
+    key = ["doc_id", "item_id", "d", "p"]
+    both = keyed(agreed("item_value", "forth")).join(keyed(agreed("value", "back")), key)
+    judged = keyed(found).join(both, key, "left").withColumn("agreement", F.coalesce(F.least("forth", "back"), F.lit(1.0)))
+    judged = judged.filter(F.col("agreement") >= AGREE).groupBy("doc_id", "item_id")
+    best = judged.agg(F.max(F.struct("agreement", F.coalesce("n_forth", F.lit(0)).alias("n"))).alias("best"))
+    return whole.join(best, ["doc_id", "item_id"]).select("doc_id", "item_id", "share", "run", F.col("best.n").alias("n_slots"), F.col("best.agreement").alias("agreement"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

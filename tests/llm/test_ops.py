@@ -144,6 +144,21 @@ def test_reparameterised_items_are_caught_and_inconsistent_ones_are_not(spark):
     assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} >= {3, 4, None}
 
 
+def leaked(spark, texts, items):
+    """The documents of ``texts``, by number, that leak one of ``items``."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+
+
+def test_an_item_beside_its_variants_is_found(spark):
+    item = "a farmer sells 40 apples each morning and 12 pears each evening so how much fruit does the farmer sell in 9 days of work"
+    variant = lambda a, b, c: item.replace("40", a).replace("12", b).replace("9", c)
+    torn = "a farmer sells 1 apples each morning and 1 pears each evening so how much fruit does the farmer sell in 1 days of work"
+    twice = "each red box in the hall holds 4 plates and each red box in the hall holds 7 plates until the evening comes and 9 guests leave"
+    texts = [f"{item} . {variant('75', '31', '8')}", f"{variant('75', '31', '8')} ; {variant('90', '55', '6')}", torn, f"{torn} or {torn}", f"{twice} and {twice.replace('4', '5').replace('7', '6')}"]
+    assert leaked(spark, texts, [item, twice]) == {0, 1, 4}
+
+
 def test_planted_passages(docs, spark, sf_dir):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     want = {r.doc_id for r in docs.collect() if any(t in (r.text or "") for t in bench.values())}
