@@ -2,7 +2,8 @@
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders;
 what remains is a template, and windows of ``WINDOW`` template tokens of documents are joined by hash
-with those of the benchmark. A document leaks an item if it holds ``SHARE`` of the item's windows, or a
+with those of the benchmark. A window with fewer than ``MIN_LITERALS`` literal tokens would match anything
+and keeps its values instead, so it matches copies only. A document leaks an item if it holds ``SHARE`` of the item's windows, or a
 run of ``RUN`` consecutive ones on one diagonal (13 words of one passage), and its slots agree: each of
 the item's values stands for one value of the document and the reverse, over ``AGREE`` of the slots. An
 item with other numbers or names is so caught as well as a verbatim copy. Agreement is judged for each
@@ -13,7 +14,7 @@ Whole texts are read. The benchmark's windows are broadcast up to ``MOST_BROADCA
 it joined by a shuffle on the window's hash; the same holds for ids of documents with matches.
 
 Defined results: null and empty texts, and texts of fewer than ``WINDOW`` tokens, hold no window; an item
-of fewer tokens is never found; equal items count as the one of lowest id; rows of one doc_id count as
+of fewer tokens is never found, and one whose windows all keep values only as a copy; equal items count as the one of lowest id; rows of one doc_id count as
 one document; a document without an id is never reported; empty tables give no rows; other columns are
 not read.
 """
@@ -47,12 +48,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
-def windows(tokens: Column) -> Column:
-    """The hash of each window of template tokens, in order."""
-    hashes = F.transform(tokens, lambda t: F.xxhash64(F.when(t < _AFTER, F.substring(t, 1, 1)).otherwise(t)))
-    each = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
-    found = F.transform(F.array(hashes), lambda h: F.when(F.size(h) >= WINDOW, each(h)).otherwise(F.array().cast("array<bigint>")))
-    return F.flatten(found)
+def codes(tokens: Column) -> Column:
+    """A hash of each token's word or value, whose last two bits are the number of its mark, 0 for a literal."""
+    mark, word = F.when(tokens < _AFTER, F.ascii(tokens)).otherwise(0), F.when(tokens < _AFTER, F.substring(tokens, 2, 1 << 30)).otherwise(tokens)
+    return F.xxhash64(word).bitwiseAND(F.lit(-4)).bitwiseOR(mark.cast("long"))
+
+
+def windows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, at, window, open) of rows with tokens: the hash of the template tokens, or, where fewer than
+    MIN_LITERALS are literal, of the tokens with their values. ``open`` tells the first kind."""
+    rows = rows.select(key, F.transform("tokens", codes).alias("codes"))
+    # the outer form, for else the optimiser tests the size first and computes the codes twice
+    rows = rows.select(key, "codes", F.explode_outer(F.when(F.size("codes") >= WINDOW, F.sequence(F.lit(0), F.size("codes") - WINDOW))).alias("at"))
+    each = [F.get("codes", F.col("at") + k) for k in range(WINDOW)]
+    mark = [c.bitwiseAND(F.lit(3)) for c in each]
+    literals = sum(((m == 0).cast("int") for m in mark[1:]), (mark[0] == 0).cast("int"))
+    template = F.xxhash64(*(F.when(m == 0, c).otherwise(m) for c, m in zip(each, mark, strict=True)))
+    return rows.select(key, "at", F.when(literals >= MIN_LITERALS, template).otherwise(F.xxhash64(*each)).alias("window"), (literals >= MIN_LITERALS).alias("open"))
 
 
 def _slots(rows: DataFrame, key: str) -> DataFrame:
@@ -61,12 +73,11 @@ def _slots(rows: DataFrame, key: str) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Windows (item_id, item_at, window, n_windows) of distinct items, and those items with tokens."""
+    """Windows (item_id, item_at, window, open, n_windows, n_open) of distinct items, and those items with tokens."""
     items = benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("tokens", tokens(F.col("text"))).drop("text")
-    literal = lambda i: F.size(F.filter(F.slice(F.col("tokens"), i + 1, WINDOW), lambda t: t >= _AFTER)) >= MIN_LITERALS
-    rows = items.select("item_id", "tokens", F.posexplode(windows(F.col("tokens"))).alias("item_at", "window"))
-    rows = rows.filter(literal(F.col("item_at"))).select("item_id", "item_at", "window")
-    return rows.withColumn("n_windows", F.count("*").over(W.partitionBy("item_id"))), items
+    rows = windows(items, "item_id").filter(F.col("at").isNotNull()).withColumnRenamed("at", "item_at")
+    one = W.partitionBy("item_id")
+    return rows.withColumns({"n_windows": F.count("*").over(one), "n_open": F.sum(F.col("open").cast("int")).over(one)}), items
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -78,17 +89,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
     ours, items = benchmark_windows(benchmark)
     ours = stored(ours, "leak-items")
-    # the outer form, for else the optimiser tests the size of the windows first and computes them twice
-    theirs = docs.select("doc_id", F.posexplode_outer(windows(tokens(F.col("text")))).alias("at", "window"))
-    hits = stored(theirs.join(_sized(ours), "window").select("doc_id", "item_id", "at", "item_at", "n_windows").distinct(), "leak-hits")
+    theirs = windows(docs.select("doc_id", tokens(F.col("text")).alias("tokens")), "doc_id").select("doc_id", "at", "window")
+    hits = stored(theirs.join(_sized(ours.select("item_id", "item_at", "window")), "window").select("doc_id", "item_id", "at", "item_at").distinct(), "leak-hits")
     hits = hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
+    # windows between two hits that touch or overlap hold only tokens of the two, and so are hits themselves
     line = W.partitionBy("doc_id", "item_id", "diagonal").orderBy("at")
-    hits = stored(hits.withColumn("part", F.col("at") - F.row_number().over(line)), "leak-lines")
+    before = F.lag("at").over(line)
+    hits = hits.withColumn("from", F.when(F.col("at") - before <= WINDOW, before + 1).otherwise(F.col("at")))
+    hits = hits.select("doc_id", "item_id", "diagonal", F.explode(F.sequence("from", "at")).alias("at"))
+    hits = hits.withColumn("item_at", F.col("at") - F.col("diagonal")).withColumn("part", F.col("at") - F.row_number().over(line))
+    hits = stored(hits.join(_sized(ours.select("item_id", "item_at", "open", "n_windows", "n_open").distinct()), ["item_id", "item_at"]), "leak-lines")
     runs = hits.groupBy("doc_id", "item_id", "diagonal", "part").agg(F.count("*").alias("run"))
     lines = runs.groupBy("doc_id", "item_id", "diagonal").agg(F.max("run").alias("run"))
-    shares = hits.groupBy("doc_id", "item_id", "diagonal").agg((F.count("*") / F.first("n_windows")).alias("share"))
-    places = hits.groupBy("doc_id", "item_id", "item_at").agg(F.first("n_windows").alias("n_windows"))
-    whole = places.groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n_windows")).alias("share"))
+    # of all windows, or of those that variants share
+    n_open = F.sum(F.col("open").cast("int"))
+    share = F.greatest(F.count("*") / F.first("n_windows"), F.coalesce(F.try_divide(n_open, F.first("n_open")), F.lit(0.0))).alias("share")
+    shares = hits.groupBy("doc_id", "item_id", "diagonal").agg(share)
+    places = hits.select("doc_id", "item_id", "item_at", "open", "n_windows", "n_open").distinct()
+    whole = places.groupBy("doc_id", "item_id").agg(share)
     whole = whole.join(lines.groupBy("doc_id", "item_id").agg(F.max("run").alias("run")), ["doc_id", "item_id"])
     enough = (F.col("share") >= SHARE) | (F.col("run") >= RUN)
     whole = stored(whole.filter(enough), "leak-pairs")

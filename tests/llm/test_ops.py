@@ -159,6 +159,16 @@ def test_an_item_beside_its_variants_is_found(spark):
     assert leaked(spark, texts, [item, twice]) == {0, 1, 4}
 
 
+def test_items_full_of_slots_are_found(spark):
+    sums = "12 plus 13 is 25 17 plus 19 is 36 41 plus 52 is 93 64 plus 71 is 135"
+    kilos = "2 kg and 3 kg or 5 kg 7 kg times 4 kg then 8 kg and 9 kg or 11 kg"
+    words = "one {} two {} three {} four {} five {} six {} seven {} eight {} nine {} ten {} eleven {} twelve {}".format(*range(21, 33))
+    long = words + " " + " ".join(f"word{i}" for i in range(200))
+    numbers = " ".join(str(i * i) for i in range(10, 40))
+    texts = [f"so {sums} it ends", f"so {kilos} it ends", f"so {words} it ends", f"so {numbers} it ends", " ".join(str(i * i + 1) for i in range(10, 40))]
+    assert leaked(spark, texts, [sums, kilos, long, numbers]) == {0, 1, 2, 3}
+
+
 def test_planted_passages(docs, spark, sf_dir):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     want = {r.doc_id for r in docs.collect() if any(t in (r.text or "") for t in bench.values())}
