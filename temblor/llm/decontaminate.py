@@ -3,7 +3,9 @@
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders;
 what remains is a template, and windows of ``WINDOW`` template tokens of documents are joined by hash
 with those of the benchmark. A window with fewer than ``MIN_LITERALS`` literal tokens would match anything
-and keeps its values instead, so it matches copies only. A document leaks an item if it holds ``SHARE`` of the item's windows, or a
+and keeps its values instead, so it matches copies only. Windows are joined with names as words, too, so
+that copies in another case match, where names cannot be told. A document leaks an item if it holds
+``SHARE`` of the item's windows (of all, or of those with ``MIN_LITERALS`` literal tokens), or a
 run of ``RUN`` consecutive ones on one diagonal (13 words of one passage), and its slots agree: each of
 the item's values stands for one value of the document and the reverse, over ``AGREE`` of the slots. An
 item with other numbers or names is so caught as well as a verbatim copy. Agreement is judged for each
@@ -43,7 +45,7 @@ def tokens(text: Column) -> Column:
     unit = rf"(\x01\p{{N}}+(?:[.,:]\p{{N}}+)*\s?)({'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])"
     clean = F.translate(F.coalesce(text, F.lit("")), "".join(_MARKS), "   ")
     marked = F.regexp_replace(clean, _NUMBER, "\x01$0")
-    marked = F.regexp_replace(marked, unit, "$1\x03$2")
+    marked = F.regexp_replace(marked, f"(?i){unit}", "$1\x03$2")
     marked = F.regexp_replace(marked, _NAME, "\x02$0")
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
@@ -55,16 +57,25 @@ def codes(tokens: Column) -> Column:
 
 
 def windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, at, window, open) of rows with tokens: the hash of the template tokens, or, where fewer than
-    MIN_LITERALS are literal, of the tokens with their values. ``open`` tells the first kind."""
+    """(key, at, window, open) of rows with tokens: the hash of the template tokens with names as words, or,
+    where fewer than MIN_LITERALS are literal then, of the tokens with their values; and where the window has
+    names and as many literals beside them, that with names as placeholders too. ``open`` tells whether as many
+    are literal without names."""
     rows = rows.select(key, F.transform("tokens", codes).alias("codes"))
     # the outer form, for else the optimiser tests the size first and computes the codes twice
     rows = rows.select(key, "codes", F.explode_outer(F.when(F.size("codes") >= WINDOW, F.sequence(F.lit(0), F.size("codes") - WINDOW))).alias("at"))
     each = [F.get("codes", F.col("at") + k) for k in range(WINDOW)]
     mark = [c.bitwiseAND(F.lit(3)) for c in each]
-    literals = sum(((m == 0).cast("int") for m in mark[1:]), (mark[0] == 0).cast("int"))
+    word = [c.bitwiseAND(F.lit(-4)) for c in each]
+    count = lambda marks: sum((m.isin(marks).cast("int") for m in mark[1:]), mark[0].isin(marks).cast("int"))
     template = F.xxhash64(*(F.when(m == 0, c).otherwise(m) for c, m in zip(each, mark, strict=True)))
-    return rows.select(key, "at", F.when(literals >= MIN_LITERALS, template).otherwise(F.xxhash64(*each)).alias("window"), (literals >= MIN_LITERALS).alias("open"))
+    named = F.xxhash64(*(F.when(m.isin(1, 3), m).otherwise(w) for m, w in zip(mark, word, strict=True)))
+    exact = F.xxhash64(*(F.when(m == 2, w).otherwise(c) for c, m, w in zip(each, mark, word, strict=True)))
+    opened = count([0]) >= MIN_LITERALS
+    first = F.when(count([0, 2]) >= MIN_LITERALS, named).otherwise(exact)
+    rows = rows.select(key, "at", first.alias("first"), F.when(opened & (count([2]) > 0), template).alias("second"), opened.alias("open"))
+    both = F.when(F.col("second").isNull(), F.array("first")).otherwise(F.array("first", "second"))
+    return rows.select(key, "at", F.explode_outer(both).alias("window"), "open")
 
 
 def _slots(rows: DataFrame, key: str) -> DataFrame:
@@ -76,8 +87,8 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Windows (item_id, item_at, window, open, n_windows, n_open) of distinct items, and those items with tokens."""
     items = benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id")).withColumn("tokens", tokens(F.col("text"))).drop("text")
     rows = windows(items, "item_id").filter(F.col("at").isNotNull()).withColumnRenamed("at", "item_at")
-    one = W.partitionBy("item_id")
-    return rows.withColumns({"n_windows": F.count("*").over(one), "n_open": F.sum(F.col("open").cast("int")).over(one)}), items
+    sizes = rows.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.countDistinct(F.when(F.col("open"), F.col("item_at"))).alias("n_open"))
+    return rows.join(sizes, "item_id"), items
 
 
 def _sized(df: DataFrame) -> DataFrame:

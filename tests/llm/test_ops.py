@@ -169,6 +169,13 @@ def test_items_full_of_slots_are_found(spark):
     assert leaked(spark, texts, [sums, kilos, long, numbers]) == {0, 1, 2, 3}
 
 
+def test_copies_in_another_case_are_found(spark):
+    item = "Every summer the baker Maria sends 12 loaves to her cousin Peter while the miller Anton lends 5 sacks to his sister Clara who drives 30 km with Bruno"
+    texts = [item.lower(), item.upper(), item.title(), item.replace("Maria", "Laura").replace("Peter", "Oskar"), item.lower().replace("12", "15"), "A note on loaves by the miller Anton"]
+    assert leaked(spark, texts, [item]) == {0, 1, 2, 3, 4}
+    assert leaked(spark, texts[:5], [item.lower()]) == {0, 1, 2, 3, 4}
+
+
 def test_planted_passages(docs, spark, sf_dir):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     want = {r.doc_id for r in docs.collect() if any(t in (r.text or "") for t in bench.values())}
