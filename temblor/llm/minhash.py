@@ -4,7 +4,8 @@ A document's set holds 64-bit hashes of its 5-word shingles. The sketch of ``COO
 filled in rounds: in round i below that number every element is hashed to a place and a value, and a
 place keeps the least (round, value) that falls on it; in round COORDINATES + j all elements are tried on
 place j, so every place fills, and the places concentrate as independent minima would. Bands of ``ROWS``
-places make the candidates: at a similarity of 0.85, 40 bands of 8 miss a pair with a chance below 4e-6.
+places make the candidates: at a similarity of 0.85, 40 bands of 8 miss a pair with a chance below 4e-6,
+and ``shape`` gives as much for other similarities, such as 53 bands of 7 at 0.8.
 
 Candidates are verified on the full sets. No bucket is expanded into all its pairs: equal sets are one
 class first; each class is verified against the least class of its buckets; connected classes are then
@@ -23,6 +24,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,7 @@ from temblor.llm.common import as_bytes, map_arrow, stored, table, texts_and_ids
 SHINGLE, SIMILARITY = 5, 85  # words; percent
 BANDS, ROWS = 40, 8
 COORDINATES = BANDS * ROWS
+MOST_MISSED, MOST_BANDS = 4e-6, 56
 U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
 
@@ -47,6 +50,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def shape(similarity: int) -> tuple[int, int]:
+    """Bands and rows that miss a pair of this similarity with a chance below MOST_MISSED."""
+    bands = lambda rows: math.ceil(math.log(MOST_MISSED) / math.log1p(-((similarity / 100) ** rows)))
+    rows = next((r for r in range(ROWS, 1, -1) if bands(r) <= MOST_BANDS), 1)
+    return bands(rows), rows
+
+
 class Shingles:
     """Sorted distinct shingle hashes of texts; keeps the hashes of words."""
 
@@ -97,17 +107,18 @@ def sketch(items: np.ndarray, t: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
+def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """One 64-bit key a band."""
-    rows = signature.reshape(BANDS, ROWS)
-    total = np.arange(1, BANDS + 1, dtype=U) * _ODD[0]
-    for k in range(ROWS):
+    rows = signature.reshape(bands, -1)
+    total = np.arange(1, bands + 1, dtype=U) * _ODD[0]
+    for k in range(rows.shape[1]):
         total = mixed(total + rows[:, k] * _ODD[k % len(_ODD)] + U(k))
     return total
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, the hash of the set, and its band keys."""
+    n_bands, n_rows = shape(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]):
         shingles = Shingles()
@@ -117,7 +128,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 items = shingles(data)
                 counts.append(len(items))
                 hashes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
-                bands.append(band_keys(sketch(items)).astype(np.int64) if len(items) else None)
+                bands.append(band_keys(sketch(items, n_bands * n_rows), n_bands).astype(np.int64) if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "bands"])
 
     return map_arrow(texts_and_ids(docs), run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
@@ -135,23 +146,23 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return map_arrow(texts_and_ids(docs), run, "doc_id long, items binary")
 
 
-def linked(a: bytes, b: bytes) -> bool:
+def linked(a: bytes, b: bytes, similarity: int = SIMILARITY) -> bool:
     """Whether two sorted sets reach the similarity, in integers."""
     x, y = np.frombuffer(a, dtype=U), np.frombuffer(b, dtype=U)
-    if 100 * min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)):
+    if 100 * min(len(x), len(y)) < similarity * max(len(x), len(y)):
         return False
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= SIMILARITY * (len(x) + len(y) - shared)
+    return 100 * shared >= similarity * (len(x) + len(y) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b) that are linked; ``sets`` has doc_id and items."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            keep = [linked(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            keep = [linked(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     first = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
@@ -186,7 +197,7 @@ def _open_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(several, ["band", "key"], "left_semi")
 
 
-def _shared_sizes(sets: DataFrame, classes: DataFrame) -> DataFrame:
+def _shared_sizes(sets: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
     """(class, n, c): a set's size, and how many of its shingles another of the classes has. No other class
     shares more than c of them, so those that cannot be linked with any are left out."""
 
@@ -200,12 +211,12 @@ def _shared_sizes(sets: DataFrame, classes: DataFrame) -> DataFrame:
     alone = map_arrow(some, run, "class long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
     sizes = some.select("class", (F.length("items") / 8).cast("long").alias("n"))
     sizes = sizes.join(alone.groupBy("class").agg(F.count("*").alias("u")), "class", "left").select("class", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
-    return sizes.filter(100 * F.col("c") >= SIMILARITY * F.col("n"))
+    return sizes.filter(100 * F.col("c") >= similarity * F.col("n"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
-    signed = stored(signatures(docs), "signatures")
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, at a similarity in percent."""
+    signed = stored(signatures(docs, similarity), "signatures")
     some = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(some.groupBy("set_hash").agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands")), "classes")
     rows = classes.select(F.col("class"), F.posexplode("bands").alias("band", "key"))
@@ -216,39 +227,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = stored(full_sets(docs.join(nodes, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
     # first, each class with the least of its buckets' least
     tested = stored(buckets.groupBy(F.col("class").alias("b")).agg(F.min("least").alias("a")).filter("a < b").select("a", "b"), "pairs")
-    found = components(stored(verified(tested, sets), "verified"))
+    found = components(stored(verified(tested, sets, similarity), "verified"))
     # then, in each bucket, one class of each component with one of the bucket's least component
     speakers = _open_buckets(buckets, found).groupBy("band", "key", "root").agg(F.min("class").alias("class"))
     low = speakers.groupBy("band", "key").agg(F.min(F.struct("root", "class")).alias("low"))
     pairs = speakers.join(low, ["band", "key"]).filter(F.col("root") > F.col("low.root"))
     pairs = pairs.select(F.least("class", "low.class").alias("a"), F.greatest("class", "low.class").alias("b")).distinct()
     pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(pairs, sets)))
+    found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(pairs, sets, similarity)))
     # last, all classes of a bucket that are in different components still and can be linked at all
     rows = _open_buckets(buckets, found)
-    rows = stored(rows.join(_shared_sizes(sets, rows.select("class").distinct()), "class"), "open-buckets")
+    rows = stored(rows.join(_shared_sizes(sets, rows.select("class").distinct(), similarity), "class"), "open-buckets")
     rows = rows.join(classes.select("class", "bands"), "class")
     left = rows.select("band", "key", F.col("class").alias("a"), F.col("root").alias("p"), F.col("n").alias("m"), F.col("c").alias("s"), F.col("bands").alias("x"))
     right = rows.select("band", "key", F.col("class").alias("b"), F.col("root").alias("q"), "n", "c", F.col("bands").alias("y"))
-    possible = f"a < b AND p <> q AND {100 + SIMILARITY} * least(s, c) >= {SIMILARITY} * (m + n)"
+    possible = f"a < b AND p <> q AND {100 + similarity} * least(s, c) >= {similarity} * (m + n)"
     first = F.expr("NOT exists(sequence(0, l.band), i -> i < l.band AND x[i] = y[i])")  # a pair meets once, in its first band
     left, right = left.alias("l"), right.alias("r")
     rest = left.join(right, F.expr("l.band = r.band AND l.key = r.key") & F.expr(possible) & first).select("a", "b")
     rest = stored(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), "pairs")
-    found = stored(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(rest, sets))), "components")
+    found = stored(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(rest, sets, similarity))), "components")
     roots = classes.select("set_hash", "class").join(found, F.col("class") == F.col("node"), "left").select("set_hash", F.coalesce("root", "class").alias("root"))
     out = signed.select("doc_id", "n_shingles", "set_hash").join(roots, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("root")), F.col("doc_id")).alias("component_id"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
+def kept_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The documents without those that are near-duplicates of one with a smaller id."""
-    out = stored(near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
+    out = stored(near_duplicates(docs, similarity).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
     return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"), SIMILARITY)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

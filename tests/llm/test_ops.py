@@ -378,6 +378,17 @@ def test_near_duplicates_against_brute_force(spark, docs):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), find(r.doc_id)), r
 
 
+def test_the_pipeline_links_at_eighty_percent(spark):
+    rows = []
+    for k in range(12):
+        base = [f"d{k}w{i}" for i in range(100)]
+        rows += [(3 * k + n, " ".join(base[: 100 - cut] + [f"d{k}x{n}y{i}" for i in range(cut)])) for n, cut in enumerate((0, 9, 25))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")  # similarities 0.83 and 0.59 with the first
+    assert {r.doc_id % 3 for r in corpus_pipeline.near_dedup(spark, texts, "").collect()} == {0, 2}
+    assert minhash.kept_documents(texts).count() == 36
+    assert minhash.shape(85) == (minhash.BANDS, minhash.ROWS) and (1 - 0.8 ** minhash.shape(80)[1]) ** minhash.shape(80)[0] < 4e-6
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
