@@ -10,12 +10,14 @@ The index has a column each of ids, null marks, frame offsets, frame lengths and
 reader gets any document by one seek to the index and one to its frame. The dictionary is a file of its
 own, named by its hash; readers refuse a file of another dictionary.
 
-The dictionary is a trained model: it sees ``SAMPLE_DOCS`` documents, lowest by hash, ``SAMPLE_CHARS``
-characters each. It changes the files' size only, never a result.
-
-Defined results: a null or empty text is the end id alone; null ids come first; repeated ids are kept,
-ordered by their texts' hashes; an empty table gives no rows; other columns are not read. The text of a
-special token inside a document is ordinary text.
+The dictionary is a trained model: it sees ``SAMPLE_DOCS`` documents, lowest by hash, of each a span of
+``SAMPLE_CHARS`` characters that the hash places anywhere in the text. It changes the files' size only,
+never a result.
+
+Defined results: ids are those that the tokenizers library gives for the whole text without added special
+tokens, so the text of a special token becomes its id, as the library has it; a null or empty text is the
+end id alone; null ids come first; repeated ids are kept, ordered by their texts' hashes; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -59,10 +61,10 @@ class Encoder:
 
     A byte-level vocabulary encodes each pre-token by itself, so the library encodes each distinct
     pre-token once and its ids are kept. This holds for texts of ASCII and Latin letters, for which
-    ``PRETOKENS`` says what the public pattern says; other texts go through the library whole.
+    ``PRETOKENS`` says what the public pattern says, and which hold no added token (such as a special
+    one); other texts go through the library whole.
     """
 
-    ODD = re.compile(f"[^\t-\r -~{_LETTERS}]")
     MOST_KEPT, MOST_CHARS = 400_000, 16 << 20
 
     def __init__(self, path: str):
@@ -70,11 +72,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and spec["normalizer"] is None
         self.split = re.compile(PRETOKENS).findall if plain else None
+        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.odd = re.compile("|".join([f"[^\t-\r -~{_LETTERS}]", *added])).search
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kept: dict[str, bytes] = {}
         self.chars = 0
@@ -84,7 +87,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as native unsigned integers of ``code``."""
-        odd = [i for i, t in enumerate(texts) if self.split is None or self.ODD.search(t)]
+        odd = [i for i, t in enumerate(texts) if self.split is None or self.odd(t)]
         out: dict[int, bytes] = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
         if len(self.kept) > self.MOST_KEPT or self.chars > self.MOST_CHARS:
             self.kept, self.chars = {}, 0
@@ -128,7 +131,9 @@ def _slices(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("text").limit(SAMPLE_DOCS).collect()
+    start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
+    spans = F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(spans).orderBy("text").limit(SAMPLE_DOCS).collect()
     samples = [x for x in Encoder(tokenizer).encode([r.text or "" for r in rows]) if x]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()

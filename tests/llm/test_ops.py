@@ -279,8 +279,8 @@ def test_token_files(spark, docs, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_output.TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    rows = docs.select("doc_id", "text").limit(60).collect() + [(-5, None), (10**6, "x <|endoftext|> 漢字  y")]
+    special = ["<|endoftext|>", "<|endoftext|> b", "a <|endoftext|> b", "a<|endoftext|>", "a <|endoftext", "x <|endoftext|> 漢字  y"]
+    rows = docs.select("doc_id", "text").limit(60).collect() + [(-5, None), *((10**6 + i, t) for i, t in enumerate(special))]
     df = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string")
     path = f"file://{tmp_path}/ids"
     files = token_output.write_ids(df, path)
@@ -298,6 +298,16 @@ def test_token_files(spark, docs, tmp_path):
         token_output.Reader(files.first().path, dictionary[:-1] + b"?")
 
 
+def test_encoder_against_the_library():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder, rng = Tokenizer.from_file(token_output.TOKENIZER), token_output.Encoder(token_output.TOKENIZER), random.Random(7)
+    parts = ["<|endoftext|>", "<|", "|>", " ", "  ", "a", "don't", " it's", "'LL", "12", "é", " Zwölf", "漢", "\x1c", "\x00", "\x7f", "\n", "\t", "_", "ǅ", "ª", "²", "ſ", "\xa0", " word word word"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, encoder.code).tobytes() for t in texts]
+    assert [x for low in range(0, 3000, 500) for x in encoder.encode(texts[low : low + 500])] == want
+
+
 # ---- 8: repeated passages
 
 
