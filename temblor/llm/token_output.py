@@ -23,7 +23,9 @@ gives no rows; other columns are not read.
 from __future__ import annotations
 
 import array
+import gc
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -53,6 +55,7 @@ LEVEL = 3
 #: The public byte-level pre-tokenizer's pattern for ASCII and Latin letters, spelled out; a fixed value
 #: of the vocabulary. Letters come first, for speed.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_BLANK = "Ġ"  # how the vocabulary's tokens spell a blank
 PRETOKENS = rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
 
 
@@ -62,10 +65,11 @@ class Encoder:
     A byte-level vocabulary encodes each pre-token by itself, so the library encodes each distinct
     pre-token once and its ids are kept. This holds for texts of ASCII and Latin letters, for which
     ``PRETOKENS`` says what the public pattern says, and which hold no added token (such as a special
-    one); other texts go through the library whole.
+    one); other texts go through the library whole. New words are encoded many at once: only a word's
+    first token begins with its blank, so the tokens that do part the words' ids again.
     """
 
-    MOST_KEPT, MOST_CHARS = 400_000, 16 << 20
+    MOST_KEPT, MOST_CHARS, JOINED = 400_000, 16 << 20, 10_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -78,36 +82,50 @@ class Encoder:
         self.split = re.compile(PRETOKENS).findall if plain else None
         added = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.odd = re.compile("|".join([f"[^\t-\r -~{_LETTERS}]", *added])).search
+        self.is_word = re.compile(f" [{_LETTERS}]+").fullmatch
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(_BLANK)]] = True
         self.kept: dict[str, bytes] = {}
         self.chars = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, pieces: list[str]) -> None:
+        """Encodes pre-tokens that are not kept yet."""
+        words = list(filter(self.is_word, pieces))
+        rest = list(set(pieces).difference(words))
+        for low in range(0, len(words), self.JOINED):
+            some = words[low : low + self.JOINED]
+            data = self._ids(["".join(some)])[0]
+            at = np.flatnonzero(self.begins[np.frombuffer(data, self.code)])
+            if len(at) != len(some):  # a vocabulary with blanks inside words
+                rest += some
+                continue
+            size = array.array(self.code).itemsize
+            cuts = [*(size * at).tolist(), len(data)]
+            self.kept.update(zip(some, (data[i:j] for i, j in itertools.pairwise(cuts)), strict=True))
+        self.kept.update(zip(rest, self._ids(rest), strict=True))
+        self.chars += sum(map(len, pieces))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as native unsigned integers of ``code``."""
-        odd = [i for i, t in enumerate(texts) if self.split is None or self.odd(t)]
-        out: dict[int, bytes] = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
         if len(self.kept) > self.MOST_KEPT or self.chars > self.MOST_CHARS:
             self.kept, self.chars = {}, 0
-        get, found, gaps = self.kept.get, {}, []
-        for i, text in enumerate(texts):
-            if i in out:
-                continue
-            pieces = self.split(text)
-            ids = found[i] = list(map(get, pieces))
-            k = -1
-            for _ in range(ids.count(None)):
-                k = ids.index(None, k + 1)
-                gaps.append((ids, k, pieces[k]))
-        new = list({p for _, _, p in gaps})
-        self.kept.update(zip(new, self._ids(new), strict=True))
-        self.chars += sum(map(len, new))
-        for ids, k, p in gaps:
-            ids[k] = get(p)
-        for i, ids in found.items():
-            out[i] = b"".join(ids)
+        odd = [i for i, t in enumerate(texts) if self.split is None or self.odd(t)]
+        out: dict[int, bytes] = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
+        collecting = gc.isenabled()
+        gc.disable()  # millions of short strings and no cycles
+        try:
+            pieces = {i: self.split(t) for i, t in enumerate(texts) if i not in out}
+            self._keep(list(set().union(*pieces.values()).difference(self.kept)))
+            get = self.kept.__getitem__
+            out |= {i: b"".join(map(get, p)) for i, p in pieces.items()}
+        finally:
+            if collecting:
+                gc.enable()
         return [out[i] for i in range(len(texts))]
 
 
