@@ -112,15 +112,17 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids, as native unsigned integers of ``code``."""
-        if len(self.kept) > self.MOST_KEPT or self.chars > self.MOST_CHARS:
-            self.kept, self.chars = {}, 0
         odd = [i for i, t in enumerate(texts) if self.split is None or self.odd(t)]
         out: dict[int, bytes] = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
         collecting = gc.isenabled()
         gc.disable()  # millions of short strings and no cycles
         try:
             pieces = {i: self.split(t) for i, t in enumerate(texts) if i not in out}
-            self._keep(list(set().union(*pieces.values()).difference(self.kept)))
+            distinct = set().union(*pieces.values())
+            if len(self.kept) > self.MOST_KEPT or self.chars > self.MOST_CHARS:  # what is in use stays
+                self.kept = {p: ids for p in distinct if (ids := self.kept.get(p)) is not None}
+                self.chars = sum(map(len, self.kept))
+            self._keep(list(distinct.difference(self.kept)))
             get = self.kept.__getitem__
             out |= {i: b"".join(map(get, p)) for i, p in pieces.items()}
         finally:
