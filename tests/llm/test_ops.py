@@ -1,6 +1,7 @@
 """The text operators against brute force, SQL and round trips, with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -225,16 +226,62 @@ def test_host_rules(spark):
     assert {r.url: r.rule for r in got} == cases
 
 
+def url_rows(spark, urls):
+    rows = spark.createDataFrame(urls, "url string, blocked boolean")
+    return rows.select(url_filter.tokens(url_filter.host(F.col("url")), url_filter.path(F.col("url"))).alias("tokens"), "blocked")
+
+
 def test_mined_rules_catch_held_out_urls(spark):
     bad, good = [f"http://win{i}.casino.test/play/{i}" for i in range(40)], [f"http://news{i}.paper.test/play/{i}" for i in range(60)]
-    rows = spark.createDataFrame([(u, u in bad) for u in bad[:30] + good[:50]], "url string, blocked boolean")
-    labelled = rows.select(url_filter.tokens(url_filter.host(F.col("url")), url_filter.path(F.col("url"))).alias("tokens"), "blocked")
-    rules = url_filter.minimal(url_filter.mine(labelled, 0.05, 0.8))
+    labelled = url_rows(spark, [(u, u in bad) for u in bad[:30] + good[:50]])
+    rules = url_filter.mine(labelled, 0.05, 0.8)
     judged = url_filter.judge(spark.createDataFrame([(u,) for u in [*bad, *good, None, None]], "url string"), rules).collect()
     assert all((r.verdict == "block") == (r.url in bad) for r in judged) and len(judged) == 102
     assert url_filter.mine(labelled.filter("false")).count() == 0
 
 
+def brute_rules(rows, least, confidence):
+    """The confident token sets of rows (blocks of tokens, blocked)."""
+    n, b = Counter(), Counter()
+    for tokens, blocked in rows:
+        for k in range(1, len(tokens) + 1):
+            for items in itertools.combinations(sorted(tokens), k):
+                n[items] += 1
+                b[items] += blocked
+    return [set(x) for x in n if b[x] >= least and b[x] / n[x] >= confidence]
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(11)
+    urls = []
+    for _ in range(300):
+        segments = [rng.choice(["a", "b", "c", "d", "twin/pair"]) for _ in range(rng.randint(0, 5))]
+        url = f"http://{rng.choice(['x', 'y'])}.{rng.choice(['q', 'r'])}.test/" + "/".join(segments)
+        urls.append((url, rng.random() < (0.95 if {"a", "b"} <= set(segments) else 0.3)))
+    labelled = url_rows(spark, urls)
+    want = brute_rules([(set(r.tokens), r.blocked) for r in labelled.collect()], 5, 0.8)
+    rules = url_filter.mine(labelled, 0.01, 0.8)
+    others = [f"http://{h}.test/{'/'.join(p)}" for h in ("x.q", "y.r", "z") for k in range(4) for p in itertools.product(["a", "b", "c", "twin", "pair"], repeat=k)]
+    judged = url_filter.judge(spark.createDataFrame([(u,) for u in others], "url string"), rules)
+    judged = judged.withColumn("tokens", url_filter.tokens(F.col("host"), F.col("path"))).collect()
+    assert {r.verdict for r in judged} == {"allow", "block"}
+    assert all((r.verdict == "block") == any(x <= set(r.tokens) for x in want) for r in judged)
+    antecedents = [{frozenset(c) for c in r.antecedent} for r in rules.collect()]
+    assert any(len(a) > 1 for a in antecedents) and not any(a < b for a in antecedents for b in antecedents)
+
+
+def test_long_urls_do_not_explode(spark):
+    long = lambda k, n=200: f"http://h{k}.test/" + "/".join(f"{k}s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n))
+    once = [(long("once"), True)]
+    blocked, mixed = [(long("bad"), True)] * 20, [(long("mixed"), i % 2 == 0) for i in range(20)]
+    nested = [(long("deep", 10 * n), i % 3 > 0) for n in range(1, 21) for i in range(6)]
+    rules = url_filter.mine(url_rows(spark, once + blocked + mixed + nested + [("http://fine.test/", False)] * 50))
+    asked = {long("once"): "allow", long("bad"): "block", "http://else.test/" + "/".join(["x"] * 30 + ["badscb"]): "block", long("mixed"): "allow", "http://fine.test/": "allow"}
+    judged = url_filter.judge(spark.createDataFrame([(u, "h", "m", 1) for u in asked], "url string, host string, mined string, place int"), rules)
+    assert judged.columns == ["url", "mined", "place", "host", "path", "rule", "verdict"]
+    assert {r.url: r.verdict for r in judged.collect()} == asked and {r.mined for r in judged.collect()} == {"m"}
+
+
 # ---- 6: mixing
 
 
