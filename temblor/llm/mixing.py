@@ -1,19 +1,21 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-Each source's words, document after document, are cut into blocks of ``BLOCK`` words. Output shards of
-``SHARD`` slots draw multinomial source counts. The slots of a source are numbered through all shards,
-up to its quota (what draws fall short of it fills the last shard, what they exceed is refused, so every
-source meets its target to half a block), and a pseudorandom permutation of the source's block indexes
-maps slot to block, anew on each pass; a join by (source, block) finds the words. No block is in more
-passes than the target's limit, twice. Everything runs as DataFrame operations.
-
-All randomness is hashing of numbers with ``SEED``, so runs agree on any cluster. Two places hold one
-row a source in one task (the order of the sources and their targets); documents and blocks never do:
-offsets inside a source come from sums over buckets of documents, however large the source.
+Each source's words, document after document, are cut into blocks of ``BLOCK`` words, and its target, in
+whole blocks, is its quota of slots. Output shards of ``SHARD`` slots draw their source counts from all
+slots without replacement, so the counts are multinomial given that every source meets its quota (drawn
+with replacement they would miss it, and sources at their limit would overrun it): one pseudorandom
+permutation deals the slots of all sources to places of shards. A pseudorandom permutation of a source's
+block indexes maps its slots to blocks, anew on each pass; a join by (source, block) finds the words. No
+block is in more passes than the target's limit, twice. Everything runs as DataFrame operations.
+
+All randomness is hashing of numbers with a seed, so runs agree on any cluster. No task holds a source, its
+slots or its documents: slots are dealt in chunks, offsets inside a source are sums over buckets of
+documents, ranks and offsets of sources sums over ranges of sources, and equal rows are counted first and
+numbered in chunks.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source, ordered
-last; repeated rows are mixed each; an empty table gives no rows; other columns than those named are kept
-aside.
+last; repeated rows are mixed each; an empty table gives no rows; other columns, whatever their names, are
+kept aside.
 """
 
 from __future__ import annotations
@@ -27,38 +29,67 @@ from temblor.llm.common import WORD, stored, table
 #: Fixed values of the production mix.
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, SEED = 128, 4096, 20240229
-#: Documents in a bucket of the offset sums; sources up to which their table is broadcast.
-BUCKET, MOST_BROADCAST = 5_000, 50_000
-CELLS = 1 << 16
+#: Documents in a bucket of the offset sums, sources in one; sources up to which their table is broadcast.
+BUCKET, SOURCES, MOST_BROADCAST = 2_000, 100_000, 50_000
+#: Slots or equal rows that one row stands for until they are dealt.
+CHUNK = 1 << 14
+PIECE = ("sid", "start", "block", "first", "after", "pass", "shard", "place")
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Adds sid, from 1, by source with null last: ranks in ranges of sources, and the ranges' offsets."""
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = stored(sources.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    offsets = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    offsets = offsets.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("offset"))  # a row a partition
+    rank = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    return dealt.withColumn("rank", rank).join(F.broadcast(offsets), "part").withColumn("sid", (F.col("rank") + F.col("offset")).cast("long")).drop("part", "rank", "offset")
+
+
+def _before(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of smaller sid."""
+    rows = rows.withColumn("part", F.expr(f"sid div {SOURCES}"))
+    sums = rows.groupBy("part").agg(F.sum(value).alias("n"))
+    sums = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("offset"))  # a row for SOURCES of them
+    inside = F.sum(value).over(W.partitionBy("part").orderBy("sid")) - F.col(value)
+    return rows.withColumn("inside", inside).join(F.broadcast(sums), "part").withColumn(out, F.col("inside") + F.col("offset")).drop("part", "inside", "offset")
+
+
 def targets(sources: DataFrame) -> DataFrame:
-    """Adds weight, target, n_blocks and quota to rows (source, source_size, ...), one a source.
+    """Adds sid, target, n_blocks, quota and first_slot to rows (source, source_size), one a source.
 
-    Sorted by how soon they are full, the sources that stop at their limit are the first ones: the level
-    that the others get per weight is that of the first source that is not full at it."""
-    order = W.orderBy(F.col("source").isNull(), "source")
-    sid = sources.withColumn("sid", F.row_number().over(order).cast("long"))
+    What a weight gets is raised until no more source is full at it: those that are stop at their limit and
+    leave the rest to the others."""
     weights = F.array(*(F.lit(float(w)) for w in WEIGHTS))
-    sid = sid.withColumn("weight", F.element_at(weights, (F.pmod(F.col("sid") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
-    full = W.orderBy("full_at", "sid")
-    everything = W.partitionBy(F.lit(0))
-    out = sid.withColumn("limit", LIMIT * F.col("source_size").cast("double")).withColumn("full_at", F.col("limit") / F.col("weight"))
-    before = F.coalesce(F.sum("limit").over(full.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(full.rowsBetween(W.currentRow, W.unboundedFollowing))
-    out = out.withColumn("at", F.row_number().over(full)).withColumn("level", (SHARE * F.sum("source_size").over(everything) - before) / rest)
-    level = F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("at", "level"))).over(everything)["level"]
-    out = out.withColumn("target", F.coalesce(F.least(F.col("limit"), level * F.col("weight")), F.col("limit")))
-    out = out.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(BLOCK)).cast("long"))
+    rows = _ranked(sources)
+    rows = rows.withColumn("weight", F.element_at(weights, (F.pmod(F.col("sid") - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
+    rows = stored(rows.withColumn("limit", LIMIT * F.col("source_size").cast("double")), "mix-weights")
+    total, level = rows.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        free = F.col("limit") > level * F.col("weight")
+        full, weight = rows.agg(F.sum(F.when(~free, F.col("limit")).otherwise(0.0)), F.sum(F.when(free, F.col("weight")).otherwise(0.0))).first()
+        after = (SHARE * total - full) / weight if weight else level
+        if after <= level:
+            break
+        level = after
+    rows = rows.withColumn("target", F.least(F.col("limit"), level * F.col("weight")))
+    rows = rows.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(BLOCK)).cast("long"))
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(F.lit(0.0)).cast("long")
-    out = out.withColumn("quota", F.least(quota, LIMIT * F.col("n_blocks")))
-    total = F.sum("quota").over(everything)
-    upto = F.sum("quota").over(W.orderBy("sid")) / total
-    return out.select("sid", "source", "source_size", "n_docs", "target", "n_blocks", "quota", F.coalesce(upto - F.col("quota") / total, F.lit(0.0)).alias("low"), F.coalesce(upto, F.lit(0.0)).alias("high"))
+    rows = rows.withColumn("quota", F.least(quota, LIMIT * F.col("n_blocks")))
+    return _before(rows, "quota", "first_slot").drop("limit", "weight")
+
+
+def _numbered(rows: DataFrame, count: str, out: str, most: int) -> DataFrame:
+    """Each row ``count`` times, numbered from 0; rows of many are dealt in chunks."""
+    rows = rows.filter(F.col(count) > 0).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({count} - 1) div {CHUNK}"))))
+    if most > CHUNK:
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    last = F.least(F.col(count), (F.col("chunk") + 1) * CHUNK) - 1
+    return rows.withColumn(out, F.explode(F.sequence(F.col("chunk") * CHUNK, last))).drop("chunk")
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
@@ -66,11 +97,11 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def layout(docs: DataFrame, sources: DataFrame, n_docs: int, n_sources: int) -> DataFrame:
-    """Each document's place in its source's words: adds sid and start."""
+    """Each document's place in its source's words: adds sid, source_size, target and start."""
     named = _small(sources.select("sid", F.col("source").alias("s"), "source_size", "target"), n_sources)
     rows = docs.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(max(1, n_docs // BUCKET))))
-    inside = W.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "mark", F.expr("copy div 1000")), F.lit(max(1, n_docs // BUCKET))))
+    inside = W.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "mark", "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     sums = sums.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("bucket_start"))
@@ -86,76 +117,111 @@ def document_blocks(placed: DataFrame) -> DataFrame:
     return blocks.select("sid", "start", "block", first.alias("first"), after.alias("after"))
 
 
-#: A permutation of 0..n-1 by four rounds that add a hash of the right digit to the left one, and back,
-#: in a mixed base of two near-root digits; what falls outside n is permuted again until it is inside.
-_ROUND = (
-    "named_struct('l', pmod(s.l + pmod(xxhash64({seed}, sid, pass, k, 0, s.r), a), a), 'r', s.r)",
-    "named_struct('l', s.l, 'r', pmod(s.r + pmod(xxhash64({seed}, sid, pass, k, 1, s.l), b), b))",
-)
-
-
-def permuted(seed: int = SEED) -> Column:
-    """The block of a slot's index; needs the columns sid, pass, i (below n_blocks), n_blocks."""
-    both = f"aggregate(array({_ROUND[0]}), s, (x, y) -> y)"
-    one = f"transform(array({both}), s -> {_ROUND[1]})[0]".format(seed=seed)
-    rounds = f"aggregate(array(0, 1, 2, 3), named_struct('l', v div b, 'r', v % b), (s, k) -> {one})".format(seed=seed)
-    again = f"transform(array({rounds}), s -> s.l * b + s.r)[0]"
-    walk = f"aggregate(sequence(1, 64), n_blocks, (v, _) -> if(_ > 1 and v < n_blocks, v, {again.replace('v div b', 'if(_ = 1, i, v) div b').replace('v % b', 'if(_ = 1, i, v) % b')}))"
-    return F.expr(walk.format(seed=seed))
-
-
-def slots(spark: SparkSession, sources: DataFrame, total: int, n_sources: int) -> DataFrame:
-    """(sid, block, pass): the block of every slot of the mix."""
-    cells = F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1))))
-    ranges = sources.filter("quota > 0").select("sid", "low", "high", cells.alias("cell"))
-    draws = spark.range(total).withColumn("u", F.expr(f"shiftrightunsigned(xxhash64({SEED}, id), 11) / {float(1 << 53)}D"))
-    draws = draws.select(F.expr(f"id div {SHARD}").alias("shard"), "u", F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1)).alias("cell"))
-    drawn = draws.join(_small(ranges, n_sources), "cell").filter((F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
-    counts = drawn.groupBy("sid", "shard").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("sid").orderBy("shard"))
-    ranges_of = counts.select("sid", (upto - F.col("n")).alias("low"), upto.alias("high"))
-    rest = sources.filter("quota > 0").select("sid", "quota").join(ranges_of.groupBy("sid").agg(F.max("high").alias("high")), "sid", "left")
-    rest = rest.select("sid", F.coalesce("high", F.lit(0)).alias("low"), F.col("quota").alias("high"))
-    numbered = ranges_of.unionByName(rest).join(_small(sources.select("sid", "quota", "n_blocks"), n_sources), "sid")
-    numbered = numbered.withColumn("high", F.least("high", "quota")).filter(F.col("low") < F.col("high"))
-    each = numbered.select("sid", "n_blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("slot"))
-    each = each.select("sid", "n_blocks", F.expr("slot div n_blocks").alias("pass"), F.expr("slot % n_blocks").alias("i"))
-    each = each.withColumn("a", F.greatest(F.lit(1), F.ceil(F.sqrt("n_blocks"))).cast("long")).withColumn("b", F.ceil(F.col("n_blocks") / F.col("a")).cast("long"))
-    return each.select("sid", permuted().alias("block"), "pass")
-
-
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (doc_id, source, size, copy), the documents with target and place, and the pieces taken
-    (sid, start, first, after, pass)."""
-    spark = docs.sparkSession
-    docs = stored(docs, "mix-sizes")
-    sources = stored(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))), "mix-sources")
-    n_docs, n_sources, total = sources.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))).first()
-    placed = stored(layout(docs, sources, n_docs, n_sources), "mix-layout")
-    return placed, document_blocks(placed).join(slots(spark, sources, total, n_sources), ["sid", "block"])
+#: A permutation of 0..n-1: four rounds that add a hash of the right digit to the left one, and back, in a
+#: mixed base of two near-root digits a and b; what falls outside n is permuted again until it is inside.
+ROUNDS = 4
+_LEFT = "pmod({l} + pmod(xxhash64({seed}, {keys}, {k}, 0, {r}), pa), pa)"
+_RIGHT = "pmod({r} + pmod(xxhash64({seed}, {keys}, {k}, 1, {l}), pb), pb)"
+
+
+def permuted(rows: DataFrame, index: str, n: str, keys: str, out: str, seed: int = SEED) -> DataFrame:
+    """Adds ``out``: the column ``index``, below the column ``n``, by the permutation of the columns ``keys``."""
+    rows = rows.withColumn("pa", F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("long")).withColumn("pb", F.ceil(F.col(n) / F.col("pa")).cast("long"))
+    rows = rows.withColumn("pl", F.expr(f"{index} div pb")).withColumn("pr", F.expr(f"{index} % pb"))
+    for k in range(ROUNDS):  # a column a step, so that none is computed twice
+        rows = rows.withColumn("pl", F.expr(_LEFT.format(seed=seed, keys=keys, k=k, l="pl", r="pr")))
+        rows = rows.withColumn("pr", F.expr(_RIGHT.format(seed=seed, keys=keys, k=k, l="pl", r="pr")))
+    rows = rows.withColumn("pv", F.expr("pl * pb + pr"))
+    # the few left outside: less than pa + pb of pa * pb
+    left, right = (x.format(seed=seed, keys=keys, k="k", l="s.l", r="s.r") for x in (_LEFT, _RIGHT))
+    step = f"transform(array(named_struct('l', {left}, 'r', s.r)), s -> named_struct('l', s.l, 'r', {right}))[0]"
+    rounds = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', v div pb, 'r', v % pb), (s, k) -> {step})"
+    again = f"transform(array({rounds}), s -> s.l * pb + s.r)[0]"
+    rest = F.expr(f"aggregate(sequence(1, 64), pv, (v, _) -> if(v < {n}, v, {again}))")
+    return rows.withColumn(out, F.when(F.col("pv") < F.col(n), F.col("pv")).otherwise(rest)).drop("pa", "pb", "pl", "pr", "pv")
+
+
+def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """(sid, block, pass, shard, place): every slot of the mix, where it goes, and the block it takes."""
+    total, most = sources.agg(F.sum("quota"), F.max("quota")).first()
+    rows = _numbered(sources.select("sid", "n_blocks", "quota", "first_slot"), "quota", "slot", most or 0)
+    rows = rows.withColumn("slot_of_all", F.col("first_slot") + F.col("slot")).withColumn("total", F.lit(total or 0).cast("long"))
+    rows = permuted(rows, "slot_of_all", "total", "-1L, 0L", "at", seed)
+    rows = rows.withColumn("pass", F.expr("slot div n_blocks")).withColumn("i", F.expr("slot % n_blocks"))
+    rows = permuted(rows, "i", "n_blocks", "sid, pass", "block", seed)
+    return rows.select("sid", "block", "pass", F.expr(f"at div {SHARD}").alias("shard"), F.expr(f"at % {SHARD}").alias("place"))
+
+
+def mix(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """From rows (doc_id, source, size, mark), the documents with target and place, and the pieces taken
+    (``PIECE``). Rows that are equal in all four are numbered by ``copy``."""
+    docs = stored(docs.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n")), "mix-sizes")
+    sources = docs.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = stored(targets(sources), "mix-sources")
+    n_docs, most = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    each = _numbered(docs, "n", "copy", most).drop("n")
+    placed = stored(layout(each, sources, n_docs, sources.count()), "mix-layout")
+    return placed, document_blocks(placed).join(slots(sources, seed), ["sid", "block"]).select(*PIECE)
+
+
+def shard_counts(pieces: DataFrame) -> DataFrame:
+    """(shard, sid, n): how many slots of a shard each source has."""
+    return pieces.select("shard", "place", "sid").distinct().groupBy("shard", "sid").agg(F.count("*").alias("n"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.lit(0).alias("copy"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"), F.lit(0).cast("long").alias("mark"))
     placed, pieces = mix(docs)
     taken = pieces.groupBy("sid", "start").agg(F.sum(F.col("after") - F.col("first")).alias("taken"))
-    out = placed.withColumn("place", F.when(F.col("size") > 0, F.col("start"))).join(taken.withColumnRenamed("start", "place"), ["sid", "place"], "left")
+    # empty documents share their place with another one, and take nothing
+    out = placed.withColumn("from", F.when(F.col("size") > 0, F.col("start"))).join(taken.withColumnRenamed("start", "from"), ["sid", "from"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: for each pass, a row with the words of a document that the pass takes.
+def _marked(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, size, mark, row): a row's hash tells different rows of one id apart."""
+    plain = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else F.col(c) for c, t in docs.dtypes]
+    mark = F.xxhash64(*plain, *(F.col(c).isNull() for c in docs.columns))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), mark.alias("mark"), F.struct("*").alias("row"))
 
-    Takes and returns the columns doc_id, text, lang, source, n_chars."""
-    copy = F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("h"), F.col("source").asc_nulls_first()))
-    numbered = docs.withColumn("h", F.xxhash64("text")).withColumn("copy", copy).drop("h")
-    sizes = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size")).withColumn("copy", copy).drop("h")
-    placed, pieces = mix(sizes)
-    parts = pieces.groupBy("sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "after"))).alias("parts"))
-    parts = placed.filter("size > 0").select("sid", "start", "doc_id", "copy").join(parts, ["sid", "start"]).select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "pass", "parts")
-    words = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-    joined = numbered.join(parts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("copy") == F.col("c")))
-    cut = lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), (p["after"] - p["first"]).cast("int"))))
+
+def _pieces_and_texts(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The pieces with the keys (d, size, mark) of their documents, and one row a key with the document."""
+    marked = _marked(docs)
+    placed, pieces = mix(marked.drop("row"), seed)
+    d = F.coalesce("doc_id", F.lit(0)).alias("d")  # the mark tells a null apart
+    taken = placed.filter("size > 0").select(d, "size", "mark", "sid", "start").join(pieces, ["sid", "start"])
+    texts = marked.filter("size > 0").select(d, "size", "mark", "row")
+    if not placed.filter("copy > 0").isEmpty():
+        texts = texts.groupBy("d", "size", "mark").agg(F.first("row").alias("row"))
+    return taken, texts
+
+
+def _cut(parts: str) -> Column:
+    """The words that the ranges in ``parts`` name, of the text in ``row``, with what separates them."""
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    cut = lambda w: F.flatten(F.transform(parts, lambda p: F.slice(w, (p["first"] + 1).cast("int"), (p["after"] - p["first"]).cast("int"))))
     # the words as a lambda's variable: the optimiser would move their expression into the loop over parts
-    text = F.rtrim(F.array_join(F.get(F.transform(F.array(words), cut), F.lit(0)), ""))
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return F.rtrim(F.array_join(F.get(F.transform(F.array(words), cut), F.lit(0)), ""))
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix as documents: for each pass, a row with the words of a document that the pass takes.
+
+    Takes and returns the columns doc_id, text, lang, source, n_chars and any others."""
+    taken, texts = _pieces_and_texts(docs, seed)
+    parts = taken.groupBy("d", "size", "mark", "sid", "start", "pass").agg(F.sort_array(F.collect_list(F.struct("first", "after"))).alias("parts"))
+    joined = texts.join(parts.select("d", "size", "mark", "parts"), ["d", "size", "mark"]).select("row", _cut("parts").alias("words"))
+    new = {"text": F.col("words"), "n_chars": F.length("words").cast(docs.schema["n_chars"].dataType)}
+    return joined.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
+def mixed_blocks(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix as it is written: (shard, place, source, text), a row a slot, sorted within shards."""
+    taken, texts = _pieces_and_texts(docs, seed)
+    part = F.array(F.struct("first", "after")).alias("parts")
+    pieces = taken.select("d", "size", "mark", "shard", "place", "start", part).join(texts, ["d", "size", "mark"])
+    pieces = pieces.select("shard", "place", "start", F.col("row.source").alias("source"), _cut("parts").alias("text"))
+    inside = F.sort_array(F.collect_list(F.struct("start", "text")))  # BLOCK words at most
+    blocks = pieces.groupBy("shard", "place").agg(F.first("source").alias("source"), F.array_join(F.transform(inside, lambda x: x["text"]), " ").alias("text"))
+    return blocks.repartition("shard").sortWithinPartitions("shard", "place")

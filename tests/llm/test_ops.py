@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -41,7 +42,8 @@ def test_query_equals_sql(spark, sf_dir, name):
     [
         quality_rules.ledger, quality_rules.kept_documents, secret_scan.scan, minhash.near_duplicates, minhash.kept_documents, suffix_dedup.repeated_passages,
         token_output.encode_and_read, mixing.mixed_documents,
-        lambda d: mixing.mix(d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.lit(0).alias("copy")))[0],
+        mixing.mixed_blocks,
+        lambda d: mixing.mix(d.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.lit(0).cast("long").alias("mark")))[0],
         lambda d: decontaminate.contaminated(d, d.select(F.col("doc_id").alias("item_id"), "text")),
         lambda d: quality_model.score(d, quality_model.train(d, d.select("doc_id", F.lit(1).alias("grade")))),
     ],
@@ -285,11 +287,52 @@ def test_long_urls_do_not_explode(spark):
 # ---- 6: mixing
 
 
+def mix_rows(spark, docs):
+    rows = docs.unionByName(docs.limit(5)).unionByName(odd_documents(spark).drop("n_words"))
+    return rows.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.lit(0).cast("long").alias("mark"))
+
+
+def brute_permutation(index, n, keys, seed, of):
+    """The mixed-base permutation; ``of`` gives hashes of tuples."""
+    a = max(1, math.ceil(math.sqrt(n)))
+    b = math.ceil(n / a)
+    while True:
+        left, right = divmod(index, b)
+        for k in range(mixing.ROUNDS):
+            left = (left + of((seed, *keys, k, 0, right)) % a) % a
+            right = (right + of((seed, *keys, k, 1, left)) % b) % b
+        index = left * b + right
+        if index < n:
+            return index
+
+
+class Hashes:
+    """Spark's hashes of number tuples (int, long.., int, int, long), computed many at a time as asked for."""
+
+    def __init__(self, spark):
+        self.spark, self.known, self.asked = spark, {}, []
+
+    def __call__(self, key):
+        if key not in self.known:
+            self.asked.append(key)
+            return 0
+        return self.known[key]
+
+    def settle(self):
+        """Whether nothing was asked for since the last call."""
+        if not self.asked:
+            return True
+        df = self.spark.createDataFrame(sorted(set(self.asked)), "seed int, a long, b long, k int, side int, x long")
+        for r in df.withColumn("h", F.xxhash64(*df.columns)).collect():
+            self.known[tuple(r)[:-1]] = r.h
+        self.asked = []
+        return False
+
+
 def test_mix(spark, docs):
-    rows = docs.unionByName(docs.limit(5)).unionByName(odd_documents(spark).drop("n_words").withColumn("n_chars", F.lit(1).cast("long")), allowMissingColumns=True)
-    rows = rows.select("doc_id", "text", "source")
-    run = lambda: mixing.mix(rows.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"), F.lit(0).alias("copy")))
-    placed, pieces = run()
+    rows = mix_rows(spark, docs)
+    placed, pieces = mixing.mix(rows)
+    assert Counter(map(tuple, placed.select("doc_id", "source", "size").collect())) == Counter(map(tuple, rows.select("doc_id", "source", "size").collect()))
     taken = pieces.groupBy("sid", "start").agg(F.sum(F.col("after") - F.col("first")).alias("taken"), F.max("pass").alias("last"))
     got = placed.filter("size > 0").join(taken, ["sid", "start"], "left").toPandas().fillna({"taken": 0})
     assert (got.taken <= 2 * got["size"]).all() and got["last"].max() <= 1
@@ -308,15 +351,76 @@ def test_mix(spark, docs):
     assert all(abs(target[i] - want[i]) < 1e-6 * max(1, want[i]) for i in sizes.index)
     sums = got.groupby("sid").taken.sum()
     assert all(abs(sums[i] - target[i]) <= mixing.BLOCK for i in sizes.index)
-    again = run()[1].agg(F.count("*"), F.sum(F.xxhash64("sid", "start", "first", "after", "pass").cast("decimal(38,0)"))).first()
-    assert pieces.agg(F.count("*"), F.sum(F.xxhash64("sid", "start", "first", "after", "pass").cast("decimal(38,0)"))).first() == again
+    digest = lambda p: p.agg(F.count("*"), F.sum(F.xxhash64(*mixing.PIECE).cast("decimal(38,0)"))).first()
+    assert digest(mixing.mix(rows.repartition(3))[1]) == digest(pieces)
+
+
+def test_mix_against_brute_force(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 64)
+    rows = mix_rows(spark, docs.filter("doc_id % 4 = 0"))
+    placed, pieces = (x.collect() for x in mixing.mix(rows))
+    # documents of a source lie end to end, in some order
+    ends = {}
+    for r in sorted((r for r in placed if r["size"]), key=lambda r: (r.sid, r.start)):
+        assert r.start == ends.get(r.sid, 0)
+        ends[r.sid] = r.start + r["size"]
+    blocks = {sid: -(-n // mixing.BLOCK) for sid, n in ends.items()}
+    target = {r.sid: r.target for r in placed}
+    quota = {sid: round(target[sid] * blocks[sid] / ends[sid]) for sid in sorted(ends)}
+    of, total = Hashes(spark), sum(quota.values())
+    while True:
+        want, first = {}, 0
+        for sid, q in quota.items():
+            for slot in range(q):
+                at = brute_permutation(first + slot, total, (-1, 0), mixing.SEED, of)
+                turn, i = divmod(slot, blocks[sid])
+                want[divmod(at, 64)] = (sid, brute_permutation(i, blocks[sid], (sid, turn), mixing.SEED, of), turn)
+            first += q
+        if of.settle():
+            break
+    assert len(want) == total and {(r.shard, r.place): (r.sid, r.block, r["pass"]) for r in pieces} == want
+    # every document's words of a block are there, once a slot
+    words_of = Counter()
+    for sid, block, _ in want.values():
+        for r in placed:
+            if r.sid == sid and r["size"]:
+                low, high = max(r.start, block * mixing.BLOCK), min(r.start + r["size"], (block + 1) * mixing.BLOCK)
+                words_of[sid, r.start] += max(0, high - low)
+    got = Counter()
+    for r in pieces:
+        got[r.sid, r.start] += r.after - r.first
+    assert +words_of == got
+    counts = lambda p: {(r.shard, r.sid): r.n for r in mixing.shard_counts(p).collect()}
+    one, other = counts(mixing.mix(rows)[1]), counts(mixing.mix(rows, seed=5)[1])
+    assert one != other and all(sum(n for (s, _), n in c.items() if s == 0) == 64 for c in (one, other))
+    assert all(sum(n for (_, x), n in c.items() if x == sid) == q for c in (one, other) for sid, q in quota.items())
+
+
+def test_mixed_rows_keep_columns_of_any_name(spark, docs):
+    names = ["h", "d", "c", "pass", "parts", "copy", "mark", "row", "start", "sid", "block", "n", "words", "bucket"]
+    rows = docs.filter("doc_id < 60").unionByName(docs.filter("doc_id < 3")).unionByName(odd_documents(spark).drop("n_words"))
+    rows = rows.select("*", *(F.concat(F.lit(f"{n}-"), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(n) for n in names), F.create_map(F.lit("k"), F.col("lang")).alias("m"))
+    out = mixing.mixed_documents(rows)
+    assert out.columns == rows.columns and out.dtypes == rows.dtypes
+    found = out.collect()
+    assert all(r[n] == f"{n}-{-1 if r.doc_id is None else r.doc_id}" for r in found for n in names)
+    want = Counter()
+    for r in mixing.mix(mixing._marked(rows).drop("row"))[1].collect():
+        want[r["pass"]] += r.after - r.first
+    assert sum(len(words(r.text)) for r in found) == sum(want.values())
+    source = {}
+    for r in rows.collect():
+        source.setdefault(r.doc_id, set()).update(words(r.text))
+    assert all(set(words(r.text)) <= source[r.doc_id] and r.n_chars == len(r.text) for r in found)
+    shards = mixing.mixed_blocks(rows).collect()
+    assert sum(len(words(r.text)) for r in shards) == sum(want.values()) and all(len(words(r.text)) <= mixing.BLOCK for r in shards)
+    assert len({(r.shard, r.place) for r in shards}) == len(shards)
 
 
 def test_block_permutations(spark):
     for n in (1, 2, 3, 7, 100, 4097):
-        df = spark.range(n).select(F.lit(3).cast("long").alias("sid"), F.lit(0).cast("long").alias("pass"), F.col("id").alias("i"), F.lit(n).cast("long").alias("n_blocks"))
-        df = df.withColumn("a", F.greatest(F.lit(1), F.ceil(F.sqrt("n_blocks"))).cast("long")).withColumn("b", F.ceil(F.col("n_blocks") / F.col("a")).cast("long"))
-        assert sorted(r[0] for r in df.select(mixing.permuted()).collect()) == list(range(n))
+        df = spark.range(n).select(F.lit(3).cast("long").alias("sid"), F.lit(0).cast("long").alias("pass"), F.col("id").alias("i"), F.lit(n).cast("long").alias("n"))
+        assert sorted(r.v for r in mixing.permuted(df, "i", "n", "sid, pass", "v").collect()) == list(range(n))
 
 
 # ---- 7: token ids
