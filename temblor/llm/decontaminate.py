@@ -7,18 +7,21 @@ and keeps its values instead, so it matches copies only. Windows are joined with
 that copies in another case match, where names cannot be told. A document leaks an item if it holds
 ``SHARE`` of the item's windows (of all, or of those with ``MIN_LITERALS`` literal tokens), or a
 run of ``RUN`` consecutive ones on one diagonal (13 words of one passage), and its slots agree: each of
-the item's values stands for one value of the document and the reverse, over ``AGREE`` of the slots. An
-item with other numbers or names is so caught as well as a verbatim copy. Agreement is judged for each
-occurrence (a run, a diagonal, the whole document), and one that agrees is enough, so that copies and
-variants in one document do not speak against each other. Everything runs as DataFrame operations.
+the item's values stands for one value of the document wherever it occurs, and the reverse, but for one
+value in ten (``AGREE``). An item with other numbers or names is so caught as well as a verbatim copy, and
+one with a number changed in one of its places is not. Agreement is judged for each occurrence (a run, a
+diagonal, the whole document), and one that agrees is enough, so that copies and variants in one document
+do not speak against each other. Everything runs as DataFrame operations.
 
-Whole texts are read. The benchmark's windows are broadcast up to ``MOST_BROADCAST`` of them, and beyond
-it joined by a shuffle on the window's hash; the same holds for ids of documents with matches.
+Whole texts are read, and each distinct text, named by its 64-bit hash, is judged by itself. The
+benchmark's windows are broadcast up to ``MOST_BROADCAST`` of them, and beyond it joined by a shuffle on
+the window's hash; the same holds for the hashes of texts with matches.
 
 Defined results: null and empty texts, and texts of fewer than ``WINDOW`` tokens, hold no window; an item
-of fewer tokens is never found, and one whose windows all keep values only as a copy; equal items count as the one of lowest id; rows of one doc_id count as
-one document; a document without an id is never reported; empty tables give no rows; other columns are
-not read.
+of fewer tokens is never found, and one whose windows all keep values only as a copy; equal items count as
+the one of lowest id, and an item without an id is never found; a doc_id leaks what one of its rows leaks;
+rows without an id are judged as all others and reported together, as one row without an id; empty tables
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from temblor.llm.common import stored, table
 
-WINDOW, SHARE, RUN, AGREE, MIN_LITERALS = 5, 0.8, 9, 0.8, 3
+WINDOW, SHARE, RUN, AGREE, MIN_LITERALS = 5, 0.8, 9, 0.9, 3
 MOST_BROADCAST = 500_000
 #: The units that a number may carry.
 UNITS = "km cm mm m kg mg g lb lbs oz mi miles mph kmh hours hour minutes minute seconds second days day years year percent dollars euros usd eur"
@@ -95,46 +98,50 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Pairs (doc_id, item_id, share, run, n_slots, agreement) of documents and the items they leak."""
-    docs = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
+    """Pairs (text_key, item_id, share, run, n_slots, agreement) of texts and the items they leak."""
+    docs = docs.select(text_key().alias("text_key"), "text").filter(F.col("text").isNotNull())
     ours, items = benchmark_windows(benchmark)
     ours = stored(ours, "leak-items")
-    theirs = windows(docs.select("doc_id", tokens(F.col("text")).alias("tokens")), "doc_id").select("doc_id", "at", "window")
-    hits = stored(theirs.join(_sized(ours.select("item_id", "item_at", "window")), "window").select("doc_id", "item_id", "at", "item_at").distinct(), "leak-hits")
+    theirs = windows(docs.select("text_key", tokens(F.col("text")).alias("tokens")), "text_key").select("text_key", "at", "window")
+    hits = stored(theirs.join(_sized(ours.select("item_id", "item_at", "window")), "window").select("text_key", "item_id", "at", "item_at").distinct(), "leak-hits")
     hits = hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
     # windows between two hits that touch or overlap hold only tokens of the two, and so are hits themselves
-    line = W.partitionBy("doc_id", "item_id", "diagonal").orderBy("at")
+    line = W.partitionBy("text_key", "item_id", "diagonal").orderBy("at")
     before = F.lag("at").over(line)
     hits = hits.withColumn("from", F.when(F.col("at") - before <= WINDOW, before + 1).otherwise(F.col("at")))
-    hits = hits.select("doc_id", "item_id", "diagonal", F.explode(F.sequence("from", "at")).alias("at"))
+    hits = hits.select("text_key", "item_id", "diagonal", F.explode(F.sequence("from", "at")).alias("at"))
     hits = hits.withColumn("item_at", F.col("at") - F.col("diagonal")).withColumn("part", F.col("at") - F.row_number().over(line))
     hits = stored(hits.join(_sized(ours.select("item_id", "item_at", "open", "n_windows", "n_open").distinct()), ["item_id", "item_at"]), "leak-lines")
-    runs = hits.groupBy("doc_id", "item_id", "diagonal", "part").agg(F.count("*").alias("run"))
-    lines = runs.groupBy("doc_id", "item_id", "diagonal").agg(F.max("run").alias("run"))
+    runs = hits.groupBy("text_key", "item_id", "diagonal", "part").agg(F.count("*").alias("run"))
+    lines = runs.groupBy("text_key", "item_id", "diagonal").agg(F.max("run").alias("run"))
     # of all windows, or of those that variants share
     n_open = F.sum(F.col("open").cast("int"))
     share = F.greatest(F.count("*") / F.first("n_windows"), F.coalesce(F.try_divide(n_open, F.first("n_open")), F.lit(0.0))).alias("share")
-    shares = hits.groupBy("doc_id", "item_id", "diagonal").agg(share)
-    places = hits.select("doc_id", "item_id", "item_at", "open", "n_windows", "n_open").distinct()
-    whole = places.groupBy("doc_id", "item_id").agg(share)
-    whole = whole.join(lines.groupBy("doc_id", "item_id").agg(F.max("run").alias("run")), ["doc_id", "item_id"])
+    shares = hits.groupBy("text_key", "item_id", "diagonal").agg(share)
+    places = hits.select("text_key", "item_id", "item_at", "open", "n_windows", "n_open").distinct()
+    whole = places.groupBy("text_key", "item_id").agg(share)
+    whole = whole.join(lines.groupBy("text_key", "item_id").agg(F.max("run").alias("run")), ["text_key", "item_id"])
     enough = (F.col("share") >= SHARE) | (F.col("run") >= RUN)
     whole = stored(whole.filter(enough), "leak-pairs")
     # the occurrences of an item: runs, diagonals, and the document as a whole for what edits spread over diagonals
     none = F.lit(None).cast("int")
-    found = runs.filter(F.col("run") >= RUN).select("doc_id", "item_id", "diagonal", "part")
-    found = found.union(shares.filter(F.col("share") >= SHARE).select("doc_id", "item_id", "diagonal", none))
-    found = stored(found.union(whole.select("doc_id", "item_id", none, none)), "leak-occurrences")
+    found = runs.filter(F.col("run") >= RUN).select("text_key", "item_id", "diagonal", "part")
+    found = found.union(shares.filter(F.col("share") >= SHARE).select("text_key", "item_id", "diagonal", none))
+    found = stored(found.union(whole.select("text_key", "item_id", none, none)), "leak-occurrences")
     # their slots
-    with_match = docs.join(_sized(whole.select("doc_id").distinct()), "doc_id", "left_semi")
-    theirs = _slots(with_match.select("doc_id", tokens(F.col("text")).alias("tokens")), "doc_id").distinct()
+    with_match = docs.join(_sized(whole.select("text_key").distinct()), "text_key", "left_semi")
+    theirs = _slots(with_match.select("text_key", tokens(F.col("text")).alias("tokens")), "text_key").distinct()
     ours = _slots(items, "item_id").select("item_id", F.col("at").alias("item_at"), F.col("value").alias("item_value"))
     reach = F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1)))
-    covered = hits.join(whole, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "diagonal", "part", "at", "item_at", reach.alias("k"))
-    covered = covered.select("doc_id", "item_id", "diagonal", "part", (F.col("at") + F.col("k")).alias("at"), (F.col("item_at") + F.col("k")).alias("item_at")).distinct()
-    slots = stored(covered.join(ours, ["item_id", "item_at"]).join(theirs, ["doc_id", "at"]), "leak-slots")
-    by = ["doc_id", "item_id", "diagonal", "part"]
+    covered = hits.join(whole, ["text_key", "item_id"], "left_semi").select("text_key", "item_id", "diagonal", "part", "at", "item_at", reach.alias("k"))
+    covered = covered.select("text_key", "item_id", "diagonal", "part", (F.col("at") + F.col("k")).alias("at"), (F.col("item_at") + F.col("k")).alias("item_at")).distinct()
+    slots = stored(covered.join(ours, ["item_id", "item_at"]).join(theirs, ["text_key", "at"]), "leak-slots")
+    by = ["text_key", "item_id", "diagonal", "part"]
     # a slot between two runs of a diagonal lies in both, and counts once for the diagonal and the document
     once = slots.drop("part").distinct()
     levels = [(slots, by), (once.withColumn("part", none), by[:3]), (once.withColumn("diagonal", none).withColumn("part", none), by[:2])]
@@ -147,30 +154,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = stored(pairs, "leak-slot-pairs")
 
     def agreed(side: str, name: str) -> DataFrame:
-        best = pairs.groupBy(*by, side).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-        return best.groupBy(*by).agg((F.sum("most") / F.sum("n")).alias(name), F.sum("n").alias(f"n_{name}"))
+        """The share of a side's values that stand for one value of the other."""
+        values = pairs.groupBy(*by, side).agg(F.count("*").alias("partners"), F.sum("n").alias("n"))
+        return values.groupBy(*by).agg(F.avg((F.col("partners") == 1).cast("int")).alias(name), F.sum("n").alias(f"n_{name}"))
 
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({"d": F.coalesce(F.col("diagonal").cast("long"), F.lit(1 << 40)), "p": F.coalesce(F.col("part").cast("long"), F.lit(1 << 40))}).drop("diagonal", "part")
 
-    key = ["doc_id", "item_id", "d", "p"]
+    key = ["text_key", "item_id", "d", "p"]
     both = keyed(agreed("item_value", "forth")).join(keyed(agreed("value", "back")), key)
     judged = keyed(found).join(both, key, "left").withColumn("agreement", F.coalesce(F.least("forth", "back"), F.lit(1.0)))
-    judged = judged.filter(F.col("agreement") >= AGREE).groupBy("doc_id", "item_id")
+    judged = judged.filter(F.col("agreement") >= AGREE).groupBy("text_key", "item_id")
     best = judged.agg(F.max(F.struct("agreement", F.coalesce("n_forth", F.lit(0)).alias("n"))).alias("best"))
-    return whole.join(best, ["doc_id", "item_id"]).select("doc_id", "item_id", "share", "run", F.col("best.n").alias("n_slots"), F.col("best.agreement").alias("agreement"))
+    return whole.join(best, ["text_key", "item_id"]).select("text_key", "item_id", "share", "run", F.col("best.n").alias("n_slots"), F.col("best.agreement").alias("agreement"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document that leaks: doc_id, the items, and the largest share and run."""
-    found = leaks(docs, benchmark).groupBy("doc_id")
-    return found.agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"), F.max("run").cast("long").alias("run"), F.lit(True).alias("contaminated"))
+    found = stored(leaks(docs, benchmark), "leaks")
+    owners = docs.select("doc_id", text_key().alias("text_key"))
+    joined = owners.join(_sized(found), "text_key").groupBy("doc_id")
+    return joined.agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("share"), F.max("run").cast("long").alias("run"), F.lit(True).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that leak nothing."""
-    found = stored(contaminated(docs, benchmark).select("doc_id"), "leaking")
-    return docs.join(_sized(found), "doc_id", "left_anti").select(*docs.columns)
+    """The rows whose text leaks nothing."""
+    found = stored(leaks(docs, benchmark).select("text_key").distinct(), "leaking")
+    rows = docs.select(F.struct("*").alias("row"), text_key().alias("text_key"))
+    return rows.join(_sized(found), "text_key", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
