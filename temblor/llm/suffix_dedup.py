@@ -19,7 +19,9 @@ its anchor does. What is sorted are the suffixes at the windows of repeated anch
 Copies of whole texts are settled before, by their digest. Texts cross the network once: every step
 joins the same exchange. Anchors that a large part of all batches hold would meet in one bucket; their
 windows are salted by document into ``SALTS`` chunks, each chunk is sorted by itself, and the least
-documents of the chunks' classes are merged by the windows' digests.
+documents of the chunks' classes are merged by the windows' digests. The number of buckets grows with the
+texts' bytes, and a task takes a bucket apart by hash where it holds more than ``MOST_HASHES`` anchors,
+``MOST_BYTES`` bytes of stretches or ``MOST_SPANS`` spans, so memory does not depend on settings alone.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``LENGTH`` lose nothing; rows of
 one doc_id never remove each other's bytes; a null id (and the least long, which stands
@@ -47,6 +49,10 @@ LENGTH, GRAM, SHALLOW = 50, 24, 16
 SEGMENT = 1 << 17
 #: An anchor is hot in more batches than this, and its windows are then dealt into so many chunks.
 CHUNK, SALTS = 1000, 256
+#: Bytes of text a bucket stands for, and what a task holds of one at a time.
+BUCKET_BYTES, MOST_HASHES, MOST_BYTES, MOST_SPANS = 256 << 20, 4_000_000, 64 << 20, 2_000_000
+#: A text is hot if more than one in so many documents is a copy of it; so there are fewer hot texts.
+HOT = 1000
 U = np.uint64
 NO_ID = -(1 << 63)  # stands for a null id inside the plan
 #: What is kept of an anchor's hash. Two anchors that share it are only sorted together.
@@ -285,8 +291,13 @@ def _pack(h: np.ndarray, doc: np.ndarray, *more: np.ndarray) -> bytes:
     return len(h).to_bytes(4, "little") + zstandard.compress(b"".join(c.tobytes() for c in columns), 3)
 
 
+def _packed(data: bytes) -> int:
+    """How many rows a packed block has."""
+    return int.from_bytes(data[:4], "little")
+
+
 def _unpack(data: bytes, *more: str) -> list[np.ndarray]:
-    n, data, at, out = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:]), 0, []
+    n, data, at, out = _packed(data), zstandard.decompress(data[4:]), 0, []
     for kind in ("<u4", "<u2", "u1", "<i8", *more):
         out.append(np.frombuffer(data, kind, n, at))
         at += n * np.dtype(kind).itemsize
@@ -307,6 +318,11 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (mixed(h) % U(n)).astype(np.int64)
 
 
+def _within(h: np.ndarray, n: int, splits: int, k: int) -> np.ndarray:
+    """Which values of one of ``n`` buckets are in its k-th split."""
+    return (mixed(h) // U(n)) % U(splits) == U(k)
+
+
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     if not len(bucket):
         return
@@ -362,38 +378,47 @@ def _hash_rows(h: np.ndarray, doc: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(found, pa.binary())], names=["doc_id", "hashes"])
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]):
+def _repeated_anchors(n_buckets: int):
     """Step 1, in a bucket: the documents' repeated hashes, in rows (doc_id, hashes)."""
-    current, heads, bodies, hot_hashes = None, [], [], np.empty(0, U)
 
-    def settle():
-        nonlocal heads, bodies, hot_hashes
-        if not heads:
-            return
-        h, doc = np.concatenate(heads), np.concatenate(bodies)
-        heads, bodies = [], []
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        edges = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(edges, len(h)))
-        hot = np.repeat(size > CHUNK, size)
-        hot_hashes = h[edges][size > CHUNK]
-        again = np.repeat(size > 1, size) & (doc != np.iinfo(np.int64).min)
-        # the lowest bit, set in every hash, is cleared where the anchor is in so many batches
-        yield from _hash_rows(h[again] - hot[again].astype(U), doc[again])
-
-    for bucket, kind, head, body in _grouped(batches):
-        if bucket != current:
-            yield from settle()
-            current, hot_hashes = bucket, np.empty(0, U)
-        h, doc = _unpack(head)
-        if kind:
-            yield from settle()
-            yield from _hash_rows(h - np.isin(h, hot_hashes).astype(U), doc)
-        else:
-            heads.append(h)
-            bodies.append(doc)
-    yield from settle()
+    def run(batches: Iterator[pa.RecordBatch]):
+        current, heads, hot_hashes = None, [], np.empty(0, U)
+
+        def split(splits: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+            found = (_unpack(x) for x in heads)
+            if splits > 1:
+                found = ((h[keep], doc[keep]) for h, doc in found for keep in [_within(h, n_buckets, splits, k)])
+            return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+        def settle():
+            nonlocal heads, hot_hashes
+            splits = -(-sum(_packed(x) for x in heads) // MOST_HASHES)
+            for k in range(splits):
+                h, doc = split(splits, k)
+                order = np.argsort(h, kind="stable")
+                h, doc = h[order], doc[order]
+                edges = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+                size = np.diff(np.append(edges, len(h)))
+                hot = np.repeat(size > CHUNK, size)
+                hot_hashes = np.concatenate([hot_hashes, h[edges][size > CHUNK]])
+                again = np.repeat(size > 1, size) & (doc != np.iinfo(np.int64).min)
+                # the lowest bit, set in every hash, is cleared where the anchor is in so many batches
+                yield from _hash_rows(h[again] - hot[again].astype(U), doc[again])
+            heads = []
+
+        for bucket, kind, head, _ in _grouped(batches):
+            if bucket != current:
+                yield from settle()
+                current, hot_hashes = bucket, np.empty(0, U)
+            if kind:
+                yield from settle()
+                h, doc = _unpack(head)
+                yield from _hash_rows(h - np.isin(h, hot_hashes).astype(U), doc)
+            else:
+                heads.append(head)
+        yield from settle()
+
+    return run
 
 
 def _pack_stretches(s: np.ndarray) -> bytes:
@@ -473,7 +498,7 @@ def _packed_spans(doc, row, low, high, n_parts: int) -> pa.RecordBatch:
 
 
 def _unpacked_spans(data: bytes) -> tuple[np.ndarray, ...]:
-    n, data = int.from_bytes(data[:4], "little"), zstandard.decompress(data[4:])
+    n, data = _packed(data), zstandard.decompress(data[4:])
     doc, row = np.cumsum(np.frombuffer(data, np.int64, n)), np.frombuffer(data, "<i4", n, 8 * n)
     low = np.frombuffer(data, np.int64, n, 12 * n)
     return doc, row, low, low + np.frombuffer(data, "<u2", n, 20 * n)
@@ -485,32 +510,46 @@ def _windows(doc, row, low, digests: list[bytes], n_parts: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, names=_SPAN_NAMES)
 
 
-def _covered_spans(n_parts: int):
+def _covered_spans(n_buckets: int):
     """Step 3, in a bucket: spans that smaller documents cover; with a digest, a window of a hot anchor
     that is the least of its class in this chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        blocks: list[tuple[np.ndarray, bytes]] = []
+        blocks: list[tuple[bytes, bytes]] = []
         current = None
 
+        def split(splits: int, k: int) -> tuple[np.ndarray, bytes]:
+            stretches, texts = [], []
+            for head, body in blocks:
+                s, data = _unpack_stretches(head), zstandard.decompress(body)
+                if splits > 1:
+                    keep = _within(s["hash"] + U(2) * _salt(s), n_buckets, splits, k)
+                    end = np.cumsum(s["len"], dtype=np.int64)
+                    data = b"".join([data[b - n : b] for b, n in zip(end[keep].tolist(), s["len"][keep].tolist(), strict=True)])
+                    s = s[keep]
+                stretches.append(s)
+                texts.append(data)
+            return np.concatenate(stretches), b"".join(texts)
+
         def settle():
             nonlocal blocks
-            if not blocks:
-                return
-            s = np.concatenate([x for x, _ in blocks])
-            data = b"".join([y for _, y in blocks])
+            splits = -(-sum(zstandard.frame_content_size(body) for _, body in blocks) // MOST_BYTES)
+            for k in range(splits):
+                s, data = split(splits, k)
+                if not len(s):
+                    continue
+                at = np.cumsum(s["len"], dtype=np.int64) - s["len"]
+                buffer = np.frombuffer(data + bytes(64), np.uint8)
+                chunk = s.copy()
+                chunk["hash"] = mixed(s["hash"] + U(2) * _salt(s))
+                i, low, high, lead, offset = covered(buffer, chunk, at, (s["hash"] & U(1)) == 0)
+                if len(i):
+                    yield _packed_spans(s["doc"][i], s["row"][i], s["pos"][i] + low, s["pos"][i] + high, n_buckets)
+                if len(lead):
+                    begin = (at[lead] + offset).tolist()
+                    digests = [hashlib.blake2b(data[a : a + LENGTH], digest_size=16).digest() for a in begin]
+                    yield _windows(s["doc"][lead], s["row"][lead], s["pos"][lead] + offset, digests, n_buckets)
             blocks = []
-            at = np.cumsum(s["len"], dtype=np.int64) - s["len"]
-            buffer = np.frombuffer(data + bytes(64), np.uint8)
-            chunk = s.copy()
-            chunk["hash"] = mixed(s["hash"] + U(2) * _salt(s))
-            i, low, high, lead, offset = covered(buffer, chunk, at, (s["hash"] & U(1)) == 0)
-            if len(i):
-                yield _packed_spans(s["doc"][i], s["row"][i], s["pos"][i] + low, s["pos"][i] + high, n_parts)
-            if len(lead):
-                begin = (at[lead] + offset).tolist()
-                digests = [hashlib.blake2b(data[a : a + LENGTH], digest_size=16).digest() for a in begin]
-                yield _windows(s["doc"][lead], s["row"][lead], s["pos"][lead] + offset, digests, n_parts)
 
         for bucket, kind, head, body in _grouped(batches):
             if bucket != current:
@@ -519,9 +558,9 @@ def _covered_spans(n_parts: int):
             if kind:
                 x = _unpack_stretches(head)
                 if len(x):
-                    yield _packed_spans(x["doc"], x["row"], x["pos"], x["pos"] + x["len"], n_parts)
+                    yield _packed_spans(x["doc"], x["row"], x["pos"], x["pos"] + x["len"], n_buckets)
             else:
-                blocks.append((_unpack_stretches(head), zstandard.decompress(body)))
+                blocks.append((head, body))
         yield from settle()
 
     return run
@@ -556,28 +595,46 @@ def _merged_windows(n_parts: int):
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]):
-    """All spans of a part's documents, joined where they touch: (doc_id, row, lows, highs)."""
-    parts = [_unpacked_spans(x) for batch in batches for x in batch.column("spans").to_pylist()]
-    if not parts:
-        return
-    doc, row, low, high = (np.concatenate(x) for x in zip(*parts, strict=True))
+def joined_spans(doc: np.ndarray, row: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans, joined where they touch, and sorted."""
     order = np.lexsort((low, row, doc))
     doc, row, low, high = doc[order], row[order], low[order], high[order]
+    if not len(doc):
+        return doc, row, low, high
     fresh = np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))
-    far = np.cumsum(fresh).astype(np.int64) << 40  # keeps documents apart under one running maximum
+    # texts end to end under one running maximum, each as long as its last span reaches
+    room = np.maximum.reduceat(high, np.flatnonzero(fresh)) + 1
+    far = (np.cumsum(room) - room)[np.cumsum(fresh) - 1]
     reach = np.maximum.accumulate(far + high)
-    begin = np.append(True, (far + low)[1:] > reach[:-1])
-    first = np.flatnonzero(begin)
+    first = np.flatnonzero(np.append(True, (far + low)[1:] > reach[:-1]))
     last = np.append(first[1:], len(doc)) - 1
-    doc, row, low, high = doc[first], row[first], low[first], (reach - far)[last]
-    edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])))
-    stop = np.append(edge[1:], len(doc))
-    for a in range(0, len(edge), 10_000):
-        k = slice(a, a + 10_000)
-        spans = list(zip(edge[k].tolist(), stop[k].tolist(), strict=True))
-        columns = [pa.array(doc[edge[k]]), pa.array(row[edge[k]].astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (low, high))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "lows", "highs"])
+    return doc[first], row[first], low[first], (reach - far)[last]
+
+
+def _runs(n_parts: int):
+    """All spans of a part's documents, joined where they touch: (doc_id, row, lows, highs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        packed: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                packed.setdefault(part, []).append(data)
+        for blocks in packed.values():
+            splits = -(-sum(map(_packed, blocks)) // MOST_SPANS)
+            for k in range(splits):
+                found = (_unpacked_spans(x) for x in blocks)
+                if splits > 1:
+                    found = (tuple(c[keep] for c in x) for x in found for keep in [_within(x[0].view(U), n_parts, splits, k)])
+                doc, row, low, high = joined_spans(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                edge = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1]))) if len(doc) else np.empty(0, np.int64)
+                stop = np.append(edge[1:], len(doc))
+                for a in range(0, len(edge), 10_000):
+                    some = slice(a, a + 10_000)
+                    spans = list(zip(edge[some].tolist(), stop[some].tolist(), strict=True))
+                    columns = [pa.array(doc[edge[some]]), pa.array(row[edge[some]].astype(np.int32)), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in (low, high))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "lows", "highs"])
+
+    return run
 
 
 def _results(batches: Iterator[pa.RecordBatch]):
@@ -603,30 +660,41 @@ def _results(batches: Iterator[pa.RecordBatch]):
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes) of every document."""
-    n_buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_bytes, n_docs = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    n_buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // BUCKET_BYTES)
     # a key that is never null: with it all three uses of the dealt texts have one plan, so one exchange
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key")
-    rows = docs.select(key, F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
+    every = docs.select(key, F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("hash"))
+    rows = every.filter(F.col("key") != NO_ID)
     dealt = rows.repartition("key")
     # each distinct text of a document has a number, and is a copy if a smaller document has it too
-    digests = rows.filter(F.col("key") != NO_ID).select("key", "hash", F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
+    digests = rows.select("key", "hash", F.unhex(F.sha2("text", 256)).alias("digest")).distinct()
     numbers = digests.withColumn("row", F.row_number().over(W.partitionBy("key").orderBy("hash")))
-    least = digests.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("digest", "least")
-    known = numbers.join(least, "digest", "left").select("key", F.struct("hash", "row", F.coalesce(F.col("key") > F.col("least"), F.lit(False)).alias("copy")).alias("own"))
+    least = digests.groupBy("digest").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    hot = least.filter(F.col("n") * HOT > n_docs).select("digest", F.col("least").alias("hot_least"))  # fewer than HOT rows
+    numbers = numbers.join(F.broadcast(hot), "digest", "left")
+    # rows of hot texts know their least document and are dealt anywhere
+    wanted = F.when(F.col("hot_least").isNull(), F.col("digest")).otherwise(F.col("key").cast("string").cast("binary"))
+    numbers = numbers.withColumn("digest", wanted).join(least.select("digest", "least"), "digest", "left")
+    copy = F.coalesce(F.col("key") > F.coalesce("hot_least", "least"), F.lit(False)).alias("copy")
+    known = numbers.select("key", F.struct("hash", "row", copy).alias("own"))
     known = known.groupBy("key").agg(F.collect_list("own").alias("texts"))
     own = F.get(F.filter("texts", lambda x: x["hash"] == F.col("hash")), F.lit(0))
     marked = dealt.join(known, "key", "left").withColumn("own", own).select("key", "text", "own.row", "own.copy")
     whole = marked.filter("copy = false")
     blocks = map_arrow(whole.select("key", "text"), _anchor_blocks(n_buckets), _BLOCK).repartition("bucket").sortWithinPartitions("bucket", "kind")
-    repeated = map_arrow(blocks, _repeated_anchors, "doc_id long, hashes binary").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+    repeated = map_arrow(blocks, _repeated_anchors(n_buckets), "doc_id long, hashes binary").groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
     with_anchors = whole.join(repeated.withColumnRenamed("doc_id", "key"), "key").select("key", "row", "text", "hashes")
     stretches = map_arrow(with_anchors, _stretch_blocks(n_buckets), _BLOCK).repartition("bucket").sortWithinPartitions("bucket", "kind")
     found = map_arrow(stretches, _covered_spans(n_buckets), _SPANS)
     settled = map_arrow(found.repartition("part").sortWithinPartitions("digest"), _merged_windows(n_buckets), _SPANS)
-    spans = map_arrow(settled.repartition("part"), _runs, "doc_id long, row int, lows binary, highs binary")
+    spans = map_arrow(settled.repartition("part"), _runs(n_buckets), "doc_id long, row int, lows binary, highs binary")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row", "lows", "highs")).alias("spans"))
-    final = marked.join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "row", "spans")
-    return map_arrow(final, _results, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>")
+    final = marked.join(spans.withColumnRenamed("doc_id", "key"), "key", "left").select(F.col("key").alias("doc_id"), "text", F.coalesce("copy", F.lit(False)).alias("copy"), "row", "spans")
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>"
+    none = [F.lit(None).cast(t).alias(n) for n, t in final.dtypes if n in ("row", "spans")]
+    alone = every.filter(F.col("key") == NO_ID).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("copy"), *none)
+    return map_arrow(final, _results, out).union(map_arrow(alone, _results, out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

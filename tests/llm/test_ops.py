@@ -569,16 +569,40 @@ def brute_passages(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk", [0, 1000])
-def test_repeated_passages(spark, monkeypatch, chunk):
+def test_spans_of_very_many_texts():
+    n = (1 << 23) + 5
+    doc = np.repeat(np.arange(n), 2)
+    low, high = np.tile([10, 40], n), np.tile([60, 90], n)
+    got = suffix_dedup.joined_spans(doc, np.zeros(2 * n, np.int32), low, high)
+    assert (got[0] == np.arange(n)).all() and (got[2] == 10).all() and (got[3] == 90).all()
+    far = suffix_dedup.joined_spans(np.array([1, 1, 1, 2]), np.zeros(4, np.int32), np.array([0, 1 << 41, (1 << 41) + 20, 0]), np.array([50, (1 << 41) + 50, (1 << 41) + 70, 50]))
+    assert [x.tolist() for x in far[2:]] == [[0, 1 << 41, 0], [50, (1 << 41) + 70, 50]]
+
+
+@pytest.mark.parametrize(("chunk", "most"), [(0, 100), (1000, 1 << 22)])
+def test_repeated_passages(spark, monkeypatch, chunk, most):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    for name in ("MOST_HASHES", "MOST_BYTES", "MOST_SPANS"):
+        monkeypatch.setattr(suffix_dedup, name, most)
     rng = random.Random(chunk)
     parts = [bytes(rng.choice(b"abcdefgh \n") for _ in range(n)) for n in (30, 49, 50, 51, 80, 300)]
     rows = [(d // 2 if d < 8 else d, b"".join(rng.choice(parts) if rng.random() < 0.6 else bytes(rng.choice(b"abcd ") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(0, 6)))) for d in range(50)]
     rows += [(100 + i, b"a" * rng.randint(40, 200)) for i in range(4)] + [(7, rows[9][1]), (200, rows[20][1])]
-    df = spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id long, text string").repartition(4)
+    df = spark.createDataFrame([(d, t.decode()) for d, t in rows] + [(None, rows[20][1].decode()), (None, None)], "doc_id long, text string").repartition(4)
     got = suffix_dedup.repeated_passages(df).drop("spans").collect()
-    assert sorted(map(tuple, got)) == brute_passages(rows)
+    alone = [r for r in got if r.doc_id is None]
+    assert sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in alone) == sorted((len(t), 0, hashlib.sha256(t).hexdigest()) for t in (rows[20][1], b""))
+    assert sorted(tuple(r) for r in got if r.doc_id is not None) == brute_passages(rows)
+
+
+def test_repeated_passages_of_long_texts(spark):
+    rng = random.Random(8)
+    long = bytes(rng.choice(b"abcdefghijklmnop ") for _ in range(3 * suffix_dedup.SEGMENT))
+    at = suffix_dedup.SEGMENT - 100  # a passage across the edge of a segment
+    rows = [(1, long), (2, b"x" * 500_000 + long[at : at + 300] + b"y" * 2_500_000), (3, long[:200_000] + b"z" + long[200_000:])]
+    got = suffix_dedup.repeated_passages(spark.createDataFrame([(d, t.decode()) for d, t in rows], "doc_id long, text string")).drop("spans").collect()
+    assert sorted(map(tuple, got))[0][2] == 0 and sorted(map(tuple, got))[2][2:4] == (len(long), 2)
+    assert sorted(map(tuple, got))[1][2:4] == (300, 1)
 
 
 def test_deep_shallow_order():
