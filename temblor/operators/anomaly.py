@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from temblor.operators.graph import checkpointed
 from temblor.session import ship_package
 
 #: Rows before the first fit and until the model is frozen, trees, seed, the flat spread.
@@ -94,7 +95,8 @@ def scores(rows: DataFrame) -> DataFrame:
     """(event_id, score, ready, raw) of rows with the signals' scores, in the order of (us, event_id).
 
     The first rows, ``FROZEN`` at most, reach the driver and fit the model; all others are scored where
-    they are."""
+    they are. The scores are stored once for both."""
+    rows = checkpointed(rows.select("us", "event_id", *FEATURES))
     first = rows.orderBy("us", "event_id").limit(FROZEN).select("us", "event_id", *FEATURES).collect()
     if len(first) < FROZEN:
         return rows.select("event_id", F.lit(0.0).alias("score"), F.lit(False).alias("ready"), F.lit(None).cast("double").alias("raw"))

@@ -1,21 +1,22 @@
 """The seven signals of a quake stream and their fusion, over a whole table.
 
-Counts, sums and segments are window functions; what remains is exponential smoothing, a recursion that
-no window expresses. ``smoothed`` runs it as a fold over rows sorted by key and time, streaming through
-each partition with one key's state in memory. ``temblor.streaming.state`` holds the same rules as a
-machine for one row at a time.
+Rows are dealt by zone and time slice, so that a zone is as many tasks as it has slices. A slice gets
+copies of the earlier rows that its windows reach back to, and one pass of sorted arrays finds what every
+row's windows hold. What remains is exponential smoothing, a recursion x -> a * x + b: the same pass folds
+each slice from 0, the slices' folds are composed in order, and each slice begins with what came out before
+it. ``temblor.streaming.state`` holds the same rules as a machine for one row at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from temblor.functions import geo
+from temblor.operators.graph import checkpointed
 from temblor.session import ship_package
 
 #: Fixed values of the signals: window lengths in microseconds, supports, smoothing factors, scales.
@@ -33,115 +34,228 @@ ALERT, VIGILANCE, STRONG, QUIET = 0.75, 0.55, 0.7, 0.2
 LOGGED = {name: 0.6 if name == "migration" else 0.7 for name in SIGNALS}
 
 
-def smoothed(rows: DataFrame, keys: list[str], value: str, beta: float, out: str) -> DataFrame:
+#: The length of a time slice, no shorter than any window of counts, sums and places.
+SLICE = 60 * MINUTE
+ROW = "event_id long, us long, lat double, lon double, magnitude double, region string, cell string"
+#: What is smoothed, and with which factor: a value's column, its key.
+SMOOTHED = {"x15": FORESHOCK["beta"], "e15": ENERGY["beta"], "gap": FORESHOCK["gap_alpha"], "x30": CLUSTER["beta"]}
+WINDOWS = f"{ROW}, slice long, n15 long, raw_slope double, km double, n30 long, n20 long, n10 long, " + ", ".join(f"{v} double, {v}_i long, {v}_b double" for v in SMOOTHED)
+
+_NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
+
+
+def sliced(rows: DataFrame, keys: list[str], length: int, before: int) -> DataFrame:
+    """Rows with ``slice`` and ``own``, and for each slice copies, not its own, of a key's earlier rows: those
+    of the last ``length`` microseconds (a slice at most) before it, and the last ``before`` of all."""
+    columns = rows.columns
+    own = rows.withColumn("slice", F.floor(F.col("us") / SLICE)).withColumn("own", F.lit(True))
+    begin = F.col("slice") * SLICE
+    near = own.withColumn("slice", F.col("slice") + 1).withColumn("own", F.lit(False)).filter(begin - F.col("us") <= length)
+    late = F.row_number().over(W.partitionBy(*keys, "slice").orderBy(F.desc("us"), F.desc("event_id")))
+    last = own.withColumn("late", late).filter(F.col("late") <= before).groupBy(*keys, "slice")
+    last = last.agg(F.sort_array(F.collect_list(F.struct("us", "event_id", *(c for c in columns if c not in ("us", "event_id", *keys))))).alias("last"))
+    slices = W.partitionBy(*keys).orderBy("slice")  # a row a slice
+    past = F.concat(*(F.coalesce(F.lag("last", k).over(slices), F.slice("last", 1, 0)) for k in range(before, 0, -1)))
+    past = last.select(*keys, "slice", past.alias("past"))
+    few = F.when(F.size("past") > before, F.slice("past", -before, before)).otherwise(F.col("past"))
+    far = past.select(*keys, "slice", F.explode(few).alias("r")).select(*keys, "slice", "r.*").withColumn("own", F.lit(False))
+    far = far.filter(begin - F.col("us") > length)
+    return own.unionByName(near).unionByName(far)
+
+
+def window_sums(values: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Sums over [first, after) by doubling: no differences of large sums, and no work for each element."""
+    total, at, left = np.zeros(len(first)), first.copy(), after - first
+    part = values.astype(float)
+    while (left > 0).any():
+        odd = (left & 1) == 1
+        total[odd] += part[at[odd]]
+        step = len(values) - len(part) + 1
+        at[odd] += step
+        left >>= 1
+        part = part[:-step] + part[step:] if len(part) > step else part[:0]
+    return total
+
+
+def partial_fold(values: np.ndarray, beta: float, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many values there are up to each row, and their smoothing from 0, for each code; NaN is no value."""
+    n, out = np.zeros(len(values), dtype=np.int64), np.zeros(len(values))
+    state: dict[int, tuple[int, float]] = {}
+    for k, (x, code) in enumerate(zip(values.tolist(), [0] * len(values) if codes is None else codes.tolist(), strict=True)):
+        i, y = state.get(code, (0, 0.0))
+        if x == x:
+            i, y = i + 1, beta * x + (1 - beta) * y
+            state[code] = (i, y)
+        n[k], out[k] = i, y
+    return n, out
+
+
+def _haversine_km(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    h = np.sin(np.radians(c - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(c)) * np.sin(np.radians(d - b) / 2) ** 2
+    return geo.EARTH_KM * 2 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
+
+
+def _slice_windows(rows: pd.DataFrame) -> pd.DataFrame:
+    """What the windows of a zone's slice hold, on its own rows."""
+    rows = rows.sort_values(["us", "event_id"], ignore_index=True)
+    us, own = rows["us"].to_numpy(), rows["own"].to_numpy()
+    magnitude, index = rows["magnitude"].to_numpy(dtype=float), np.arange(len(rows))
+    after = np.searchsorted(us, us, "right")
+    since = lambda length: np.searchsorted(us, us - length, "left")
+    out = rows.copy()
+    out["n15"] = after - since(FORESHOCK["window"])
+    known = ~np.isnan(magnitude)
+    energies = np.where(known, np.power(10.0, 1.5 * np.where(known, magnitude, 0.0) + 4.8), 0.0)
+    first, n_known = since(ENERGY["window"]), np.concatenate([[0], np.cumsum(known)])
+    out["e15"] = np.where(n_known[after] > n_known[first], window_sums(energies, first, after), np.nan)
+    first = np.maximum(index - TREND["rows"] + 1, 0)
+    n = index - first + 1
+    out["raw_slope"] = np.where(n >= TREND["least"], (magnitude - magnitude[first]) / np.maximum(n - 1, 1), 0.0)
+    # places in whole millionths of a degree, so that sums do not depend on the order of addition
+    sums = {c: np.concatenate([[0], np.cumsum(np.rint(rows[c].fillna(0.0).to_numpy() * 1_000_000).astype(np.int64))]) for c in ("lat", "lon")}
+    first = since(MIGRATION["window"])
+    middle = first + (after - first) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = lambda c, a, b: (sums[c][b] - sums[c][a]) / 1e6 / (b - a)
+        km = _haversine_km(mean("lat", first, middle), mean("lon", first, middle), mean("lat", middle, after), mean("lon", middle, after))
+    out["km"] = np.where(after - first >= MIGRATION["least"], km, 0.0)
+    out["gap"] = np.concatenate([[np.nan], np.diff(us) / 1e6])
+    # cells: one array sorted by cell and time; what is older than all windows stays at its beginning
+    codes = pd.factorize(rows["cell"])[0].astype(np.int64) + 1
+    order = np.lexsort((index, codes))
+    key = (codes[order] << 40) + np.maximum(us[order] - us[own].min() + SLICE, 0)
+    upto = np.searchsorted(key, key, "right")
+    for name, length in (("n30", CLUSTER["window"]), ("n20", ASYMMETRY["window"]), ("n10", ASYMMETRY["half"])):
+        count = np.empty(len(rows), dtype=np.int64)
+        count[order] = upto - np.searchsorted(key, key - length, "left")
+        out[name] = count
+    out = out[own].reset_index(drop=True)
+    out["x15"] = out["n15"].where(out["n15"] >= FORESHOCK["least"]).astype(float)
+    out["x30"] = out["n30"].where(out["n30"] >= CLUSTER["least"]).astype(float)
+    for value, beta in SMOOTHED.items():
+        out[f"{value}_i"], out[f"{value}_b"] = partial_fold(out[value].to_numpy(), beta, codes[own] if value == "x30" else None)
+    return out[_NAMES]
+
+
+def windows(quakes: DataFrame) -> DataFrame:
+    """Quake rows with what their windows hold, stored once."""
+    ship_package(quakes.sparkSession)
+    rows = quakes.select(*(c.split()[0] for c in ROW.split(", ")))
+    dealt = sliced(rows, ["region"], MIGRATION["window"], TREND["rows"] - 1)
+    found = dealt.groupBy("region", "slice").applyInPandas(lambda pdf: _slice_windows(pdf) if pdf["own"].any() else pd.DataFrame(columns=_NAMES), WINDOWS)
+    return checkpointed(found)
+
+
+def smoothed(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: b * x + (1 - b) * previous over a key's rows where ``value`` is not null, the first
-    being x itself; on other rows the last one, null before the first."""
-    schema = rows.schema.add(out, "double")
-    ship_package(rows.sparkSession)
+    being x itself; on other rows the last one, null before the first. ``rows`` as ``windows`` gives them."""
+    keep = 1 - SMOOTHED[value]
+    n, part = f"{value}_i", f"{value}_b"
+    seen = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct("us", "event_id"))
+    folds = rows.groupBy(*keys, "slice").agg(F.max(n).alias("n"), F.max_by(part, n).alias("part"), F.min_by(value, seen).alias("first"))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("slice", ignore_index=True)
+        state, before, begins = None, [], []
+        for m, b, x in pdf[["n", "part", "first"]].itertuples(index=False, name=None):
+            begins.append(state is None)
+            before.append(x if state is None else state)
+            if m > 0:
+                state = keep**m * before[-1] + b
+        return pdf[[*keys, "slice"]].assign(before=pd.Series(before, dtype="float64"), begins=begins)
+
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    carried = folds.groupBy(*keys).applyInPandas(compose, ", ".join(f"{k} {fields[k]}" for k in [*keys, "slice"]) + ", before double, begins boolean")
+    rows = rows.join(carried, [*keys, "slice"], "left")
+    state = F.when(~F.col("begins") | (F.col(n) > 0), F.pow(F.lit(keep), F.col(n)) * F.col("before") + F.col(part))
+    return rows.withColumn(out, state).drop("before", "begins")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for pdf in batches:
-            found = []
-            for *own, x in pdf[[*keys, value]].itertuples(index=False, name=None):
-                if own != key:
-                    key, state = own, None
-                if x == x and x is not None:
-                    state = x if state is None else beta * x + (1 - beta) * state
-                found.append(state)
-            yield pdf.assign(**{out: pd.Series(found, index=pdf.index, dtype="float64")})
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "us", "event_id")
-    return dealt.mapInPandas(fold, schema)
+def ratio_score(n: Column, base: Column, scale: float) -> Column:
+    return F.when(base > 0, geo.half_even(F.least(n / base / scale, F.lit(1.0)))).otherwise(0.0)
 
 
-def trailing(keys: list[str], length: int):
-    """A key's rows of the last ``length`` microseconds, the bound included."""
-    return W.partitionBy(*keys).orderBy("us").rangeBetween(-length, 0)
+def _foreshock(rows: DataFrame) -> DataFrame:
+    rows = smoothed(rows, ["region"], "x15", "base")
+    score = ratio_score(F.col("n15"), F.col("base"), FORESHOCK["scale"])
+    return rows.withColumn("foreshock", F.when(F.col("n15") >= FORESHOCK["least"], score).otherwise(0.0)).drop("base")
 
 
-def ratio_score(n: Column, base: Column, scale: float) -> Column:
-    return F.when(base > 0, geo.half_even(F.least(n / base / scale, F.lit(1.0)))).otherwise(0.0)
+def _trend(rows: DataFrame) -> DataFrame:
+    """The mean successive difference telescopes to last minus first over the differences' number."""
+    score = F.when(F.col("raw_slope") > 0, geo.half_even(F.least(F.col("raw_slope") / TREND["scale"], F.lit(1.0)))).otherwise(0.0)
+    return rows.withColumn("slope", geo.half_even(F.col("raw_slope"), 3)).withColumn("trend", score)
 
 
-def foreshock(quakes: DataFrame) -> DataFrame:
-    p = FORESHOCK
-    n = F.count("*").over(trailing(["region"], p["window"]))
-    rows = quakes.withColumn("n15", n).withColumn("x", F.when(F.col("n15") >= p["least"], F.col("n15").cast("double")))
-    rows = smoothed(rows, ["region"], "x", p["beta"], "base")
-    return rows.withColumn("foreshock", F.when(F.col("x").isNotNull(), ratio_score(F.col("n15"), F.col("base"), p["scale"])).otherwise(0.0)).drop("x", "base")
+def _energy(rows: DataFrame) -> DataFrame:
+    rows = smoothed(rows, ["region"], "e15", "base")
+    return rows.withColumn("energy", ratio_score(F.col("e15"), F.col("base"), ENERGY["scale"])).drop("base")
 
 
-def inter_event(quakes: DataFrame) -> DataFrame:
-    """The smoothed seconds between a zone's events; null on its first."""
-    gap = (F.col("us") - F.lag("us").over(W.partitionBy("region").orderBy("us", "event_id"))) / 1e6
-    return smoothed(quakes.withColumn("gap", gap), ["region"], "gap", FORESHOCK["gap_alpha"], "average_gap")
+def _cluster(rows: DataFrame) -> DataFrame:
+    rows = smoothed(rows, ["region", "cell"], "x30", "base")
+    score = ratio_score(F.col("n30"), F.col("base"), CLUSTER["scale"])
+    return rows.withColumn("cluster", F.when(F.col("n30") >= CLUSTER["least"], score).otherwise(0.0)).drop("base")
 
 
-def trend(quakes: DataFrame) -> DataFrame:
-    """The mean successive difference telescopes to last minus first over the differences' number."""
-    p = TREND
-    w = W.partitionBy("region").orderBy("us", "event_id").rowsBetween(1 - p["rows"], 0)
-    n = F.count("*").over(w)
-    slope = F.when(n >= p["least"], (F.col("magnitude") - F.first("magnitude").over(w)) / (n - 1)).otherwise(0.0)
-    rows = quakes.withColumn("raw_slope", slope)
-    score = F.when(F.col("raw_slope") > 0, geo.half_even(F.least(F.col("raw_slope") / p["scale"], F.lit(1.0)))).otherwise(0.0)
-    return rows.withColumn("slope", geo.half_even(F.col("raw_slope"), 3)).withColumn("trend", score).drop("raw_slope")
-
-
-def energy(quakes: DataFrame) -> DataFrame:
-    p = ENERGY
-    total = F.sum(geo.energy(F.col("magnitude"))).over(trailing(["region"], p["window"]))
-    rows = smoothed(quakes.withColumn("e15", total), ["region"], "e15", p["beta"], "base")
-    return rows.withColumn("energy", ratio_score(F.col("e15"), F.col("base"), p["scale"])).drop("e15", "base")
-
-
-def cluster(quakes: DataFrame) -> DataFrame:
-    p = CLUSTER
-    rows = quakes.withColumn("n30", F.count("*").over(trailing(["region", "cell"], p["window"])))
-    rows = rows.withColumn("x", F.when(F.col("n30") >= p["least"], F.col("n30").cast("double")))
-    rows = smoothed(rows, ["region", "cell"], "x", p["beta"], "base")
-    return rows.withColumn("cluster", F.when(F.col("x").isNotNull(), ratio_score(F.col("n30"), F.col("base"), p["scale"])).otherwise(0.0)).drop("x", "base", "n30")
-
-
-def aftershock(quakes: DataFrame) -> DataFrame:
-    """Rows since a cell's last mainshock; after six hours the score stays what it was."""
-    p = AFTERSHOCK
-    main = F.col("magnitude") >= p["magnitude"]
-    past = W.partitionBy("region", "cell").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = quakes.withColumn("is_main", F.coalesce(main, F.lit(False))).withColumn("mains", F.sum(F.col("is_main").cast("int")).over(past))
-    rows = rows.withColumn("since", F.last(F.when(F.col("is_main"), F.col("us")), ignorenulls=True).over(past))
-    inside = (F.col("mains") > 0) & ~F.col("is_main") & (F.col("us") - F.col("since") <= p["window"])
-    segment = W.partitionBy("region", "cell", "mains").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("inside", F.coalesce(inside, F.lit(False))).withColumn("n", F.sum(F.col("inside").cast("int")).over(segment))
-    rows = rows.withColumn("x", F.when(F.col("inside") & (F.col("n") >= p["least"]), F.col("n").cast("double")))
-    rows = smoothed(rows, ["region", "cell", "mains"], "x", p["beta"], "base")
-    own = F.when(F.col("x").isNotNull(), ratio_score(F.col("n"), F.col("base"), p["scale"])).when(F.col("inside") | F.col("is_main"), 0.0)
-    score = F.coalesce(F.last(F.col("own"), ignorenulls=True).over(segment), F.lit(0.0))
-    return rows.withColumn("own", own).withColumn("aftershock", score).drop("is_main", "mains", "since", "inside", "n", "x", "base", "own")
-
-
-def asymmetry(quakes: DataFrame) -> DataFrame:
-    p = ASYMMETRY
-    keys = ["region", "cell"]
-    rows = quakes.withColumn("n20", F.count("*").over(trailing(keys, p["window"]))).withColumn("recent", F.count("*").over(trailing(keys, p["half"])))
-    old = F.col("n20") - F.col("recent")
-    rows = rows.withColumn("raw", F.when(F.col("n20") >= p["least"], F.when(old == 0, F.col("recent").cast("double")).otherwise(F.col("recent") / old)))
+def _asymmetry(rows: DataFrame) -> DataFrame:
+    p, old = ASYMMETRY, F.col("n20") - F.col("n10")
+    rows = rows.withColumn("raw", F.when(F.col("n20") >= p["least"], F.when(old == 0, F.col("n10").cast("double")).otherwise(F.col("n10") / old)))
     score = F.when(F.col("raw").isNull(), 0.0).otherwise(geo.half_even(F.least(F.col("raw") / p["scale"], F.lit(1.0))))  # least() skips nulls
-    return rows.withColumn("asymmetry_ratio", geo.half_even(F.col("raw"))).withColumn("asymmetry", score).drop("n20", "recent", "raw")
+    return rows.withColumn("asymmetry_ratio", geo.half_even(F.col("raw"))).withColumn("asymmetry", score).drop("raw")
+
+
+def _migration(rows: DataFrame) -> DataFrame:
+    score = F.when(F.col("km") > MIGRATION["most_km"], 0.0).otherwise(geo.half_even(F.least(F.col("km") / MIGRATION["km"], F.lit(1.0))))
+    return rows.withColumn("migration_km", geo.half_even(F.col("km"), 1)).withColumn("migration", score)
+
 
+def _aftershock(rows: DataFrame) -> DataFrame:
+    """Scores by the number of a cell's rows since its last mainshock, up to six hours after it; then the
+    score stays what it was. The counter's own smoothing has a closed form: it lags behind a ramp.
 
-def migration(quakes: DataFrame) -> DataFrame:
-    p = MIGRATION
-    rows = quakes.withColumn("points", F.collect_list(F.struct("lat", "lon")).over(trailing(["region"], p["window"])))
-    n = F.size("points")
-    mean = lambda part, name: F.aggregate(part, F.lit(0.0), lambda acc, q: acc + q[name]) / F.size(part)
-    half = F.floor(n / 2).cast("int")
-    early, recent = F.slice("points", F.lit(1), half), F.slice("points", half + 1, n - half)
-    far = geo.haversine_km(mean(early, "lat"), mean(early, "lon"), mean(recent, "lat"), mean(recent, "lon"))
-    rows = rows.withColumn("km", F.when(n >= p["least"], far).otherwise(0.0))
-    score = F.when(F.col("km") > p["most_km"], 0.0).otherwise(geo.half_even(F.least(F.col("km") / p["km"], F.lit(1.0))))
-    return rows.withColumn("migration_km", geo.half_even(F.col("km"), 1)).withColumn("migration", score).drop("points", "km")
+    A slice takes the last mainshock before it from the slices' last ones, and a mainshock's count from the
+    counts of the few slices that its six hours reach."""
+    p, keys = AFTERSHOCK, ["region", "cell"]
+    main = F.when(F.col("magnitude") >= p["magnitude"], F.struct("us", "event_id"))
+    rows = rows.withColumn("main", main)
+    slices = rows.groupBy(*keys, "slice").agg(F.max("main").alias("last"))
+    earlier = F.last("last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(slices.select(*keys, "slice", earlier.alias("earlier")), [*keys, "slice"])
+    past = W.partitionBy(*keys, "slice").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("since", F.coalesce(F.last("main", ignorenulls=True).over(past), F.col("earlier")))
+    inside = F.coalesce(F.col("main").isNull() & (F.col("us") - F.col("since.us") <= p["window"]), F.lit(False)).cast("int")
+    rows = rows.withColumn("inside", inside)
+    counts = rows.filter("inside = 1").groupBy(*keys, "since", "slice").agg(F.count("*").alias("n"))
+    counts = counts.groupBy(*keys, "since").agg(F.collect_list(F.struct("slice", "n")).alias("counts"))  # a window's slices
+    own = F.sum("inside").over(W.partitionBy(*keys, "slice", "since").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.withColumn("n", own).join(counts, [*keys, "since"], "left")
+    slice_ = F.col("slice")
+    before = F.aggregate(F.filter("counts", lambda x: x["slice"] < slice_), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    rows = rows.withColumn("n", F.when(F.col("since").isNull(), 0).otherwise(F.col("n") + F.coalesce(before, F.lit(0))))
+    lag = (1 - p["beta"]) / p["beta"]
+    base = F.col("n") - lag + lag * F.pow(F.lit(1 - p["beta"]), F.col("n") - p["least"])
+    score = F.when(F.col("n") >= p["least"], ratio_score(F.col("n"), base, p["scale"])).otherwise(0.0)
+    return rows.withColumn("aftershock", score).drop("main", "earlier", "since", "inside", "counts", "n")
+
+
+STEPS = {"foreshock": _foreshock, "trend": _trend, "energy": _energy, "asymmetry": _asymmetry, "cluster": _cluster, "migration": _migration, "aftershock": _aftershock}
+
+
+def _alone(name: str):
+    def signal(quakes: DataFrame) -> DataFrame:
+        return STEPS[name](windows(quakes))
+
+    signal.__name__, signal.__doc__ = name, STEPS[name].__doc__
+    return signal
+
+
+foreshock, trend, energy, asymmetry, cluster, migration, aftershock = map(_alone, STEPS)
+
+
+def inter_event(quakes: DataFrame) -> DataFrame:
+    """The smoothed seconds between a zone's events; null on its first."""
+    return smoothed(windows(quakes), ["region"], "gap", "average_gap")
 
 
 def fused(rows: DataFrame) -> DataFrame:
@@ -157,10 +271,11 @@ def fused(rows: DataFrame) -> DataFrame:
 
 
 def all_signals(quakes: DataFrame) -> DataFrame:
-    """Quake rows with all seven scores: those keyed by zone first, then those keyed by zone and cell."""
-    for step in (foreshock, trend, energy, migration, cluster, asymmetry, aftershock):
-        quakes = step(quakes)
-    return quakes.select("event_id", "us", "region", "cell", "magnitude", *SIGNALS)
+    """Quake rows with all seven scores."""
+    rows = windows(quakes)
+    for name in SIGNALS:
+        rows = STEPS[name](rows)
+    return rows.select("event_id", "us", "region", "cell", "magnitude", *SIGNALS)
 
 
 def threshold_alerts(rows: DataFrame) -> DataFrame:

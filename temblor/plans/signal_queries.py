@@ -45,7 +45,7 @@ AFTERSHOCK = f""", after_m AS (SELECT *, coalesce(magnitude >= 4.5, false) AS ma
 ASYMMETRY = f""", asy_n AS (SELECT *, count(*) OVER (PARTITION BY region, cell {last(20)}) AS n, count(*) OVER (PARTITION BY region, cell {last(10)}) AS recent FROM q),
     asy_r AS (SELECT *, CASE WHEN n >= 6 THEN CASE WHEN n = recent THEN recent::DOUBLE ELSE recent / (n - recent)::DOUBLE END END AS raw FROM asy_n),
     asymmetry_t AS (SELECT event_id, region, {r("raw")} AS asymmetry_ratio, CASE WHEN raw IS NULL THEN 0.0::DOUBLE ELSE {r("least(raw / 2.0::DOUBLE, 1.0::DOUBLE)")} END AS asymmetry FROM asy_r)"""
-MEANS = {k: f"list_reduce(list_transform({part}, lambda pt: pt.{c}), lambda a, x: a + x) / len({part})" for k, part, c in (("a", "early", "lat"), ("b", "early", "lon"), ("c", "recent", "lat"), ("d", "recent", "lon"))}
+MEANS = {k: f"list_sum(list_transform({part}, lambda pt: round_even(pt.{c} * 1000000, 0)::BIGINT))::BIGINT / 1e6::DOUBLE / len({part})" for k, part, c in (("a", "early", "lat"), ("b", "early", "lon"), ("c", "recent", "lat"), ("d", "recent", "lon"))}
 MIGRATION = f""", mig_p AS (SELECT *, list({{'lat': lat, 'lon': lon}}) OVER (PARTITION BY region {last(45)}) AS p FROM q),
     mig_h AS (SELECT *, p[1:len(p) // 2] AS early, p[len(p) // 2 + 1:] AS recent FROM mig_p),
     mig_m AS (SELECT *, {", ".join(f"{v} AS m{k}" for k, v in MEANS.items())} FROM mig_h WHERE len(p) >= 5),

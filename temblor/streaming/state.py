@@ -110,7 +110,7 @@ class Zone:
             return 0.0
         rows = list(self.places)
         early, recent = rows[: n // 2], rows[n // 2 :]
-        mean = lambda part, i: sum(x[i] for x in part) / len(part)
+        mean = lambda part, i: sum(round(x[i] * 1_000_000) for x in part) / 1e6 / len(part)
         km = haversine_km(mean(early, 1), mean(early, 2), mean(recent, 1), mean(recent, 2))
         return 0.0 if km > p["most_km"] else half_even(min(km / p["km"], 1.0))
 
