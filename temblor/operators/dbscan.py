@@ -64,7 +64,7 @@ def within(quakes: DataFrame, until_us: int, length_us: int = 3_600_000_000) ->
 
 def expired(quakes: DataFrame, until_us: int, length_us: int = 3_600_000_000) -> DataFrame:
     """The rows that the sliding window has lost by a time."""
-    return quakes.join(within(quakes, until_us, length_us).select("event_id"), "event_id", "left_anti").filter(F.col("us") <= until_us)
+    return quakes.filter(F.col("us") < until_us - length_us)
 
 
 def k_distances(quakes: DataFrame, k: int = 5) -> DataFrame:

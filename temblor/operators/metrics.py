@@ -99,7 +99,13 @@ def coded(results: DataFrame, name: str, codes: dict[str, int], default: int = -
     return results.withColumn(f"{name}_code", code)
 
 
+def ratio(results: DataFrame, over: str, under: str, out: str) -> DataFrame:
+    """Adds ``out``: one column over another, null where that is 0."""
+    return results.withColumn(out, F.col(over) / F.nullif(F.col(under), F.lit(0.0)))
+
+
 def best(results: DataFrame, value: str, by: str | None = None, least: float | None = None) -> DataFrame:
-    """The row with the largest ``value`` among those with ``by`` at least ``least``."""
+    """The row with the largest ``value`` among those with ``by`` at least ``least``; of equal ones, the
+    first by all columns."""
     rows = results if by is None else results.filter(F.col(by) >= least)
-    return rows.orderBy(F.desc(value)).limit(1)
+    return rows.orderBy(F.desc(value), *results.columns).limit(1)

@@ -18,6 +18,11 @@ def messages(quakes: DataFrame, keyed: bool = True) -> DataFrame:
     return quakes.select(key.alias("key"), value.alias("value"), geo.key_partition(key).alias("partition"))
 
 
+def with_digest(rows: DataFrame, out: str = "digest") -> DataFrame:
+    """Adds the md5 of a row's JSON with its keys in order."""
+    return rows.withColumn(out, F.md5(F.to_json(F.struct(*sorted(rows.columns)))))
+
+
 def to_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
     """Starts the sink; needs Spark's Kafka connector on the cluster."""
     writer = messages.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)

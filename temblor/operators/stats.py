@@ -10,6 +10,9 @@ from temblor.functions import geo
 
 #: Sizes of hopping windows and ranked lists, fixed by the reference semantics.
 HOP, STEP, TOP, LATEST = "10 minutes", "2 minutes", 10, 4
+LONG_HOP, LONG_STEP = "60 minutes", "5 minutes"
+#: Microseconds of a time slice of running sums.
+SLICE = 600_000_000
 
 
 def tenths(magnitude: Column) -> Column:
@@ -25,13 +28,26 @@ def global_stats(quakes: DataFrame) -> DataFrame:
     return quakes.agg(F.count("magnitude").alias("n"), F.coalesce(F.sum(tenths(F.col("magnitude"))) / 10.0, F.lit(0.0)).alias("total"), mean_magnitude().alias("average"))
 
 
-def running_stats(quakes: DataFrame) -> DataFrame:
-    """The global count and average after each row, by zone partitions summed up to it."""
+def zone_running_stats(quakes: DataFrame) -> DataFrame:
+    """Each zone's count and average after each of its rows."""
     w = W.partitionBy("region").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     total, n = F.sum(tenths(F.col("magnitude"))).over(w), F.count("magnitude").over(w)
     return quakes.select("event_id", "region", n.alias("n"), F.coalesce(geo.half_even(total / 10.0 / n), F.lit(0.0)).alias("average"))
 
 
+def running_stats(quakes: DataFrame) -> DataFrame:
+    """The count and average of all rows after each row: sums inside time slices, and those of the slices
+    before, of which there is a row each."""
+    rows = quakes.select("event_id", "us", "magnitude", F.floor(F.col("us") / SLICE).alias("slice"))
+    sums = rows.groupBy("slice").agg(F.sum(tenths(F.col("magnitude"))).alias("t"), F.count("magnitude").alias("c"))
+    earlier = W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select("slice", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("c"))
+    w = W.partitionBy("slice").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("own_t", F.coalesce(F.sum(tenths(F.col("magnitude"))).over(w), F.lit(0))).withColumn("own_c", F.count("magnitude").over(w))
+    n, total = F.col("c") + F.col("own_c"), F.col("t") + F.col("own_t")
+    return rows.join(before, "slice").select("event_id", n.alias("n"), F.coalesce(F.when(n > 0, geo.half_even(total / 10.0 / n)), F.lit(0.0)).alias("average"))
+
+
 def zone_stats(quakes: DataFrame) -> DataFrame:
     return quakes.groupBy("region").agg(F.count("magnitude").alias("n"), (F.sum(tenths(F.col("magnitude"))) / 10.0).alias("total"), mean_magnitude().alias("average"))
 
@@ -68,18 +84,21 @@ def latest(quakes: DataFrame, n: int = LATEST) -> DataFrame:
 
 
 def ranked(quakes: DataFrame, k: int = TOP, by_zone: bool = True) -> DataFrame:
-    """The k strongest rows, of each zone or of all; the earliest come first among equals.
-
-    The ranking of all merges the zones' rankings, so no single task sees more than k rows a zone."""
+    """The k strongest rows, of each zone or of all; the earliest come first among equals."""
     order = [F.desc("magnitude"), F.asc("us"), F.asc("event_id")]
-    w = W.partitionBy("region").orderBy(*order)
-    zones = quakes.filter(F.col("magnitude").isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if not by_zone:
-        best = zones.drop("rank").orderBy(*order).limit(k)
-        zones = best.withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    rows = quakes.filter(F.col("magnitude").isNotNull())
+    if by_zone:
+        zones = rows.withColumn("rank", F.row_number().over(W.partitionBy("region").orderBy(*order))).filter(F.col("rank") <= k)
+    else:  # each task's first k, merged: no shuffle; then k rows
+        zones = rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(W.orderBy(*order)))
     return zones.select(F.col("rank").cast("long").alias("rank"), "event_id", "region", geo.half_even(F.col("magnitude"), 1).alias("magnitude"), "lat", "lon", "us")
 
 
+def known_zones(rows: DataFrame) -> DataFrame:
+    """Without the rows of no zone, as ranked lists are shown."""
+    return rows.filter(F.col("region") != "Unknown")
+
+
 def user_alerts(quakes: DataFrame, users: DataFrame, sent: DataFrame | None = None, least: float = 1.0) -> DataFrame:
     """One alert for each subscribed user and quake of the user's zone; those sent before are left out.
 

@@ -81,13 +81,9 @@ on_quakes(
 # statistics
 on_quakes("q_zone_stats", stats.zone_stats, f"SELECT region, count(magnitude) AS n, {TOTAL} AS total, {MEAN} AS average FROM q GROUP BY region")
 on_quakes("q_global_stats", stats.global_stats, f"SELECT count(magnitude) AS n, coalesce({TOTAL}, 0.0::DOUBLE) AS total, {MEAN} AS average FROM q")
-on_quakes(
-    "q_running_stats",
-    stats.running_stats,
-    f"""SELECT event_id, region, count(magnitude) OVER w AS n,
-        coalesce({r("sum(round_even(magnitude * 10, 0)::BIGINT) OVER w::BIGINT / 10.0::DOUBLE / count(magnitude) OVER w").replace("OVER w::BIGINT", "OVER w")}, 0.0::DOUBLE) AS average
-        FROM q WINDOW w AS (PARTITION BY region ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)""",
-)
+RUNNING = r("sum(round_even(magnitude * 10, 0)::BIGINT) OVER w::BIGINT / 10.0::DOUBLE / count(magnitude) OVER w").replace("OVER w::BIGINT", "OVER w")
+on_quakes("q_running_stats", stats.running_stats, f"SELECT event_id, count(magnitude) OVER w AS n, coalesce({RUNNING}, 0.0::DOUBLE) AS average FROM q WINDOW w AS (ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
+on_quakes("q_zone_running_stats", stats.zone_running_stats, f"SELECT event_id, region, count(magnitude) OVER w AS n, coalesce({RUNNING}, 0.0::DOUBLE) AS average FROM q WINDOW w AS (PARTITION BY region ORDER BY us, event_id ROWS UNBOUNDED PRECEDING)")
 on_quakes("q_major_flag", lambda q: q.agg(F.coalesce(F.bool_or(F.col("magnitude") >= 7), F.lit(False)).alias("major")), "SELECT coalesce(bool_or(magnitude >= 7), false) AS major FROM q")
 on_quakes("q_max_mag", lambda q: q.agg(F.max("magnitude").alias("magnitude")), "SELECT max(magnitude) AS magnitude FROM q")
 on_quakes("q_active_zones", stats.active_zones, "SELECT DISTINCT region FROM q")
@@ -97,6 +93,8 @@ HOPS = f""", h AS (SELECT *, unnest(range(0, 5)) AS k FROM q),
 hopped = lambda q: stats.window_starts(stats.hopping(q, event_time("us")))
 on_quakes("q_hopping_mean", hopped, f"{HOPS} SELECT window_us, region, n, total, average FROM hopped")
 on_quakes("q_hopping_count", lambda q: hopped(q).select("window_us", "region", "n"), f"{HOPS} SELECT window_us, region, n FROM hopped")
+LONG_HOPS = HOPS.replace("range(0, 5)", "range(0, 12)").replace("120000000", "300000000")
+on_quakes("q_hopping_hour", lambda q: stats.window_starts(stats.hopping(q, event_time("us"), stats.LONG_HOP, stats.LONG_STEP)), f"{LONG_HOPS} SELECT window_us, region, n, total, average FROM hopped")
 on_quakes("q_current_windows", lambda q: stats.current_windows(hopped(q)), f"{HOPS} SELECT region, window_us, n, total, average FROM hopped QUALIFY row_number() OVER (PARTITION BY region ORDER BY window_us DESC) = 1")
 on_quakes(
     "q_trend_snapshot",
@@ -109,6 +107,7 @@ TOP = "row_number() OVER ({} ORDER BY magnitude DESC, us, event_id)"
 ROW = "event_id, region, round_even(magnitude * 10, 0) / 10.0 AS magnitude, lat, lon, us"
 on_quakes("q_topk_region", stats.ranked, f"SELECT {TOP.format('PARTITION BY region')} AS rank, {ROW} FROM q WHERE magnitude IS NOT NULL QUALIFY rank <= 10")
 on_quakes("q_topk_global", lambda q: stats.ranked(q, by_zone=False), f"SELECT {TOP.format('')} AS rank, {ROW} FROM q WHERE magnitude IS NOT NULL QUALIFY rank <= 10")
+on_quakes("q_topk_known", lambda q: stats.known_zones(stats.ranked(q)), f"SELECT * FROM (SELECT {TOP.format('PARTITION BY region')} AS rank, {ROW} FROM q WHERE magnitude IS NOT NULL QUALIFY rank <= 10) WHERE region <> 'Unknown'")
 on_quakes("q_topk_one_region", lambda q: stats.ranked(q.filter(F.col("region") == "Europe")), f"SELECT {TOP.format('')} AS rank, {ROW} FROM q WHERE magnitude IS NOT NULL AND region = 'Europe' QUALIFY rank <= 10")
 on_quakes("q_latest4", lambda q: stats.latest(q).select("event_id", "us", "region", "magnitude"), "SELECT event_id, us, region, magnitude FROM q ORDER BY us DESC, event_id DESC LIMIT 4")
 on_quakes("q_topk_union", lambda q: stats.ranked(q, 3).select("event_id").unionByName(stats.latest(q).select("event_id")), f"SELECT event_id FROM (SELECT event_id, {TOP.format('PARTITION BY region')} AS rank FROM q WHERE magnitude IS NOT NULL QUALIFY rank <= 3) UNION ALL (SELECT event_id FROM q ORDER BY us DESC, event_id DESC LIMIT 4)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from temblor.operators import signals, sinks, stats
 from temblor.plans.basic import MEAN, ORACLE, QUERIES, TOTAL
 from temblor.plans.sql_base import QUAKES
+from temblor.session import shared_dir
 from temblor.sources import quakes as sources
 from temblor.streaming import flows
 
@@ -64,17 +64,22 @@ ORACLE["q_geojson_normalize"] = f"""WITH {QUAKES} SELECT event_id::VARCHAR AS id
 
 
 def q_csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quake view written as a catalogue CSV, every tenth magnitude missing, and read back."""
+    """The quake view written as catalogue CSV, with more columns than are read and every tenth magnitude
+    missing, and read back."""
     rows = sources.read_quakes(spark, sf_dir)
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='temblor-')}"
-    path = f"{conf}/catalogue-{uuid.uuid4().hex}"
-    out = rows.select(F.col("id").alias("time"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.lit(5.0).alias("depth"), F.when(F.col("event_id") % 10 != 0, F.col("magnitude")).alias("mag"), F.col("region").alias("place"))
+    path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
+    out = rows.select(
+        F.col("id").alias("time"), F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.lit(5.0).alias("depth"), F.when(F.col("event_id") % 10 != 0, F.col("magnitude")).alias("mag"),
+        F.lit("ml").alias("magType"), F.lit(None).cast("int").alias("nst"), F.lit(None).cast("double").alias("gap"), F.lit("us").alias("net"), F.col("id"), F.lit("2024-01-31T00:00:00.000Z").alias("updated"), F.concat_ws(", ", F.lit("5 km N"), "region").alias("place"), F.lit("earthquake").alias("type"),
+    )
     sinks.to_csv(out, path)
-    return sources.csv_quakes(sources.read_catalogue(spark, path)).select("time", "latitude", "longitude", "depth", "magnitude", "place", "source")
+    found = sources.csv_quakes(sources.read_catalogue(spark, path), at_ms=1704067200000)
+    return found.select(F.regexp_like("id", F.lit("^csv-[0-9]+-1704067200000$")).alias("id_fits"), "time", "latitude", "longitude", "depth", "magnitude", "place", "status", "url", "source")
 
 
 QUERIES["q_csv_ingest"] = q_csv_ingest
-ORACLE["q_csv_ingest"] = f"WITH {QUAKES} SELECT event_id::VARCHAR AS time, lat AS latitude, lon AS longitude, 5.0::DOUBLE AS depth, magnitude, region AS place, 'csv' AS source FROM q WHERE event_id % 10 <> 0"
+ORACLE["q_csv_ingest"] = f"""WITH {QUAKES} SELECT true AS id_fits, event_id::VARCHAR AS time, lat AS latitude, lon AS longitude, 5.0::DOUBLE AS depth, magnitude, '5 km N, ' || region AS place,
+    'csv://local' AS status, 'csv://local' AS url, 'csv' AS source FROM q WHERE event_id % 10 <> 0"""
 
 
 def q_kafka_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,3 +90,12 @@ def q_kafka_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["q_kafka_messages"] = q_kafka_messages
 ORACLE["q_kafka_messages"] = f"WITH {QUAKES} SELECT region AS key, count(*) AS n, min(event_id) AS first_id FROM q GROUP BY region"
+
+
+def q_message_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of a message's JSON with its keys in order."""
+    return sinks.with_digest(sources.read_quakes(spark, sf_dir).select("us", "region", "cell", "event_id")).select("event_id", "digest")
+
+
+QUERIES["q_message_md5"] = q_message_md5
+ORACLE["q_message_md5"] = f"WITH {QUAKES} SELECT event_id, md5(to_json({{'cell': cell, 'event_id': event_id, 'region': region, 'us': us}})::VARCHAR) AS digest FROM q"

@@ -9,6 +9,19 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Only where that is unset and all runs on this machine, a temporary folder takes its place."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("temblor.shared.dir", None)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='temblor-')}"
+        spark.conf.set("temblor.shared.dir", path)
+    return path.rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Adds this package to the job, once a context, so Python workers import it wherever they run."""
     context = spark.sparkContext

@@ -6,6 +6,7 @@ import json
 import urllib.request
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
@@ -70,13 +71,17 @@ def read_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalized(features: DataFrame) -> DataFrame:
-    """Flat quake records of GeoJSON features; a missing source is usgs, the status carries the url."""
+    """Flat quake records of GeoJSON features; a missing source is usgs, and so is a null one where the
+    features do not tell (``has_sources``); the status carries the url."""
+    source = F.coalesce("properties.sources", F.lit("usgs"))
+    if "has_sources" in features.columns:
+        source = F.when(F.coalesce("has_sources", F.lit(False)), F.col("properties.sources")).otherwise(F.lit("usgs"))
     c = F.col("geometry.coordinates")
     time = F.date_format(F.to_utc_timestamp(F.timestamp_millis("properties.time"), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return features.select(
         "id", time.alias("time"), F.get(c, F.lit(1)).alias("latitude"), F.get(c, F.lit(0)).alias("longitude"), F.get(c, F.lit(2)).alias("depth"),
         F.col("properties.mag").alias("magnitude"), F.col("properties.place").alias("place"), F.col("properties.url").alias("status"), F.col("properties.url").alias("url"),
-        F.coalesce("properties.sources", F.lit("usgs")).alias("source"),
+        source.alias("source"),
     )
 
 
@@ -139,32 +144,50 @@ class GeoJsonFeed(DataSource):
 
 
 def feed_features(raw: DataFrame) -> DataFrame:
-    """Features of a polled feed's rows."""
-    return raw.select(F.from_json("value", FEATURE).alias("f")).select("f.*")
+    """Features of a polled feed's rows; ``has_sources`` tells an explicit null from none."""
+    named = F.from_json("value", "properties MAP<STRING, STRING>")["properties"]
+    return raw.select(F.from_json("value", FEATURE).alias("f"), F.map_contains_key(named, "sources").alias("has_sources")).select("f.*", "has_sources")
 
 
 # ---- CSV, Kafka, generated load
 
 
+def _by_name(rows: DataFrame) -> DataFrame:
+    """The columns of ``CSV`` that a catalogue has, found by their names and cast."""
+    kinds = dict(x.split() for x in CSV.split(", "))
+    return rows.select(*(F.col(n).try_cast(t).alias(n) for n, t in kinds.items() if n in rows.columns), *(c for c in ("line",) if c in rows.columns))
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CSV).option("header", True).option("enforceSchema", False).csv(path)
+    """Catalogue files with a header, of whatever columns, and each row's number in its file, from 0."""
+    rows = spark.read.option("header", True).csv(path)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    rows = rows.withColumn("at", F.monotonically_increasing_id())
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    blocks = blocks.select("file", "block", (F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("file", "block").orderBy("at"))).join(blocks, ["file", "block"])
+    return _by_name(rows.withColumn("line", F.col("before") + F.col("rank") - 1))
 
 
-def csv_quakes(rows: DataFrame, limit: int | None = None, seed: int | None = None) -> DataFrame:
+def csv_quakes(rows: DataFrame, limit: int | None = None, seed: int | None = None, at_ms: int | None = None) -> DataFrame:
     """Records of catalogue rows without gaps in latitude, longitude and magnitude; ``limit`` takes the
-    first rows, or with ``seed`` a sample of so many."""
-    rows = rows.na.drop(subset=["latitude", "longitude", "mag"])
+    first rows, or with ``seed`` a sample of so many. Ids name the row's line and the time of the reading."""
+    rows = rows.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("latitude", "longitude", "mag")))
+    if "line" not in rows.columns:
+        rows = rows.withColumn("line", F.monotonically_increasing_id())
     if limit is not None:
-        rows = (rows.orderBy(F.rand(seed)) if seed is not None else rows).limit(limit)
+        rows = rows.orderBy(F.rand(seed) if seed is not None else "line").limit(limit)
     have = set(rows.columns)
     optional = lambda name, default: F.col(name) if name in have else default
-    key = F.concat_ws("-", F.lit("csv"), F.monotonically_increasing_id().cast("string"), F.xxhash64("latitude", "longitude", "mag").cast("string"))
-    return rows.select(key.alias("id"), optional("time", F.lit(None).cast("string")).alias("time"), "latitude", "longitude", optional("depth", F.lit(0.0)).alias("depth"), F.col("mag").alias("magnitude"), optional("place", F.lit("Unknown")).alias("place"), F.lit("csv").alias("status"), F.lit(None).cast("string").alias("url"), F.lit("csv").alias("source"))
+    at = F.unix_millis(F.current_timestamp()) if at_ms is None else F.lit(at_ms)
+    local = F.lit("csv://local")
+    return rows.select(F.concat_ws("-", F.lit("csv"), "line", at).alias("id"), optional("time", F.lit(None).cast("string")).alias("time"), "latitude", "longitude", optional("depth", F.lit(0.0)).alias("depth"), F.col("mag").alias("magnitude"), optional("place", F.lit("CSV Source")).alias("place"), local.alias("status"), local.alias("url"), F.lit("csv").alias("source"))
 
 
 def stream_catalogue(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Replay: catalogue files one after the other."""
-    return spark.readStream.schema(CSV).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(path)
+    """Replay: catalogue files one after the other, all with the columns of the files that are there now."""
+    schema = spark.read.option("header", True).csv(path).schema
+    return _by_name(spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_trigger).csv(path))
 
 
 def stream_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:

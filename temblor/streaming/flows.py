@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 import time
 import uuid
 from collections.abc import Iterator
@@ -15,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from temblor.functions import geo
 from temblor.operators import signals, stats
-from temblor.session import ship_package
+from temblor.session import shared_dir, ship_package
 from temblor.sources.quakes import event_time, quakes
 from temblor.streaming.state import Zone, fused
 
@@ -64,10 +63,10 @@ def signal_stream(stream: DataFrame) -> DataFrame:
 
 
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, as a table in a temporary folder or view."""
+    """What a stream gives for all that is there now, as a table in the shared folder or a view."""
     spark = stream.sparkSession
     name = f"stream_{uuid.uuid4().hex}"
-    checkpoint = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='temblor-')}"
+    checkpoint = shared_dir(spark)
     if mode != "append":
         stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-c").trigger(availableNow=True).start().awaitTermination()
         return spark.table(name)
@@ -76,17 +75,29 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def snapshots(stream: DataFrame, path: str, checkpoint: str, every: str = SNAPSHOT) -> StreamingQuery:
-    """Every period, the clusters of the last hour of each batch's time, written as a table of their own."""
+HOUR = 3_600_000_000
+
+
+def snapshots(stream: DataFrame, path: str, checkpoint: str, every: str | None = SNAPSHOT) -> StreamingQuery:
+    """Every period, the clusters of the last hour of the stream, as tables ``path``/clusters/batch=n.
+
+    Each batch's points go to ``path``/points, by hour, and the live hour is read from there, so clusters
+    last from batch to batch; a repeated batch writes the same tables again. Without a period, all that is
+    there now."""
     from temblor.operators import dbscan
 
     def write(batch: DataFrame, number: int) -> None:
-        last = batch.agg(F.max("us")).first()[0]
+        spark = batch.sparkSession
+        points = batch.select("event_id", "us", "lat", "lon", "magnitude", "region").withColumn("hour", F.floor(F.col("us") / HOUR))
+        points.write.mode("overwrite").partitionBy("hour").parquet(f"{path}/points/batch={number}")
+        known = spark.read.schema(points.schema.add("batch", "long")).option("basePath", f"{path}/points").parquet(f"{path}/points").filter(F.col("batch") <= number)
+        last = known.agg(F.max("us")).first()[0]
         if last is not None:
-            live = dbscan.within(batch, last)
-            dbscan.clusters(live, dbscan.labels(live)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            live = dbscan.within(known.filter(F.col("hour") >= (last - HOUR) // HOUR), last)
+            dbscan.clusters(live, dbscan.labels(live)).write.mode("overwrite").parquet(f"{path}/clusters/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def wait_for_update(query: StreamingQuery, seen: int | None, timeout: int = 120) -> int | None:

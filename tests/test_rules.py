@@ -172,10 +172,80 @@ def test_feed_source(spark, tmp_path):
 def test_csv_defaults(spark):
     df = spark.createDataFrame([(35.0, 139.0, 5.0), (None, 1.0, 2.0), (1.0, math.nan, 2.0)], "latitude double, longitude double, mag double")
     rows = sources.csv_quakes(df).collect()
-    assert len(rows) == 1 and (rows[0].depth, rows[0].place, rows[0].source) == (0.0, "Unknown", "csv")
+    assert len(rows) == 1 and (rows[0].depth, rows[0].place, rows[0].source) == (0.0, "CSV Source", "csv")
+    assert (rows[0].status, rows[0].url) == ("csv://local", "csv://local") and rows[0].id.startswith("csv-")
     assert sources.csv_quakes(df.union(df).union(df), limit=2, seed=1).count() == 2
 
 
+USGS = "time,latitude,longitude,depth,mag,magType,nst,gap,dmin,rms,net,id,updated,place,type,horizontalError,depthError,magError,magNst,status,locationSource,magSource"
+
+
+def test_catalogue_files_are_read_by_name(spark, tmp_path):
+    lines = ['2024-02-20T15:00:00.000Z,48.85,2.35,15.5,5.8,mb,12,80,0.5,0.7,us,us6000,2024-02-21T00:00:00.000Z,"10 km N of Paris, France",earthquake,5,2,0.1,9,reviewed,us,us']
+    lines += [lines[0].replace("48.85", ""), lines[0].replace("5.8", "odd"), lines[0].replace("48.85", "49.5")]
+    (tmp_path / "full.csv").write_text("\n".join([USGS, *lines]) + "\n")
+    full = sources.csv_quakes(sources.read_catalogue(spark, str(tmp_path / "full.csv")), at_ms=7).orderBy("id").collect()
+    assert [(r.id, r.latitude, r.magnitude, r.place, r.depth) for r in full] == [("csv-0-7", 48.85, 5.8, "10 km N of Paris, France", 15.5), ("csv-3-7", 49.5, 5.8, "10 km N of Paris, France", 15.5)]
+    (tmp_path / "bare.csv").write_text("mag,latitude,longitude\n5.0,34.0,-117.0\n6.0,35.0,-118.0\n")
+    bare = sources.csv_quakes(sources.read_catalogue(spark, str(tmp_path / "bare.csv")), limit=1, at_ms=7).first()
+    assert (bare.id, bare.magnitude, bare.time, bare.depth, bare.place) == ("csv-0-7", 5.0, None, 0.0, "CSV Source")
+    assert flows.collected(sources.stream_catalogue(spark, str(tmp_path / "bare*.csv"))).count() == 2
+
+
+def test_an_explicit_null_source_stays_null(spark):
+    rows = [("a", '{"sources": null}'), ("b", "{}"), ("c", '{"sources": "us"}')]
+    raw = spark.createDataFrame([(json.dumps({"id": i}).replace("}", f', "properties": {p}}}'),) for i, p in rows], "value string")
+    assert {r.id: r.source for r in sources.normalized(sources.feed_features(raw)).collect()} == {"a": None, "b": "usgs", "c": "us"}
+
+
+def test_snapshots_see_the_live_hour_over_all_batches(spark, tmp_path):
+    quakes = feed(spark, [(10 * i, 2.0, 45.0 + 0.01 * (i % 5), 12.0) for i in range(14)])
+    for n, (low, high) in enumerate([(0, 5), (5, 9), (9, 14)]):
+        quakes.filter(f"event_id >= {low} AND event_id < {high}").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(quakes.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    flows.snapshots(stream, f"{tmp_path}/out", f"{tmp_path}/c", every=None).awaitTermination()
+    sizes = {n: spark.read.parquet(f"{tmp_path}/out/clusters/batch={n}").first()["size"] for n in range(3)}
+    assert sizes == {0: 5, 1: 7, 2: 7}  # the last hour of minutes 40, 80 and 130, its boundary included
+
+
+def test_signals_across_slices_agree_with_the_machine(spark):
+    rng = np.random.default_rng(5)
+    minutes = np.cumsum(np.concatenate([rng.exponential(4, 149), [500.0], rng.exponential(9, 149), [3000.0], rng.exponential(2, 100)]))
+    rows = [(round(m, 4), round(float(x), 1), 45.0 + round(float(a), 2), 12.0) for m, x, a in zip(minutes, rng.uniform(1, 5, 400), rng.uniform(0, 0.3, 400), strict=True)]
+    quakes = feed(spark, rows)
+    zone = Zone()
+    want = [zone.add(r.us, r.lat, r.lon, r.cell, r.magnitude) for r in quakes.orderBy("us", "event_id").collect()]
+    found = signals.all_signals(quakes).orderBy("us", "event_id").collect()
+    assert [{n: r[n] for n in signals.SIGNALS} for r in found] == want
+    gaps = column(signals.inter_event(quakes), "average_gap")
+    state, times = None, [r.us for r in found]
+    for k in range(1, 400):
+        x = (times[k] - times[k - 1]) / 1e6
+        state = x if state is None else 0.3 * x + 0.7 * state
+        assert gaps[k] == pytest.approx(state) and gaps[0] is None
+
+
+def test_measures_of_results(spark):
+    rows = spark.createDataFrame([("a", 0.9, 2.0), ("a", 0.5, 0.0), ("b", 0.95, 3.0), ("b", 0.95, 1.0)], "kind string, ari double, cost double")
+    found = {r.kind: r for r in metrics.shares(rows, "kind", "ari").collect()}
+    assert (found["a"].mean, found["a"].median, found["a"].good, found["a"].share) == (0.7, 0.7, 0.5, 0.5)
+    assert metrics.best(rows, "ari").first().cost == 1.0 and metrics.best(rows, "cost", "ari", 0.9).first().cost == 3.0
+    assert metrics.best(rows, "cost", "ari", 0.99).count() == 0
+    assert [r.kind_code for r in metrics.coded(rows, "kind", {"a": 0}).collect()] == [0, 0, -1, -1]
+    assert [r.r for r in metrics.ratio(rows, "ari", "cost", "r").collect()] == [0.45, None, 0.95 / 3.0, 0.95]
+    moved = spark.createDataFrame([(3.0, 4.0, 3.0, 5.0), (0.0, 0.0, 1.0, 1.0)], "a double, b double, c double, d double")
+    assert [r[0] for r in moved.select(geo.relative_shift(*map(F.col, "abcd"))).collect()] == [0.2, 0.0]
+
+
+def test_generated_load(spark):
+    stream = sources.generated_load(spark, 50)
+    query = stream.writeStream.format("memory").queryName("load").start()
+    seen = flows.wait_for_update(query, None, 60)
+    query.stop()
+    rows = spark.table("load").collect()
+    assert seen is not None and rows and {r.region for r in rows} <= set(geo.ZONES) and all(1 <= r.magnitude <= 9 and r.timestamp_production for r in rows)
+
+
 def test_messages_are_keyed_by_zone(spark):
     df = spark.createDataFrame([("a", 34.05, -118.24), ("b", None, None)], "id string, latitude double, longitude double")
     assert [r.key for r in sinks.messages(df).orderBy("value").collect()] == ["NorthAmerica", "Unknown"]
