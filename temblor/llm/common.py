@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.session import ship_package
+from temblor.session import shared_dir, ship_package
 
 #: What separates words everywhere: blank, tab, line feed, vertical tab, form feed, return.
 #: ``bytes.split()`` without arguments splits at exactly these.
@@ -25,21 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
-    """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir")
-    if path is None:
-        path = spark.conf.get("temblor.shared.dir", None)
-    if path is None:
-        path = f"file://{tempfile.mkdtemp(prefix='temblor-')}"
-        spark.conf.set("temblor.shared.dir", path)
-    return path.rstrip("/")
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -49,7 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` wrote and nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -16,9 +16,10 @@ bound rules out is not paired. Components come from alternating large-star and s
 folder.
 
 Defined results: words are split at ASCII white space and A-Z lower-cased; a text of one to four words
-is one shingle; null and empty texts have an empty set, link with nothing and are kept; rows of one
-doc_id with equal sets are kept alike; null ids stay alone; an empty table gives no rows; other columns
-are not read.
+is one shingle; null and empty texts have an empty set, link with nothing and are kept; rows of one doc_id
+with different texts are linked each by its own set; null ids stay alone; an empty table gives no rows;
+other columns are not read. Of a component, ``kept_documents`` keeps one row, of the least id, and of its
+texts the one of least hash; equal rows without an id, and equal rows without words, are all kept.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm.common import as_bytes, map_arrow, stored, table, texts_and_ids
+from temblor.llm.common import as_bytes, discard, map_arrow, stored, table, texts_and_ids
 
 SHINGLE, SIMILARITY = 5, 85  # words; percent
 BANDS, ROWS = 40, 8
@@ -116,8 +117,12 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return total
 
 
+def _set_hash(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
 def signatures(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, the hash of the set, and its band keys."""
+    """doc_id, the text's hash, n_shingles, the hash of the set, and its band keys."""
     n_bands, n_rows = shape(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -127,23 +132,24 @@ def signatures(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
             for data in as_bytes(batch.column(1)):
                 items = shingles(data)
                 counts.append(len(items))
-                hashes.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                hashes.append(_set_hash(items))
                 bands.append(band_keys(sketch(items, n_bands * n_rows), n_bands).astype(np.int64) if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(hashes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "mark", "n_shingles", "set_hash", "bands"])
 
-    return map_arrow(texts_and_ids(docs), run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    rows = texts_and_ids(docs).withColumn("mark", F.xxhash64("text"))
+    return map_arrow(rows, run, "doc_id long, mark long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the bytes of its sorted set."""
+    """doc_id, the hash of its set, and the bytes of the sorted set."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         shingles = Shingles()
         for batch in batches:
-            sets = [shingles(x).tobytes() for x in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "items"])
+            sets = [shingles(x) for x in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_set_hash, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "set_hash", "items"])
 
-    return map_arrow(texts_and_ids(docs), run, "doc_id long, items binary")
+    return map_arrow(texts_and_ids(docs), run, "doc_id long, set_hash binary, items binary")
 
 
 def linked(a: bytes, b: bytes, similarity: int = SIMILARITY) -> bool:
@@ -158,15 +164,15 @@ def linked(a: bytes, b: bytes, similarity: int = SIMILARITY) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) that are linked; ``sets`` has doc_id and items."""
+    """The pairs (a, b) of classes that are linked; ``sets`` has class and items."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             keep = [linked(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    first = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
+    first = sets.select(F.col("class").alias("a"), F.col("items").alias("x"))
+    second = sets.select(F.col("class").alias("b"), F.col("items").alias("y"))
     return map_arrow(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
@@ -184,6 +190,7 @@ def components(links: DataFrame) -> DataFrame:
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
         after = stored(after, "links")
         same = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(edges)
         edges = after
         if same:
             break
@@ -207,24 +214,27 @@ def _shared_sizes(sets: DataFrame, classes: DataFrame, similarity: int) -> DataF
             ids = np.repeat(np.array(batch.column(0).to_pylist(), dtype=np.int64), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["class", "item"])
 
-    some = sets.join(classes, F.col("doc_id") == F.col("class")).select("class", "items")
+    some = sets.join(classes, "class").select("class", "items")
     alone = map_arrow(some, run, "class long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
     sizes = some.select("class", (F.length("items") / 8).cast("long").alias("n"))
     sizes = sizes.join(alone.groupBy("class").agg(F.count("*").alias("u")), "class", "left").select("class", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
     return sizes.filter(100 * F.col("c") >= similarity * F.col("n"))
 
 
-def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, at a similarity in percent."""
+def _grouped(docs: DataFrame, similarity: int) -> DataFrame:
+    """doc_id, mark, n_shingles, and of rows with an id and words the component's number and its least id."""
     signed = stored(signatures(docs, similarity), "signatures")
     some = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(some.groupBy("set_hash").agg(F.min("doc_id").alias("class"), F.first("bands").alias("bands")), "classes")
+    # a class is a set; its number is fixed by being stored
+    classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     rows = classes.select(F.col("class"), F.posexplode("bands").alias("band", "key"))
     # a bucket is a band and a key; those of one class only are of no use
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class").alias("least")).filter("n > 1")
     buckets = stored(rows.join(shared, ["band", "key"]).select("band", "key", "class", "least"), "buckets")
-    nodes = buckets.select(F.col("class").alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(nodes, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    nodes = classes.join(buckets.select("class").distinct(), "class", "left_semi").select("class", "doc_id", "set_hash")
+    own = full_sets(docs.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")).dropDuplicates(["doc_id", "set_hash"])
+    sets = stored(own.join(nodes, ["doc_id", "set_hash"]).select("class", "items"), "sets")
     # first, each class with the least of its buckets' least
     tested = stored(buckets.groupBy(F.col("class").alias("b")).agg(F.min("least").alias("a")).filter("a < b").select("a", "b"), "pairs")
     found = components(stored(verified(tested, sets, similarity), "verified"))
@@ -247,15 +257,33 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     rest = left.join(right, F.expr("l.band = r.band AND l.key = r.key") & F.expr(possible) & first).select("a", "b")
     rest = stored(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), "pairs")
     found = stored(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(rest, sets, similarity))), "components")
-    roots = classes.select("set_hash", "class").join(found, F.col("class") == F.col("node"), "left").select("set_hash", F.coalesce("root", "class").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(roots, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("root")), F.col("doc_id")).alias("component_id"))
+    least = found.join(classes.select(F.col("class").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
+    roots = classes.select("set_hash", "doc_id", "class").join(found.withColumnRenamed("node", "class"), "class", "left")
+    roots = roots.withColumn("root", F.coalesce("root", "class")).join(least, "root", "left").select("set_hash", "root", F.coalesce("least", "doc_id").alias("least"))
+    joined = signed.drop("bands").join(roots, "set_hash", "left")
+    with_id = F.col("doc_id").isNotNull()
+    return joined.select("doc_id", "mark", "n_shingles", F.when(with_id, F.col("root")).alias("root"), F.when(with_id, F.col("least")).alias("least"))
+
+
+def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, at a similarity in percent."""
+    return _grouped(docs, similarity).select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def kept_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The documents without those that are near-duplicates of one with a smaller id."""
-    out = stored(near_duplicates(docs, similarity).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-duplicates")
-    return docs.join(out, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without those that are near-duplicates of one with a smaller id, and without repeats."""
+    found = _grouped(docs, similarity).filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    found = stored(found, "near-duplicates")
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    several = found.join(first, "root").withColumn("is_first", F.struct("doc_id", "mark") == F.col("first"))
+    several = several.select(F.col("doc_id").alias("id"), "mark", "n", "is_first")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    kept = rows.join(several.filter("NOT is_first"), ["id", "mark"], "left_anti")
+    repeated = stored(several.filter("is_first AND n > 1").select("id", "mark").distinct(), "repeated")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
+        kept = kept.join(repeated, ["id", "mark"], "left_anti").union(once)
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

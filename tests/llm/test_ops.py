@@ -665,6 +665,18 @@ def test_the_pipeline_links_at_eighty_percent(spark):
     assert minhash.shape(85) == (minhash.BANDS, minhash.ROWS) and (1 - 0.8 ** minhash.shape(80)[1]) ** minhash.shape(80)[0] < 4e-6
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    text = lambda k, n=60: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(1, text(1), "a"), (1, text(2), "a"), (1, text(1), "b"), (2, text(2) + " more", "a"), (3, text(3), "a"), (3, text(1) + " end", "a"), (4, text(4), "a"), (4, text(4), "a"), (4, text(4), "a"), (None, text(4), "a"), (None, text(4), "a"), (5, "", "a"), (5, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("mark", F.lit("m")).withColumn("id", F.lit("i"))
+    kept = minhash.kept_documents(docs)
+    assert kept.columns == docs.columns
+    want = [(1, text(1)), (1, text(2)), (3, text(3)), (4, text(4)), (None, text(4)), (None, text(4)), (5, ""), (5, "")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want)
+    groups = Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect())
+    assert groups == Counter({(1, 1): 3, (2, 1): 1, (3, 3): 1, (3, 1): 1, (4, 4): 3, (None, None): 2, (5, 5): 2})
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 1000).astype(np.uint64)
