@@ -1,15 +1,15 @@
-"""Benchmark tables: k sweeps, incremental against full k-means, threshold grids.
-
-The incremental runs replay a bounded feed on the driver, as a machine does; the sweep is distributed."""
+"""Benchmark tables: k sweeps, and thresholds of incremental against full k-means."""
 
 from __future__ import annotations
 
-import time
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from temblor.operators import kmeans
+from temblor.session import ship_package
 
 #: The thresholds of the grid.
 TINY, BIG = (0.001, 0.005, 0.01, 0.02, 0.05, 0.10), (0.05, 0.10, 0.20, 0.30, 0.50)
@@ -26,39 +26,48 @@ def sweep(quakes: DataFrame, ks: tuple[int, ...] = (2, 3, 5, 8)) -> DataFrame:
     return out
 
 
-def rand_index(a: list[int], b: list[int]) -> float:
-    """The adjusted Rand index of two short lists of labels."""
-    from collections import Counter
-
-    pairs = lambda c: sum(n * (n - 1) / 2 for n in c.values())
-    cells, first, second, total = pairs(Counter(zip(a, b, strict=True))), pairs(Counter(a)), pairs(Counter(b)), len(a) * (len(a) - 1) / 2
-    expected, top = first * second / total, (first + second) / 2
-    return 1.0 if top == expected else (cells - expected) / (top - expected)
-
-
-def _lloyd(points: list[tuple[float, float]], centres: list[tuple[float, float]]) -> list[int]:
-    machine = kmeans.Incremental(list(centres), points=list(points), labels=[0] * len(points))
-    for _ in range(kmeans.ROUNDS):
-        labels = [machine._nearest(p) for p in points]
-        if labels == machine.labels:
-            break
-        machine.labels = labels
-        machine.centres = [machine._mean(i) for i in range(len(centres))]
-    return machine.labels
-
-
-def thresholds(spark: SparkSession, points: list[tuple[float, float]], k: int = 5, warm: int = 50, tiny: tuple = TINY, big: tuple = BIG) -> DataFrame:
-    """(tiny, big, ari, speedup) of the incremental rules against full runs, for big > tiny."""
-    start = [points[i * warm // k] for i in range(k)]
-    begin = time.perf_counter()
-    full = _lloyd(points, start)
-    cost = (time.perf_counter() - begin) * (len(points) - warm)  # a full run for each row
-    rows = []
-    for t in tiny:
-        for b in (b for b in big if b > t):
-            machine = kmeans.Incremental(list(start), t, b)
-            begin = time.perf_counter()
-            for p in points:
-                machine.add(p)
-            rows.append((t, b, round(rand_index(machine.labels, full), 4), cost / max(time.perf_counter() - begin, 1e-9)))
-    return spark.createDataFrame(rows, "tiny double, big double, ari double, speedup double")
+PLACES = "tiny double, big double, lat double, lon double, label int, n long"
+
+
+def replayed(quakes: DataFrame, k: int = 5, tiny: tuple = TINY, big: tuple = BIG) -> tuple[DataFrame, list[tuple[float, float]]]:
+    """(tiny, big, lat, lon, label, n): what each setting's machine has made of all rows, and the centres of
+    a full run over them from the same start. A setting is one task, through which the feed streams in order."""
+    first, begin, _ = kmeans.warm_up(quakes, k)
+    settings = F.array(*(F.struct(F.lit(t).alias("tiny"), F.lit(b).alias("big")) for t in tiny for b in big if b > t))
+    feed = quakes.select("us", "event_id", "lat", "lon").na.drop()
+    full = kmeans.lloyd(kmeans.places(feed), begin)
+    ship_package(quakes.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, machine = None, None
+
+        def settle() -> pd.DataFrame:
+            rows = [(*key, *p, label, n) for p, own in machine.groups.items() for label, n in own.items()] if machine else []
+            return pd.DataFrame(rows, columns=[c.split()[0] for c in PLACES.split(", ")])
+
+        for pdf in batches:
+            for t, b, x, y in pdf[["tiny", "big", "lat", "lon"]].itertuples(index=False, name=None):
+                if (t, b) != key:
+                    yield settle()
+                    key, machine = (t, b), kmeans.Incremental(begin, t, b)
+                machine.add((x, y))
+        yield settle()
+
+    rows = feed.select("*", F.explode(settings).alias("s")).select("us", "event_id", "lat", "lon", "s.*")
+    n = sum(b > t for t in tiny for b in big)
+    dealt = rows.repartition(n, "tiny", "big").sortWithinPartitions("tiny", "big", "us", "event_id")
+    return dealt.mapInPandas(run, PLACES), full
+
+
+def thresholds(quakes: DataFrame, k: int = 5, tiny: tuple = TINY, big: tuple = BIG) -> DataFrame:
+    """(tiny, big, ari): how the incremental rules' last labels agree with a full run's, for big > tiny."""
+    rows, full = replayed(quakes, k, tiny, big)
+    if not full:
+        return rows.select("tiny", "big", F.lit(None).cast("double").alias("ari")).limit(0)
+    keys, c2 = ["tiny", "big"], lambda n: n * (n - 1) / 2
+    cells = rows.withColumn("whole", kmeans.nearest(full)).groupBy(*keys, "label", "whole").agg(F.sum("n").alias("n"))
+    both = cells.groupBy(*keys).agg(F.sum(c2(F.col("n"))).alias("cells"), F.sum("n").alias("total"))
+    margin = lambda side, out: cells.groupBy(*keys, side).agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(c2(F.col("n"))).alias(out))
+    joined = both.join(margin("label", "first"), keys).join(margin("whole", "second"), keys)
+    expected, top = F.col("first") * F.col("second") / c2(F.col("total")), (F.col("first") + F.col("second")) / 2
+    return joined.select(*keys, F.round(F.when(top == expected, 1.0).otherwise((F.col("cells") - expected) / (top - expected)), 4).alias("ari"))

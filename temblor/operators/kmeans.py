@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from temblor.functions import geo
+from temblor.operators.graph import checkpointed
+from temblor.session import ship_package
 
 #: Fixed values of the incremental rules: relative shifts, rounds, minutes between full runs.
 TINY_SHIFT, BIG_SHIFT, ROUNDS, FULL_EVERY_S = 0.02, 0.10, 10, 20 * 60
@@ -25,6 +28,12 @@ def nearest(centres: list[tuple[float, float]]) -> Column:
     return F.array_min(entries)["i"]
 
 
+def places(quakes: DataFrame) -> DataFrame:
+    """(lat, lon, n, event_id): distinct places with their rows and least event, stored once for all rounds."""
+    found = quakes.select("event_id", "lat", "lon").na.drop().groupBy("lat", "lon")
+    return checkpointed(found.agg(F.count("*").alias("n"), F.min("event_id").alias("event_id")))
+
+
 def start(points: DataFrame, k: int) -> list[tuple[float, float]]:
     """The first row's place, then again and again the place farthest from all chosen; the k centres are
     all that the driver holds."""
@@ -32,26 +41,20 @@ def start(points: DataFrame, k: int) -> list[tuple[float, float]]:
     centres = [tuple(first)]
     while len(centres) < k:
         least = F.least(*(d2(F.col("lat"), F.col("lon"), c) for c in centres)) if len(centres) > 1 else d2(F.col("lat"), F.col("lon"), centres[0])
-        centres.append(tuple(points.groupBy("lat", "lon").agg(F.min("event_id").alias("event_id")).orderBy(F.desc(least), "event_id").select("lat", "lon").first()))
+        centres.append(tuple(points.orderBy(F.desc(least), "event_id").select("lat", "lon").first()))
     return centres
 
 
 def centroids(assigned: DataFrame, old: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Means of the members, in whole millionths so that they do not depend on the order of addition; a
     centre without members stays."""
-    micro = lambda c: F.sum(F.rint(F.col(c) * 1_000_000).cast("long"))
-    rows = assigned.groupBy("cluster").agg(micro("lat").alias("x"), micro("lon").alias("y"), F.count("*").alias("n")).collect()
+    micro = lambda c: F.sum(F.rint(F.col(c) * 1_000_000).cast("long") * F.col("n"))
+    rows = assigned.groupBy("cluster").agg(micro("lat").alias("x"), micro("lon").alias("y"), F.sum("n").alias("n")).collect()
     found = {r["cluster"]: (r["x"] / 1e6 / r["n"], r["y"] / 1e6 / r["n"]) for r in rows}
     return [found.get(i, c) for i, c in enumerate(old)]
 
 
-def fit(quakes: DataFrame, k: int = 3, rounds: int = ROUNDS) -> list[tuple[float, float]]:
-    """The centres; fewer than three rows have none, and k is at most the number of rows."""
-    points = quakes.select("event_id", "lat", "lon").na.drop()
-    n = points.limit(max(k, LEAST_ROWS)).count()
-    if n < LEAST_ROWS:
-        return []
-    centres = start(points, min(k, n))
+def lloyd(points: DataFrame, centres: list[tuple[float, float]], rounds: int = ROUNDS) -> list[tuple[float, float]]:
     for _ in range(rounds):
         after = centroids(points.withColumn("cluster", nearest(centres)), centres)
         if after == centres:
@@ -60,6 +63,13 @@ def fit(quakes: DataFrame, k: int = 3, rounds: int = ROUNDS) -> list[tuple[float
     return centres
 
 
+def fit(quakes: DataFrame, k: int = 3, rounds: int = ROUNDS) -> list[tuple[float, float]]:
+    """The centres; fewer than three rows have none, and k is at most the number of rows."""
+    points = places(quakes)
+    n = points.agg(F.sum("n")).first()[0] or 0
+    return lloyd(points, start(points, min(k, n)), rounds) if n >= LEAST_ROWS else []
+
+
 def assign(quakes: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
     return quakes.withColumn("cluster", nearest(centres).cast("long"))
 
@@ -74,54 +84,101 @@ def cluster_stats(assigned: DataFrame, centres: list[tuple[float, float]]) -> Da
     return found.select("cluster", "n", "average_magnitude", F.round("centre_lat", 6).alias("lat"), F.round("centre_lon", 6).alias("lon"), "inertia")
 
 
-@dataclass
 class Incremental:
-    """Incremental k-means, one point at a time, with updates that spread as far as a centre moved."""
+    """Incremental k-means, one point at a time, with updates that spread as far as a centre moved.
+
+    Points of one place and label are a number, and means are running sums in whole millionths, so state is
+    bounded by the places, and a point that moves its centre little costs the same at any time."""
 
-    centres: list[tuple[float, float]]
-    tiny: float = TINY_SHIFT
-    big: float = BIG_SHIFT
-    points: list[tuple[float, float]] = field(default_factory=list)
-    labels: list[int] = field(default_factory=list)
+    def __init__(self, centres: list[tuple[float, float]], tiny: float = TINY_SHIFT, big: float = BIG_SHIFT):
+        self.centres, self.tiny, self.big = list(centres), tiny, big
+        self.groups: dict[tuple[float, float], dict[int, int]] = {}
+        self.sums = [[0, 0, 0] for _ in centres]
 
     def _nearest(self, p: tuple[float, float]) -> int:
         return min(range(len(self.centres)), key=lambda i: ((p[0] - self.centres[i][0]) ** 2 + (p[1] - self.centres[i][1]) ** 2, i))
 
     def _mean(self, c: int) -> tuple[float, float]:
-        own = [p for p, label in zip(self.points, self.labels, strict=True) if label == c]
-        return (sum(p[0] for p in own) / len(own), sum(p[1] for p in own) / len(own)) if own else self.centres[c]
+        x, y, n = self.sums[c]
+        return (x / 1e6 / n, y / 1e6 / n) if n else self.centres[c]
+
+    def _put(self, p: tuple[float, float], c: int, n: int) -> None:
+        own = self.groups.setdefault(p, {})
+        own[c] = own.get(c, 0) + n
+        if not own[c]:
+            del own[c]
+        total = self.sums[c]
+        total[0] += n * round(p[0] * 1_000_000)
+        total[1] += n * round(p[1] * 1_000_000)
+        total[2] += n
+
+    def warm(self, p: tuple[float, float]) -> None:
+        """A point of the warm-up: it has a label and moves nothing."""
+        self._put(p, self._nearest(p), 1)
 
     def add(self, p: tuple[float, float]) -> tuple[int, float, str, int]:
         """(cluster, relative shift, how far it spread, points reassigned) of a new point."""
         c = self._nearest(p)
-        self.points.append(p)
-        self.labels.append(c)
+        self._put(p, c, 1)
         old, new = self.centres[c], self._mean(c)
         norm = math.hypot(*old)
         shift = 0.0 if norm < 1e-10 else math.hypot(new[0] - old[0], new[1] - old[1]) / norm
         self.centres[c] = new
         if shift < self.tiny:
             return c, shift, "none", 0
-        moved: set[int] = set()
         if shift < self.big:
-            touched = {c}
-            for i in [i for i, label in enumerate(self.labels) if label == c]:
-                if (to := self._nearest(self.points[i])) != c:
-                    self.labels[i] = to
-                    moved.add(i)
-                    touched.add(to)
-            for t in touched:
+            moves = [(q, to, own[c]) for q, own in self.groups.items() if c in own and (to := self._nearest(q)) != c]
+            for q, to, n in moves:
+                self._put(q, c, -n)
+                self._put(q, to, n)
+            for t in {c, *(to for _, to, _ in moves)}:
                 self.centres[t] = self._mean(t)
-            return c, shift, "cluster_only", len(moved)
+            return c, shift, "cluster_only", sum(n for *_, n in moves)
+        moved: dict[tuple, int] = {}  # how many of a place and label have moved by now
         for _ in range(ROUNDS):
-            changed = [(i, to) for i, p in enumerate(self.points) if (to := self._nearest(p)) != self.labels[i]]
-            if not changed:
+            moves = [(q, label, to, n) for q, own in self.groups.items() for to in [self._nearest(q)] for label, n in own.items() if label != to]
+            if not moves:
                 break
-            for i, to in changed:
-                self.labels[i] = to
-                moved.add(i)
+            for q, label, to, n in moves:
+                self._put(q, label, -n)
+                self._put(q, to, n)
+                moved.pop((q, label), None)
+                moved[q, to] = moved.get((q, to), 0) + n
             self.centres = [self._mean(t) for t in range(len(self.centres))]
-        return c, shift, "full", len(moved)
+        return c, shift, "full", sum(moved.values())
+
+
+FIRST = 50  # rows of the warm-up
+LOG = "event_id long, cluster_assigned int, centroid_shift double, propagation_type string, points_reassigned int"
+
+
+def warm_up(quakes: DataFrame, k: int, rows: int = FIRST) -> tuple[list, list[tuple[float, float]], DataFrame]:
+    """The feed's first rows, the centres of a full run over them, and the feed's other rows."""
+    feed = quakes.select("us", "event_id", "lat", "lon").na.drop()
+    first = feed.orderBy("us", "event_id").limit(rows).collect()
+    if len(first) < LEAST_ROWS:
+        return first, [], feed.limit(0)
+    centres = fit(feed.sparkSession.createDataFrame(first, feed.schema), k)
+    us, event_id = first[-1].us, first[-1].event_id
+    later = (F.col("us") > us) | ((F.col("us") == us) & (F.col("event_id") > event_id))
+    return first, centres, feed.filter(later)
+
+
+def update_log(quakes: DataFrame, k: int = 5) -> DataFrame:
+    """The log of the incremental rules over all rows after the warm-up. The rules are one machine, whose
+    every step depends on the last one: the feed streams through it in order, in one task."""
+    first, centres, rest = warm_up(quakes, k)
+    ship_package(quakes.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine = Incremental(centres)
+        for r in first:
+            machine.warm((r.lat, r.lon))
+        for pdf in batches:
+            log = [(e, *machine.add((x, y))) for e, x, y in pdf[["event_id", "lat", "lon"]].itertuples(index=False, name=None)]
+            yield pd.DataFrame(log, columns=[c.split()[0] for c in LOG.split(", ")])
+
+    return rest.repartition(1).sortWithinPartitions("us", "event_id").mapInPandas(run, LOG)
 
 
 def due(last_full_s: float | None, now_s: float, forced: bool, k: int, current_k: int) -> bool:

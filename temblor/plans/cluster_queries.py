@@ -107,15 +107,8 @@ def q_kmeans_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_kmeans_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The update log of the incremental rules over the feed's first rows, after a warm-up of fifty."""
-    rows = read_quakes(spark, sf_dir).orderBy("us", "event_id").select("event_id", "lat", "lon").limit(350).collect()  # the feature: a bounded log
-    warm = spark.createDataFrame([tuple(x) for x in rows[:50]], "event_id long, lat double, lon double")
-    machine = kmeans.Incremental(kmeans.fit(warm, 5))
-    for x in rows[:50]:
-        machine.points.append((x.lat, x.lon))
-        machine.labels.append(machine._nearest((x.lat, x.lon)))
-    log = [(x.event_id, *machine.add((x.lat, x.lon))) for x in rows[50:]]
-    return spark.createDataFrame(log, "event_id long, cluster_assigned int, centroid_shift double, propagation_type string, points_reassigned int")
+    """The update log of the incremental rules over the whole feed, after a warm-up of fifty rows."""
+    return kmeans.update_log(read_quakes(spark, sf_dir))
 
 
 QUERIES["q_kmeans_incremental"] = q_kmeans_incremental
@@ -187,9 +180,8 @@ def q_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The agreement of incremental with full runs, thresholds against thresholds; a bounded feed."""
-    rows = read_quakes(spark, sf_dir).orderBy("us", "event_id").select("lat", "lon").limit(200).collect()
-    return metrics.pivoted(benchmarks.thresholds(spark, [tuple(r) for r in rows]), "big", "tiny", "ari")
+    """The agreement of incremental with full runs over the whole feed, thresholds against thresholds."""
+    return metrics.pivoted(benchmarks.thresholds(read_quakes(spark, sf_dir)), "big", "tiny", "ari")
 
 
 def q_views(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,15 @@
 """Every query with SQL gives the rows of its SQL; the others run."""
 
+import math
+import random
+from collections import Counter
+
 import pytest
 from oracle import assert_same, connect
 
+from temblor.operators import kmeans
 from temblor.plans import registry
+from temblor.sources.quakes import read_quakes
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
@@ -19,9 +25,80 @@ def test_anomaly_is_frozen_after_a_hundred_rows(spark, sf_dir):
     assert rows.sort_values("event_id").reset_index(drop=True).equals(again.sort_values("event_id").reset_index(drop=True))
 
 
+class PlainIncremental:
+    """The incremental rules with a list of points and labels."""
+
+    def __init__(self, centres, tiny=kmeans.TINY_SHIFT, big=kmeans.BIG_SHIFT):
+        self.centres, self.tiny, self.big, self.points, self.labels = list(centres), tiny, big, [], []
+
+    def near(self, p):
+        return min(range(len(self.centres)), key=lambda i: ((p[0] - self.centres[i][0]) ** 2 + (p[1] - self.centres[i][1]) ** 2, i))
+
+    def mean(self, c):
+        own = [p for p, label in zip(self.points, self.labels, strict=True) if label == c]
+        return tuple(sum(round(p[i] * 1_000_000) for p in own) / 1e6 / len(own) for i in (0, 1)) if own else self.centres[c]
+
+    def add(self, p):
+        c = self.near(p)
+        self.points.append(p)
+        self.labels.append(c)
+        old, self.centres[c] = self.centres[c], self.mean(c)
+        shift = math.hypot(self.centres[c][0] - old[0], self.centres[c][1] - old[1]) / math.hypot(*old)
+        if shift < self.tiny:
+            return c, shift, "none", 0
+        moved, rounds = set(), 1 if shift < self.big else kmeans.ROUNDS
+        for _ in range(rounds):
+            changes = [(i, to) for i, q in enumerate(self.points) if (shift >= self.big or self.labels[i] == c) and (to := self.near(q)) != self.labels[i]]
+            if not changes and shift >= self.big:
+                break
+            for i, to in changes:
+                self.labels[i] = to
+                moved.add(i)
+            touched = range(len(self.centres)) if shift >= self.big else {c, *(to for _, to in changes)}
+            for t, m in [(t, self.mean(t)) for t in touched]:
+                self.centres[t] = m
+        return c, shift, "full" if shift >= self.big else "cluster_only", len(moved)
+
+
+def feed_rows(spark, sf_dir):
+    return [(r.event_id, r.lat, r.lon) for r in read_quakes(spark, sf_dir).orderBy("us", "event_id").collect()]
+
+
 def test_incremental_log(spark, sf_dir):
-    log = registry.QUERIES["q_kmeans_incremental"](spark, sf_dir).toPandas()
-    assert len(log) == 300 and set(log.propagation_type) <= {"none", "cluster_only", "full"}
+    log = registry.QUERIES["q_kmeans_incremental"](spark, sf_dir).collect()
+    rows = feed_rows(spark, sf_dir)
+    machine = PlainIncremental(kmeans.fit(spark.createDataFrame(rows[:50], "event_id long, lat double, lon double"), 5))
+    for _, *p in rows[:50]:
+        machine.labels.append(machine.near(p))
+        machine.points.append(tuple(p))
+    assert [tuple(r) for r in log] == [(e, *machine.add(tuple(p))) for e, *p in rows[50:]]
+
+
+def test_incremental_rules_with_large_moves():
+    rng, start = random.Random(3), [(1.0, 1.0), (2.0, 2.0), (1.0, 2.0)]
+    ours, plain, kinds = kmeans.Incremental(start), PlainIncremental(start), set()
+    for _ in range(300):
+        p = (round(rng.uniform(-3, 3), 1), round(rng.uniform(-3, 3), 1))
+        found = ours.add(p)
+        assert found == plain.add(p)
+        kinds.add(found[2])
+    assert kinds == {"none", "cluster_only", "full"}
+
+
+def test_threshold_grid(spark, sf_dir):
+    grid = {r.big: r.asDict() for r in registry.QUERIES["q_threshold_grid"](spark, sf_dir).collect()}
+    rows = [tuple(p) for _, *p in feed_rows(spark, sf_dir)]
+    first, start, _ = kmeans.warm_up(read_quakes(spark, sf_dir), 5)
+    full = kmeans.lloyd(kmeans.places(read_quakes(spark, sf_dir)), start)
+    whole = PlainIncremental(full)
+    pairs = lambda values: sum(n * (n - 1) / 2 for n in Counter(values).values())
+    for tiny, big in ((0.001, 0.05), (0.1, 0.5)):
+        machine = kmeans.Incremental(start, tiny, big)
+        for p in rows:
+            machine.add(p)
+        cells = [(label, whole.near(p)) for p, own in machine.groups.items() for label, n in own.items() for _ in range(n)]
+        a, b, both, total = pairs(x for x, _ in cells), pairs(x for _, x in cells), pairs(cells), len(cells) * (len(cells) - 1) / 2
+        assert len(cells) == len(rows) and grid[big][str(tiny)] == pytest.approx((both - a * b / total) / ((a + b) / 2 - a * b / total), abs=1e-4)
 
 
 def test_grid_has_all_settings(spark, sf_dir):
