@@ -222,12 +222,20 @@ def _shared_sizes(sets: DataFrame, classes: DataFrame, similarity: int) -> DataF
 
 
 def _grouped(docs: DataFrame, similarity: int) -> DataFrame:
-    """doc_id, mark, n_shingles, and of rows with an id and words the component's number and its least id."""
+    """doc_id, mark, n_shingles, and of rows with an id and words the component's number and its least id.
+
+    Classes are numbered in the order of their least ids, for the least one is a good centre of its copies:
+    by that id itself, unless one id is the least of several classes."""
     signed = stored(signatures(docs, similarity), "signatures")
     some = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
-    # a class is a set; its number is fixed by being stored
-    classes = some.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    classes = stored(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    classes = stored(some.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes")
+    by_id = classes.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    if by_id:
+        classes = classes.withColumn("class", F.col("doc_id"))
+    else:
+        ordered = classes.select("doc_id", "set_hash").repartitionByRange("doc_id", "set_hash").sortWithinPartitions("doc_id", "set_hash")
+        numbers = stored(ordered.select("set_hash", F.monotonically_increasing_id().alias("class")), "class-numbers")
+        classes = stored(classes.join(numbers, "set_hash"), "classes")
     rows = classes.select(F.col("class"), F.posexplode("bands").alias("band", "key"))
     # a bucket is a band and a key; those of one class only are of no use
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("class").alias("least")).filter("n > 1")
@@ -257,9 +265,12 @@ def _grouped(docs: DataFrame, similarity: int) -> DataFrame:
     rest = left.join(right, F.expr("l.band = r.band AND l.key = r.key") & F.expr(possible) & first).select("a", "b")
     rest = stored(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), "pairs")
     found = stored(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(rest, sets, similarity))), "components")
-    least = found.join(classes.select(F.col("class").alias("node"), "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("least"))
-    roots = classes.select("set_hash", "doc_id", "class").join(found.withColumnRenamed("node", "class"), "class", "left")
-    roots = roots.withColumn("root", F.coalesce("root", "class")).join(least, "root", "left").select("set_hash", "root", F.coalesce("least", "doc_id").alias("least"))
+    roots = classes.select("set_hash", "class").join(found.withColumnRenamed("node", "class"), "class", "left")
+    roots = roots.select("set_hash", F.coalesce("root", "class").alias("root"))
+    if by_id:
+        roots = roots.withColumn("least", F.col("root"))
+    else:  # a root is its component's least class
+        roots = roots.join(classes.select(F.col("class").alias("root"), F.col("doc_id").alias("least")), "root")
     joined = signed.drop("bands").join(roots, "set_hash", "left")
     with_id = F.col("doc_id").isNotNull()
     return joined.select("doc_id", "mark", "n_shingles", F.when(with_id, F.col("root")).alias("root"), F.when(with_id, F.col("least")).alias("least"))
@@ -272,14 +283,18 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
 def kept_documents(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The documents without those that are near-duplicates of one with a smaller id, and without repeats."""
-    found = _grouped(docs, similarity).filter(F.col("root").isNotNull()).groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    found = _grouped(docs, similarity).filter(F.col("root").isNotNull()).groupBy("root", "least", "doc_id", "mark").agg(F.count("*").alias("n"))
     found = stored(found, "near-duplicates")
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
-    several = found.join(first, "root").withColumn("is_first", F.struct("doc_id", "mark") == F.col("first"))
-    several = several.select(F.col("doc_id").alias("id"), "mark", "n", "is_first")
+    # the rows of a component's least id are few: that id's own texts
+    own = found.filter(F.col("doc_id") == F.col("least"))
+    first = own.groupBy("root").agg(F.min("mark").alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    several = own.join(first, "root").select(F.col("doc_id").alias("id"), "mark", "n", (F.col("mark") == F.col("first")).alias("is_first"))
+    several = stored(several, "repeated")
+    others = found.filter(F.col("doc_id") != F.col("least")).select(F.col("doc_id").alias("id"), "mark")
+    others = others.union(several.filter("NOT is_first").select("id", "mark"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    kept = rows.join(several.filter("NOT is_first"), ["id", "mark"], "left_anti")
-    repeated = stored(several.filter("is_first AND n > 1").select("id", "mark").distinct(), "repeated")
+    kept = rows.join(others, ["id", "mark"], "left_anti")
+    repeated = several.filter("is_first AND n > 1").select("id", "mark").distinct()
     if not repeated.isEmpty():
         once = kept.join(repeated, ["id", "mark"], "left_semi").dropDuplicates(["id", "mark"])
         kept = kept.join(repeated, ["id", "mark"], "left_anti").union(once)
