@@ -29,8 +29,9 @@ from temblor.llm.common import WORD, stored, table
 #: Fixed values of the production mix.
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, SEED = 128, 4096, 20240229
-#: Documents in a bucket of the offset sums, sources in one; sources up to which their table is broadcast.
-BUCKET, SOURCES, MOST_BROADCAST = 2_000, 100_000, 50_000
+#: Documents in a bucket of the offset sums, buckets and sources whose sums one task adds up; sources up to
+#: which their table is broadcast.
+BUCKET, BUCKETS, SOURCES, MOST_BROADCAST = 500, 10_000, 100_000, 50_000
 #: Slots or equal rows that one row stands for until they are dealt.
 CHUNK = 1 << 14
 PIECE = ("sid", "start", "block", "first", "after", "pass", "shard", "place")
@@ -104,7 +105,11 @@ def layout(docs: DataFrame, sources: DataFrame, n_docs: int, n_sources: int) ->
     inside = W.partitionBy("sid", "bucket").orderBy(F.col("doc_id").asc_nulls_first(), "size", "mark", "copy").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("before", F.sum("size").over(inside) - F.col("size"))
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    sums = sums.select("sid", "bucket", (F.sum("n").over(W.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("bucket_start"))
+    sums = sums.withColumn("part", F.expr(f"bucket div {BUCKETS}"))
+    parts = sums.groupBy("sid", "part").agg(F.sum("n").alias("n"))
+    parts = parts.select("sid", "part", (F.sum("n").over(W.partitionBy("sid").orderBy("part")) - F.col("n")).alias("offset"))
+    inner = F.sum("n").over(W.partitionBy("sid", "part").orderBy("bucket")) - F.col("n")
+    sums = sums.withColumn("inner", inner).join(parts, ["sid", "part"]).select("sid", "bucket", (F.col("inner") + F.col("offset")).alias("bucket_start"))
     return rows.join(sums, ["sid", "bucket"]).withColumn("start", F.col("bucket_start") + F.col("before")).drop("bucket", "bucket_start", "before")
 
 
@@ -161,7 +166,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     n_docs, most = docs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     each = _numbered(docs, "n", "copy", most).drop("n")
     placed = stored(layout(each, sources, n_docs, sources.count()), "mix-layout")
-    return placed, document_blocks(placed).join(slots(sources, seed), ["sid", "block"]).select(*PIECE)
+    # a merge join by name: by the size of the sources table the optimiser would take all slots for few
+    return placed, document_blocks(placed).join(slots(sources, seed).hint("merge"), ["sid", "block"]).select(*PIECE)
 
 
 def shard_counts(pieces: DataFrame) -> DataFrame:
