@@ -11,8 +11,9 @@ Candidates are verified on the full sets. No bucket is expanded into all its pai
 class first; each class is verified against the least class of its buckets; connected classes are then
 one component, and in every bucket one class a component is verified against the least component's; at
 last only classes of a bucket that are in different components still are paired and verified, so that no
-link is lost. Of those, a class can share no more than its shingles that any other one has; what this
-bound rules out is not paired. Components come from alternating large-star and small-star steps on tables in the shared
+link is lost. Of those, a class can share no more than its shingles that any other one has, and two sets
+differ in as many shingles at least as their parity bitmaps differ in bits; what these bounds rule out is
+not paired. Components come from alternating large-star and small-star steps on tables in the shared
 folder.
 
 Defined results: words are split at ASCII white space and A-Z lower-cased; a text of one to four words
@@ -40,6 +41,7 @@ SHINGLE, SIMILARITY = 5, 85  # words; percent
 BANDS, ROWS = 40, 8
 COORDINATES = BANDS * ROWS
 MOST_MISSED, MOST_BANDS = 4e-6, 56
+PARITY = 2048  # bits of a bitmap
 U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U)
 
@@ -163,6 +165,12 @@ def linked(a: bytes, b: bytes, similarity: int = SIMILARITY) -> bool:
     return 100 * shared >= similarity * (len(x) + len(y) - shared)
 
 
+def parity(items: np.ndarray) -> np.ndarray:
+    """A bitmap of a set, with a bit set where an odd number of its elements falls."""
+    odd = np.bincount((items & U(PARITY - 1)).astype(np.intp), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of classes that are linked; ``sets`` has class and items."""
 
@@ -205,8 +213,13 @@ def _open_buckets(buckets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _shared_sizes(sets: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """(class, n, c): a set's size, and how many of its shingles another of the classes has. No other class
-    shares more than c of them, so those that cannot be linked with any are left out."""
+    """(class, n, parity, c): a set's size, its bitmap, and how many of its shingles another of the classes
+    has. No other class shares more than c of them, so those that cannot be linked with any are left out."""
+
+    def measured(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array([parity(x) for x in found], pa.list_(pa.int64()))], names=["class", "n", "parity"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -216,8 +229,8 @@ def _shared_sizes(sets: DataFrame, classes: DataFrame, similarity: int) -> DataF
 
     some = sets.join(classes, "class").select("class", "items")
     alone = map_arrow(some, run, "class long, item long").groupBy("item").agg(F.count("*").alias("n"), F.min("class").alias("class")).filter("n = 1")
-    sizes = some.select("class", (F.length("items") / 8).cast("long").alias("n"))
-    sizes = sizes.join(alone.groupBy("class").agg(F.count("*").alias("u")), "class", "left").select("class", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    sizes = map_arrow(some, measured, "class long, n long, parity array<long>")
+    sizes = sizes.join(alone.groupBy("class").agg(F.count("*").alias("u")), "class", "left").select("class", "n", "parity", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
     return sizes.filter(100 * F.col("c") >= similarity * F.col("n"))
 
 
@@ -257,12 +270,14 @@ def _grouped(docs: DataFrame, similarity: int) -> DataFrame:
     rows = _open_buckets(buckets, found)
     rows = stored(rows.join(_shared_sizes(sets, rows.select("class").distinct(), similarity), "class"), "open-buckets")
     rows = rows.join(classes.select("class", "bands"), "class")
-    left = rows.select("band", "key", F.col("class").alias("a"), F.col("root").alias("p"), F.col("n").alias("m"), F.col("c").alias("s"), F.col("bands").alias("x"))
-    right = rows.select("band", "key", F.col("class").alias("b"), F.col("root").alias("q"), "n", "c", F.col("bands").alias("y"))
+    left = rows.select("band", "key", F.col("class").alias("a"), F.col("root").alias("p"), F.col("n").alias("m"), F.col("c").alias("s"), F.col("bands").alias("x"), F.col("parity").alias("v"))
+    right = rows.select("band", "key", F.col("class").alias("b"), F.col("root").alias("q"), "n", "c", F.col("bands").alias("y"), F.col("parity").alias("w"))
     possible = f"a < b AND p <> q AND {100 + similarity} * least(s, c) >= {similarity} * (m + n)"
     first = F.expr("NOT exists(sequence(0, l.band), i -> i < l.band AND x[i] = y[i])")  # a pair meets once, in its first band
+    differ = "aggregate(zip_with(v, w, (i, j) -> bit_count(i ^ j)), 0, (i, j) -> i + j)"
+    alike = F.expr(f"{100 + similarity} * (m + n - {differ}) >= {2 * similarity} * (m + n)")  # (m + n - differ) / 2 shared at most
     left, right = left.alias("l"), right.alias("r")
-    rest = left.join(right, F.expr("l.band = r.band AND l.key = r.key") & F.expr(possible) & first).select("a", "b")
+    rest = left.join(right, F.expr("l.band = r.band AND l.key = r.key") & F.expr(possible) & first & alike).select("a", "b")
     rest = stored(rest.join(tested.union(pairs), ["a", "b"], "left_anti"), "pairs")
     found = stored(components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(verified(rest, sets, similarity))), "components")
     roots = classes.select("set_hash", "class").join(found.withColumnRenamed("node", "class"), "class", "left")

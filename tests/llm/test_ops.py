@@ -688,6 +688,45 @@ def test_sketch_estimates_similarity():
     assert (minhash.sketch(x[:1]) != np.iinfo(np.uint64).max).all()
 
 
+def test_parity_never_differs_in_more_bits_than_sets_in_elements():
+    rng = np.random.default_rng(2)
+    for n, m, both in ((100, 80, 70), (5000, 4000, 3900), (3, 3, 0), (1, 1, 1), (0, 5, 0)):
+        x = rng.integers(0, 2**63, n + m).astype(np.uint64)
+        a, b = x[:n], x[n - both : n - both + m]
+        bits = int(np.bitwise_count(minhash.parity(a) ^ minhash.parity(b)).sum())
+        assert bits <= n + m - 2 * both and len(minhash.parity(a)) == minhash.PARITY // 64
+        assert bits >= 0.85 * (n + m - 2 * both) or n > 1000
+
+
+def test_look_alikes_below_the_threshold_are_paired_only_where_bitmaps_allow(spark, monkeypatch):
+    rng, rows = random.Random(5), []
+    base = [f"b{i}" for i in range(150)]
+    for i in range(120):
+        text = list(base)
+        for k in rng.sample(range(150), 7):
+            text[k] = f"v{rng.randrange(40)}"
+        rows.append((i, " ".join(text)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    want = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = [low if x == high else x for x in want]
+    sizes, store = [], minhash.stored
+
+    def counted(df, name):
+        out = store(df, name)
+        if name == "pairs":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stored", counted)
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 60).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(want))
+    assert 1 < len(set(want)) < 120 and sizes[-1] < 60
+
+
 # ---- 10: classifier
 
 
