@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from temblor.operators.graph import checkpointed
@@ -97,7 +97,12 @@ def scores(rows: DataFrame) -> DataFrame:
     The first rows, ``FROZEN`` at most, reach the driver and fit the model; all others are scored where
     they are. The scores are stored once for both."""
     rows = checkpointed(rows.select("us", "event_id", *FEATURES))
-    first = rows.orderBy("us", "event_id").limit(FROZEN).select("us", "event_id", *FEATURES).collect()
+    return scored(rows, rows.orderBy("us", "event_id").limit(FROZEN).collect())
+
+
+def scored(rows: DataFrame, first: list[Row], after_all: bool = False) -> DataFrame:
+    """Scores by the model of the first rows. Rows up to the last of them have none, unless all rows are
+    known to come after them; fewer than ``FROZEN`` first rows make no model."""
     if len(first) < FROZEN:
         return rows.select("event_id", F.lit(0.0).alias("score"), F.lit(False).alias("ready"), F.lit(None).cast("double").alias("raw"))
     model = Frozen.fit(np.array([[r[f] for f in FEATURES] for r in first], dtype=float))
@@ -106,7 +111,7 @@ def scores(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ready = (pdf["us"] > last[0]) | ((pdf["us"] == last[0]) & (pdf["event_id"] > last[1]))
+            ready = after_all | (pdf["us"] > last[0]) | ((pdf["us"] == last[0]) & (pdf["event_id"] > last[1]))
             score, raw = model.score(pdf[list(FEATURES)].to_numpy(dtype=float))
             yield pd.DataFrame({"event_id": pdf["event_id"], "score": np.where(ready, score, 0.0), "ready": ready, "raw": pd.Series(raw, index=pdf.index).where(ready)})
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from temblor.operators import kmeans
+from temblor.operators import kmeans, metrics
+from temblor.operators.graph import checkpointed
 from temblor.session import ship_package
 
 #: The thresholds of the grid.
@@ -59,6 +60,47 @@ def replayed(quakes: DataFrame, k: int = 5, tiny: tuple = TINY, big: tuple = BIG
     return dealt.mapInPandas(run, PLACES), full
 
 
+STEP = "step long, lat double, lon double, label int, n long, x double, y double"
+
+
+def progress(quakes: DataFrame, k: int = 5, steps: int = 5) -> DataFrame:
+    """(step, rows, ari, drift_pct) at equal parts of the feed: how the incremental rules' labels agree with
+    those of a full run over all rows so far from the same start, and how far the mean centre is from the
+    full run's, in percent of the spread of the full run's centres."""
+    first, begin, _ = kmeans.warm_up(quakes, k)
+    if not begin:
+        return quakes.sparkSession.createDataFrame([], "step long, rows long, ari double, drift_pct double")
+    feed = quakes.select("us", "event_id", "lat", "lon").na.drop()
+    total = feed.count()
+    ends = [total * (i + 1) // steps for i in range(steps)]
+    ship_package(quakes.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, seen = kmeans.Incremental(begin), 0
+        for pdf in batches:
+            for p in pdf[["lat", "lon"]].itertuples(index=False, name=None):
+                (machine.add if seen >= len(first) else machine.warm)(p)
+                seen += 1
+                for step in (i for i, end in enumerate(ends) if end == seen):
+                    rows = [(step, *q, label, n, *machine.centres[label]) for q, own in machine.groups.items() for label, n in own.items()]
+                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in STEP.split(", ")])
+
+    rows = checkpointed(feed.repartition(1).sortWithinPartitions("us", "event_id").mapInPandas(run, STEP))
+    out = None
+    for step in range(steps):
+        own = rows.filter(F.col("step") == step)
+        full = kmeans.lloyd(own.groupBy("lat", "lon").agg(F.sum("n").alias("n")), begin)
+        centres = quakes.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(full)], "cluster int, x double, y double")
+        ari = metrics.adjusted_rand(own.select(F.col("label").alias("a"), kmeans.nearest(full).alias("b"), "n"), "n")
+        used = centres.join(own.select(kmeans.nearest(full).alias("cluster")).distinct(), "cluster", "left_semi")
+        drift = metrics.centroid_drift(used, own.select(F.col("label").alias("cluster"), "x", "y").distinct())
+        one = own.agg(F.sum("n").alias("rows")).select(F.lit(step + 1).cast("long").alias("step"), "rows")
+        for measure in (ari, drift):  # a row each
+            one = one.join(measure.withColumn("step", F.lit(step + 1).cast("long")), "step")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def thresholds(quakes: DataFrame, k: int = 5, tiny: tuple = TINY, big: tuple = BIG) -> DataFrame:
     """(tiny, big, ari): how the incremental rules' last labels agree with a full run's, for big > tiny."""
     rows, full = replayed(quakes, k, tiny, big)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def adjusted_rand(pairs: DataFrame) -> DataFrame:
-    """One row ``ari`` of rows (a, b) of two labels; 1 where both have one class or all are alone."""
+def adjusted_rand(pairs: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row ``ari`` of rows (a, b) of two labels; 1 where both have one class or all are alone. A weight
+    is how many rows a row stands for."""
     c2 = lambda n: n * (n - 1) / 2
-    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    cells = pairs.groupBy("a", "b").agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     both = cells.agg(F.sum(c2(F.col("n"))).alias("cells"), F.sum("n").alias("total"))
     first = cells.groupBy("a").agg(F.sum("n").alias("n")).agg(F.sum(c2(F.col("n"))).alias("rows"))
     second = cells.groupBy("b").agg(F.sum("n").alias("n")).agg(F.sum(c2(F.col("n"))).alias("columns"))

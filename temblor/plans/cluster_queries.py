@@ -14,9 +14,10 @@ K, ROUNDS = 3, 4
 EPS = 50.0 / 111.0
 
 PLACES = ", places AS (SELECT region, lat, lon, count(*) AS weight, min(event_id) AS point FROM q GROUP BY region, lat, lon)"
-DBSCAN = f"""WITH RECURSIVE {QUAKES.strip()} {PLACES},
-pairs AS (SELECT a.point AS a, b.point AS b, b.weight AS wb FROM places a JOIN places b ON a.region = b.region AND sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) <= {EPS!r}::DOUBLE),
-core AS (SELECT a AS node FROM pairs GROUP BY a HAVING sum(wb) >= 5),
+def _dbscan_sql(eps: float = EPS, least: int = 5) -> str:
+    return f"""WITH RECURSIVE {QUAKES.strip()} {PLACES},
+pairs AS (SELECT a.point AS a, b.point AS b, b.weight AS wb FROM places a JOIN places b ON a.region = b.region AND sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) <= {eps!r}::DOUBLE),
+core AS (SELECT a AS node FROM pairs GROUP BY a HAVING sum(wb) >= {least}),
 edges AS (SELECT a, b FROM pairs WHERE a IN (SELECT node FROM core) AND b IN (SELECT node FROM core)),
 reach AS (SELECT node AS a, node AS b FROM core UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
 roots AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
@@ -24,6 +25,10 @@ near AS (SELECT pairs.a, min(root) AS near FROM pairs JOIN roots ON pairs.b = ro
 labelled AS (SELECT region, lat, lon, weight, point, coalesce(root, near, -1)::BIGINT AS label FROM places LEFT JOIN roots ON point = node LEFT JOIN near ON near.a = point)"""
 
 
+DBSCAN = _dbscan_sql()
+GRID = [(eps, least) for eps in (20.0, 50.0, 100.0) for least in (3, 5, 8)]
+
+
 @query(f"{DBSCAN} SELECT point, region, weight, label FROM labelled")
 def q_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan.labels(read_quakes(spark, sf_dir)).select("point", "region", "weight", "label")
@@ -48,21 +53,23 @@ def q_kdistance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan.k_distances(read_quakes(spark, sf_dir))
 
 
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_dbscan_sql(eps / 111.0, least)} SELECT {eps}::DOUBLE AS eps_km, {least} AS min_samples, count(DISTINCT label) FILTER (label >= 0) AS clusters, sum(CASE WHEN label >= 0 THEN weight ELSE 0 END)::BIGINT AS clustered, sum(CASE WHEN label < 0 THEN weight ELSE 0 END)::BIGINT AS noise FROM labelled)"
+        for eps, least in GRID
+    )
+)
 def q_dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters, clustered rows and noise for each setting of the benchmark grid."""
     quakes, out = read_quakes(spark, sf_dir), None
-    for eps in (20.0, 50.0, 100.0):
-        for least in (3, 5, 8):
-            found = dbscan.labels(quakes, eps, least)
-            row = found.agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.sum(F.when(F.col("label") >= 0, F.col("weight")).otherwise(0)).alias("clustered"), F.sum(F.when(F.col("label") < 0, F.col("weight")).otherwise(0)).alias("noise"))
-            row = row.select(F.lit(eps).alias("eps_km"), F.lit(least).alias("min_samples"), "*")
-            out = row if out is None else out.unionByName(row)
+    for eps, least in GRID:
+        found = dbscan.labels(quakes, eps, least)
+        row = found.agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.sum(F.when(F.col("label") >= 0, F.col("weight")).otherwise(0)).alias("clustered"), F.sum(F.when(F.col("label") < 0, F.col("weight")).otherwise(0)).alias("noise"))
+        row = row.select(F.lit(eps).alias("eps_km"), F.lit(least).alias("min_samples"), "*")
+        out = row if out is None else out.unionByName(row)
     return out
 
 
-QUERIES["q_dbscan_grid"] = q_dbscan_grid
-
-
 # ---- k-means: the start and each round as a common table expression
 
 
@@ -175,8 +182,23 @@ def q_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["q_anomaly"] = q_anomaly
 
 
+SWEEP = (2, 3, 5, 8)
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT * FROM ({_kmeans_sql(k, kmeans.ROUNDS)} SELECT {k} AS k, round(sum(d), 3) AS inertia FROM (SELECT min((a.lat - c.x) * (a.lat - c.x) + (a.lon - c.y) * (a.lon - c.y)) AS d FROM a{kmeans.ROUNDS} a CROSS JOIN c{kmeans.ROUNDS} c GROUP BY event_id))"
+        for k in SWEEP
+    )
+)
 def q_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmarks.sweep(read_quakes(spark, sf_dir))
+    return benchmarks.sweep(read_quakes(spark, sf_dir), SWEEP)
+
+
+@query()
+def q_kmeans_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incremental rules against full runs, at five points of the feed."""
+    return benchmarks.progress(read_quakes(spark, sf_dir))
 
 
 def q_threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,5 +221,5 @@ def q_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dbscan.expired(read_quakes(spark, sf_dir), 1704067200000000 + 5_400_000_000).select("event_id")
 
 
-for f in (q_kmeans_sweep, q_threshold_grid, q_views):
+for f in (q_threshold_grid, q_views):
     QUERIES[f.__name__] = f

@@ -99,3 +99,15 @@ def q_message_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["q_message_md5"] = q_message_md5
 ORACLE["q_message_md5"] = f"WITH {QUAKES} SELECT event_id, md5(to_json({{'cell': cell, 'event_id': event_id, 'region': region, 'us': us}})::VARCHAR) AS digest FROM q"
+
+
+def q_stream_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anomaly score of the signals as a stream."""
+    path = f"{shared_dir(spark)}/anomaly-{uuid.uuid4().hex}"
+    rows = signals.all_signals(sources.read_quakes(spark, sf_dir))
+    rows.write.parquet(f"{path}/signals")
+    flows.anomaly_scores(spark.readStream.schema(rows.schema).parquet(f"{path}/signals"), path, f"{path}/c", every=None).awaitTermination()
+    return spark.read.schema("event_id long, score double, ready boolean, raw double").parquet(f"{path}/scores")
+
+
+QUERIES["q_stream_anomaly"] = q_stream_anomaly

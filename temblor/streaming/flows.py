@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from temblor.functions import geo
-from temblor.operators import signals, stats
+from temblor.operators import anomaly, signals, stats
 from temblor.session import shared_dir, ship_package
 from temblor.sources.quakes import event_time, quakes
 from temblor.streaming.state import Zone, fused
@@ -100,6 +100,29 @@ def snapshots(stream: DataFrame, path: str, checkpoint: str, every: str | None =
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def anomaly_scores(stream: DataFrame, path: str, checkpoint: str, every: str | None = SNAPSHOT) -> StreamingQuery:
+    """The anomaly score of each row of a signal stream, as tables ``path``/scores/batch=n.
+
+    The first hundred rows, by batch and time, go to ``path``/first and make the model; rows up to the last
+    of them have no score, and later batches are scored where they are. A repeated batch writes the same
+    tables again. Without a period, all that is there now."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, order = batch.sparkSession, ["us", "event_id"]
+        rows = batch.select(*order, *anomaly.FEATURES)
+        schema = rows.schema.add("batch", "long")
+        read = lambda: spark.read.schema(schema).option("basePath", f"{path}/first").parquet(f"{path}/first")
+        rows.limit(0).write.mode("overwrite").parquet(f"{path}/first/batch=-1")
+        known = read().filter(F.col("batch") < number).count()
+        if known < anomaly.FROZEN:
+            rows.orderBy(*order).limit(anomaly.FROZEN - known).write.mode("overwrite").parquet(f"{path}/first/batch={number}")
+        first = read().filter(F.col("batch") <= number).orderBy("batch", *order).collect()  # a hundred at most
+        anomaly.scored(rows, first, known >= anomaly.FROZEN).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def wait_for_update(query: StreamingQuery, seen: int | None, timeout: int = 120) -> int | None:
     """The number of the latest batch with rows, once it is past ``seen`` or the time is over."""
     end = time.monotonic() + timeout

@@ -7,9 +7,10 @@ from collections import Counter
 import pytest
 from oracle import assert_same, connect
 
-from temblor.operators import kmeans
+from temblor.operators import anomaly, kmeans, signals
 from temblor.plans import registry
 from temblor.sources.quakes import read_quakes
+from temblor.streaming import flows
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
@@ -101,6 +102,47 @@ def test_threshold_grid(spark, sf_dir):
         assert len(cells) == len(rows) and grid[big][str(tiny)] == pytest.approx((both - a * b / total) / ((a + b) / 2 - a * b / total), abs=1e-4)
 
 
+def test_progress(spark, sf_dir):
+    rows = [tuple(p) for _, *p in feed_rows(spark, sf_dir)]
+    _, start, _ = kmeans.warm_up(read_quakes(spark, sf_dir), 5)
+    machine, found = kmeans.Incremental(start), {r.rows: r for r in registry.QUERIES["q_kmeans_progress"](spark, sf_dir).collect()}
+    pairs = lambda values: sum(n * (n - 1) / 2 for n in Counter(values).values())
+    assert sorted(found) == [200, 400, 600, 800, 1000]
+    for i, p in enumerate(rows, 1):
+        (machine.add if i > 50 else machine.warm)(p)
+        if i not in (200, 1000):
+            continue
+        full = PlainIncremental(start)
+        for _ in range(kmeans.ROUNDS):
+            full.points, full.labels = rows[:i], [full.near(q) for q in rows[:i]]
+            full.centres = [full.mean(c) for c in range(len(start))]
+        cells = [(label, full.near(q)) for q, own in machine.groups.items() for label, n in own.items() for _ in range(n)]
+        a, b, both, total = pairs(x for x, _ in cells), pairs(x for _, x in cells), pairs(cells), i * (i - 1) / 2
+        assert found[i].ari == pytest.approx(1.0 if a + b == 2 * a * b / total else (both - a * b / total) / ((a + b) / 2 - a * b / total), abs=1e-6)
+        labels, used = {x for x, _ in cells}, {x for _, x in cells}
+        if labels == used:
+            shift = sum(math.dist(machine.centres[c], full.centres[c]) for c in used) / len(used)
+            middle = [sum(full.centres[c][j] for c in used) / len(used) for j in (0, 1)]
+            spread = sorted(math.dist(full.centres[c], middle) for c in used)
+            half = len(spread) // 2
+            median = spread[half] if len(spread) % 2 else (spread[half - 1] + spread[half]) / 2
+            assert found[i].drift_pct == pytest.approx(shift / median * 100, abs=2e-3)
+        else:
+            assert math.isnan(found[i].drift_pct)
+
+
+def test_streamed_anomaly_scores_are_those_of_the_table(spark, sf_dir, tmp_path):
+    rows = signals.all_signals(read_quakes(spark, sf_dir)).orderBy("us", "event_id").limit(300).collect()
+    schema = signals.all_signals(read_quakes(spark, sf_dir)).schema
+    want = {tuple(r) for r in anomaly.scores(spark.createDataFrame(rows, schema)).collect()}
+    for n, (low, high) in enumerate([(0, 60), (60, 130), (130, 300)]):
+        spark.createDataFrame(rows[low:high], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    flows.anomaly_scores(stream, f"{tmp_path}/out", f"{tmp_path}/c", every=None).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/scores").select("event_id", "score", "ready", "raw").collect()
+    assert len(got) == 300 and {tuple(r) for r in got} == want and sum(r.ready for r in got) == 200
+
+
 def test_grid_has_all_settings(spark, sf_dir):
     grid = registry.QUERIES["q_dbscan_grid"](spark, sf_dir).toPandas()
     assert len(grid) == 9 and ((grid.clustered + grid.noise) == 1000).all()
@@ -112,4 +154,4 @@ def test_benchmark_tables(spark, sf_dir):
     grid = registry.QUERIES["q_threshold_grid"](spark, sf_dir).toPandas()
     assert len(grid) == 5 and len(grid.columns) == 7
     views = registry.QUERIES["q_views"](spark, sf_dir).toPandas()
-    assert views["view"].nunique() == 8
+    assert views["view"].nunique() == 18
