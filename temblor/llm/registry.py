@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from temblor.llm import bpe, chat_format, decontaminate, minhash, mixing, periodic_runs, quality_model, quality_rules, secret_scan, suffix_dedup, token_output, url_filter
+from temblor.llm import bpe, chat_format, decontaminate, divergence, minhash, mixing, periodic_runs, quality_model, quality_rules, secret_scan, suffix_dedup, token_output, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.query,
     "op9_minhash": minhash.query,
     "op10_quality_model": quality_model.query,
+    "op11_divergence": divergence.query,
     "op12_periodic_runs": periodic_runs.query,
     "op13_bpe": bpe.query,
 }
@@ -25,4 +26,5 @@ ORACLE = {
     "op5_url_filter": url_filter.SQL,
     "op8_suffix_dedup": suffix_dedup.SQL,
     "op9_minhash": minhash.SQL,
+    "op11_divergence": divergence.SQL,
 }
