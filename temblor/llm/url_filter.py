@@ -1,20 +1,23 @@
 """URL filters: fixed host rules, and association rules mined from labelled URLs by FP-growth.
 
-A URL becomes a set of tokens (host labels, registered-looking host tails, path segments with digits
-folded), in blocks of ``BLOCK``, of which almost every URL has one. FP-growth over the labelled blocks,
-each with its label as one more item, gives the frequent token sets of a block; a set becomes a rule where
-at least ``MIN_COUNT`` and a share of ``MIN_SUPPORT`` of the blocks hold it and are blocked, where the
-label's share among the blocks that hold it reaches ``MIN_CONFIDENCE``, and where no smaller set already
-says so. Rules are matched by an inverted index from token to rule. Everything runs as DataFrame operations.
-
-FP-growth lists all subsets of a frequent block, so it gets only what rules of several tokens can need:
+A URL becomes a set of tokens: host labels, registered-looking host tails, path segments with digits folded.
+A rule is a set of at most ``MOST_ITEMS`` tokens that at least ``MIN_COUNT`` and a share of ``MIN_SUPPORT``
+of the labelled URLs hold and that are blocked, where the blocked ones' share among the URLs that hold it
+reaches ``MIN_CONFIDENCE`` and no smaller set already says so. FP-growth over the blocked URLs gives the
+frequent sets, which are then counted over all labelled URLs, from each set's rarest token. Rules are matched
+by an inverted index from token to rule. Everything runs as DataFrame operations.
+
+FP-growth lists all subsets of a frequent set, so it gets only what rules of several tokens can need:
 tokens that are frequent among blocked URLs and not confident alone (those are rules already, and no rule
-of several tokens holds them), and of tokens that the same blocks hold only one, which stands for all of
-them. A rule is a list of such classes, each with its tokens; it fits where each class has one.
+of several tokens holds them), and of tokens that the same URLs hold only one, which stands for all of
+them. Where more than ``AT_ONCE`` such tokens are left of a URL, it goes in as several sets, one for each
+choice of ``MOST_ITEMS`` of the groups that its tokens are dealt into: every set of ``MOST_ITEMS`` tokens
+is in one of them, and the count afterwards is of URLs. A rule is a list of classes of tokens, and fits
+where each class has one.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no tokens, so no
-rule fits and it is allowed; equal urls get equal verdicts; a URL of more than ``BLOCK`` tokens has several
-blocks, and a rule fits it if it fits one of them; without labelled URLs no rule is mined; an empty table
+rule fits and it is allowed; equal urls get equal verdicts; URLs are judged by all their tokens, however
+long; without labelled URLs no rule is mined; an empty table
 gives no rows; other columns are kept, but for those named host, path, rule or verdict.
 """
 
@@ -30,8 +33,7 @@ from temblor.llm.common import stored, table
 
 #: What the host rules say, as host/path and verdict.
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT, BLOCK = 0.002, 0.8, 5, 12
-BLOCKED = "label=block"
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_COUNT, MOST_ITEMS, AT_ONCE = 0.002, 0.8, 5, 3, 12
 #: Rules and URLs are joined by broadcasting the rules up to so many bytes of their tokens; beyond it, by
 #: shuffling with the URLs' tokens salted ``SALTS`` ways.
 MOST_BROADCAST, SALTS = 32 << 20, 32
@@ -69,47 +71,62 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(labels, lambda x: F.concat(F.lit("h:"), x)), tail, F.transform(segments, lambda x: F.concat(F.lit("p:"), x))))
 
 
-def blocks(tokens: Column) -> Column:
-    """The tokens in lists of ``BLOCK``; at least one list."""
-    last = F.greatest(F.ceil(F.size(tokens) / F.lit(BLOCK)).cast("int"), F.lit(1)) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i * BLOCK + 1, F.lit(BLOCK)))
+def choices(items: Column) -> Column:
+    """The items as one set, or as sets of at most ``AT_ONCE`` in which every ``MOST_ITEMS`` of them meet."""
+    size = AT_ONCE // MOST_ITEMS
+    last = F.ceil(F.size(items) / F.lit(size)).cast("int") - 1
+    group = lambda i: F.slice(items, i * size + 1, F.lit(size))
+    until = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    def chosen(low: Column, left: int, held: Column | None) -> Column:
+        each = lambda i: group(i) if held is None else F.concat(held, group(i))
+        found = F.transform(until(low, last), each)
+        return found if left == 1 else F.flatten(F.transform(until(low, last), lambda i: chosen(i + 1, left - 1, each(i))))
+
+    return F.when(F.size(items) <= AT_ONCE, F.array(items)).otherwise(chosen(F.lit(0), MOST_ITEMS, None))
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT) -> DataFrame:
     """The minimal rules of rows (tokens, blocked): antecedent, n_items, n_blocked, n, confidence.
 
-    An antecedent is a list of classes of tokens; it fits a block that has a token of each."""
-    rows = stored(labelled.select(F.explode(blocks(F.col("tokens"))).alias("tokens"), "blocked").filter(F.size("tokens") > 0), "url-blocks")
-    n_rows = rows.count()
-    least = max(min_count, math.ceil(min_support * n_rows))
+    An antecedent is a list of classes of tokens; it fits a URL that has a token of each."""
+    rows = stored(labelled.select(F.array_distinct("tokens").alias("tokens"), "blocked").filter(F.size("tokens") > 0), "url-tokens")
+    least = max(min_count, math.ceil(min_support * rows.count()))
     n_blocked = F.sum(F.col("blocked").cast("long")).alias("n_blocked")
-    # tokens of the same blocks have the same counts and the same sum of the blocks' hashes
+    # tokens of the same URLs have the same counts and the same sum of the URLs' hashes
     held = rows.select(F.xxhash64("tokens").cast("decimal(38,0)").alias("mark"), "blocked", F.explode("tokens").alias("token"))
     single = held.groupBy("token").agg(F.count("*").alias("n"), n_blocked, F.sum("mark").alias("mark")).filter(F.col("n_blocked") >= least)
-    same = single.groupBy("n", "n_blocked", "mark").agg(F.sort_array(F.collect_list("token")).alias("same"))  # BLOCK tokens at most
-    same = stored(same.withColumn("confidence", F.col("n_blocked") / F.col("n")).drop("mark"), "url-tokens")
+    same = single.groupBy("n", "n_blocked", "mark").agg(F.sort_array(F.collect_list("token")).alias("same"))  # tokens of one URL
+    same = stored(same.withColumn("confidence", F.col("n_blocked") / F.col("n")).drop("mark"), "url-classes")
     alone = same.filter(F.col("confidence") >= min_confidence).select(F.array("same").alias("antecedent"), F.lit(1).alias("n_items"), "n_blocked", "n", "confidence")
-    open_classes = same.filter(F.col("confidence") < min_confidence).select(F.element_at("same", 1).alias("item"), "same")
-    # at most BLOCK / min_support classes are frequent
-    items = F.broadcast(open_classes.select("item", F.explode("same").alias("token")))
+    open_classes = same.filter(F.col("confidence") < min_confidence).select(F.element_at("same", 1).alias("item"), "same", F.col("n").alias("item_n"))
+    items = open_classes.select("item", F.explode("same").alias("token"))
     numbered = rows.withColumn("id", F.monotonically_increasing_id()).select("id", "blocked", F.explode("tokens").alias("token")).join(items, "token")
-    sets = numbered.groupBy("id", "blocked").agg(F.collect_set("item").alias("items")).filter(F.size("items") > 1)
-    sets = stored(sets.select(F.when(F.col("blocked"), F.array_append("items", F.lit(BLOCKED))).otherwise(F.col("items")).alias("items")), "url-sets")
-    n_sets = sets.count()
+    sets = numbered.groupBy("id", "blocked").agg(F.sort_array(F.collect_set("item")).alias("items")).filter(F.size("items") > 1)
+    sets = stored(sets.select("blocked", "items"), "url-sets")
+    chosen = stored(sets.filter("blocked").select(F.explode(choices(F.col("items"))).alias("items")), "url-choices")
+    n_sets = chosen.count()
     if n_sets == 0:
         return alone
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_sets)).fit(sets).freqItemsets.select(F.sort_array("items").alias("items"), "freq")
-    with_label = found.filter(F.array_contains("items", BLOCKED) & (F.size("items") > 2))
-    with_label = with_label.select(F.array_except("items", F.array(F.lit(BLOCKED))).alias("items"), F.col("freq").alias("n_blocked"))
-    several = with_label.join(found.withColumnRenamed("freq", "n"), "items").withColumn("confidence", F.col("n_blocked") / F.col("n"))
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n_sets)).fit(chosen).freqItemsets
+    several = found.filter(F.size("items").between(2, MOST_ITEMS)).select(F.sort_array("items").alias("rule"))
+    several = counted(sets, several, open_classes).filter(F.col("n_blocked") >= least).withColumn("confidence", F.col("n_blocked") / F.col("n"))
     several = stored(minimal(several.filter(F.col("confidence") >= min_confidence)), "url-rules")
-    classes = several.select("items", "n_blocked", "n", "confidence", F.explode("items").alias("item")).join(F.broadcast(open_classes), "item")
+    classes = several.select("items", "n_blocked", "n", "confidence", F.explode("items").alias("item")).join(open_classes, "item")
     several = classes.groupBy("items", "n_blocked", "n", "confidence").agg(F.sort_array(F.collect_list("same")).alias("antecedent"))
     return alone.union(several.select("antecedent", F.size("antecedent").alias("n_items"), "n_blocked", "n", "confidence"))
 
 
+def counted(sets: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """(items, n, n_blocked) of rules over all sets, each looked up where its rarest item is."""
+    rarest = rules.select("rule", F.explode("rule").alias("item")).join(classes.select("item", "item_n"), "item").groupBy("rule").agg(F.min_by("item", F.struct("item_n", "item")).alias("item"))
+    held = sets.select("blocked", "items", F.explode("items").alias("item")).join(rarest, "item")
+    fits = held.filter(F.size(F.array_except("rule", "items")) == 0)
+    return fits.groupBy(F.col("rule").alias("items")).agg(F.count("*").alias("n"), F.sum(F.col("blocked").cast("long")).alias("n_blocked"))
+
+
 def minimal(sets: DataFrame) -> DataFrame:
-    """Rows with ``items``, of ``BLOCK`` at most, of which no other row's items are a part."""
+    """Rows with ``items``, of ``MOST_ITEMS`` at most, of which no other row's items are a part."""
     parts = F.expr("explode(transform(sequence(1, shiftleft(1, size(items)) - 2), m -> filter(items, (x, i) -> shiftright(m, i) & 1 = 1)))")
     parts = sets.select("items", parts.alias("part"))
     known = sets.select(F.col("items").alias("part"))
@@ -117,16 +134,16 @@ def minimal(sets: DataFrame) -> DataFrame:
 
 
 def match(sets: DataFrame, key: str, rules: DataFrame) -> DataFrame:
-    """The distinct keys of rows (key, tokens) that have a block that a rule fits."""
+    """The distinct keys of rows (key, tokens) that a rule fits."""
     named = rules.select(F.xxhash64(F.to_json(F.struct("antecedent"))).alias("rule_id"), "n_items", F.posexplode("antecedent").alias("part", "same"))
     items = named.select("rule_id", "n_items", "part", F.explode("same").alias("token"))
-    held = sets.select(key, F.posexplode(blocks(F.col("tokens"))).alias("block", "tokens")).select(key, "block", F.explode("tokens").alias("token"))
+    held = sets.select(key, F.explode("tokens").alias("token"))
     if (items.agg(F.sum(F.octet_length("token") + 32)).first()[0] or 0) <= MOST_BROADCAST:
         joined = held.join(F.broadcast(items), "token")
     else:
         salts = F.array(*map(F.lit, range(SALTS)))
         joined = held.withColumn("salt", F.pmod(F.hash(key), F.lit(SALTS))).join(items.withColumn("salt", F.explode(salts)), ["token", "salt"])
-    fits = joined.groupBy(key, "block", "rule_id", "n_items").agg(F.count_distinct("part").alias("parts"))
+    fits = joined.groupBy(key, "rule_id", "n_items").agg(F.count_distinct("part").alias("parts"))
     return fits.filter(F.col("parts") == F.col("n_items")).select(key).distinct()
 
 
@@ -177,17 +194,18 @@ t AS (
   SELECT page_id, host, path, rule, list_filter(x, lambda v, i: list_position(x, v) = i) AS tokens
   FROM (SELECT *, list_concat(list_concat(list_transform(labels, lambda x: 'h:' || x),
     CASE WHEN len(labels) >= 2 THEN ['t:' || labels[-2] || '.' || labels[-1]] ELSE [] END), list_transform(segs, lambda x: 'p:' || x)) AS x FROM r)),
-k AS (SELECT page_id, tokens[12 * i + 1:12 * i + 12] AS tokens FROM (SELECT page_id, tokens, unnest(range(0, (len(tokens) + 11) // 12)) AS i FROM t)),
 lab AS (SELECT doc_id, max(quality = 0 OR toxic = 1) AS blocked FROM labels GROUP BY doc_id),
-l AS (SELECT row_number() OVER () AS id, tokens, coalesce(blocked, false) AS blocked FROM k JOIN lab ON doc_id = page_id),
+l AS (SELECT row_number() OVER () AS id, tokens, coalesce(blocked, false) AS blocked FROM t JOIN lab ON doc_id = page_id WHERE len(tokens) > 0),
 n AS (SELECT greatest(5, ceil(0.002 * count(*))) AS least FROM l),
+e AS (SELECT id, blocked, unnest(tokens) AS x FROM l),
 subsets AS (
-  SELECT id, blocked, list_sort(list_filter(list_transform(range(1, len(tokens) + 1), lambda i: CASE WHEN (m >> (i - 1)) & 1 = 1 THEN tokens[i] END), lambda x: x IS NOT NULL)) AS items
-  FROM (SELECT id, blocked, tokens, unnest(range(1, 1::BIGINT << len(tokens))) AS m FROM l)),
+  SELECT id, blocked, [x] AS items FROM e
+  UNION ALL SELECT a.id, a.blocked, [a.x, b.x] FROM e a JOIN e b ON a.id = b.id AND a.x < b.x
+  UNION ALL SELECT a.id, a.blocked, [a.x, b.x, c.x] FROM e a JOIN e b ON a.id = b.id AND a.x < b.x JOIN e c ON a.id = c.id AND b.x < c.x),
 counted AS (
   SELECT items, count(*) AS n, count(*) FILTER (WHERE blocked) AS b FROM subsets GROUP BY items),
 rules AS (SELECT items FROM counted, n WHERE b >= least AND b::DOUBLE / counted.n >= 0.8),
-hit AS (SELECT DISTINCT page_id FROM k JOIN rules ON list_has_all(k.tokens, rules.items))
+hit AS (SELECT DISTINCT page_id FROM t JOIN rules ON list_has_all(t.tokens, rules.items))
 SELECT t.page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN hit.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM t LEFT JOIN hit USING (page_id)
