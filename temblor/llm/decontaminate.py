@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders;
-what remains is a template, and windows of ``WINDOW`` template tokens of documents are joined by hash
+Numbers, units after numbers and names (capitalised words, at the start of a sentence too, where a word problem
+names its people) become typed placeholders; what remains is a template, and windows of ``WINDOW`` template tokens of documents are joined by hash
 with those of the benchmark. A window with fewer than ``MIN_LITERALS`` literal tokens would match anything
 and keeps its values instead, so it matches copies only. Windows are joined with names as words, too, so
 that copies in another case match, where names cannot be told. A document leaks an item if it holds
@@ -13,6 +13,10 @@ one with a number changed in one of its places is not. Agreement is judged for e
 diagonal, the whole document), and one that agrees is enough, so that copies and variants in one document
 do not speak against each other. Everything runs as DataFrame operations.
 
+Many items may begin with one prompt. Windows that more than ``COMMON`` items hold name no item by
+themselves: a text is paired with the items of its other windows, and with those items that could be leaked by
+common windows alone, and only then its common windows are paired with the items that it has been paired with.
+
 Whole texts are read, and each distinct text, named by its 64-bit hash, is judged by itself. The
 benchmark's windows are broadcast up to ``MOST_BROADCAST`` of them, and beyond it joined by a shuffle on
 the window's hash; the same holds for the hashes of texts with matches.
@@ -32,12 +36,12 @@ from pyspark.sql import functions as F
 
 from temblor.llm.common import stored, table
 
-WINDOW, SHARE, RUN, AGREE, MIN_LITERALS = 5, 0.8, 9, 0.9, 3
+WINDOW, SHARE, RUN, AGREE, MIN_LITERALS, COMMON = 5, 0.8, 9, 0.9, 3, 16
 MOST_BROADCAST = 500_000
 #: The units that a number may carry.
 UNITS = "km cm mm m kg mg g lb lbs oz mi miles mph kmh hours hour minutes minute seconds second days day years year percent dollars euros usd eur"
 _NUMBER = r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:]\p{N}+)*"
-_NAME = r"(?<=[\p{Ll},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_NAME = r"(?<![\p{L}\p{N}\x01\x03])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 #: Marks that begin a slot's token: number, name, unit. No other token sorts before ``_AFTER``.
 _MARKS, _AFTER = ("\x01", "\x02", "\x03"), "\x04"
 _TOKEN = r"\x01\p{N}+(?:[.,:]\p{N}+)*|[\x02\x03]?[\p{L}\p{N}]+"
@@ -98,6 +102,34 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
+def leakable_by_common(windows: DataFrame) -> DataFrame:
+    """The items whose common windows alone would reach the thresholds; rows (item_id, item_at, open, common,
+    n_windows, n_open)."""
+    places = windows.groupBy("item_id", "item_at", "n_windows", "n_open").agg(F.max("open").alias("open"), F.max("common").alias("common"))
+    line = W.partitionBy("item_id").orderBy("item_at")
+    near = lambda side: side(F.when(F.col("common"), F.col("item_at")), ignorenulls=True)
+    before = near(F.last).over(line.rowsBetween(W.unboundedPreceding, 0))
+    after = near(F.first).over(line.rowsBetween(0, W.unboundedFollowing))
+    filled = places.filter(F.col("n_windows") > 0).withColumn("hit", F.coalesce(F.col("common") | (after - before <= WINDOW), F.lit(False)))
+    hits = filled.filter("hit").withColumn("part", F.col("item_at") - F.row_number().over(line))
+    runs = hits.groupBy("item_id", "part").agg(F.count("*").alias("run"), F.sum(F.col("open").cast("int")).alias("n_of"), F.first("n_windows").alias("n_windows"), F.first("n_open").alias("n_open"))
+    found = runs.groupBy("item_id").agg(F.max("run").alias("run"), (F.sum("run") / F.first("n_windows")).alias("share"), F.coalesce(F.try_divide(F.sum("n_of"), F.first("n_open")), F.lit(0.0)).alias("open_share"))
+    return found.filter((F.col("run") >= RUN) | (F.greatest("share", "open_share") >= SHARE)).select("item_id")
+
+
+def shared_windows(theirs: DataFrame, ours: DataFrame) -> DataFrame:
+    """(text_key, item_id, at, item_at) of equal windows of texts and items, for all pairs that may be leaks."""
+    held = ours.select("item_id", "item_at", "window", "common", "whole")
+    own = theirs.join(_sized(held.filter(~F.col("common") | F.col("whole")).select("item_id", "item_at", "window")), "window")
+    own = stored(own.select("text_key", "item_id", "at", "item_at").distinct(), "leak-own")
+    rest = held.filter(F.col("common") & ~F.col("whole"))
+    if rest.isEmpty():
+        return own
+    common = stored(theirs.join(_sized(rest.select("window").distinct()), "window", "left_semi").select("text_key", "window", "at").distinct(), "leak-common")
+    pairs = own.select("text_key", "item_id").distinct().join(_sized(rest.select("item_id", "item_at", "window")), "item_id")
+    return stored(own.unionByName(pairs.join(common, ["text_key", "window"]).select("text_key", "item_id", "at", "item_at")).distinct(), "leak-hits")
+
+
 def text_key() -> Column:
     return F.xxhash64("text")
 
@@ -106,9 +138,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (text_key, item_id, share, run, n_slots, agreement) of texts and the items they leak."""
     docs = docs.select(text_key().alias("text_key"), "text").filter(F.col("text").isNotNull())
     ours, items = benchmark_windows(benchmark)
-    ours = stored(ours, "leak-items")
+    held = ours.groupBy("window").agg((F.count_distinct("item_id") > COMMON).alias("common"))
+    ours = stored(ours.join(held, "window"), "leak-windows")
+    whole = leakable_by_common(ours).withColumn("whole", F.lit(True))
+    ours = stored(ours.join(whole, "item_id", "left").na.fill(False, ["whole"]), "leak-items")
     theirs = windows(docs.select("text_key", tokens(F.col("text")).alias("tokens")), "text_key").select("text_key", "at", "window")
-    hits = stored(theirs.join(_sized(ours.select("item_id", "item_at", "window")), "window").select("text_key", "item_id", "at", "item_at").distinct(), "leak-hits")
+    hits = shared_windows(theirs, ours)
     hits = hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
     # windows between two hits that touch or overlap hold only tokens of the two, and so are hits themselves
     line = W.partitionBy("text_key", "item_id", "diagonal").orderBy("at")

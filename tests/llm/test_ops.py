@@ -190,8 +190,13 @@ def brute_tokens(text):
     number, units = r"(?<![\p{L}\p{N}])\p{N}+(?:[.,:]\p{N}+)*", "|".join(decontaminate.UNITS.split())
     text = regex.sub(number, lambda m: "\x01" + m[0], text)
     text = regex.sub(rf"(?i)(\x01\p{{N}}+(?:[.,:]\p{{N}}+)*\s?)({units})(?![\p{{L}}\p{{N}}])", lambda m: m[1] + "\x03" + m[2], text)
-    text = regex.sub(r"(?<=[\p{Ll},;]\s)\p{Lu}\p{Ll}+(?![\p{L}\p{N}])", lambda m: "\x02" + m[0], text)
-    found = regex.findall(r"\x01\p{N}+(?:[.,:]\p{N}+)*|[\x02\x03]?[\p{L}\p{N}]+", text.lower())
+    out, at = "", 0  # a capital and small letters, and no letter, digit or mark around them
+    while at < len(text):
+        m = regex.match(r"[\p{L}\p{N}]+", text[at:]) if not out or not regex.match(r"[\p{L}\p{N}]", out[-1]) else None
+        word = m[0] if m else text[at]
+        out += ("\x02" if m and regex.fullmatch(r"\p{Lu}\p{Ll}+", word) and out[-1:] not in ("\x01", "\x03") else "") + word
+        at += len(word)
+    found = regex.findall(r"\x01\p{N}+(?:[.,:]\p{N}+)*|[\x02\x03]?[\p{L}\p{N}]+", out.lower())
     return [(ord(t[0]), t[1:]) if t[0] < "\x04" else (0, t) for t in found]
 
 
@@ -273,6 +278,67 @@ def test_leaks_against_brute_force(spark):
     assert {r.doc_id: r.item_ids for r in found} == want and 20 < len(want) < 150
 
 
+VARIANTS = [
+    ("{0} walks {3} km every morning. {1} walks {4} km every evening. Who walks more?", 3),
+    ("{0} had {3} apples. {1} had {4} apples. How many apples do they have in total?", 3),
+    ("{0} buys {3} pencils for {4} dollars each and sells them to {1} for {5} dollars each. How much does {0} earn?", 3),
+    ("A train leaves {0}ville at {3}:15 and travels {4} miles at {5} mph. Another train leaves {1}ville later. When do they meet on the way?", 3),
+    ("{0} reads {3} pages a day. {1} reads twice as many pages. After {4} days, how many pages have {0} and {1} read together?", 3),
+    ("If {0} mixes {3} g of salt with {4} g of water, what share of the mixture is salt? {1} says it is more than {5} percent.", 3),
+]
+NAMES = "Maria Tom Nina Jack Alice Bob Nora Carl Peter Ruth Anton Clara Bruno Lena Oscar Ida".split()
+
+
+def filled(rng, template):
+    a, b, c = rng.sample(NAMES, 3)
+    return template.format(a, b, c, *rng.sample(range(2, 90), 3))
+
+
+def test_reworded_questions_are_found(spark):
+    """Recall on items with other names and numbers, names at the start of sentences included; an item with
+    one of its repeated names changed in one place is no variant."""
+    rng = random.Random(15)
+    items = [filled(rng, t) for t, _ in VARIANTS]
+    around = lambda: " ".join(rng.choice("we then looked over some other notes about weather and music".split()) for _ in range(40))
+    rows, want = [], {}
+    for i in range(240):
+        k = rng.randrange(len(VARIANTS))
+        rows.append((i, f"{around()}. {filled(rng, VARIANTS[k][0])} {around()}"))
+        want[i] = k
+    rows += [(1000 + i, f"{around()}. {around()}. Who knows? {NAMES[i % 16]} had {i} ideas. How many were good?") for i in range(60)]
+    swapped = "Maria reads 5 pages a day. Tom reads twice as many pages. After 7 days, how many pages have Jack and Ruth read together?"
+    rows.append((2000, f"{around()}. {swapped} {around()}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    hit = sum(want[i] in found.get(i, []) for i in want) / len(want)
+    assert hit >= 0.9 and not [i for i in found if i >= 1000] and all(found[i] == [want[i]] for i in found)
+
+
+def test_a_common_prompt_pairs_nothing(spark, monkeypatch):
+    """Items that share a prompt of few words with texts are not paired with them; a leak behind it is found."""
+    sizes = {}
+    keep = decontaminate.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    rng = random.Random(16)
+    words_ = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    prompt = "answer the following question with one short word"
+    items = [f"{prompt} {words_(20)}" for _ in range(50)]
+    docs = [f"{words_(5)} {prompt} {words_(10)}" for _ in range(40)] + [f"{words_(5)} {items[7]} {words_(5)}", f"{prompt} {items[9][len(prompt):]}"]
+    found = decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {r.doc_id: r.item_ids for r in found} == {40: [7], 41: [9]} and sizes["leak-own"] + sizes["leak-hits"] < 200
+    # a prompt that is long enough to be a leak by itself leaks all its items
+    long_prompt = "please read the text below with care and then answer the following question with one short word"
+    items = [f"{long_prompt} {words_(6)}" for _ in range(20)]
+    found = decontaminate.contaminated(spark.createDataFrame([(0, f"{words_(9)} {long_prompt} {words_(9)}"), (1, words_(40))], "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert [(r.doc_id, len(r.item_ids)) for r in found] == [(0, 20)]
+
+
 def test_planted_passages(docs, spark, sf_dir):
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     want = {r.doc_id for r in docs.collect() if any(t in (r.text or "") for t in bench.values())}
