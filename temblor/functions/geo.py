@@ -36,9 +36,9 @@ def zone(lat: Column, lon: Column) -> Column:
 
 
 def grid_cell(lat: Column, lon: Column, size: float = CELL_DEGREES) -> Column:
-    """``lat:lon`` of the nearest multiple of the cell size, two decimals, without -0.00."""
+    """``lat:lon`` of the nearest multiple of the cell size, two decimals, without -0.00; null without a place."""
     near = lambda x: F.rint(x / size).cast("long") * F.lit(size)
-    return F.format_string("%.2f:%.2f", near(lat), near(lon))
+    return F.when(~(F.isnan(lat) | F.isnan(lon)) & lat.isNotNull() & lon.isNotNull(), F.format_string("%.2f:%.2f", near(lat), near(lon)))
 
 
 def energy(magnitude: Column) -> Column:

@@ -1,23 +1,24 @@
 """The seven signals of a quake stream and their fusion, over a whole table.
 
-Rows are dealt by zone and time slice, so that a zone is as many tasks as it has slices. A slice gets
-copies of the earlier rows that its windows reach back to, and one pass of sorted arrays finds what every
-row's windows hold. What remains is exponential smoothing, a recursion x -> a * x + b: the same pass folds
-each slice from 0, the slices' folds are composed in order, and each slice begins with what came out before
-it. ``temblor.streaming.state`` holds the same rules as a machine for one row at a time.
+What a trailing window holds is the difference of two running totals, at the row and at the time where its
+window begins. The second is looked up by laying, beside each row, a row at that time, so all that is done is
+running totals over even slices of rows in order (``temblor.operators.slices``): a zone, a cell or an hour may
+hold most of the table. Totals are whole numbers (counts, millionths of a degree, energies in units of 2^-45),
+so windows are exact, and smoothing is folded in the order of rows from the exact state before them:
+``temblor.streaming.state`` holds the same rules as a machine for one row at a time and gives the same bits.
+
+Rows count in the order of time and id. A row without a magnitude counts as an event but has no energy, slope
+or mainshock; one without a place belongs to no cell, so its cell's scores are 0, and stays out of barycentres.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from temblor.functions import geo
-from temblor.operators.graph import checkpointed
-from temblor.session import ship_package
+from temblor.operators import slices
+from temblor.operators.graph import stored
 
 #: Fixed values of the signals: window lengths in microseconds, supports, smoothing factors, scales.
 MINUTE = 60_000_000
@@ -32,153 +33,149 @@ SIGNALS = ("foreshock", "trend", "energy", "asymmetry", "cluster", "migration",
 WEIGHTS = {"foreshock": 0.25, "trend": 0.15, "energy": 0.20, "asymmetry": 0.15, "cluster": 0.10, "migration": 0.05}
 ALERT, VIGILANCE, STRONG, QUIET = 0.75, 0.55, 0.7, 0.2
 LOGGED = {name: 0.6 if name == "migration" else 0.7 for name in SIGNALS}
-
-
-#: The length of a time slice, no shorter than any window of counts, sums and places.
-SLICE = 60 * MINUTE
-ROW = "event_id long, us long, lat double, lon double, magnitude double, region string, cell string"
-#: What is smoothed, and with which factor: a value's column, its key.
+#: What is smoothed, and with which factor.
 SMOOTHED = {"x15": FORESHOCK["beta"], "e15": ENERGY["beta"], "gap": FORESHOCK["gap_alpha"], "x30": CLUSTER["beta"]}
-WINDOWS = f"{ROW}, slice long, n15 long, raw_slope double, km double, n30 long, n20 long, n10 long, " + ", ".join(f"{v} double, {v}_i long, {v}_b double" for v in SMOOTHED)
-
-_NAMES = [c.split()[0] for c in WINDOWS.split(", ")]
-
-
-def sliced(rows: DataFrame, keys: list[str], length: int, before: int) -> DataFrame:
-    """Rows with ``slice`` and ``own``, and for each slice copies, not its own, of a key's earlier rows: those
-    of the last ``length`` microseconds (a slice at most) before it, and the last ``before`` of all."""
-    columns = rows.columns
-    own = rows.withColumn("slice", F.floor(F.col("us") / SLICE)).withColumn("own", F.lit(True))
-    begin = F.col("slice") * SLICE
-    near = own.withColumn("slice", F.col("slice") + 1).withColumn("own", F.lit(False)).filter(begin - F.col("us") <= length)
-    late = F.row_number().over(W.partitionBy(*keys, "slice").orderBy(F.desc("us"), F.desc("event_id")))
-    last = own.withColumn("late", late).filter(F.col("late") <= before).groupBy(*keys, "slice")
-    last = last.agg(F.sort_array(F.collect_list(F.struct("us", "event_id", *(c for c in columns if c not in ("us", "event_id", *keys))))).alias("last"))
-    slices = W.partitionBy(*keys).orderBy("slice")  # a row a slice
-    past = F.concat(*(F.coalesce(F.lag("last", k).over(slices), F.slice("last", 1, 0)) for k in range(before, 0, -1)))
-    past = last.select(*keys, "slice", past.alias("past"))
-    few = F.when(F.size("past") > before, F.slice("past", -before, before)).otherwise(F.col("past"))
-    far = past.select(*keys, "slice", F.explode(few).alias("r")).select(*keys, "slice", "r.*").withColumn("own", F.lit(False))
-    far = far.filter(begin - F.col("us") > length)
-    return own.unionByName(near).unionByName(far)
-
-
-def window_sums(values: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Sums over [first, after) by doubling: no differences of large sums, and no work for each element."""
-    total, at, left = np.zeros(len(first)), first.copy(), after - first
-    part = values.astype(float)
-    while (left > 0).any():
-        odd = (left & 1) == 1
-        total[odd] += part[at[odd]]
-        step = len(values) - len(part) + 1
-        at[odd] += step
-        left >>= 1
-        part = part[:-step] + part[step:] if len(part) > step else part[:0]
-    return total
-
-
-def partial_fold(values: np.ndarray, beta: float, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """How many values there are up to each row, and their smoothing from 0, for each code; NaN is no value."""
-    n, out = np.zeros(len(values), dtype=np.int64), np.zeros(len(values))
-    state: dict[int, tuple[int, float]] = {}
-    for k, (x, code) in enumerate(zip(values.tolist(), [0] * len(values) if codes is None else codes.tolist(), strict=True)):
-        i, y = state.get(code, (0, 0.0))
-        if x == x:
-            i, y = i + 1, beta * x + (1 - beta) * y
-            state[code] = (i, y)
-        n[k], out[k] = i, y
-    return n, out
-
-
-def _haversine_km(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    h = np.sin(np.radians(c - a) / 2) ** 2 + np.cos(np.radians(a)) * np.cos(np.radians(c)) * np.sin(np.radians(d - b) / 2) ** 2
-    return geo.EARTH_KM * 2 * np.arctan2(np.sqrt(h), np.sqrt(1 - h))
-
-
-def _slice_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """What the windows of a zone's slice hold, on its own rows."""
-    rows = rows.sort_values(["us", "event_id"], ignore_index=True)
-    us, own = rows["us"].to_numpy(), rows["own"].to_numpy()
-    magnitude, index = rows["magnitude"].to_numpy(dtype=float), np.arange(len(rows))
-    after = np.searchsorted(us, us, "right")
-    since = lambda length: np.searchsorted(us, us - length, "left")
-    out = rows.copy()
-    out["n15"] = after - since(FORESHOCK["window"])
-    known = ~np.isnan(magnitude)
-    energies = np.where(known, np.power(10.0, 1.5 * np.where(known, magnitude, 0.0) + 4.8), 0.0)
-    first, n_known = since(ENERGY["window"]), np.concatenate([[0], np.cumsum(known)])
-    out["e15"] = np.where(n_known[after] > n_known[first], window_sums(energies, first, after), np.nan)
-    first = np.maximum(index - TREND["rows"] + 1, 0)
-    n = index - first + 1
-    out["raw_slope"] = np.where(n >= TREND["least"], (magnitude - magnitude[first]) / np.maximum(n - 1, 1), 0.0)
-    # places in whole millionths of a degree, so that sums do not depend on the order of addition
-    sums = {c: np.concatenate([[0], np.cumsum(np.rint(rows[c].fillna(0.0).to_numpy() * 1_000_000).astype(np.int64))]) for c in ("lat", "lon")}
-    first = since(MIGRATION["window"])
-    middle = first + (after - first) // 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mean = lambda c, a, b: (sums[c][b] - sums[c][a]) / 1e6 / (b - a)
-        km = _haversine_km(mean("lat", first, middle), mean("lon", first, middle), mean("lat", middle, after), mean("lon", middle, after))
-    out["km"] = np.where(after - first >= MIGRATION["least"], km, 0.0)
-    out["gap"] = np.concatenate([[np.nan], np.diff(us) / 1e6])
-    # cells: one array sorted by cell and time; what is older than all windows stays at its beginning
-    codes = pd.factorize(rows["cell"])[0].astype(np.int64) + 1
-    order = np.lexsort((index, codes))
-    key = (codes[order] << 40) + np.maximum(us[order] - us[own].min() + SLICE, 0)
-    upto = np.searchsorted(key, key, "right")
-    for name, length in (("n30", CLUSTER["window"]), ("n20", ASYMMETRY["window"]), ("n10", ASYMMETRY["half"])):
-        count = np.empty(len(rows), dtype=np.int64)
-        count[order] = upto - np.searchsorted(key, key - length, "left")
-        out[name] = count
-    out = out[own].reset_index(drop=True)
-    out["x15"] = out["n15"].where(out["n15"] >= FORESHOCK["least"]).astype(float)
-    out["x30"] = out["n30"].where(out["n30"] >= CLUSTER["least"]).astype(float)
-    for value, beta in SMOOTHED.items():
-        out[f"{value}_i"], out[f"{value}_b"] = partial_fold(out[value].to_numpy(), beta, codes[own] if value == "x30" else None)
-    return out[_NAMES]
-
-
-def windows(quakes: DataFrame) -> DataFrame:
-    """Quake rows with what their windows hold, stored once."""
-    ship_package(quakes.sparkSession)
-    rows = quakes.select(*(c.split()[0] for c in ROW.split(", ")))
-    dealt = sliced(rows, ["region"], MIGRATION["window"], TREND["rows"] - 1)
-    found = dealt.groupBy("region", "slice").applyInPandas(lambda pdf: _slice_windows(pdf) if pdf["own"].any() else pd.DataFrame(columns=_NAMES), WINDOWS)
-    return checkpointed(found)
-
-
-def smoothed(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Adds ``out``: b * x + (1 - b) * previous over a key's rows where ``value`` is not null, the first
-    being x itself; on other rows the last one, null before the first. ``rows`` as ``windows`` gives them."""
-    keep = 1 - SMOOTHED[value]
-    n, part = f"{value}_i", f"{value}_b"
-    seen = F.when(F.col(value).isNotNull() & ~F.isnan(value), F.struct("us", "event_id"))
-    folds = rows.groupBy(*keys, "slice").agg(F.max(n).alias("n"), F.max_by(part, n).alias("part"), F.min_by(value, seen).alias("first"))
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slice", ignore_index=True)
-        state, before, begins = None, [], []
-        for m, b, x in pdf[["n", "part", "first"]].itertuples(index=False, name=None):
-            begins.append(state is None)
-            before.append(x if state is None else state)
-            if m > 0:
-                state = keep**m * before[-1] + b
-        return pdf[[*keys, "slice"]].assign(before=pd.Series(before, dtype="float64"), begins=begins)
-
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
-    carried = folds.groupBy(*keys).applyInPandas(compose, ", ".join(f"{k} {fields[k]}" for k in [*keys, "slice"]) + ", before double, begins boolean")
-    rows = rows.join(carried, [*keys, "slice"], "left")
-    state = F.when(~F.col("begins") | (F.col(n) > 0), F.pow(F.lit(keep), F.col(n)) * F.col("before") + F.col(part))
-    return rows.withColumn(out, state).drop("before", "begins")
+ORDER = ["us", "event_id", "uid"]
+#: Energies are whole numbers of 2^-45, in two parts of 60 bits.
+UNIT, PART = 45, 60
+
+
+def signal_rows(quakes: DataFrame) -> DataFrame:
+    """The columns that signals read, numbered by ``uid``; a place or magnitude that is no number is null."""
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    rows = quakes.filter(F.col("us").isNotNull()).select("event_id", "us", number("lat"), number("lon"), number("magnitude"), "region", "cell")
+    cell = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("cell"))
+    return stored(rows.withColumn("cell", cell).withColumn("uid", F.monotonically_increasing_id()), "signal-rows")
+
+
+def looked_up(rows: DataFrame, keys: list[str], lengths: dict[str, int], sums: dict[str, Column]) -> DataFrame:
+    """Rows (uid, part, event_id, us, magnitude, keys) with each running total at the row, and, as
+    ``total_name``, over the rows that are more than a length older."""
+    asked = [("", 0), *((f"_{n}", x) for n, x in lengths.items())]
+    at = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(x).cast("long").alias("length")) for n, x in asked))
+    inputs = {f"{n}_in": c for n, c in sums.items()}
+    each = rows.select("uid", "event_id", "magnitude", *keys, "us", *(c.alias(n) for n, c in inputs.items()), F.explode(at).alias("at"))
+    own = F.col("at.name") == ""
+    each = each.withColumns({n: F.when(own, F.col(n)).otherwise(F.lit(0)) for n in inputs} | {"t": F.col("us") - F.col("at.length"), "own": own})
+    each = slices.dealt(each, [*keys, "t", "own", "event_id", "uid"], rows.count() * (1 + len(lengths)), "signal-windows")
+    found = slices.running(each, keys, ["t", "own", "event_id", "uid"], {n: F.col(f"{n}_in") for n in sums})
+    totals = [F.max(F.when(F.col("at.name") == suffix, F.col(n))).alias(n + suffix) for n in sums for suffix in ("", *(f"_{x}" for x in lengths))]
+    row = F.max(F.when(F.col("own"), F.struct("part", "event_id", "us", "magnitude", *keys))).alias("row")
+    return found.groupBy("uid").agg(row, *totals).select("uid", "row.*", *(n + suffix for n in sums for suffix in ("", *(f"_{x}" for x in lengths))))
+
+
+def _exact(c: Column) -> Column:
+    return c.cast("decimal(20,0)")
+
+
+def zone_windows(rows: DataFrame, names: set[str]) -> DataFrame:
+    """(uid, ...) what the zone's windows hold and its smoothed values, for the signals of ``names``."""
+    if not names & {"foreshock", "energy", "migration"}:  # no window of time: the rows alone
+        found = slices.dealt(rows.drop("cell", "lat", "lon"), ["region", *ORDER], rows.count(), "signal-zones")
+        found = slices.running(found, ["region"], ORDER, {"n": F.lit(1).cast("long")})
+    else:
+        lengths, sums = {}, {"n": F.lit(1).cast("long")}
+        if names & {"foreshock", "energy"}:
+            lengths["15"] = FORESHOCK["window"]
+        if "energy" in names:
+            e = F.coalesce(geo.energy(F.col("magnitude")), F.lit(0.0))
+            high = F.floor(e / 2.0 ** (PART - UNIT))
+            sums |= {"known": F.col("magnitude").isNotNull().cast("long"), "high": _exact(high), "low": _exact(F.floor((e - high * 2.0 ** (PART - UNIT)) * 2.0**UNIT))}
+        if "migration" in names:
+            lengths["45"] = MIGRATION["window"]
+            placed = F.col("cell").isNotNull()
+            micro = lambda c: _exact(F.when(placed, F.rint(F.col(c) * 1_000_000)).otherwise(0.0))
+            sums |= {"placed": placed.cast("long"), "lats": micro("lat"), "lons": micro("lon")}
+        found = looked_up(rows, ["region"], lengths, sums)
+    smooth, drop = {}, []
+    if "foreshock" in names:
+        found = found.withColumn("n15", F.col("n") - F.col("n_15")).withColumn("x15", F.when(F.col("n15") >= FORESHOCK["least"], F.col("n15").cast("double")))
+        smooth["x15"] = SMOOTHED["x15"]
+    if "energy" in names:
+        units = (F.col("high") - F.col("high_15")) * F.lit(1 << PART).cast("decimal(20,0)") + (F.col("low") - F.col("low_15"))
+        found = found.withColumn("e15", F.when(F.col("known") > F.col("known_15"), units.cast("double") * 2.0**-UNIT))
+        smooth["e15"] = SMOOTHED["e15"]
+        drop += ["high", "low", "high_15", "low_15"]
+    if "migration" in names:
+        found = _migrated(stored(found.drop(*drop), "signal-places"))
+        drop = []
+    if names & {"trend", "gap"}:
+        found = stored(found.drop(*drop), "signal-order")
+    if "trend" in names:
+        found = slices.earlier_value(found, ["region"], ORDER, "magnitude", TREND["rows"] - 1, "n", "first_magnitude")
+        steps = F.least(F.col("n"), F.lit(TREND["rows"])) - 1
+        found = found.withColumn("raw_slope", F.when(steps >= TREND["least"] - 1, (F.col("magnitude") - F.col("first_magnitude")) / steps).otherwise(0.0)).drop("first_magnitude")
+    if "gap" in names:
+        found = slices.earlier_value(found, ["region"], ORDER, "us", 1, "n", "us_before")
+        found = found.withColumn("gap", F.when(F.col("n") > 1, (F.col("us") - F.col("us_before")) / 1e6)).drop("us_before")
+        smooth["gap"] = SMOOTHED["gap"]
+    keep = [c for c in ("n15", "x15", "e15", "raw_slope", "km", "gap") if c in found.columns]
+    found = found.select("uid", "part", "region", "us", "event_id", *keep)
+    if smooth:
+        found = slices.folded(stored(found, "signal-zones"), ["region"], ORDER, slices.smoothing(smooth), {f"{c}_base": "double" for c in smooth}, "signal-smooth")
+    return found.drop("part", "region", "us", "event_id")
+
+
+def _migrated(found: DataFrame) -> DataFrame:
+    """Adds ``km``: between the barycentres of the earlier and the later half of the places that the window holds."""
+    at = found.filter(F.col("placed") > 0).groupBy("region", F.col("placed").alias("middle")).agg(F.max("lats").alias("lats_m"), F.max("lons").alias("lons_m"))
+    n = F.col("placed") - F.col("placed_45")
+    half = F.floor(n / 2)
+    rows = found.withColumn("middle", F.when(n >= MIGRATION["least"], F.col("placed_45") + half)).join(at, ["region", "middle"], "left")
+    mean = lambda a, b, count: (F.col(a) - F.col(b)).cast("long") / 1e6 / count
+    km = geo.haversine_km(mean("lats_m", "lats_45", half), mean("lons_m", "lons_45", half), mean("lats", "lats_m", n - half), mean("lons", "lons_m", n - half))
+    return rows.withColumn("km", F.when(n >= MIGRATION["least"], km).otherwise(0.0)).drop("middle", "lats_m", "lons_m", "lats", "lons", "lats_45", "lons_45", "placed", "placed_45")
+
+
+def cell_windows(rows: DataFrame, names: set[str]) -> DataFrame:
+    """(uid, ...) what the windows of rows' cells hold, for the signals of ``names``; rows without a cell are left out."""
+    keys, lengths = ["region", "cell"], {}
+    if "cluster" in names:
+        lengths["30"] = CLUSTER["window"]
+    if "asymmetry" in names:
+        lengths |= {"20": ASYMMETRY["window"], "10": ASYMMETRY["half"]}
+    found = looked_up(rows.filter(F.col("cell").isNotNull()), keys, lengths, {"n": F.lit(1).cast("long")})
+    found = found.withColumns({f"n{x}": F.col("n") - F.col(f"n_{x}") for x in lengths})
+    if "aftershock" in names:
+        found = _since_mainshock(stored(found, "signal-cells"), keys)
+    if "cluster" not in names:
+        return found.drop("part", *keys, "us", "event_id", "magnitude", "n")
+    found = found.withColumn("x30", F.when(F.col("n30") >= CLUSTER["least"], F.col("n30").cast("double")))
+    found = slices.folded(stored(found, "signal-cells"), keys, ORDER, slices.smoothing({"x30": SMOOTHED["x30"]}), {"x30_base": "double"}, "signal-smooth")
+    return found.drop("part", *keys, "us", "event_id", "magnitude", "n")
+
+
+def _since_mainshock(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``n_after``: how many rows a cell had in the hours after its last mainshock, up to the row. Both
+    the last mainshock and the last such number are running maxima, for a cell's rows are numbered in order."""
+    p = AFTERSHOCK
+    found = slices.running(found, keys, ORDER, maxima={"main": F.when(F.col("magnitude") >= p["magnitude"], F.struct(F.col("n").alias("n"), F.col("us").alias("us")))})
+    inside = (F.col("n") > F.col("main.n")) & (F.col("us") - F.col("main.us") <= p["window"])
+    after = F.when(F.col("main").isNotNull(), F.struct(F.col("main.n").alias("main"), F.when(inside, F.col("n") - F.col("main.n")).otherwise(0).alias("n")))
+    found = slices.running(found, keys, ORDER, maxima={"after": after})
+    return found.withColumn("n_after", F.coalesce(F.col("after.n"), F.lit(0))).drop("main", "after")
 
 
 def ratio_score(n: Column, base: Column, scale: float) -> Column:
-    return F.when(base > 0, geo.half_even(F.least(n / base / scale, F.lit(1.0)))).otherwise(0.0)
+    return F.when(n.isNotNull() & (base > 0), geo.half_even(F.least(n / base / scale, F.lit(1.0)))).otherwise(0.0)
+
+
+def aftershock_steps() -> tuple[list[int], list[float]]:
+    """Where the score changes with the number of rows after a mainshock, whose smoothing depends on the number
+    alone, and what it is from there on; far beyond the last change the two grow alike."""
+    p, base, firsts, scores = AFTERSHOCK, 0.0, [0], [0.0]
+    for n in range(p["least"], 10_000):
+        base = float(n) if n == p["least"] else p["beta"] * n + (1 - p["beta"]) * base
+        score = round(min(n / base / p["scale"], 1.0) * 100) / 100
+        if score != scores[-1]:
+            firsts.append(n)
+            scores.append(score)
+    return firsts, scores
 
 
 def _foreshock(rows: DataFrame) -> DataFrame:
-    rows = smoothed(rows, ["region"], "x15", "base")
-    score = ratio_score(F.col("n15"), F.col("base"), FORESHOCK["scale"])
-    return rows.withColumn("foreshock", F.when(F.col("n15") >= FORESHOCK["least"], score).otherwise(0.0)).drop("base")
+    score = ratio_score(F.col("n15"), F.col("x15_base"), FORESHOCK["scale"])
+    return rows.withColumn("foreshock", F.when(F.col("n15") >= FORESHOCK["least"], score).otherwise(0.0))
 
 
 def _trend(rows: DataFrame) -> DataFrame:
@@ -188,14 +185,12 @@ def _trend(rows: DataFrame) -> DataFrame:
 
 
 def _energy(rows: DataFrame) -> DataFrame:
-    rows = smoothed(rows, ["region"], "e15", "base")
-    return rows.withColumn("energy", ratio_score(F.col("e15"), F.col("base"), ENERGY["scale"])).drop("base")
+    return rows.withColumn("energy", ratio_score(F.col("e15"), F.col("e15_base"), ENERGY["scale"]))
 
 
 def _cluster(rows: DataFrame) -> DataFrame:
-    rows = smoothed(rows, ["region", "cell"], "x30", "base")
-    score = ratio_score(F.col("n30"), F.col("base"), CLUSTER["scale"])
-    return rows.withColumn("cluster", F.when(F.col("n30") >= CLUSTER["least"], score).otherwise(0.0)).drop("base")
+    score = ratio_score(F.col("n30"), F.col("x30_base"), CLUSTER["scale"])
+    return rows.withColumn("cluster", F.when(F.col("n30") >= CLUSTER["least"], score).otherwise(0.0))
 
 
 def _asymmetry(rows: DataFrame) -> DataFrame:
@@ -212,39 +207,32 @@ def _migration(rows: DataFrame) -> DataFrame:
 
 def _aftershock(rows: DataFrame) -> DataFrame:
     """Scores by the number of a cell's rows since its last mainshock, up to six hours after it; then the
-    score stays what it was. The counter's own smoothing has a closed form: it lags behind a ramp.
-
-    A slice takes the last mainshock before it from the slices' last ones, and a mainshock's count from the
-    counts of the few slices that its six hours reach."""
-    p, keys = AFTERSHOCK, ["region", "cell"]
-    main = F.when(F.col("magnitude") >= p["magnitude"], F.struct("us", "event_id"))
-    rows = rows.withColumn("main", main)
-    slices = rows.groupBy(*keys, "slice").agg(F.max("main").alias("last"))
-    earlier = F.last("last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.join(slices.select(*keys, "slice", earlier.alias("earlier")), [*keys, "slice"])
-    past = W.partitionBy(*keys, "slice").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("since", F.coalesce(F.last("main", ignorenulls=True).over(past), F.col("earlier")))
-    inside = F.coalesce(F.col("main").isNull() & (F.col("us") - F.col("since.us") <= p["window"]), F.lit(False)).cast("int")
-    rows = rows.withColumn("inside", inside)
-    counts = rows.filter("inside = 1").groupBy(*keys, "since", "slice").agg(F.count("*").alias("n"))
-    counts = counts.groupBy(*keys, "since").agg(F.collect_list(F.struct("slice", "n")).alias("counts"))  # a window's slices
-    own = F.sum("inside").over(W.partitionBy(*keys, "slice", "since").orderBy("us", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = rows.withColumn("n", own).join(counts, [*keys, "since"], "left")
-    slice_ = F.col("slice")
-    before = F.aggregate(F.filter("counts", lambda x: x["slice"] < slice_), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    rows = rows.withColumn("n", F.when(F.col("since").isNull(), 0).otherwise(F.col("n") + F.coalesce(before, F.lit(0))))
-    lag = (1 - p["beta"]) / p["beta"]
-    base = F.col("n") - lag + lag * F.pow(F.lit(1 - p["beta"]), F.col("n") - p["least"])
-    score = F.when(F.col("n") >= p["least"], ratio_score(F.col("n"), base, p["scale"])).otherwise(0.0)
-    return rows.withColumn("aftershock", score).drop("main", "earlier", "since", "inside", "counts", "n")
+    score stays what it was."""
+    firsts, scores = aftershock_steps()
+    step = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= F.coalesce(F.col("n_after"), F.lit(0))))
+    return rows.withColumn("aftershock", F.element_at(F.array(*map(F.lit, scores)), step))
 
 
 STEPS = {"foreshock": _foreshock, "trend": _trend, "energy": _energy, "asymmetry": _asymmetry, "cluster": _cluster, "migration": _migration, "aftershock": _aftershock}
+OF_CELLS = {"asymmetry", "cluster", "aftershock"}
+
+
+def _scored(quakes: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Quake rows with what the windows of some signals hold, and their scores."""
+    wanted, rows = set(names), signal_rows(quakes)
+    found = rows
+    if wanted - OF_CELLS:
+        found = found.join(zone_windows(rows, wanted - OF_CELLS), "uid")
+    if wanted & OF_CELLS:
+        found = found.join(cell_windows(rows, wanted & OF_CELLS), "uid", "left")
+    for name in names:
+        found = STEPS[name](found) if name in STEPS else found
+    return found
 
 
 def _alone(name: str):
     def signal(quakes: DataFrame) -> DataFrame:
-        return STEPS[name](windows(quakes))
+        return _scored(quakes, (name,))
 
     signal.__name__, signal.__doc__ = name, STEPS[name].__doc__
     return signal
@@ -255,7 +243,7 @@ foreshock, trend, energy, asymmetry, cluster, migration, aftershock = map(_alone
 
 def inter_event(quakes: DataFrame) -> DataFrame:
     """The smoothed seconds between a zone's events; null on its first."""
-    return smoothed(windows(quakes), ["region"], "gap", "average_gap")
+    return _scored(quakes, ("gap",)).withColumnRenamed("gap_base", "average_gap")
 
 
 def fused(rows: DataFrame) -> DataFrame:
@@ -272,10 +260,7 @@ def fused(rows: DataFrame) -> DataFrame:
 
 def all_signals(quakes: DataFrame) -> DataFrame:
     """Quake rows with all seven scores."""
-    rows = windows(quakes)
-    for name in SIGNALS:
-        rows = STEPS[name](rows)
-    return rows.select("event_id", "us", "region", "cell", "magnitude", *SIGNALS)
+    return _scored(quakes, SIGNALS).select("event_id", "us", "region", "cell", "magnitude", *SIGNALS)
 
 
 def threshold_alerts(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 import time
 import uuid
 from collections.abc import Iterator
@@ -10,13 +9,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from temblor.functions import geo
 from temblor.operators import anomaly, signals, stats
 from temblor.session import shared_dir, ship_package
 from temblor.sources.quakes import event_time, quakes
-from temblor.streaming.state import Zone, fused
+from temblor.streaming.state import Cell, Zone
 
 #: How late a row may be, and the snapshot period.
 LATE, SNAPSHOT = "15 minutes", "20 seconds"
@@ -38,28 +37,131 @@ def hopping(stream: DataFrame, late: str = LATE) -> DataFrame:
     return stats.hopping(stream.withWatermark("time", late), F.col("time"))
 
 
-ROW = "event_id long, us long, region string, " + ", ".join(f"{n} double" for n in signals.SIGNALS) + ", global_score double, level string, strong_signals int"
+ZONE_SCORES, CELL_SCORES = ("foreshock", "trend", "energy", "migration"), ("cluster", "asymmetry", "aftershock")
+ZONED = "event_id long, us long, time timestamp, region string, cell string, magnitude double, " + ", ".join(f"{n} double" for n in ZONE_SCORES)
+SCORED = "event_id long, us long, region string, " + ", ".join(f"{n} double" for n in (*ZONE_SCORES, *CELL_SCORES))
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _signal_rows(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """One zone's rows of a micro-batch, in the order of time, through its pickled state."""
-    zone: Zone = pickle.loads(state.get[0]) if state.exists else Zone()  # noqa: S301  our own state
-    rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-    out = []
-    for r in rows.itertuples(index=False):
-        found = zone.add(r.us, r.lat, r.lon, r.cell, r.magnitude)
-        score, level, strong = fused(found)
-        out.append((r.event_id, r.us, key[0], *(found[n] for n in signals.SIGNALS), score, level, strong))
-    state.update((pickle.dumps(zone),))
-    yield pd.DataFrame(out, columns=["event_id", "us", "region", *signals.SIGNALS, "global_score", "level", "strong_signals"]).astype({"strong_signals": "Int32"})
+def _plain(x):
+    """A value of a pandas row as Python has it; None where there is none."""
+    return None if x is None or x != x else x.item() if hasattr(x, "item") else x
 
 
-def signal_stream(stream: DataFrame) -> DataFrame:
-    """Seven scores and their fusion for each row. State is keyed by zone and holds the zone's cells, so a
-    row needs one shuffle; across micro-batches late rows count in the order in which they come."""
-    ship_package(stream.sparkSession)
-    rows = stream.select("event_id", "us", "lat", "lon", "cell", "magnitude", "region")
-    return rows.groupBy("region").applyInPandasWithState(_signal_rows, ROW, "zone binary", "append", "NoTimeout")
+def _in_order(rows: pd.DataFrame) -> Iterator[tuple]:
+    return rows.sort_values(["us", "event_id"]).itertuples(index=False)
+
+
+class ZoneProcessor(StatefulProcessor):
+    """A zone's scores; its state is a row of smoothed values, a list of what its windows hold, one of magnitudes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.smooth = handle.getValueState("smooth", "foreshock double, energy double")
+        self.held = handle.getListState("held", "kind int, us long, a long, b long")
+        self.magnitudes = handle.getListState("magnitudes", "magnitude double")
+
+    def _zone(self) -> Zone:
+        row = tuple(map(_plain, self.smooth.get())) if self.smooth.exists() else None
+        held = [tuple(map(_plain, r)) for r in self.held.get()] if self.held.exists() else []
+        return Zone.of(row, held, [_plain(r[0]) for r in self.magnitudes.get()] if self.magnitudes.exists() else [])
+
+    def _keep(self, zone: Zone) -> None:
+        row, held, magnitudes = zone.kept()
+        self.smooth.update(row)
+        self.held.put(held)
+        self.magnitudes.put([(m,) for m in magnitudes])
+
+    def _run(self, rows: pd.DataFrame) -> list[tuple]:
+        zone, out = self._zone(), []
+        for r in _in_order(rows):
+            found = zone.add_zone(int(r.us), _plain(r.lat), _plain(r.lon), _plain(r.magnitude), _plain(r.energy))
+            out.append((r.event_id, r.us, r.time, r.region, r.cell, r.magnitude, *(found[n] for n in ZONE_SCORES)))
+        self._keep(zone)
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield pd.DataFrame(self._run(pd.concat(list(rows))), columns=[c.split()[0] for c in ZONED.split(", ")])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self._run(initialState)
+
+    def close(self) -> None:
+        pass
+
+
+class CellProcessor(StatefulProcessor):
+    """The scores of a zone's cell. A timer half an hour of event time after its last row drops the times that
+    no later row can see, and the whole cell where its smoothing and its mainshock have not begun: then it is as
+    one that has never had a row."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "base double, since long, after long, after_base double, after_score double")
+        self.times = handle.getListState("times", "us long")
+
+    def _cell(self) -> Cell:
+        row = tuple(map(_plain, self.kept.get())) if self.kept.exists() else None
+        return Cell.of(row, [int(r[0]) for r in self.times.get()] if self.times.exists() else [])
+
+    def _keep(self, cell: Cell) -> None:
+        row, times = cell.kept()
+        self.kept.update(row)
+        if times:
+            self.times.put([(t,) for t in times])
+        else:
+            self.times.clear()
+
+    def _run(self, rows: pd.DataFrame, placed: bool) -> list[tuple]:
+        cell, out = self._cell() if placed else None, []
+        for r in _in_order(rows):
+            found = cell.add(int(r.us), _plain(r.magnitude)) if placed else dict.fromkeys(CELL_SCORES, 0.0)
+            out.append((r.event_id, r.us, r.region, *(getattr(r, n, None) for n in ZONE_SCORES), *(found[n] for n in CELL_SCORES)))
+        if placed:
+            self._keep(cell)
+            self.handle.registerTimer((cell.last() + signals.CLUSTER["window"]) // 1000 + 1)
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield pd.DataFrame(self._run(pd.concat(list(rows)), key[1] is not None), columns=[c.split()[0] for c in SCORED.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        cell = self._cell()
+        if cell.expire(timerValues.getCurrentWatermarkInMs() * 1000):
+            self.kept.clear()
+            self.times.clear()
+        else:
+            self._keep(cell)
+        yield pd.DataFrame(columns=[c.split()[0] for c in SCORED.split(", ")])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self._run(initialState, key[1] is not None)
+
+    def close(self) -> None:
+        pass
+
+
+def _signal_input(quakes: DataFrame) -> DataFrame:
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    rows = quakes.select("event_id", "us", number("lat"), number("lon"), number("magnitude"), "region", "cell")
+    cell = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("cell"))
+    return rows.withColumn("cell", cell).withColumn("energy", geo.energy(F.col("magnitude"))).withColumn("time", event_time("us"))
+
+
+def signal_stream(stream: DataFrame, late: str = LATE, before: DataFrame | None = None) -> DataFrame:
+    """Seven scores and their fusion for each row, from a state for each zone and then one for each cell of it,
+    in the state store of the query. ``before`` preloads the states with earlier quakes, such as a catalogue's.
+
+    Rows of a micro-batch count in the order of time, and over micro-batches in the order in which they come;
+    rows that are later than ``late`` (at first, than 1970) are dropped, for the states that they would need may
+    be gone."""
+    spark = stream.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rows = _signal_input(stream).withWatermark("time", late)
+    zones, cells = (None, None) if before is None else (_signal_input(before).groupBy("region"), _signal_input(before).groupBy("region", "cell"))
+    zoned = rows.groupBy("region").transformWithStateInPandas(ZoneProcessor(), ZONED, "append", "eventtime", zones, "time")
+    scored = zoned.groupBy("region", "cell").transformWithStateInPandas(CellProcessor(), SCORED, "append", "eventtime", cells)
+    return signals.fused(scored)
 
 
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -1,4 +1,10 @@
-"""The signals as a machine that takes one quake at a time: the same rules as ``operators.signals``."""
+"""The signals as machines that take one quake at a time: the same rules as ``operators.signals``, to the bit.
+
+A zone and a cell of it are machines of their own, so that each can be the state of its own key. What slides is
+bounded by its window and costs the same for each row however many rows the window holds: counts are lengths,
+sums go up with rows that come and down with rows that go, in whole numbers. A magnitude or place that is null
+or NaN is None: such a row counts as an event, but has no energy, slope, mainshock, cell or barycentre.
+"""
 
 from __future__ import annotations
 
@@ -40,27 +46,31 @@ def ratio(n: float, base: float, scale: float) -> float:
     return half_even(min(n / base / scale, 1.0)) if base > 0 else 0.0
 
 
+def known(x: float | None) -> float | None:
+    return None if x is None or x != x else float(x)
+
+
 @dataclass
 class Cell:
+    """What a cell of a zone remembers: the times of its last half hour, smoothing, its last mainshock."""
+
     recent: deque = field(default_factory=deque)
+    half: deque = field(default_factory=deque)
+    late: deque = field(default_factory=deque)
     base: Smooth = field(default_factory=lambda: Smooth(s.CLUSTER["beta"]))
     since: int | None = None
     after: int = 0
     after_base: Smooth = field(default_factory=lambda: Smooth(s.AFTERSHOCK["beta"]))
     after_score: float = 0.0
-    half: deque = field(default_factory=deque)
 
     def add(self, us: int, magnitude: float | None) -> dict[str, float]:
-        drop_old(self.recent, us, s.CLUSTER["window"])
-        self.recent.append(us)
+        for times, length in ((self.recent, s.CLUSTER["window"]), (self.half, s.ASYMMETRY["window"]), (self.late, s.ASYMMETRY["half"])):
+            drop_old(times, us, length)
+            times.append(us)
         n = len(self.recent)
         cluster = ratio(n, self.base.add(float(n)), s.CLUSTER["scale"]) if n >= s.CLUSTER["least"] else 0.0
-        drop_old(self.half, us, s.ASYMMETRY["window"])
-        self.half.append(us)
-        asymmetry = 0.0
+        asymmetry, recent, old = 0.0, len(self.late), len(self.half) - len(self.late)
         if len(self.half) >= s.ASYMMETRY["least"]:
-            recent = sum(t >= us - s.ASYMMETRY["half"] for t in self.half)
-            old = len(self.half) - recent
             asymmetry = half_even(min((recent / old if old else float(recent)) / s.ASYMMETRY["scale"], 1.0))
         return {"cluster": cluster, "asymmetry": asymmetry, "aftershock": self._aftershock(us, magnitude)}
 
@@ -73,47 +83,141 @@ class Cell:
             self.after_score = ratio(self.after, self.after_base.add(float(self.after)), p["scale"]) if self.after >= p["least"] else 0.0
         return self.after_score
 
+    def last(self) -> int | None:
+        return self.recent[-1] if self.recent else None
+
+    def expire(self, us: int) -> bool:
+        """Drops what no row from this time on can see; whether nothing is left that could change a score."""
+        drop_old(self.recent, us, s.CLUSTER["window"])
+        drop_old(self.half, us, s.ASYMMETRY["window"])
+        drop_old(self.late, us, s.ASYMMETRY["half"])
+        return not self.recent and self.base.value is None and self.since is None
+
+    def kept(self) -> tuple[tuple, list[int]]:
+        """The state as a row and a list."""
+        return (self.base.value, self.since, self.after, self.after_base.value, self.after_score), list(self.recent)
+
+    @classmethod
+    def of(cls, row: tuple | None, times: list[int]) -> Cell:
+        cell = cls(recent=deque(times))
+        if times:
+            cell.half = deque(t for t in times if times[-1] - t <= s.ASYMMETRY["window"])
+            cell.late = deque(t for t in times if times[-1] - t <= s.ASYMMETRY["half"])
+        if row is not None:
+            cell.base.value, cell.since, cell.after, cell.after_base.value, cell.after_score = row
+        return cell
+
+
+UNITS = 2**s.UNIT
+
 
 @dataclass
 class Zone:
-    """All state of one zone, its cells included; everything that slides is bounded by its window."""
+    """What a zone remembers: the rows of its last 45 minutes, its last magnitudes, smoothing."""
 
     times: deque = field(default_factory=deque)
     base: Smooth = field(default_factory=lambda: Smooth(s.FORESHOCK["beta"]))
     magnitudes: deque = field(default_factory=lambda: deque(maxlen=s.TREND["rows"]))
-    energies: deque = field(default_factory=deque)
+    energies: deque = field(default_factory=deque)  # of whole units, and their sum
+    energy: int = 0
     energy_base: Smooth = field(default_factory=lambda: Smooth(s.ENERGY["beta"]))
-    places: deque = field(default_factory=deque)
+    early: deque = field(default_factory=deque)  # the earlier half of the places, in millionths, and the later
+    recent: deque = field(default_factory=deque)
+    sums: list = field(default_factory=lambda: [[0, 0], [0, 0]])
     cells: dict[str, Cell] = field(default_factory=dict)
 
-    def add(self, us: int, lat: float, lon: float, cell: str, magnitude: float) -> dict[str, float]:
+    def add(self, us: int, lat: float | None, lon: float | None, cell: str | None, magnitude: float | None) -> dict[str, float]:
+        """All scores of a row, with the zone's cells beside it."""
+        found = self.add_zone(us, lat, lon, magnitude)
+        placed = known(lat) is not None and known(lon) is not None and cell is not None
+        own = self.cells.setdefault(cell, Cell()).add(us, known(magnitude)) if placed else dict.fromkeys(("cluster", "asymmetry", "aftershock"), 0.0)
+        return found | own
+
+    def add_zone(self, us: int, lat: float | None, lon: float | None, magnitude: float | None, energy: float | None = None) -> dict[str, float]:
+        """The scores of the zone alone; ``energy`` where it has been computed before."""
+        magnitude = known(magnitude)
         drop_old(self.times, us, s.FORESHOCK["window"])
         self.times.append(us)
         n = len(self.times)
         foreshock = ratio(n, self.base.add(float(n)), s.FORESHOCK["scale"]) if n >= s.FORESHOCK["least"] else 0.0
+        return {"foreshock": foreshock, "trend": self._trend(magnitude), "energy": self._energy(us, magnitude, energy), "migration": self._migration(us, known(lat), known(lon))}
+
+    def _trend(self, magnitude: float | None) -> float:
         self.magnitudes.append(magnitude)
-        slope = (self.magnitudes[-1] - self.magnitudes[0]) / (len(self.magnitudes) - 1) if len(self.magnitudes) >= s.TREND["least"] else 0.0
-        trend = half_even(min(slope / s.TREND["scale"], 1.0)) if slope > 0 else 0.0
-        drop_old(self.energies, us, s.ENERGY["window"], key=lambda x: x[0])
-        self.energies.append((us, math.pow(10.0, 1.5 * magnitude + 4.8)))
-        total = sum(e for _, e in self.energies)
-        energy = ratio(total, self.energy_base.add(total), s.ENERGY["scale"])
-        own = self.cells.setdefault(cell, Cell()).add(us, magnitude)
-        return {"foreshock": foreshock, "trend": trend, "energy": energy, "migration": self._migration(us, lat, lon), **own}
-
-    def _migration(self, us: int, lat: float, lon: float) -> float:
+        first, n = self.magnitudes[0], len(self.magnitudes)
+        slope = (magnitude - first) / (n - 1) if n >= s.TREND["least"] and magnitude is not None and first is not None else 0.0
+        return half_even(min(slope / s.TREND["scale"], 1.0)) if slope > 0 else 0.0
+
+    def _energy(self, us: int, magnitude: float | None, energy: float | None) -> float:
+        while self.energies and us - self.energies[0][0] > s.ENERGY["window"]:
+            self.energy -= self.energies.popleft()[1]
+        if magnitude is not None:
+            units = int((math.pow(10.0, 1.5 * magnitude + 4.8) if energy is None else energy) * UNITS)
+            self.energies.append((us, units))
+            self.energy += units
+        if not self.energies:
+            return 0.0
+        total = self.energy / UNITS
+        return ratio(total, self.energy_base.add(total), s.ENERGY["scale"])
+
+    def _migration(self, us: int, lat: float | None, lon: float | None) -> float:
         p = s.MIGRATION
-        drop_old(self.places, us, p["window"], key=lambda x: x[0])
-        self.places.append((us, lat, lon))
-        n = len(self.places)
-        if n < p["least"]:
+        self._drop_places(us)
+        if lat is not None and lon is not None:
+            self._move(1, (us, round(lat * 1_000_000), round(lon * 1_000_000)), 1)
+            self.recent.append((us, round(lat * 1_000_000), round(lon * 1_000_000)))
+        self._halve()
+        a, b = len(self.early), len(self.recent)
+        if a + b < p["least"]:
             return 0.0
-        rows = list(self.places)
-        early, recent = rows[: n // 2], rows[n // 2 :]
-        mean = lambda part, i: sum(round(x[i] * 1_000_000) for x in part) / 1e6 / len(part)
-        km = haversine_km(mean(early, 1), mean(early, 2), mean(recent, 1), mean(recent, 2))
+        km = haversine_km(*(x / 1e6 / a for x in self.sums[0]), *(x / 1e6 / b for x in self.sums[1]))
         return 0.0 if km > p["most_km"] else half_even(min(km / p["km"], 1.0))
 
+    def _move(self, half: int, place: tuple[int, int, int], sign: int) -> None:
+        self.sums[half][0] += sign * place[1]
+        self.sums[half][1] += sign * place[2]
+
+    def _drop_places(self, us: int) -> None:
+        for half, places in enumerate((self.early, self.recent)):
+            while places and us - places[0][0] > s.MIGRATION["window"]:
+                self._move(half, places.popleft(), -1)
+
+    def _halve(self) -> None:
+        """Rows move between the halves until the earlier one has half of them."""
+        n = (len(self.early) + len(self.recent)) // 2
+        while len(self.early) < n:
+            self._move(1, self.recent[0], -1)
+            self._move(0, self.recent[0], 1)
+            self.early.append(self.recent.popleft())
+        while len(self.early) > n:
+            self._move(0, self.early[-1], -1)
+            self._move(1, self.early[-1], 1)
+            self.recent.appendleft(self.early.pop())
+
+    def kept(self) -> tuple[tuple, list[tuple], list[float | None]]:
+        """The state as a row, the rows (us, unit parts, place) that its windows hold, and magnitudes."""
+        out = [(0, us, None, None) for us in self.times] + [(1, us, units >> s.PART, units & (1 << s.PART) - 1) for us, units in self.energies]
+        out += [(2, us, a, b) for us, a, b in [*self.early, *self.recent]]
+        return (self.base.value, self.energy_base.value), out, list(self.magnitudes)
+
+    @classmethod
+    def of(cls, row: tuple | None, held: list[tuple], magnitudes: list[float | None]) -> Zone:
+        zone = cls()
+        if row is not None:
+            zone.base.value, zone.energy_base.value = row
+        zone.magnitudes.extend(magnitudes)
+        for kind, us, a, b in held:
+            if kind == 0:
+                zone.times.append(us)
+            elif kind == 1:
+                zone.energies.append((us, (a << s.PART) + b))
+            else:
+                zone.recent.append((us, a, b))
+                zone._move(1, (us, a, b), 1)
+        zone.energy = sum(units for _, units in zone.energies)
+        zone._halve()
+        return zone
+
 
 def fused(row: dict[str, float]) -> tuple[float, str, int | None]:
     """(global score, level, strong signals) of seven scores."""
