@@ -119,11 +119,12 @@ def leakable_by_common(windows: DataFrame) -> DataFrame:
 
 def shared_windows(theirs: DataFrame, ours: DataFrame) -> DataFrame:
     """(text_key, item_id, at, item_at) of equal windows of texts and items, for all pairs that may be leaks."""
-    held = ours.select("item_id", "item_at", "window", "common", "whole")
-    own = theirs.join(_sized(held.filter(~F.col("common") | F.col("whole")).select("item_id", "item_at", "window")), "window")
+    held = ours.select("item_id", "item_at", "window", *(c for c in ("common", "whole") if c in ours.columns))
+    naming = held.filter(~F.col("common") | F.col("whole")) if "common" in held.columns else held
+    own = theirs.join(_sized(naming.select("item_id", "item_at", "window")), "window")
     own = stored(own.select("text_key", "item_id", "at", "item_at").distinct(), "leak-own")
-    rest = held.filter(F.col("common") & ~F.col("whole"))
-    if rest.isEmpty():
+    rest = held.filter(F.col("common") & ~F.col("whole")) if "common" in held.columns else None
+    if rest is None or rest.isEmpty():
         return own
     common = stored(theirs.join(_sized(rest.select("window").distinct()), "window", "left_semi").select("text_key", "window", "at").distinct(), "leak-common")
     pairs = own.select("text_key", "item_id").distinct().join(_sized(rest.select("item_id", "item_at", "window")), "item_id")
@@ -138,10 +139,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Pairs (text_key, item_id, share, run, n_slots, agreement) of texts and the items they leak."""
     docs = docs.select(text_key().alias("text_key"), "text").filter(F.col("text").isNotNull())
     ours, items = benchmark_windows(benchmark)
-    held = ours.groupBy("window").agg((F.count_distinct("item_id") > COMMON).alias("common"))
-    ours = stored(ours.join(held, "window"), "leak-windows")
-    whole = leakable_by_common(ours).withColumn("whole", F.lit(True))
-    ours = stored(ours.join(whole, "item_id", "left").na.fill(False, ["whole"]), "leak-items")
+    ours = stored(ours, "leak-windows")
+    common = ours.groupBy("window").agg(F.count_distinct("item_id").alias("n")).filter(F.col("n") > COMMON).select("window", F.lit(True).alias("common"))
+    if not common.isEmpty():
+        ours = stored(ours.join(common, "window", "left").na.fill(False, ["common"]), "leak-common-items")
+        whole = leakable_by_common(ours).withColumn("whole", F.lit(True))
+        ours = stored(ours.join(whole, "item_id", "left").na.fill(False, ["whole"]), "leak-items")
     theirs = windows(docs.select("text_key", tokens(F.col("text")).alias("tokens")), "text_key").select("text_key", "at", "window")
     hits = shared_windows(theirs, ours)
     hits = hits.withColumn("diagonal", F.col("at") - F.col("item_at"))
