@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from temblor.functions import geo
-from temblor.operators.graph import checkpointed
+from temblor.operators.graph import stored
 from temblor.session import ship_package
 
 #: Fixed values of the incremental rules: relative shifts, rounds, minutes between full runs.
@@ -31,7 +32,7 @@ def nearest(centres: list[tuple[float, float]]) -> Column:
 def places(quakes: DataFrame) -> DataFrame:
     """(lat, lon, n, event_id): distinct places with their rows and least event, stored once for all rounds."""
     found = quakes.select("event_id", "lat", "lon").na.drop().groupBy("lat", "lon")
-    return checkpointed(found.agg(F.count("*").alias("n"), F.min("event_id").alias("event_id")))
+    return stored(found.agg(F.count("*").alias("n"), F.min("event_id").alias("event_id")), "kmeans-places")
 
 
 def start(points: DataFrame, k: int) -> list[tuple[float, float]]:
@@ -70,6 +71,134 @@ def fit(quakes: DataFrame, k: int = 3, rounds: int = ROUNDS) -> list[tuple[float
     return lloyd(points, start(points, min(k, n)), rounds) if n >= LEAST_ROWS else []
 
 
+# ---- many sets of centres at once
+
+SUMS = "start int, cluster int, x long, y long, n long, inertia double"
+#: A full run: starts, rounds at most, rounds of drawing candidates and how many for each centre in one of them.
+STARTS, MOST_ROUNDS, DRAWS, OVERSAMPLING = 10, 300, 5, 2
+AT_ONCE = 1 << 21
+
+
+def _batched(points: DataFrame, sets: dict[int, np.ndarray]) -> list[Row]:
+    """Sums of the members of every centre of every set, in one pass over the points; as many rows as centres."""
+    held = points.sparkSession.sparkContext.broadcast(sets)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sets = held.value
+        sums = {i: np.zeros((len(c), 3), dtype=np.int64) for i, c in sets.items()}
+        inertia = {i: np.zeros(len(c)) for i, c in sets.items()}
+        for pdf in batches:
+            for i, c in sets.items():
+                for low in range(0, len(pdf), max(1, AT_ONCE // len(c))):
+                    lat, lon, n = (pdf[name].to_numpy()[low : low + max(1, AT_ONCE // len(c))] for name in ("lat", "lon", "n"))
+                    dx, dy = lat[:, None] - c[:, 0], lon[:, None] - c[:, 1]
+                    d = dx * dx + dy * dy
+                    near = d.argmin(axis=1)  # the lowest of equals
+                    micro = [np.rint(v * 1_000_000).astype(np.int64) * n for v in (lat, lon)]
+                    for k, v in enumerate((*micro, n)):
+                        np.add.at(sums[i][:, k], near, v)
+                    np.add.at(inertia[i], near, d[np.arange(len(d)), near] * n)
+        rows = [(i, c, *sums[i][c].tolist(), inertia[i][c]) for i in sets for c in range(len(sums[i])) if sums[i][c, 2]]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMS.split(", ")])
+
+    found = points.select("lat", "lon", "n").mapInPandas(run, SUMS).groupBy("start", "cluster")
+    return found.agg(*(F.sum(c).alias(c) for c in ("x", "y", "n", "inertia"))).collect()
+
+
+def lloyd_sets(points: DataFrame, sets: list[list[tuple[float, float]]], rounds: int = MOST_ROUNDS) -> list[tuple[list[tuple[float, float]], int, float]]:
+    """(centres, rounds, inertia) of Lloyd's rounds from each set until nothing moves; all sets share the pass
+    over the points that a round takes, so the passes are those of the set that takes longest."""
+    ship_package(points.sparkSession)
+    live = {i: np.array(c, dtype=float).reshape(-1, 2) for i, c in enumerate(sets)}
+    out: list = [None] * len(sets)
+    for done in range(rounds + 1):
+        found: dict[int, list[Row]] = {i: [] for i in live}
+        for r in _batched(points, live):
+            found[r.start].append(r)
+        after = {}
+        for i, centres in live.items():
+            moved, inertia = centres.copy(), sum(r.inertia for r in sorted(found[i], key=lambda r: r.cluster))
+            for r in found[i]:
+                moved[r.cluster] = r.x / 1e6 / r.n, r.y / 1e6 / r.n
+            if done == rounds or np.array_equal(moved, centres):
+                out[i] = ([tuple(c) for c in centres.tolist()], done, inertia)
+            else:
+                after[i] = moved
+        live = after
+        if not live:
+            break
+    return out
+
+
+def candidates(points: DataFrame, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places that may be first centres, and how many rows are nearest to each: in every one of a few rounds each
+    place is drawn, by a hash of its event and the round, with a chance in proportion to its squared distance
+    from those drawn before, so that ``n`` are expected. What the driver holds grows with ``n`` alone."""
+    ship_package(points.sparkSession)
+    chance = lambda k: F.pmod(F.xxhash64(F.col("event_id"), F.lit(seed), F.lit(k)), F.lit(1 << 40)) / float(1 << 40)
+    drawn = np.array([tuple(r) for r in points.orderBy(chance(-1), "event_id").select("lat", "lon").limit(1).collect()])
+    for k in range(DRAWS):
+        far = _distances(points, drawn)
+        total = far.agg(F.sum(F.col("d") * F.col("n"))).first()[0]
+        if not total:
+            break
+        more = far.filter(chance(k) < F.col("d") * F.col("n") * (n / total)).orderBy("event_id").select("lat", "lon").collect()
+        drawn = np.unique(np.concatenate([drawn, np.array([tuple(r) for r in more]).reshape(-1, 2)]), axis=0)
+    counts = np.zeros(len(drawn))
+    for r in _batched(points, {0: drawn}):
+        counts[r.cluster] = r.n
+    return drawn, counts
+
+
+def _distances(points: DataFrame, centres: np.ndarray) -> DataFrame:
+    held = points.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = held.value
+        for pdf in batches:
+            step, least = max(1, AT_ONCE // len(c)), []
+            for low in range(0, len(pdf), step):
+                some = pdf.iloc[low : low + step]
+                dx, dy = some["lat"].to_numpy()[:, None] - c[:, 0], some["lon"].to_numpy()[:, None] - c[:, 1]
+                least.append((dx * dx + dy * dy).min(axis=1))
+            yield pdf.assign(d=np.concatenate(least) if least else np.zeros(0))
+
+    return points.select("lat", "lon", "n", "event_id").mapInPandas(run, "lat double, lon double, n long, event_id long, d double")
+
+
+def drawn_start(places: np.ndarray, weights: np.ndarray, k: int, seed: int) -> list[tuple[float, float]]:
+    """k of the candidates, one after the other, each with a chance in proportion to its rows and its squared
+    distance from those before; fewer where fewer differ."""
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.choice(len(places), p=weights / weights.sum()))]
+    least = ((places - places[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < k and (least * weights).sum() > 0:
+        chosen.append(int(rng.choice(len(places), p=least * weights / (least * weights).sum())))
+        least = np.minimum(least, ((places - places[chosen[-1]]) ** 2).sum(axis=1))
+    return [tuple(p) for p in places[chosen].tolist()]
+
+
+def full_runs(quakes: DataFrame, ks: Iterable[int], starts: int = STARTS, seed: int = 0) -> list[tuple[int, int, list[tuple[float, float]], int, float]]:
+    """(k, start, centres, rounds, inertia) of runs to the end for each k, from several starts each: the farthest
+    places first of all, then drawn ones. Fewer than three rows have none, and k is at most the places' number."""
+    points = places(quakes)
+    n = points.agg(F.sum("n"), F.count("*")).first()
+    if (n[0] or 0) < LEAST_ROWS:
+        return []
+    ks = sorted({min(k, n[1]) for k in ks})
+    drawn, weights = candidates(points, OVERSAMPLING * ks[-1], seed)
+    drawn, weights = drawn[weights > 0], weights[weights > 0]
+    wanted = [(k, s) for k in ks for s in range(starts)]
+    begin = [drawn_start(drawn, weights, k, seed * 1_000_003 + k * 1_009 + s) for k, s in wanted]
+    return [(k, s, *found) for (k, s), found in zip(wanted, lloyd_sets(points, begin), strict=True)]
+
+
+def best_run(quakes: DataFrame, k: int = 3, starts: int = STARTS, seed: int = 0) -> list[tuple[float, float]]:
+    """The centres of the run of least inertia; the first of equals."""
+    runs = full_runs(quakes, [k], starts, seed)
+    return min(runs, key=lambda r: (r[4], r[1]))[2] if runs else []
+
+
 def assign(quakes: DataFrame, centres: list[tuple[float, float]]) -> DataFrame:
     return quakes.withColumn("cluster", nearest(centres).cast("long"))
 

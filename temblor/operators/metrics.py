@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from temblor.operators.graph import stored
+
 
 def adjusted_rand(pairs: DataFrame, weight: str | None = None) -> DataFrame:
     """One row ``ari`` of rows (a, b) of two labels; 1 where both have one class or all are alone. A weight
@@ -51,18 +55,35 @@ def calinski_harabasz(points: DataFrame) -> DataFrame:
     return joined.select(F.round(between / (F.col("k") - 1) / (F.col("w") / (F.col("total") - F.col("k"))), 3).alias("calinski_harabasz"))
 
 
-def silhouette(points: DataFrame, most_places: int = 20_000) -> DataFrame:
-    """One row ``silhouette`` with Euclidean distances. Equal places of a cluster are one weighted place,
-    and each place meets the others in blocks; beyond ``most_places`` of them the exact measure is refused,
-    for it is quadratic by definition."""
-    places = points.filter("cluster >= 0").groupBy("cluster", "lat", "lon").agg(F.count("*").alias("weight"))
-    if places.count() > most_places:
-        raise ValueError(f"more than {most_places} distinct places")
-    sizes = places.groupBy("cluster").agg(F.sum("weight").alias("size"))
-    other = places.select(F.col("cluster").alias("c2"), F.col("lat").alias("x2"), F.col("lon").alias("y2"), F.col("weight").alias("w2"))
-    d = F.sqrt(F.pow(F.col("lat") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("lon") - F.col("y2"), F.lit(2.0)))
-    sums = places.join(F.broadcast(other), F.col("w2") > 0).groupBy("cluster", "lat", "lon", "weight", "c2").agg(F.sum(d * F.col("w2")).alias("sum"))
-    means = sums.join(sizes.withColumnRenamed("cluster", "c2"), "c2")
+#: Places of a tile of the silhouette.
+TILE = 2_000
+
+
+def silhouette(points: DataFrame, tile: int = TILE) -> DataFrame:
+    """One row ``silhouette`` with Euclidean distances. Equal places of a cluster are one weighted place. Places
+    are dealt into tiles, and each pair of tiles is a task's own small piece, whose sums of distances from a
+    place to a cluster are added up by key; the measure is quadratic in places by definition."""
+    found = points.filter("cluster >= 0").groupBy("cluster", "lat", "lon").agg(F.count("*").alias("weight"))
+    found = stored(found.withColumn("cluster", F.col("cluster").cast("long")), "silhouette-places")
+    n = max(1, -(-found.count() // tile))
+    tiled = found.withColumn("tile", F.pmod(F.xxhash64("lat", "lon", "cluster"), F.lit(n)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = tiled.withColumnRenamed("tile", "a").withColumn("b", every)
+    right = tiled.select(*(F.col(c).alias(f"{c}2") for c in ("cluster", "lat", "lon", "weight")), F.col("tile").alias("b")).withColumn("a", every)
+
+    def sums(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for c, some in other.groupby("cluster2"):
+            x, y, w = (some[name].to_numpy() for name in ("lat2", "lon2", "weight2"))
+            total = [float((np.sqrt((x - p) ** 2 + (y - q) ** 2) * w).sum()) for p, q in zip(own["lat"], own["lon"], strict=True)]
+            out.append(own[["cluster", "lat", "lon", "weight"]].assign(c2=c, sum=total))
+        kept = ["cluster", "lat", "lon", "weight", "c2", "sum"]
+        return pd.concat(out)[kept] if out and len(own) else pd.DataFrame(columns=kept)
+
+    pieces = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(sums, "cluster long, lat double, lon double, weight long, c2 long, sum double")
+    total = pieces.groupBy("cluster", "lat", "lon", "weight", "c2").agg(F.sum("sum").alias("sum"))
+    sizes = found.groupBy(F.col("cluster").alias("c2")).agg(F.sum("weight").alias("size"))
+    means = total.join(sizes, "c2")
     own = F.max(F.when(F.col("cluster") == F.col("c2"), F.when(F.col("size") > 1, F.col("sum") / (F.col("size") - 1)).otherwise(-1.0)))
     rest = F.min(F.when(F.col("cluster") != F.col("c2"), F.col("sum") / F.col("size")))
     each = means.groupBy("cluster", "lat", "lon", "weight").agg(own.alias("a"), rest.alias("b"))

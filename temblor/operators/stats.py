@@ -99,10 +99,16 @@ def known_zones(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("region") != "Unknown")
 
 
+def alert_rows(quakes: DataFrame, users: DataFrame, least: float = 1.0) -> DataFrame:
+    """(user_id, username, region, quake_id) of each quake, row by row, and the subscribed users of its zone."""
+    quake_id = F.concat_ws("_", "region", F.col("magnitude").cast("decimal(10,1)").cast("string")).alias("quake_id")
+    named = quakes.filter(F.col("magnitude") > least).select("region", quake_id)
+    return named.join(users.filter("alerts_enabled"), "region").select("user_id", "username", "region", "quake_id")
+
+
 def user_alerts(quakes: DataFrame, users: DataFrame, sent: DataFrame | None = None, least: float = 1.0) -> DataFrame:
     """One alert for each subscribed user and quake of the user's zone; those sent before are left out.
 
     A quake is named by zone and magnitude, so the rows to fan out are few whatever the stream's size."""
-    named = quakes.filter(F.col("magnitude") > least).select("region", F.concat_ws("_", "region", F.col("magnitude").cast("decimal(10,1)").cast("string")).alias("quake_id")).distinct()
-    alerts = users.filter("alerts_enabled").join(named, "region").select("user_id", "username", "region", "quake_id")
+    alerts = alert_rows(quakes.select("region", "magnitude").distinct(), users, least).distinct()
     return alerts.join(sent, ["user_id", "quake_id"], "left_anti") if sent is not None else alerts

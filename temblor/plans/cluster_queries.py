@@ -195,6 +195,20 @@ def q_kmeans_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmarks.sweep(read_quakes(spark, sf_dir), SWEEP)
 
 
+@query()
+def q_kmeans_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds, distances and inertia of full runs for every k from 2 to 100, the best of ten starts each."""
+    return benchmarks.speed(read_quakes(spark, sf_dir))
+
+
+@query()
+def q_kmeans_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the best of ten full runs."""
+    quakes = read_quakes(spark, sf_dir)
+    centres = kmeans.best_run(quakes, K)
+    return kmeans.cluster_stats(kmeans.assign(quakes, centres), centres)
+
+
 @query()
 def q_kmeans_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incremental rules against full runs, at five points of the feed."""
@@ -215,6 +229,24 @@ def q_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+#: Ends of the sliding hour that the incremental queries go through, from the feed's first event on.
+ENDS = [1704067200000000 + minutes * 60_000_000 for minutes in (50, 65, 75, 130, 180)]
+
+
+@query(_dbscan_sql(EPS, 5).replace("FROM q GROUP BY region, lat, lon)", f"FROM q WHERE us <= {ENDS[-1]} AND us >= {ENDS[-1]} - 3600000000 GROUP BY region, lat, lon)") + " SELECT point, region, weight, label FROM labelled")
+def q_dbscan_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clusters of the last hour, kept up to date from one hour to the next."""
+    *_, (_, labelled, _) = dbscan.replayed(read_quakes(spark, sf_dir), ENDS)
+    return labelled.select("point", "region", "weight", "label")
+
+
+@query()
+def q_dbscan_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each update of the sliding hour touched, against all that a run anew goes through."""
+    rows = [(end, *(sizes[c] for c in ("places_changed", "cells_affected", "cells", "cells_linked_again", "core_cells"))) for end, _, sizes in dbscan.replayed(read_quakes(spark, sf_dir), ENDS)]
+    return spark.createDataFrame(rows, "end_us long, places_changed long, cells_affected long, cells long, cells_linked_again long, core_cells long")
+
+
 @query(f"WITH {QUAKES} SELECT event_id FROM q WHERE us <= 1704067200000000 + 5400000000 AND us < 1704067200000000 + 5400000000 - 3600000000")
 def q_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a sliding hour has lost an hour and a half after the first event."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from temblor.operators import signals, sinks, stats
 from temblor.plans.basic import MEAN, ORACLE, QUERIES, TOTAL
-from temblor.plans.sql_base import QUAKES
+from temblor.plans.sql_base import QUAKES, USERS
 from temblor.session import shared_dir
 from temblor.sources import quakes as sources
 from temblor.streaming import flows
@@ -101,6 +101,26 @@ QUERIES["q_message_md5"] = q_message_md5
 ORACLE["q_message_md5"] = f"WITH {QUAKES} SELECT event_id, md5(to_json({{'cell': cell, 'event_id': event_id, 'region': region, 'us': us}})::VARCHAR) AS digest FROM q"
 
 
+def q_stream_user_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of the quake stream, each sent once."""
+    return flows.collected(flows.user_alerts(flows.stream_quakes(spark, sf_dir), sources.read_users(spark, sf_dir)))
+
+
+QUERIES["q_stream_user_alerts"] = q_stream_user_alerts
+ORACLE["q_stream_user_alerts"] = f"""WITH {QUAKES}, {USERS}, named AS (SELECT DISTINCT region, region || '_' || magnitude::DECIMAL(10,1)::VARCHAR AS quake_id FROM q WHERE magnitude > 1)
+    SELECT user_id, username, u.region, quake_id FROM users u JOIN named n ON u.region = n.region WHERE alerts_enabled"""
+
+
+def q_zone_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each zone go to which task when rows are dealt by the zone's hash."""
+    rows = flows.dealt_by_zone(sources.read_quakes(spark, sf_dir)).withColumn("partition", F.spark_partition_id().cast("long"))
+    return rows.groupBy("region", "partition").agg(F.count("*").alias("n"))
+
+
+QUERIES["q_zone_partitions"] = q_zone_partitions
+ORACLE["q_zone_partitions"] = f"WITH {QUAKES} SELECT region, ((strpos('0123456789abcdef', right(sha256(region), 1)) - 1) % 8)::BIGINT AS partition, count(*) AS n FROM q GROUP BY region"
+
+
 def q_stream_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The anomaly score of the signals as a stream."""
     path = f"{shared_dir(spark)}/anomaly-{uuid.uuid4().hex}"

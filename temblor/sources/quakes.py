@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,7 +74,9 @@ def read_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized(features: DataFrame) -> DataFrame:
     """Flat quake records of GeoJSON features; a missing source is usgs, and so is a null one where the
-    features do not tell (``has_sources``); the status carries the url."""
+    features do not tell (``has_sources``); the status carries the url. A feature without an id is no record:
+    it is rejected."""
+    features = features.filter(F.col("id").isNotNull())
     source = F.coalesce("properties.sources", F.lit("usgs"))
     if "has_sources" in features.columns:
         source = F.when(F.coalesce("has_sources", F.lit(False)), F.col("properties.sources")).otherwise(F.lit("usgs"))
@@ -96,10 +100,9 @@ def stream_geojson(spark: SparkSession, path: str, files_per_trigger: int = 1) -
     return feed.select(F.explode("features").alias("f")).select("f.*")
 
 
-def _fetch(url: str) -> list[tuple]:
+def _fetch(url: str) -> list[str]:
     with urllib.request.urlopen(url, timeout=30) as reply:  # noqa: S310
-        found = json.load(reply)["features"]
-    return [(json.dumps(f),) for f in found]
+        return [json.dumps(f) for f in json.load(reply)["features"]]
 
 
 class _FeedReader(DataSourceReader):
@@ -107,27 +110,70 @@ class _FeedReader(DataSourceReader):
         self.url = url
 
     def read(self, partition):
-        yield from _fetch(self.url)
+        yield from ((f,) for f in _fetch(self.url))
 
 
 class _FeedStreamReader(SimpleDataSourceStreamReader):
-    """Polls the whole feed at each trigger; ids seen before are dropped downstream."""
+    """Polls the whole feed at each trigger; ids seen before are dropped downstream.
 
-    def __init__(self, url: str):
-        self.url = url
+    A poll is a file of the spool before it is a batch, named by its number, which is the offset. So a batch that
+    is repeated, by a query that was started again too, has the rows that it had, and a poll that was spooled but
+    never became a batch is the next one. Files go when their batch is committed. A failing server is asked again
+    ``retries`` times, at doubling intervals, and then at the next trigger: the query goes on."""
+
+    def __init__(self, url: str, spool: str, retries: int, wait: float):
+        self.url, self.retries, self.wait = url, retries, wait
+        self.fs, self.folder = pyarrow.fs.FileSystem.from_uri(spool)
+        self.fs.create_dir(self.folder, recursive=True)
 
-    def initialOffset(self) -> dict:
+    def initialOffset(self) -> dict:  # noqa: N802
         return {"polls": 0}
 
-    def read(self, start: dict):
-        return iter(_fetch(self.url)), {"polls": start["polls"] + 1}
+    def _path(self, poll: int) -> str:
+        return f"{self.folder}/poll-{poll:012d}.json"
+
+    def _spooled(self, poll: int) -> list[str] | None:
+        path = self._path(poll)
+        if self.fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            return None
+        with self.fs.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def _polled(self) -> list[str] | None:
+        for attempt in range(self.retries + 1):
+            try:
+                return _fetch(self.url)
+            except (OSError, ValueError, KeyError):  # no answer, or one that is no feed
+                if attempt < self.retries:
+                    time.sleep(self.wait * 2**attempt)
+        return None
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(_fetch(self.url))
+    def read(self, start: dict):
+        poll = start["polls"]
+        found = self._spooled(poll)
+        if found is None:
+            found = self._polled()
+            if found is None:
+                return iter(()), start
+            with self.fs.open_output_stream(f"{self._path(poll)}.tmp") as f:
+                f.write(json.dumps(found).encode())
+            self.fs.move(f"{self._path(poll)}.tmp", self._path(poll))
+        return iter([(f,) for f in found]), {"polls": poll + 1}
+
+    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
+        for poll in range(start["polls"], end["polls"]):
+            yield from ((f,) for f in self._spooled(poll) or ())
+
+    def commit(self, end: dict) -> None:
+        for info in self.fs.get_file_info(pyarrow.fs.FileSelector(self.folder)):
+            number = info.base_name.removeprefix("poll-").removesuffix(".json")
+            if number.isdigit() and int(number) < end["polls"] - 1:  # the last one may still be read again
+                self.fs.delete_file(info.path)
 
 
 class GeoJsonFeed(DataSource):
-    """``spark.dataSource.register(GeoJsonFeed)``, then format ``quakefeed`` with the option ``feed``: a url."""
+    """``spark.dataSource.register(GeoJsonFeed)``, then format ``quakefeed`` with the option ``feed``: a url; for a
+    stream also ``spool``: a folder that survives the driver, and if need be ``retries`` and ``wait`` (seconds)."""
 
     @classmethod
     def name(cls) -> str:
@@ -140,7 +186,7 @@ class GeoJsonFeed(DataSource):
         return _FeedReader(self.options["feed"])
 
     def simpleStreamReader(self, schema):
-        return _FeedStreamReader(self.options["feed"])
+        return _FeedStreamReader(self.options["feed"], self.options["spool"], int(self.options.get("retries", 3)), float(self.options.get("wait", 1.0)))
 
 
 def feed_features(raw: DataFrame) -> DataFrame:

@@ -165,14 +165,19 @@ def signal_stream(stream: DataFrame, late: str = LATE, before: DataFrame | None
 
 
 def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream gives for all that is there now, as a table in the shared folder or a view."""
+    """What a stream gives for all that is there now, as a table in the shared folder: of complete mode, the
+    table of the last batch."""
     spark = stream.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    checkpoint = shared_dir(spark)
+    path = f"{shared_dir(spark)}/stream_{uuid.uuid4().hex}"
     if mode != "append":
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-c").trigger(availableNow=True).start().awaitTermination()
-        return spark.table(name)
-    path = f"{checkpoint}/{name}"
+        last: list[int] = []
+
+        def write(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            last.append(number)
+
+        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], stream.schema)
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-c").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -180,23 +185,43 @@ def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
 HOUR = 3_600_000_000
 
 
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+WINDOW = "event_id long, us long, lat double, lon double, magnitude double, region string"
+
+
 def snapshots(stream: DataFrame, path: str, checkpoint: str, every: str | None = SNAPSHOT) -> StreamingQuery:
     """Every period, the clusters of the last hour of the stream, as tables ``path``/clusters/batch=n.
 
-    Each batch's points go to ``path``/points, by hour, and the live hour is read from there, so clusters
-    last from batch to batch; a repeated batch writes the same tables again. Without a period, all that is
-    there now."""
+    The hour's rows and the state of its clusters are tables of the batch too; each batch brings those of the one
+    before up to date where rows came or went (``dbscan.updated``), and older ones are deleted, so nothing grows
+    with the stream. A repeated batch writes the same tables again. Without a period, all that is there now."""
     from temblor.operators import dbscan
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        points = batch.select("event_id", "us", "lat", "lon", "magnitude", "region").withColumn("hour", F.floor(F.col("us") / HOUR))
-        points.write.mode("overwrite").partitionBy("hour").parquet(f"{path}/points/batch={number}")
-        known = spark.read.schema(points.schema.add("batch", "long")).option("basePath", f"{path}/points").parquet(f"{path}/points").filter(F.col("batch") <= number)
-        last = known.agg(F.max("us")).first()[0]
-        if last is not None:
-            live = dbscan.within(known.filter(F.col("hour") >= (last - HOUR) // HOUR), last)
-            dbscan.clusters(live, dbscan.labels(live)).write.mode("overwrite").parquet(f"{path}/clusters/batch={number}")
+        at = lambda name, n: f"{path}/{name}/batch={n}"
+        names = [c.split()[0] for c in WINDOW.split(", ")]
+        held = _table(spark, at("window", number - 1), WINDOW) if number else spark.createDataFrame([], WINDOW)
+        rows = held.withColumn("old", F.lit(True)).unionByName(batch.select(*names).withColumn("old", F.lit(False)))
+        last = rows.agg(F.max("us")).first()[0]
+        live = F.col("us") >= (last if last is not None else 0) - HOUR
+        rows.filter(live).write.mode("overwrite").parquet(at("window", number))
+        window = _table(spark, at("window", number), f"{WINDOW}, old boolean")
+        state = {k: _table(spark, at(k, number - 1), schema) for k, schema in dbscan.STATE.items()} if number else dbscan.no_state(spark)
+        state, _ = dbscan.updated(state, window.drop("old"), window.filter("NOT old").drop("old"), held.filter(~live))
+        for k, df in state.items():
+            df.write.mode("overwrite").parquet(at(k, number))
+        dbscan.clusters(window.drop("old"), state["points"]).write.mode("overwrite").parquet(at("clusters", number))
+        for k in ("window", *state):
+            _delete(spark, at(k, number - 2))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -240,6 +265,12 @@ def alert_log(rows: DataFrame) -> DataFrame:
     return signals.threshold_alerts(rows)
 
 
+def user_alerts(stream: DataFrame, users: DataFrame) -> DataFrame:
+    """Alerts of a quake stream to a table of users, each (user, quake) once over all batches: those sent are the
+    state of the query, which a zone's users and its magnitudes in tenths bound."""
+    return stats.alert_rows(stream, users).dropDuplicates(["user_id", "quake_id"])
+
+
 def live_zone_stats(stream: DataFrame) -> DataFrame:
     """Running statistics per zone, for the complete output mode."""
     return stats.zone_stats(stream)
@@ -247,3 +278,8 @@ def live_zone_stats(stream: DataFrame) -> DataFrame:
 
 def zone_keys(stream: DataFrame) -> DataFrame:
     return stream.withColumn("partition", geo.key_partition(F.col("region")))
+
+
+def dealt_by_zone(rows: DataFrame, n: int = 8) -> DataFrame:
+    """The rows, table or stream, dealt over ``n`` tasks by the zone's own hash, as the keyed topic deals them."""
+    return rows.repartitionById(n, geo.key_partition(F.col("region"), n))
