@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,9 +35,9 @@ from temblor.llm.common import as_bytes, map_arrow, stored, table
 #: Documents that a kept term is in, ranks of terms that are reported, the scale of probabilities.
 LEAST, RANKS, SCALE = 3, 200, 1_000_000_000
 #: What one automaton holds: so many bytes of terms (and a term at most).
-AUTOMATON = 6 << 20
-#: Counts that a task gathers before it hands them on.
-GATHERED = 400_000
+AUTOMATON = 10 << 20
+#: Counts that a task gathers before it hands them on, and matches that it counts at once.
+GATHERED, AT_ONCE = 400_000, 1 << 20
 #: A-Z lower-cased, all other ASCII that is not a letter a blank.
 _LETTERS = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -121,19 +122,13 @@ def occurrences(docs: DataFrame, kept: DataFrame, most: int = AUTOMATON) -> Data
     """(lang, source, term, n): how often each kept term of a language occurs in a group, where it does."""
     spark = docs.sparkSession
     placed, n_blocks = blocks(kept, most)
-    if n_blocks > 1:
-        placed = stored(placed.repartition("block"), "divergence-blocks")
-    left, counts = docs, None
+    packed = placed.groupBy("block").agg(F.array_join(F.sort_array(F.collect_list(F.col("term").cast("string"))), " ").alias("terms"))
+    packed, left, counts = stored(packed, "divergence-blocks"), docs, None  # a row a block, of bounded size
     for k in range(n_blocks):
-        terms = [bytes(r.term) for r in placed.filter(F.col("block") == k).select("term").orderBy("term").collect()]  # of bounded size
-        held = (uuid.uuid4().hex, spark.sparkContext.broadcast(terms))
-
-        def count(key: list[bytes], data: bytes, own: Counter, held=held) -> None:
-            terms, found = _automaton(held)
-            text = f" {data.translate(_LETTERS).decode('utf-8', 'surrogateescape')} "
-            own.update([terms[i] for _, i in found.iter(text)])
-
-        part = gathered(left, count, ["lang", "source"])
+        own = packed.filter(F.col("block") == k).select(F.col("terms").cast("binary").alias("terms"))
+        held = (uuid.uuid4().hex, spark.sparkContext.broadcast(bytes(own.first().terms)))
+        numbered = own.select(F.posexplode(F.split(F.col("terms").cast("string"), " ")).alias("number", "term"))
+        part = _matches(left, held).join(numbered, "number").select("lang", "source", F.col("term").cast("binary").alias("term"), "n")
         counts = part if counts is None else counts.unionByName(part)
         if k + 1 < n_blocks:
             left = stored(_left_over(left, held), "divergence-rest")
@@ -142,11 +137,56 @@ def occurrences(docs: DataFrame, kept: DataFrame, most: int = AUTOMATON) -> Data
     return counts.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
 
 
+def _matches(docs: DataFrame, held: tuple) -> DataFrame:
+    """(lang, source, number, n): the matches of an automaton's terms in each group's texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, found = _automaton(held)
+        groups: dict[tuple, int] = {}
+        codes: list[np.ndarray] = []
+        sums, waiting = (np.zeros(0, dtype=np.int64),) * 2, 0
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            code, at, n = np.unique(np.concatenate([sums[0], *codes]), return_inverse=True, return_counts=True)
+            n = n.astype(np.int64)
+            n[at[: len(sums[0])]] += sums[1] - 1
+            return code, n
+
+        def out() -> pa.RecordBatch:
+            group, number = np.divmod(sums[0], len(terms))
+            own = np.unique(group)
+            ends = pa.array(np.append(np.searchsorted(group, own), len(group)).astype(np.int32))
+            names = list(groups)
+            keys = [pa.array([names[g][i] for g in own.tolist()], pa.binary()) for i in (0, 1)]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (number.astype(np.int32), sums[1])]
+            return pa.RecordBatch.from_arrays([*keys, *lists], names=["lang", "source", "numbers", "ns"])
+
+        for batch in batches:
+            for lang, source, data in zip(*(as_bytes(batch.column(i)) for i in range(3)), strict=True):
+                text = f" {data.translate(_LETTERS).decode('utf-8', 'surrogateescape')} "
+                numbers = np.array([i for _, i in found.iter(text)], dtype=np.int64)
+                codes.append(numbers + len(terms) * groups.setdefault((lang, source), len(groups)))
+                waiting += len(numbers)
+                if waiting > AT_ONCE:
+                    sums, codes, waiting = added(), [], 0
+                    if len(sums[0]) > 4 * AT_ONCE:
+                        yield out()
+                        sums = (np.zeros(0, dtype=np.int64),) * 2
+        sums = added()
+        if len(sums[0]):
+            yield out()
+
+    partial = map_arrow(docs, run, "lang binary, source binary, numbers array<int>, ns array<long>")
+    each = partial.select("lang", "source", F.explode(F.arrays_zip("numbers", "ns")).alias("x")).select("lang", "source", F.col("x.numbers").alias("number"), F.col("x.ns").alias("n"))
+    return each.groupBy("lang", "source", "number").agg(F.sum("n").alias("n"))
+
+
 def _automaton(held: tuple) -> tuple[list[bytes], ahocorasick.Automaton]:
     name, terms = held
     if name not in _built:
         _built.clear()  # one at a time in a worker
-        _built[name] = (terms.value, automaton(terms.value))
+        own = terms.value.split()
+        _built[name] = (own, automaton(own))
     return _built[name]
 
 
@@ -154,7 +194,7 @@ def _left_over(docs: DataFrame, held: tuple) -> DataFrame:
     """Texts without the terms of an automaton; texts of which nothing is left are dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = frozenset(held[1].value)
+        own = frozenset(held[1].value.split())
         for batch in batches:
             texts = [b" ".join([t for t in data.translate(_LETTERS).split() if t not in own]) for data in as_bytes(batch.column(2))]
             out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=["lang", "source", "text"])
@@ -166,7 +206,9 @@ def _left_over(docs: DataFrame, held: tuple) -> DataFrame:
 def probability(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(10^9 (count + 1) / (total + terms)), exact beyond what a long holds."""
     exact = lambda c: c.cast("decimal(20,0)")
-    return F.lit(1).cast("long") + F.call_function("div", exact(count + 1) * F.lit(SCALE).cast("decimal(10,0)"), exact(total + terms))
+    large = F.call_function("div", exact(count + 1) * F.lit(SCALE).cast("decimal(10,0)"), exact(total + terms))
+    small = F.call_function("div", (count + 1) * F.lit(SCALE).cast("long"), total + terms)
+    return F.lit(1).cast("long") + F.when(count < 9 * SCALE, small).otherwise(large)
 
 
 F_OF = "({p} - {q}) * ({p} - {q}) div {q}"
