@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from temblor.llm.common import as_bytes, map_arrow, table, texts_and_ids
 
-TRAIN_ROWS, BUCKETS, GRADES = 20_000, 1 << 18, 3
+TRAIN_ROWS, TRAIN_FEATURES, BUCKETS, GRADES = 20_000, 4_096, 1 << 18, 3
 TAIL, KEEP = 2, 0.5
 STEPS, RATE, PENALTY = 150, 0.05, 5e-4
 #: Features a mark of shape counts as; rows, as a share, that a feature has to be in.
@@ -139,17 +139,21 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, grades: DataFrame, n_grades: int = GRADES, buckets: int = BUCKETS, rows: int = TRAIN_ROWS) -> Model:
-    """A model of at most ``rows`` graded documents; only their feature numbers reach the driver."""
+    """A model of at most ``rows`` graded documents; only their feature numbers reach the driver, one list an id
+    (the least of those of an id's rows) of at most ``TRAIN_FEATURES`` numbers (the lowest: they are hashes)."""
     sample = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by ``rows``
 
+    few = lambda x: x if len(x) <= TRAIN_FEATURES else np.sort(x)[:TRAIN_FEATURES]
+
     def run(batches: Iterator[pa.RecordBatch]):
         features = Features(buckets)
         for batch in batches:
-            found = [features(x).tobytes() for x in as_bytes(batch.column(1))]
+            found = [few(features(x)).tobytes() for x in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(found, pa.binary())], names=["doc_id", "grade", "features"])
 
-    got = map_arrow(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("grade").cast("int").alias("grade")), run, "doc_id long, grade int, features binary").collect()
+    found = map_arrow(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("grade").cast("int").alias("grade")), run, "doc_id long, grade int, features binary")
+    got = found.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("features").alias("features")).collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.features)))
     return fit([np.frombuffer(bytes(r.features), np.int32) for r in got], np.array([r.grade for r in got], dtype=np.int64), n_grades, buckets)
 

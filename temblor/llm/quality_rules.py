@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from temblor.llm.common import SPACES, as_bytes, map_arrow, table, texts_and_ids
+from temblor.llm.common import SPACES, as_bytes, map_arrow, stored, table, texts_and_ids
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -129,10 +129,16 @@ def failures(rules: tuple[Rule, ...]) -> Column:
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, **columns: str) -> DataFrame:
-    """Measurements and the failure bits of every rule, one row a text."""
+    """Measurements and the failure bits of every rule, one row a text; for several uses, ``stored_ledger``."""
     return measure(docs, **columns).withColumn("failures", failures(rules))
 
 
+def stored_ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, **columns: str) -> DataFrame:
+    """The ledger as a table of the shared folder: policies and ablations of any later version read this alone,
+    and texts are never read again."""
+    return stored(ledger(docs, rules, **columns), "rule-ledger")
+
+
 def apply_policy(book: DataFrame, policy: Policy, rules: tuple[Rule, ...] = RULES, column: str = "kept") -> DataFrame:
     return book.withColumn(column, F.col("failures").bitwiseAND(F.lit(policy.mask(rules))) == 0)
 

@@ -81,7 +81,8 @@ def test_rule_measures_against_brute_force(spark, docs):
 
 
 def test_ablation_agrees_with_single_policies(docs):
-    book = quality_rules.ledger(docs).cache()
+    book = quality_rules.stored_ledger(docs)
+    assert "text" not in book.columns and "documents" not in " ".join(book.inputFiles())
     for r in quality_rules.ablation(book, quality_rules.STRICT).collect():
         without = quality_rules.Policy("t", tuple(n for n in quality_rules.STRICT.rules if n != r.rule))
         assert quality_rules.apply_policy(book, without).filter("kept").count() == r.n_kept_without
@@ -844,6 +845,15 @@ def test_look_alikes_below_the_threshold_are_paired_only_where_bitmaps_allow(spa
     assert 1 < len(set(want)) < 120 and sizes[-1] < 60
 
 
+def test_training_collects_one_bounded_row_an_id(spark, monkeypatch):
+    monkeypatch.setattr(quality_model, "TRAIN_FEATURES", 50)
+    got = {}
+    monkeypatch.setattr(quality_model, "fit", lambda features, grades, *rest: got.update(n=len(grades), most=max(map(len, features))))
+    rows = [(i % 2, " ".join(f"w{i}x{k}" for k in range(i % 300))) for i in range(2000)] + [(None, "x")]
+    quality_model.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 2)], "doc_id long, grade int"), rows=2)
+    assert got["n"] == 2 and got["most"] <= 50
+
+
 # ---- 10: classifier
 
 
