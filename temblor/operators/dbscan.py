@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,18 +32,23 @@ REACH = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) <
 CHUNK = 256
 
 
-def gridded(points: DataFrame, eps: float) -> DataFrame:
+def gridded(points: DataFrame, eps: float | Column) -> DataFrame:
     """Points with the cell (x, y) of side eps / sqrt 2 that they are in: all places of a cell are within eps."""
     side = eps / 2**0.5
     cell = lambda c: F.floor(F.col(c) / side).alias
     return points.select("*", cell("lat")("x"), cell("lon")("y"))
 
 
+def _eps_of(rows: DataFrame) -> list[str]:
+    """The column of each row's own eps, if it has one: stored, for inside a list it would be made again and again."""
+    return [c for c in ("eps_degrees",) if c in rows.columns]
+
+
 def _chunks(points: DataFrame, *columns: str) -> DataFrame:
     """(region, x, y, chunk, held): the cells' places in lists of about ``CHUNK``."""
     n = points.groupBy("region", "x", "y").agg(F.count("*").alias("n"))
     rows = points.join(n, ["region", "x", "y"]).withColumn("chunk", F.pmod(F.xxhash64("point"), F.ceil(F.col("n") / CHUNK)))
-    return rows.groupBy("region", "x", "y", "chunk").agg(F.collect_list(F.struct(*columns)).alias("held"))
+    return rows.groupBy("region", "x", "y", "chunk").agg(F.collect_list(F.struct(*columns)).alias("held"), *(F.first(c).alias(c) for c in _eps_of(points)))
 
 
 def _around(rows: DataFrame) -> DataFrame:
@@ -52,11 +57,11 @@ def _around(rows: DataFrame) -> DataFrame:
     return rows.withColumn("s", F.explode(steps)).withColumns({"x2": F.col("x") + F.col("s.i"), "y2": F.col("y") + F.col("s.j")}).drop("s")
 
 
-def _near(a, b, eps: float):
+def _near(a, b, eps: float | Column):
     return F.sqrt(F.pow(a["lat"] - b["lat"], F.lit(2.0)) + F.pow(a["lon"] - b["lon"], F.lit(2.0))) <= eps
 
 
-def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def core_points(points: DataFrame, eps: float | Column, min_samples: int | Column) -> DataFrame:
     """The points of ``gridded`` within eps of at least ``min_samples`` rows, their own included.
 
     A cell with as many rows is core as a whole; only the points of other cells look around, and count."""
@@ -72,7 +77,7 @@ def core_points(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return dense.select(*columns).unionByName(found.select(*columns))
 
 
-def linked_cells(core: DataFrame, eps: float) -> DataFrame:
+def linked_cells(core: DataFrame, eps: float | Column) -> DataFrame:
     """(a, b) of neighbouring cells with core points within eps of each other, each pair both ways; a cell is
     named by its least core point. A pair of cells is one row, however many of their points are near."""
     names = core.groupBy("region", "x", "y").agg(F.min("point").alias("name"))
@@ -94,7 +99,7 @@ def linked_cells(core: DataFrame, eps: float) -> DataFrame:
         both = cells.join(others, ["region", "x2", "y2"]).filter("name < name2").join(found, ["name", "name2"], "left_anti")
         is_large = names.join(large, ["region", "x", "y"], "left_semi").select("name")
         left = both.join(is_large, "name", "left_semi").select("name", "name2").unionByName(both.join(is_large.withColumnRenamed("name", "name2"), "name2", "left_semi").select("name", "name2")).distinct()
-        rest = left.join(held.select("name", "held"), "name").join(held.select(F.col("name").alias("name2"), F.col("held").alias("held2")), "name2")
+        rest = left.join(held.select("region", "name", "held", *_eps_of(held)), "name").join(held.select(F.col("name").alias("name2"), F.col("held").alias("held2")), "name2")
         rest = rest.filter(F.exists("held", lambda a: F.exists("held2", lambda b: _near(a, b, eps)))).select("name", "name2")
         found = found.unionByName(rest)
     found = found.distinct()
@@ -106,9 +111,29 @@ def labels(quakes: DataFrame, eps_km: float = EPS_KM, min_samples: int = MIN_SAM
     return labelled_places(places(quakes), eps_km, min_samples)
 
 
+def grid(quakes: DataFrame, settings: list[tuple[float, int]]) -> DataFrame:
+    """(eps_km, min_samples, region, lat, lon, weight, point, label) for each of some settings, all in one run:
+    a setting's places are zones of their own."""
+    entries = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(f"{float(km) / geo.KM_PER_DEGREE!r}|{least}").alias("name"), F.lit(float(km)).alias("eps_km"), F.lit(least).alias("min_samples")) for i, (km, least) in enumerate(settings)))
+    n = len(settings)
+    rows = places(quakes).withColumn("s", F.explode(entries))
+    rows = rows.select(F.concat_ws("|", "s.name", "region").alias("region"), "lat", "lon", "weight", (F.col("point") * n + F.col("s.i")).alias("point"))
+    part = F.split("region", r"\|", 3)
+    found = _labelled(rows, part[0].cast("double"), part[1].cast("int"))
+    setting = F.element_at(entries, (F.pmod("point", F.lit(n)) + 1).cast("int"))
+    label = F.when(F.col("label") < 0, F.col("label")).otherwise(F.expr(f"label div {n}"))
+    return found.select(setting["eps_km"].alias("eps_km"), setting["min_samples"].alias("min_samples"), part[2].alias("region"), "lat", "lon", "weight", F.expr(f"point div {n}").alias("point"), label.alias("label"))
+
+
 def labelled_places(points: DataFrame, eps_km: float = EPS_KM, min_samples: int = MIN_SAMPLES) -> DataFrame:
-    eps = eps_km / geo.KM_PER_DEGREE
-    points = stored(gridded(points, eps), "dbscan-points")
+    return _labelled(points, eps_km / geo.KM_PER_DEGREE, min_samples)
+
+
+def _labelled(points: DataFrame, eps: float | Column, min_samples: int | Column) -> DataFrame:
+    """Labels of places; eps and the least number may be columns made of the zone."""
+    points = gridded(points, eps)
+    points = stored(points.withColumn("eps_degrees", eps) if isinstance(eps, Column) else points, "dbscan-points")
+    eps = F.col("eps_degrees") if isinstance(eps, Column) else eps
     core = stored(core_points(points, eps, min_samples), "dbscan-core")
     cells = core.groupBy("region", "x", "y").agg(F.min("point").alias("name"))
     roots = components(cells.select(F.col("name").alias("node")), stored(linked_cells(core, eps), "dbscan-links"))
@@ -119,7 +144,7 @@ def labelled_places(points: DataFrame, eps_km: float = EPS_KM, min_samples: int
     return rows.select("region", "lat", "lon", "weight", "point", F.coalesce("root", "near", F.lit(-1)).cast("long").alias("label"))
 
 
-def _border_roots(border: DataFrame, core: DataFrame, cells: DataFrame, eps: float) -> DataFrame:
+def _border_roots(border: DataFrame, core: DataFrame, cells: DataFrame, eps: float | Column) -> DataFrame:
     """(point, near): the least root of the clusters that have a core point within eps of a border point."""
     held = _chunks(core, "lat", "lon").join(cells, ["region", "x", "y"])
     held = held.select("region", F.col("x").alias("x2"), F.col("y").alias("y2"), "held", "root")

@@ -48,20 +48,21 @@ def signal_rows(quakes: DataFrame) -> DataFrame:
     return stored(rows.withColumn("cell", cell).withColumn("uid", F.monotonically_increasing_id()), "signal-rows")
 
 
-def looked_up(rows: DataFrame, keys: list[str], lengths: dict[str, int], sums: dict[str, Column]) -> DataFrame:
+def looked_up(rows: DataFrame, keys: list[str], lengths: dict[str, int], sums: dict[str, Column]) -> tuple[DataFrame, bool]:
     """Rows (uid, part, event_id, us, magnitude, keys) with each running total at the row, and, as
-    ``total_name``, over the rows that are more than a length older."""
+    ``total_name``, over the rows that are more than a length older; and whether keys go over slices."""
     asked = [("", 0), *((f"_{n}", x) for n, x in lengths.items())]
     at = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(x).cast("long").alias("length")) for n, x in asked))
     inputs = {f"{n}_in": c for n, c in sums.items()}
     each = rows.select("uid", "event_id", "magnitude", *keys, "us", *(c.alias(n) for n, c in inputs.items()), F.explode(at).alias("at"))
     own = F.col("at.name") == ""
     each = each.withColumns({n: F.when(own, F.col(n)).otherwise(F.lit(0)) for n in inputs} | {"t": F.col("us") - F.col("at.length"), "own": own})
-    each = slices.dealt(each, [*keys, "t", "own", "event_id", "uid"], rows.count() * (1 + len(lengths)), "signal-windows")
-    found = slices.running(each, keys, ["t", "own", "event_id", "uid"], {n: F.col(f"{n}_in") for n in sums})
+    each, spans = slices.dealt(each, keys, ["t", "own", "event_id", "uid"], rows.count() * (1 + len(lengths)), "signal-windows")
+    found = slices.running(each, spans, keys, ["t", "own", "event_id", "uid"], {n: F.col(f"{n}_in") for n in sums})
     totals = [F.max(F.when(F.col("at.name") == suffix, F.col(n))).alias(n + suffix) for n in sums for suffix in ("", *(f"_{x}" for x in lengths))]
     row = F.max(F.when(F.col("own"), F.struct("part", "event_id", "us", "magnitude", *keys))).alias("row")
-    return found.groupBy("uid").agg(row, *totals).select("uid", "row.*", *(n + suffix for n in sums for suffix in ("", *(f"_{x}" for x in lengths))))
+    found = found.groupBy("uid").agg(row, *totals)
+    return found.select("uid", "row.*", *(n + suffix for n in sums for suffix in ("", *(f"_{x}" for x in lengths)))), spans
 
 
 def _exact(c: Column) -> Column:
@@ -71,8 +72,8 @@ def _exact(c: Column) -> Column:
 def zone_windows(rows: DataFrame, names: set[str]) -> DataFrame:
     """(uid, ...) what the zone's windows hold and its smoothed values, for the signals of ``names``."""
     if not names & {"foreshock", "energy", "migration"}:  # no window of time: the rows alone
-        found = slices.dealt(rows.drop("cell", "lat", "lon"), ["region", *ORDER], rows.count(), "signal-zones")
-        found = slices.running(found, ["region"], ORDER, {"n": F.lit(1).cast("long")})
+        found, spans = slices.dealt(rows.drop("cell", "lat", "lon"), ["region"], ORDER, rows.count(), "signal-zones")
+        found = slices.running(found, spans, ["region"], ORDER, {"n": F.lit(1).cast("long")})
     else:
         lengths, sums = {}, {"n": F.lit(1).cast("long")}
         if names & {"foreshock", "energy"}:
@@ -86,7 +87,7 @@ def zone_windows(rows: DataFrame, names: set[str]) -> DataFrame:
             placed = F.col("cell").isNotNull()
             micro = lambda c: _exact(F.when(placed, F.rint(F.col(c) * 1_000_000)).otherwise(0.0))
             sums |= {"placed": placed.cast("long"), "lats": micro("lat"), "lons": micro("lon")}
-        found = looked_up(rows, ["region"], lengths, sums)
+        found, spans = looked_up(rows, ["region"], lengths, sums)
     smooth, drop = {}, []
     if "foreshock" in names:
         found = found.withColumn("n15", F.col("n") - F.col("n_15")).withColumn("x15", F.when(F.col("n15") >= FORESHOCK["least"], F.col("n15").cast("double")))
@@ -99,20 +100,20 @@ def zone_windows(rows: DataFrame, names: set[str]) -> DataFrame:
     if "migration" in names:
         found = _migrated(stored(found.drop(*drop), "signal-places"))
         drop = []
-    if names & {"trend", "gap"}:
+    if names & {"trend", "gap"} and spans:
         found = stored(found.drop(*drop), "signal-order")
     if "trend" in names:
-        found = slices.earlier_value(found, ["region"], ORDER, "magnitude", TREND["rows"] - 1, "n", "first_magnitude")
+        found = slices.earlier_value(found, spans, ["region"], ORDER, "magnitude", TREND["rows"] - 1, "n", "first_magnitude")
         steps = F.least(F.col("n"), F.lit(TREND["rows"])) - 1
         found = found.withColumn("raw_slope", F.when(steps >= TREND["least"] - 1, (F.col("magnitude") - F.col("first_magnitude")) / steps).otherwise(0.0)).drop("first_magnitude")
     if "gap" in names:
-        found = slices.earlier_value(found, ["region"], ORDER, "us", 1, "n", "us_before")
+        found = slices.earlier_value(found, spans, ["region"], ORDER, "us", 1, "n", "us_before")
         found = found.withColumn("gap", F.when(F.col("n") > 1, (F.col("us") - F.col("us_before")) / 1e6)).drop("us_before")
         smooth["gap"] = SMOOTHED["gap"]
     keep = [c for c in ("n15", "x15", "e15", "raw_slope", "km", "gap") if c in found.columns]
     found = found.select("uid", "part", "region", "us", "event_id", *keep)
     if smooth:
-        found = slices.folded(stored(found, "signal-zones"), ["region"], ORDER, slices.smoothing(smooth), {f"{c}_base": "double" for c in smooth}, "signal-smooth")
+        found = slices.folded(found, spans, ["region"], ORDER, slices.smoothing(smooth), {f"{c}_base": "double" for c in smooth}, "signal-smooth")
     return found.drop("part", "region", "us", "event_id")
 
 
@@ -134,25 +135,25 @@ def cell_windows(rows: DataFrame, names: set[str]) -> DataFrame:
         lengths["30"] = CLUSTER["window"]
     if "asymmetry" in names:
         lengths |= {"20": ASYMMETRY["window"], "10": ASYMMETRY["half"]}
-    found = looked_up(rows.filter(F.col("cell").isNotNull()), keys, lengths, {"n": F.lit(1).cast("long")})
+    found, spans = looked_up(rows.filter(F.col("cell").isNotNull()), keys, lengths, {"n": F.lit(1).cast("long")})
     found = found.withColumns({f"n{x}": F.col("n") - F.col(f"n_{x}") for x in lengths})
     if "aftershock" in names:
-        found = _since_mainshock(stored(found, "signal-cells"), keys)
+        found = _since_mainshock(stored(found, "signal-cells") if spans else found, spans, keys)
     if "cluster" not in names:
         return found.drop("part", *keys, "us", "event_id", "magnitude", "n")
     found = found.withColumn("x30", F.when(F.col("n30") >= CLUSTER["least"], F.col("n30").cast("double")))
-    found = slices.folded(stored(found, "signal-cells"), keys, ORDER, slices.smoothing({"x30": SMOOTHED["x30"]}), {"x30_base": "double"}, "signal-smooth")
+    found = slices.folded(found, spans, keys, ORDER, slices.smoothing({"x30": SMOOTHED["x30"]}), {"x30_base": "double"}, "signal-smooth")
     return found.drop("part", *keys, "us", "event_id", "magnitude", "n")
 
 
-def _since_mainshock(found: DataFrame, keys: list[str]) -> DataFrame:
+def _since_mainshock(found: DataFrame, spans: bool, keys: list[str]) -> DataFrame:
     """Adds ``n_after``: how many rows a cell had in the hours after its last mainshock, up to the row. Both
     the last mainshock and the last such number are running maxima, for a cell's rows are numbered in order."""
     p = AFTERSHOCK
-    found = slices.running(found, keys, ORDER, maxima={"main": F.when(F.col("magnitude") >= p["magnitude"], F.struct(F.col("n").alias("n"), F.col("us").alias("us")))})
+    found = slices.running(found, spans, keys, ORDER, maxima={"main": F.when(F.col("magnitude") >= p["magnitude"], F.struct(F.col("n").alias("n"), F.col("us").alias("us")))})
     inside = (F.col("n") > F.col("main.n")) & (F.col("us") - F.col("main.us") <= p["window"])
     after = F.when(F.col("main").isNotNull(), F.struct(F.col("main.n").alias("main"), F.when(inside, F.col("n") - F.col("main.n")).otherwise(0).alias("n")))
-    found = slices.running(found, keys, ORDER, maxima={"after": after})
+    found = slices.running(found, spans, keys, ORDER, maxima={"after": after})
     return found.withColumn("n_after", F.coalesce(F.col("after.n"), F.lit(0))).drop("main", "after")
 
 

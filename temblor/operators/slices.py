@@ -24,16 +24,20 @@ from pyspark.sql import functions as F
 from temblor.operators.graph import discard, stored
 from temblor.session import ship_package
 
-#: Rows of a slice, and the least where rows are dealt over all cores.
-ROWS, LEAST_ROWS = 1 << 16, 1 << 13
+#: Rows of a slice, and the least where rows are dealt over all cores; up to ``ROWS``, keys are dealt whole over
+#: ``SMALL`` slices and nothing is carried.
+ROWS, LEAST_ROWS, SMALL = 1 << 19, 1 << 15, 16
 
 
-def dealt(rows: DataFrame, order: list[str], n: int, name: str = "slices") -> DataFrame:
-    """The rows, of which there are about ``n``, with their slice ``part``, stored."""
+def dealt(rows: DataFrame, keys: list[str], order: list[str], n: int, name: str = "slices") -> tuple[DataFrame, bool]:
+    """The rows, of which there are about ``n``, with their slice ``part``, and whether keys go over slices. Few
+    rows are dealt by key, as they are; more are dealt by range and stored."""
+    if n <= ROWS:
+        return rows.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(SMALL)).cast("int")), False
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(-(-n // ROWS), min(cores, n // LEAST_ROWS), 1)
-    ranged = rows.repartitionByRange(parts, *order) if parts > 1 else rows.repartition(1)
-    return stored(ranged.withColumn("part", F.spark_partition_id()), name)
+    parts = max(-(-n // ROWS), min(cores, n // LEAST_ROWS), 2)
+    ranged = rows.repartitionByRange(parts, *keys, *order)
+    return stored(ranged.withColumn("part", F.spark_partition_id()), name), True
 
 
 def _along(keys: list[str], order: list[str]) -> W:
@@ -46,24 +50,28 @@ def _going_on(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.join(several, keys, "left_semi")
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
+def running(rows: DataFrame, spans: bool, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxima: dict[str, Column] | None = None) -> DataFrame:
     """Adds the sums and maxima of columns over a key's rows up to each row."""
     sums, maxima = sums or {}, maxima or {}
     rows = rows.withColumns(sums | maxima)
+    upto = _along(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = rows.withColumns({c: F.sum(c).over(upto) for c in sums} | {c: F.max(c).over(upto) for c in maxima})
+    if not spans:
+        return local
     totals = [F.sum(c).alias(c) for c in sums] + [F.max(c).alias(c) for c in maxima]
     parts = _going_on(rows.groupBy("part", *keys).agg(*totals), keys)
     earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row a slice
     before = parts.select("part", *keys, *(F.sum(c).over(earlier).alias(f"{c}_before") for c in sums), *(F.max(c).over(earlier).alias(f"{c}_before") for c in maxima))
-    upto = _along(keys, order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = rows.withColumns({c: F.sum(c).over(upto) for c in sums} | {c: F.max(c).over(upto) for c in maxima})
     joined = local.join(before, ["part", *keys], "left")
     whole = {c: F.col(c) + F.coalesce(F.col(f"{c}_before"), F.lit(0)) for c in sums} | {c: F.greatest(F.col(c), F.col(f"{c}_before")) for c in maxima}
     return joined.withColumns(whole).drop(*(f"{c}_before" for c in [*sums, *maxima]))
 
 
-def earlier_value(rows: DataFrame, keys: list[str], order: list[str], value: str, k: int, rank: str, out: str) -> DataFrame:
+def earlier_value(rows: DataFrame, spans: bool, keys: list[str], order: list[str], value: str, k: int, rank: str, out: str) -> DataFrame:
     """Adds the value of the row ``k`` rows earlier, or of a key's first row; ``rank`` numbers a key's rows."""
     along = _along(keys, order)
+    if not spans:
+        return rows.withColumn(out, F.first(value).over(along.rowsBetween(-k, 0)))
     kept = rows.withColumns({out: F.first(value).over(along.rowsBetween(-k, 0)), "_own": F.row_number().over(along), "_left": F.lead(F.lit(1), k).over(along)})
     last = kept.filter(F.col("_left").isNull()).select(*keys, F.col(rank).alias("_rank"), F.struct(F.col(value).alias("x")).alias("_found"))  # k rows a slice and key
     last = last.join(_going_on(rows.select("part", *keys).distinct(), keys).select(*keys).distinct(), keys, "left_semi")
@@ -76,7 +84,7 @@ def earlier_value(rows: DataFrame, keys: list[str], order: list[str], value: str
 Step = Callable[[dict[str, list], list], list[list]]
 
 
-def folded(rows: DataFrame, keys: list[str], order: list[str], step: Step, states: dict[str, str], name: str = "fold") -> DataFrame:
+def folded(rows: DataFrame, spans: bool, keys: list[str], order: list[str], step: Step, states: dict[str, str], name: str = "fold") -> DataFrame:
     """Adds the columns ``states`` (name: type) of a fold along each key's rows.
 
     ``step(columns, state)`` takes a stretch of a key's rows as a dict of lists and the state before it, a list
@@ -100,7 +108,10 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], step: Step, state
                 c.extend(xs)
         return own.assign(**{c: pd.Series(xs, dtype="float64" if states[c] == "double" else "object") for c, xs in zip(held, found, strict=True)})[[*names, *held]]
 
-    starts = None
+    if not spans:
+        none = pd.DataFrame()
+        return rows.groupBy("part").applyInPandas(lambda own: run(own, none), schema)
+    rows, starts = stored(rows, name), None
     while True:
         begin = starts if starts is not None else _no_starts(rows, keys, states)
         out = stored(rows.groupBy("part").cogroup(begin.groupBy("part")).applyInPandas(run, schema), name)

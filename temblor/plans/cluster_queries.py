@@ -10,6 +10,7 @@ from temblor.plans.basic import QUERIES, query
 from temblor.plans.sql_base import QUAKES, r
 from temblor.sources.quakes import read_quakes
 
+#: Runs go on until nothing moves, which on these tables is after two rounds; their SQL unrolls four.
 K, ROUNDS = 3, 4
 EPS = 50.0 / 111.0
 
@@ -61,13 +62,18 @@ def q_kdistance(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_dbscan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters, clustered rows and noise for each setting of the benchmark grid."""
-    quakes, out = read_quakes(spark, sf_dir), None
-    for eps, least in GRID:
-        found = dbscan.labels(quakes, eps, least)
-        row = found.agg(F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.sum(F.when(F.col("label") >= 0, F.col("weight")).otherwise(0)).alias("clustered"), F.sum(F.when(F.col("label") < 0, F.col("weight")).otherwise(0)).alias("noise"))
-        row = row.select(F.lit(eps).alias("eps_km"), F.lit(least).alias("min_samples"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    found = dbscan.grid(read_quakes(spark, sf_dir), GRID)
+    in_one = F.col("label") >= 0
+    return found.groupBy("eps_km", "min_samples").agg(F.countDistinct(F.when(in_one, F.col("label"))).alias("clusters"), F.sum(F.when(in_one, F.col("weight")).otherwise(0)).alias("clustered"), F.sum(F.when(in_one, 0).otherwise(F.col("weight"))).alias("noise"))
+
+
+@query()
+def q_dbscan_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Davies-Bouldin, Calinski-Harabasz and silhouette of the clustered rows for each setting of the grid."""
+    quakes = read_quakes(spark, sf_dir)
+    found = dbscan.grid(quakes, GRID).select("eps_km", "min_samples", "region", "lat", "lon", F.col("label").alias("cluster"))
+    rows = quakes.select("region", "lat", "lon").join(found, ["region", "lat", "lon"])
+    return metrics.quality(rows.select("eps_km", "min_samples", "cluster", "lat", "lon"), ("eps_km", "min_samples"))
 
 
 # ---- k-means: the start and each round as a common table expression
@@ -95,7 +101,7 @@ LAST = f"a{ROUNDS}"
 
 def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[float, float]]]:
     quakes = read_quakes(spark, sf_dir)
-    centres = kmeans.fit(quakes, K, ROUNDS)
+    centres = kmeans.fit(quakes, K, kmeans.MOST_ROUNDS)
     return kmeans.assign(quakes, centres), centres
 
 
@@ -172,7 +178,7 @@ def q_centroid_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the centres after all rounds are from those after the first."""
     quakes = read_quakes(spark, sf_dir)
     table = lambda centres: spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(centres)], "cluster long, x double, y double")
-    return metrics.centroid_drift(table(kmeans.fit(quakes, K, 1)), table(kmeans.fit(quakes, K, ROUNDS)))
+    return metrics.centroid_drift(table(kmeans.fit(quakes, K, 1)), table(kmeans.fit(quakes, K, kmeans.MOST_ROUNDS)))
 
 
 def q_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,6 +187,21 @@ def test_silhouette_in_tiles(spark):
         assert metrics.silhouette(df, tile).first().silhouette == pytest.approx(total / len(own), abs=2e-6)
 
 
+def test_all_settings_in_one_run(spark):
+    df = scattered(spark, 200, 12)
+    settings = [(20.0, 3), (60.0, 4)]
+    found = graph.stored(dbscan.grid(df, settings), "grid")
+    rows = df.select("region", "lat", "lon").join(found.withColumnRenamed("label", "cluster"), ["region", "lat", "lon"])
+    together = {(r.eps_km, r.min_samples): r for r in metrics.quality(rows, ("eps_km", "min_samples")).collect()}
+    for km, least in settings:
+        own = found.filter((F.col("eps_km") == km) & (F.col("min_samples") == least))
+        assert labels_of(own) == labels_of(dbscan.labels(df, km, least))
+        one = rows.filter((F.col("eps_km") == km) & (F.col("min_samples") == least)).select("cluster", "lat", "lon")
+        got = together[km, least]
+        assert got.silhouette == pytest.approx(metrics.silhouette(one).first()[0]) and got.davies_bouldin == metrics.davies_bouldin(one).first()[0]
+        assert got.calinski_harabasz == metrics.calinski_harabasz(one).first()[0]
+
+
 def test_many_sets_of_centres_in_the_passes_of_one(spark):
     df = scattered(spark, 200, 5)
     points = kmeans.places(df)

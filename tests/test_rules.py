@@ -162,9 +162,10 @@ def test_a_busy_hour_is_dealt_evenly(spark, monkeypatch):
     keep = slices.dealt
 
     def dealt(*args, **more):
-        out = keep(*args, **more)
+        out, spans = keep(*args, **more)
         sizes.append([r[1] for r in out.groupBy("part").count().collect()])
-        return out
+        assert spans
+        return out, spans
 
     monkeypatch.setattr(slices, "ROWS", 250)
     monkeypatch.setattr(slices, "LEAST_ROWS", 250)
@@ -180,10 +181,10 @@ def test_folds_over_slices_are_exact(spark, monkeypatch):
     df = spark.createDataFrame(rows, "k string, t long, id long, x double")
     monkeypatch.setattr(slices, "ROWS", 30)
     monkeypatch.setattr(slices, "LEAST_ROWS", 30)
-    dealt = slices.dealt(df, ["k", "t", "id"], len(rows))
-    found = slices.running(dealt, ["k"], ["t", "id"], {"n": F.lit(1).cast("long")}, {"top": F.when(F.col("x") > 0.8, F.struct("t", "id"))})
-    found = slices.earlier_value(found, ["k"], ["t", "id"], "x", 5, "n", "x5")
-    found = slices.folded(found, ["k"], ["t", "id"], slices.smoothing({"x": 0.05, "t": 0.3}), {"ex": "double", "et": "double"})
+    dealt, spans = slices.dealt(df, ["k"], ["t", "id"], len(rows))
+    found = slices.running(dealt, spans, ["k"], ["t", "id"], {"n": F.lit(1).cast("long")}, {"top": F.when(F.col("x") > 0.8, F.struct("t", "id"))})
+    found = slices.earlier_value(found, spans, ["k"], ["t", "id"], "x", 5, "n", "x5")
+    found = slices.folded(found, spans, ["k"], ["t", "id"], slices.smoothing({"x": 0.05, "t": 0.3}), {"ex": "double", "et": "double"})
     got = {r.id: r for r in found.collect()}
     assert len(got) == 160 and dealt.select("part").distinct().count() >= 4
     for k in ("hot", "a", "b"):
