@@ -1,17 +1,19 @@
 """Mixing sources to target weights by fixed-length blocks.
 
 Each source's words, document after document, are cut into blocks of ``BLOCK`` words, and its target, in
-whole blocks, is its quota of slots. Output shards of ``SHARD`` slots draw their source counts from all
-slots without replacement, so the counts are multinomial given that every source meets its quota (drawn
-with replacement they would miss it, and sources at their limit would overrun it): one pseudorandom
-permutation deals the slots of all sources to places of shards. A pseudorandom permutation of a source's
-block indexes maps its slots to blocks, anew on each pass; a join by (source, block) finds the words. No
-block is in more passes than the target's limit, twice. Everything runs as DataFrame operations.
+whole blocks, is its quota of slots. Every output shard draws its source counts: each of its ``SHARD``
+places draws a source with the quotas as weights, which makes the counts multinomial. A source's draws,
+shard after shard, take its slots one after the other. By chance a source is drawn a little more or less
+often than its quota (by about the root of it), which would miss the target and take documents more than
+twice; so draws beyond a quota go, dealt by a pseudorandom permutation, to the slots that are left of
+sources drawn too rarely. A pseudorandom permutation of a source's block indexes maps its slots to blocks,
+anew on each pass; a join by (source, block) finds the words. No block is in more passes than the target's
+limit, twice. Everything runs as DataFrame operations.
 
 All randomness is hashing of numbers with a seed, so runs agree on any cluster. No task holds a source, its
-slots or its documents: slots are dealt in chunks, offsets inside a source are sums over buckets of
-documents, ranks and offsets of sources sums over ranges of sources, and equal rows are counted first and
-numbered in chunks.
+slots or its documents: a row holds a source's places in one shard at most, offsets inside a source are
+sums over buckets of documents and groups of shards, ranks and offsets of sources sums over ranges of
+sources, and equal rows are counted first and numbered in chunks.
 
 Defined results: a null or empty text has size 0 and is never taken; a null source is a source, ordered
 last; repeated rows are mixed each; an empty table gives no rows; other columns, whatever their names, are
@@ -29,9 +31,9 @@ from temblor.llm.common import WORD, stored, table
 #: Fixed values of the production mix.
 WEIGHTS, SHARE, LIMIT = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, SEED = 128, 4096, 20240229
-#: Documents in a bucket of the offset sums, buckets and sources whose sums one task adds up; sources up to
-#: which their table is broadcast.
-BUCKET, BUCKETS, SOURCES, MOST_BROADCAST = 500, 10_000, 100_000, 50_000
+#: Documents in a bucket of the offset sums; buckets, shards and sources whose sums one task adds up; sources
+#: up to which their table is broadcast.
+BUCKET, BUCKETS, SHARDS, SOURCES, MOST_BROADCAST = 500, 10_000, 10_000, 100_000, 50_000
 #: Slots or equal rows that one row stands for until they are dealt.
 CHUNK = 1 << 14
 PIECE = ("sid", "start", "block", "first", "after", "pass", "shard", "place")
@@ -146,15 +148,50 @@ def permuted(rows: DataFrame, index: str, n: str, keys: str, out: str, seed: int
     return rows.withColumn(out, F.when(F.col("pv") < F.col(n), F.col("pv")).otherwise(rest)).drop("pa", "pb", "pl", "pr", "pv")
 
 
+def draws(sources: DataFrame, seed: int = SEED) -> DataFrame:
+    """(shard, sid, n, places): how many places of a shard have drawn a source, and which, in order.
+
+    A place draws a number below the sum of the quotas; the source is the one in whose range it falls. Ranges
+    are found by the cells of an even grid that they touch: cells are as wide as half of the mean quota, so
+    that a draw meets three halves of a range on average, however uneven the quotas are."""
+    spark = sources.sparkSession
+    total, n = sources.agg(F.coalesce(F.sum("quota"), F.lit(0)), F.count("*")).first()
+    width = max(1, total // (2 * max(n, 1)))
+    ranges = sources.filter("quota > 0").select("sid", F.col("first_slot").alias("low"), (F.col("first_slot") + F.col("quota")).alias("high"))
+    ranges = ranges.withColumn("cells", F.expr(f"(high - 1) div {width} - low div {width} + 1"))
+    ranges = _numbered(ranges, "cells", "cell", total // width + 1).withColumn("cell", F.expr(f"cell + low div {width}")).drop("cells")
+    places = spark.range(0, total, 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    drawn = F.expr(f"pmod(xxhash64({seed}, -1L, 0L, 0, 0, id), {max(total, 1)}L)")
+    places = places.select(F.expr(f"id div {SHARD}").alias("shard"), F.expr(f"cast(id % {SHARD} as int)").alias("place"), drawn.alias("drawn"))
+    met = places.withColumn("cell", F.expr(f"drawn div {width}")).join(_small(ranges, 3 * n), "cell").filter("low <= drawn and drawn < high")
+    return met.groupBy("shard", "sid").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+
+
 def slots(sources: DataFrame, seed: int = SEED) -> DataFrame:
     """(sid, block, pass, shard, place): every slot of the mix, where it goes, and the block it takes."""
-    total, most = sources.agg(F.sum("quota"), F.max("quota")).first()
-    rows = _numbered(sources.select("sid", "n_blocks", "quota", "first_slot"), "quota", "slot", most or 0)
-    rows = rows.withColumn("slot_of_all", F.col("first_slot") + F.col("slot")).withColumn("total", F.lit(total or 0).cast("long"))
-    rows = permuted(rows, "slot_of_all", "total", "-1L, 0L", "at", seed)
-    rows = rows.withColumn("pass", F.expr("slot div n_blocks")).withColumn("i", F.expr("slot % n_blocks"))
-    rows = permuted(rows, "i", "n_blocks", "sid, pass", "block", seed)
-    return rows.select("sid", "block", "pass", F.expr(f"at div {SHARD}").alias("shard"), F.expr(f"at % {SHARD}").alias("place"))
+    drawn = stored(draws(sources, seed), "mix-draws").withColumn("part", F.expr(f"shard div {SHARDS}"))
+    parts = drawn.groupBy("sid", "part").agg(F.sum("n").alias("of_part"))
+    sums = parts.groupBy("sid").agg(F.sum("of_part").alias("drawn"))
+    rows = sources.select("sid", "n_blocks", "quota").join(sums, "sid", "left").na.fill(0, ["drawn"])
+    rows = rows.withColumn("over", F.greatest(F.col("drawn") - F.col("quota"), F.lit(0))).withColumn("left", F.greatest(F.col("quota") - F.col("drawn"), F.lit(0)))
+    rows = stored(_before(_before(rows, "over", "first_over"), "left", "first_left"), "mix-balance")
+    n, moved, most = rows.agg(F.count("*"), F.coalesce(F.sum("over"), F.lit(0)), F.coalesce(F.max("left"), F.lit(0))).first()
+    # a draw's number among its source's: that of the groups of shards before, of the shards before, its own
+    offsets = parts.select("sid", "part", (F.sum("of_part").over(W.partitionBy("sid").orderBy("part")) - F.col("of_part")).alias("offset"))
+    inner = F.sum("n").over(W.partitionBy("sid", "part").orderBy("shard")) - F.col("n")
+    numbered = drawn.withColumn("inner", inner).join(offsets, ["sid", "part"]).join(_small(rows.select("sid", "n_blocks", "quota", "first_over"), n), "sid")
+    numbered = numbered.select("sid", "n_blocks", "quota", "first_over", "shard", F.posexplode("places").alias("at", "place"), (F.col("offset") + F.col("inner")).alias("before"))
+    numbered = numbered.withColumn("slot", F.col("before") + F.col("at"))
+    # draws beyond a quota, and the slots that are left for them
+    over = numbered.filter("slot >= quota").select("shard", "place", F.expr("first_over + slot - quota").alias("i"), F.lit(moved).cast("long").alias("moved"))
+    over = permuted(over, "i", "moved", "-1L, 1L", "number", seed).select("shard", "place", "number")
+    left = _numbered(rows.select("sid", "n_blocks", "drawn", "first_left", "left"), "left", "i", most)
+    left = left.select("sid", "n_blocks", F.expr("drawn + i").alias("slot"), F.expr("first_left + i").alias("number"))
+    columns = ["sid", "n_blocks", "slot", "shard", "place"]
+    every = numbered.filter("slot < quota").select(columns).unionByName(left.join(over, "number").select(columns))
+    every = every.withColumn("pass", F.expr("slot div n_blocks")).withColumn("i", F.expr("slot % n_blocks"))
+    every = permuted(every, "i", "n_blocks", "sid, pass", "block", seed)
+    return every.select("sid", "block", "pass", "shard", "place")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:

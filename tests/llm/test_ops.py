@@ -579,14 +579,19 @@ def test_mix_against_brute_force(spark, docs, monkeypatch):
     target = {r.sid: r.target for r in placed}
     quota = {sid: round(target[sid] * blocks[sid] / ends[sid]) for sid in sorted(ends)}
     of, total = Hashes(spark), sum(quota.values())
+    of_number = [sid for sid, q in quota.items() for _ in range(q)]
     while True:
-        want, first = {}, 0
-        for sid, q in quota.items():
-            for slot in range(q):
-                at = brute_permutation(first + slot, total, (-1, 0), mixing.SEED, of)
-                turn, i = divmod(slot, blocks[sid])
-                want[divmod(at, 64)] = (sid, brute_permutation(i, blocks[sid], (sid, turn), mixing.SEED, of), turn)
-            first += q
+        # places draw; a source's draws take its slots in order, and those beyond its quota what others have left
+        raw = [of_number[of((mixing.SEED, -1, 0, 0, 0, p)) % total] for p in range(total)]
+        drawn = {sid: [p for p in range(total) if raw[p] == sid] for sid in quota}
+        taken = {p: (sid, slot) for sid, q in quota.items() for slot, p in enumerate(drawn[sid][:q])}
+        over = [p for sid, q in quota.items() for p in drawn[sid][q:]]
+        left = [(sid, slot) for sid, q in quota.items() for slot in range(len(drawn[sid]), q)]
+        taken |= {p: left[brute_permutation(i, len(over), (-1, 1), mixing.SEED, of)] for i, p in enumerate(over)}
+        want = {}
+        for p, (sid, slot) in taken.items():
+            turn, i = divmod(slot, blocks[sid])
+            want[divmod(p, 64)] = (sid, brute_permutation(i, blocks[sid], (sid, turn), mixing.SEED, of), turn)
         if of.settle():
             break
     assert len(want) == total and {(r.shard, r.place): (r.sid, r.block, r["pass"]) for r in pieces} == want
@@ -605,6 +610,28 @@ def test_mix_against_brute_force(spark, docs, monkeypatch):
     one, other = counts(mixing.mix(rows)[1]), counts(mixing.mix(rows, seed=5)[1])
     assert one != other and all(sum(n for (s, _), n in c.items() if s == 0) == 64 for c in (one, other))
     assert all(sum(n for (_, x), n in c.items() if x == sid) == q for c in (one, other) for sid, q in quota.items())
+    # the draws decide: all but the few beyond a quota are where they fell
+    fell = Counter((p // 64, sid) for p, sid in enumerate(raw))
+    assert 0 < len(over) < 4 * len(quota) * total**0.5 and (fell - Counter(one)).total() <= len(over)
+
+
+def test_draws_are_multinomial(spark):
+    """Counts a shard against their mean and variance, for one large source among many of a single slot."""
+    quotas = [0, 400_000, *[1] * 60, 200_000, 0, 100_000]
+    rows = [(i + 1, q, sum(quotas[:i])) for i, q in enumerate(quotas)]
+    sources = spark.createDataFrame(rows, "sid long, quota long, first_slot long")
+    total, found = sum(quotas), mixing.draws(sources).collect()
+    assert all(r.n == len(r.places) and list(r.places) == sorted(set(r.places)) for r in found)
+    places = sorted(r.shard * mixing.SHARD + p for r in found for p in r.places)
+    assert places == list(range(total))
+    full = total // mixing.SHARD
+    for sid, q in ((2, 400_000), (63, 200_000), (65, 100_000)):
+        share = q / total
+        counts = [r.n for r in found if r.sid == sid and r.shard < full]
+        spread = mixing.SHARD * share * (1 - share)
+        assert len(counts) == full and abs(np.mean(counts) - mixing.SHARD * share) < 4 * (spread / full) ** 0.5
+        assert 0.6 * spread < np.var(counts) < 1.5 * spread
+    assert not {r.sid for r in found} & {1, 64} and mixing.draws(sources.filter("quota = 0")).count() == 0
 
 
 def test_mixed_rows_keep_columns_of_any_name(spark, docs):
