@@ -18,8 +18,8 @@ folder.
 
 Defined results: words are split at ASCII white space and A-Z lower-cased; a text of one to four words
 is one shingle; null and empty texts have an empty set, link with nothing and are kept; rows of one doc_id
-with different texts are linked each by its own set; null ids stay alone; an empty table gives no rows;
-other columns are not read. Of a component, ``kept_documents`` keeps one row, of the least id, and of its
+with different texts are linked each by its own set; null ids stay alone; a very long text has all its
+shingles in its set, made by one task; an empty table gives no rows; other columns are not read. Of a component, ``kept_documents`` keeps one row, of the least id, and of its
 texts the one of least hash; equal rows without an id, and equal rows without words, are all kept.
 """
 

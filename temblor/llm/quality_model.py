@@ -10,7 +10,8 @@ lowest by the hash of their ids; every text is scored whole.
 
 Defined results: a null or empty text has the mark of an empty text only; without labelled texts all
 weights are 0 and grades come from equal thresholds; repeated rows are scored each; several labels of one
-document count as its worst; an empty table gives no rows; other columns are not read.
+document count as its worst; a very long text is scored whole, by one task; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ stores one failure bit per rule, and everything after that is bit arithmetic ins
 changed policy or a what-if never reads a text again.
 
 Defined results: a null or empty text has no words (all measurements 0) and fails ``few_words``;
-repeated rows are judged row by row; an empty table gives an empty ledger; other columns of the input
-are not read. A policy names rules that exist, else ``KeyError``.
+repeated rows are judged row by row; a very long text is measured whole, by one task, with memory in
+proportion to it; an empty table gives an empty ledger; other columns of the input are not read. A policy names rules that exist, else ``KeyError``.
 """
 
 from __future__ import annotations

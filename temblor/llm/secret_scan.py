@@ -11,7 +11,7 @@ match later; all of ``RULES`` are so, since what follows their keyword is determ
 Lengths are tested on the matches found (``at_least``): counting inside the automaton multiplies states.
 
 Defined results: a null or empty text has no secret; equal texts in repeated rows are scanned each; an
-empty table gives no rows; other columns are not read. Offsets count code points, ends exclusive.
+empty table gives no rows; a very long text is scanned whole, by one task; other columns are not read. Offsets count code points, ends exclusive.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ never a result.
 
 Defined results: ids are those that the tokenizers library gives for the whole text without added special
 tokens, so the text of a special token becomes its id, as the library has it; a null or empty text is the
-end id alone; null ids come first; repeated ids are kept, ordered by their texts' hashes; an empty table
-gives no rows; other columns are not read.
+end id alone; null ids come first; repeated ids are kept, ordered by their texts' hashes; a very long text
+is encoded whole, by one task, and is one frame; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -920,3 +920,26 @@ def test_pipeline(spark, sf_dir):
     source = {r.doc_id: words(r.text) for r in kept[2].collect()}
     for r in kept[3].limit(50).collect():
         assert set(words(r.text)) <= set(source[r.doc_id])
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, sf_dir, tmp_path):
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("false").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    rng = random.Random(8)
+    clean = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (90, 120, 150, 200, 30_000)]
+    rows = [(None, clean[0], "en", "s0", 5, "x", "y"), (100, clean[1], None, "s1", None, None, None), (101, clean[2], "en", None, 1, "x", "y"), (102, clean[3], "en", "s1", 1, "x", "y"), (103, clean[4], "en", "s1", 1, "x", "y")]
+    rows += [rows[3], (None, None, None, None, None, None, None)]
+    good = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, words string")
+    odd = odd_documents(spark).drop("n_words").withColumn("row", F.lit("r")).withColumn("words", F.lit(None).cast("string"))
+    docs = good.unionByName(odd)
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    docs.filter("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    kept = corpus_pipeline.quality(spark, docs, f"{tmp_path}/odd")
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter([None, 100, 101, 102, 102, 103])
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    found = out.collect()
+    assert {r.doc_id for r in found} <= {None, 100, 101, 102, 103} and {r.doc_id for r in found} >= {103}
+    ordered = sorted(found, key=lambda r: r.start)
+    assert [r.start for r in ordered] == [sum(r.n_tokens for r in ordered[:i]) for i in range(len(ordered))]
+    empty = corpus_pipeline.run(spark, f"{tmp_path}/none")
+    assert empty.columns == out.columns and empty.count() == 0
