@@ -1,4 +1,11 @@
-"""The corpus pipeline: stages over documents, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input.
+
+Defined results: documents have the columns doc_id, text, lang, source and n_chars; others, whatever their
+names, go along unchanged to the last stage, which has its own columns. A null or empty text has too few
+words and leaves with the first stage. Rows without an id are judged by their texts like any others; a null
+source is a source of its own; lang and n_chars may be null. Of equal rows with an id one stays, of equal
+rows without an id all do. Very long texts are worked on whole in every stage. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
