@@ -132,20 +132,19 @@ _RIGHT = "pmod({r} + pmod(xxhash64({seed}, {keys}, {k}, 1, {l}), pb), pb)"
 
 
 def permuted(rows: DataFrame, index: str, n: str, keys: str, out: str, seed: int = SEED) -> DataFrame:
-    """Adds ``out``: the column ``index``, below the column ``n``, by the permutation of the columns ``keys``."""
+    """Adds ``out``: the column ``index``, below the column ``n``, by the permutation of the columns ``keys``.
+
+    The rounds are a loop over a lambda's variables. As columns, a step each, they would be inlined into every
+    filter that the optimiser infers for ``out``, and each step names the one before twice or more."""
     rows = rows.withColumn("pa", F.greatest(F.lit(1), F.ceil(F.sqrt(n))).cast("long")).withColumn("pb", F.ceil(F.col(n) / F.col("pa")).cast("long"))
-    rows = rows.withColumn("pl", F.expr(f"{index} div pb")).withColumn("pr", F.expr(f"{index} % pb"))
-    for k in range(ROUNDS):  # a column a step, so that none is computed twice
-        rows = rows.withColumn("pl", F.expr(_LEFT.format(seed=seed, keys=keys, k=k, l="pl", r="pr")))
-        rows = rows.withColumn("pr", F.expr(_RIGHT.format(seed=seed, keys=keys, k=k, l="pl", r="pr")))
-    rows = rows.withColumn("pv", F.expr("pl * pb + pr"))
-    # the few left outside: less than pa + pb of pa * pb
     left, right = (x.format(seed=seed, keys=keys, k="k", l="s.l", r="s.r") for x in (_LEFT, _RIGHT))
     step = f"transform(array(named_struct('l', {left}, 'r', s.r)), s -> named_struct('l', s.l, 'r', {right}))[0]"
     rounds = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', v div pb, 'r', v % pb), (s, k) -> {step})"
-    again = f"transform(array({rounds}), s -> s.l * pb + s.r)[0]"
-    rest = F.expr(f"aggregate(sequence(1, 64), pv, (v, _) -> if(v < {n}, v, {again}))")
-    return rows.withColumn(out, F.when(F.col("pv") < F.col(n), F.col("pv")).otherwise(rest)).drop("pa", "pb", "pl", "pr", "pv")
+    once = f"transform(array({rounds}), s -> s.l * pb + s.r)[0]"
+    # the few left outside: less than pa + pb of pa * pb
+    again = f"if(v < {n}, v, aggregate(sequence(1, 64), v, (v, _) -> if(v < {n}, v, {once})))"
+    value = f"transform(transform(array({index}), v -> {once}), v -> {again})[0]"
+    return rows.withColumn(out, F.expr(value)).drop("pa", "pb")
 
 
 def draws(sources: DataFrame, seed: int = SEED) -> DataFrame:

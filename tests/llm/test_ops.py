@@ -661,6 +661,13 @@ def test_block_permutations(spark):
         assert sorted(r.v for r in mixing.permuted(df, "i", "n", "sid, pass", "v").collect()) == list(range(n))
 
 
+def test_filters_do_not_unroll_permutations(spark):
+    """A join infers that its keys are not null; with rounds as columns that filter held each round many times."""
+    df = spark.range(9).selectExpr("id as sid", "id as pass", "id as i", "id + 1 as n")
+    plan = mixing.permuted(df, "i", "n", "sid, pass", "v").filter("v is not null")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000
+
+
 # ---- 7: token ids
 
 
