@@ -23,15 +23,13 @@ is encoded whole, by one task, and is one frame; an empty table gives no rows; o
 from __future__ import annotations
 
 import array
-import gc
 import hashlib
-import itertools
 import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -55,22 +53,47 @@ LEVEL = 3
 #: The public byte-level pre-tokenizer's pattern for ASCII and Latin letters, spelled out; a fixed value
 #: of the vocabulary. Letters come first, for speed.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_BLANK = "Ġ"  # how the vocabulary's tokens spell a blank
-PRETOKENS = rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+"
+PRETOKENS = rf" [{_LETTERS}]++|[{_LETTERS}]++|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]++| ?[^\s0-9{_LETTERS}]++|\s+(?!\S)|\s+"
+#: How a byte-level vocabulary spells each byte: printable ones as themselves, the rest from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_REST = [b for b in range(256) if b not in _PLAIN]
+SPELLED = [chr(b if b in _PLAIN else 0x100 + _REST.index(b)) for b in range(256)]
+
+
+class Kept(dict):
+    """Ids of pre-tokens: one that is not kept yet is encoded by the vocabulary's model when it is asked for.
+
+    At ``MOST_KEPT`` pre-tokens or ``MOST_CHARS`` characters those that nothing has asked for since the last
+    time are dropped: half of the bound is what is in use, the other half what was before."""
+
+    MOST_KEPT, MOST_CHARS = 400_000, 16 << 20
+
+    def __init__(self, model, code: str):
+        self.model, self.code, self.before, self.chars = model, code, {}, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        if 2 * len(self) >= self.MOST_KEPT or 2 * self.chars >= self.MOST_CHARS:
+            self.before, self.chars = dict(self), 0
+            self.clear()
+        ids = self.before.pop(piece, None)
+        if ids is None:
+            simple = piece.isascii() and piece.isprintable()
+            spelled = piece.replace(" ", SPELLED[32]) if simple else "".join(map(SPELLED.__getitem__, piece.encode()))
+            ids = array.array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        self.chars += len(piece)
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
     """Ids of whole texts, by the tokenizers library.
 
-    A byte-level vocabulary encodes each pre-token by itself, so the library encodes each distinct
+    A byte-level vocabulary encodes each pre-token by itself, so the library's model encodes each distinct
     pre-token once and its ids are kept. This holds for texts of ASCII and Latin letters, for which
     ``PRETOKENS`` says what the public pattern says, and which hold no added token (such as a special
-    one); other texts go through the library whole. New words are encoded many at once: only a word's
-    first token begins with its blank, so the tokens that do part the words' ids again.
+    one); other texts go through the library whole. One text's pre-tokens are held at a time.
     """
 
-    MOST_KEPT, MOST_CHARS, JOINED = 400_000, 16 << 20, 10_000
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -80,55 +103,23 @@ class Encoder:
         pre = spec["pre_tokenizer"] or {}
         plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and spec["normalizer"] is None
         self.split = re.compile(PRETOKENS).findall if plain else None
-        added = [re.escape(t["content"]) for t in spec["added_tokens"]]
-        self.odd = re.compile("|".join([f"[^\t-\r -~{_LETTERS}]", *added])).search
-        self.is_word = re.compile(f" [{_LETTERS}]+").fullmatch
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        self.unknown = re.compile(f"[^\t-\r -~{_LETTERS}]").search
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        vocabulary = self.tokenizer.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.begins[[i for token, i in vocabulary.items() if token.startswith(_BLANK)]] = True
-        self.kept: dict[str, bytes] = {}
-        self.chars = 0
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array.array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _keep(self, pieces: list[str]) -> None:
-        """Encodes pre-tokens that are not kept yet."""
-        words = list(filter(self.is_word, pieces))
-        rest = list(set(pieces).difference(words))
-        for low in range(0, len(words), self.JOINED):
-            some = words[low : low + self.JOINED]
-            data = self._ids(["".join(some)])[0]
-            at = np.flatnonzero(self.begins[np.frombuffer(data, self.code)])
-            if len(at) != len(some):  # a vocabulary with blanks inside words
-                rest += some
-                continue
-            size = array.array(self.code).itemsize
-            cuts = [*(size * at).tolist(), len(data)]
-            self.kept.update(zip(some, (data[i:j] for i, j in itertools.pairwise(cuts)), strict=True))
-        self.kept.update(zip(rest, self._ids(rest), strict=True))
-        self.chars += sum(map(len, pieces))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.kept = Kept(self.tokenizer.model, self.code)
+
+    def odd(self, text: str) -> bool:
+        """Whether a text goes through the library whole."""
+        return self.split is None or any(t in text for t in self.added) or self.unknown(text) is not None
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Each text's ids, as native unsigned integers of ``code``."""
-        odd = [i for i, t in enumerate(texts) if self.split is None or self.odd(t)]
-        out: dict[int, bytes] = dict(zip(odd, self._ids([texts[i] for i in odd]), strict=True))
-        collecting = gc.isenabled()
-        gc.disable()  # millions of short strings and no cycles
-        try:
-            pieces = {i: self.split(t) for i, t in enumerate(texts) if i not in out}
-            distinct = set().union(*pieces.values())
-            if len(self.kept) > self.MOST_KEPT or self.chars > self.MOST_CHARS:  # what is in use stays
-                self.kept = {p: ids for p in distinct if (ids := self.kept.get(p)) is not None}
-                self.chars = sum(map(len, self.kept))
-            self._keep(list(distinct.difference(self.kept)))
-            get = self.kept.__getitem__
-            out |= {i: b"".join(map(get, p)) for i, p in pieces.items()}
-        finally:
-            if collecting:
-                gc.enable()
-        return [out[i] for i in range(len(texts))]
+        get = self.kept.__getitem__
+        for t in texts:
+            if self.odd(t):
+                yield array.array(self.code, self.tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids).tobytes()
+            else:
+                yield b"".join(map(get, self.split(t)))
 
 
 @lru_cache(maxsize=2)
@@ -136,19 +127,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(texts: list[str], most: int = 4 << 20) -> Iterator[list[str]]:
-    """Neighbouring texts of about ``most`` characters together."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     start = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
@@ -254,12 +232,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
         end = array.array(enc.code, [end_id]).tobytes()
         file, writer = f"{path}/part-{part:06d}.ids", None
         for batch in batches:
-            ids, texts, k = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()], 0
-            for some in _slices(texts):
-                for x in enc.encode(some):
-                    writer = writer or _Writer(file, dictionary, enc.code)
-                    writer.add(ids[k], x + end, len(x) // len(end) + 1)
-                    k += 1
+            texts = (t.as_py() or "" for t in batch.column(1))
+            for doc_id, x in zip(batch.column(0).to_pylist(), enc.encode(texts), strict=True):
+                writer = writer or _Writer(file, dictionary, enc.code)
+                writer.add(doc_id, x + end, len(x) // len(end) + 1)
         if writer:
             n_docs, n_tokens = writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [file], "n_docs": [n_docs], "n_tokens": [n_tokens]})

@@ -704,6 +704,27 @@ def test_encoder_against_the_library():
     assert [x for low in range(0, 3000, 500) for x in encoder.encode(texts[low : low + 500])] == want
 
 
+def test_kept_pretokens_are_bounded_and_those_in_use_stay(monkeypatch):
+    """Also inside one text: the bound holds after every pre-token, whatever is asked for together."""
+    monkeypatch.setattr(token_output.Kept, "MOST_KEPT", 40)
+    encoder, rng, most = token_output.Encoder(token_output.TOKENIZER), random.Random(3), 0
+    model, asked = encoder.kept.model, Counter()
+
+    class Model:
+        def tokenize(self, word):
+            nonlocal most
+            asked[word] += 1
+            most = max(most, len(encoder.kept) + len(encoder.kept.before))
+            return model.tokenize(word)
+
+    encoder.kept.model = Model()
+    texts = [" ".join(["the", "don't", "Zwölf\n\n"] + ["".join(rng.choice("abcdé0_") for _ in range(5)) for _ in range(n)]) for n in (0, 10, 300, 10, 10)]
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.code).tobytes() for t in texts]
+    assert list(encoder.encode(texts)) == want and 30 < most <= 40
+    use = Counter(asked)
+    assert list(encoder.encode([w for i in range(100) for w in (f" the q{i}x", " the")])) and asked["Ġthe"] <= use["Ġthe"] + 1
+
+
 # ---- 8: repeated passages
 
 
