@@ -99,10 +99,18 @@ def known_zones(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("region") != "Unknown")
 
 
+def alert_quakes(quakes: DataFrame, least: float = 1.0) -> DataFrame:
+    """(region, name) of each quake that is told to users, row by row; the name is its magnitude in tenths."""
+    return quakes.filter(F.col("magnitude") > least).select("region", F.col("magnitude").cast("decimal(10,1)").cast("string").alias("name"))
+
+
+def quake_id(name: str) -> Column:
+    return F.concat_ws("_", "region", name)
+
+
 def alert_rows(quakes: DataFrame, users: DataFrame, least: float = 1.0) -> DataFrame:
     """(user_id, username, region, quake_id) of each quake, row by row, and the subscribed users of its zone."""
-    quake_id = F.concat_ws("_", "region", F.col("magnitude").cast("decimal(10,1)").cast("string")).alias("quake_id")
-    named = quakes.filter(F.col("magnitude") > least).select("region", quake_id)
+    named = alert_quakes(quakes, least).select("region", quake_id("name").alias("quake_id"))
     return named.join(users.filter("alerts_enabled"), "region").select("user_id", "username", "region", "quake_id")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -265,10 +268,88 @@ def alert_log(rows: DataFrame) -> DataFrame:
     return signals.threshold_alerts(rows)
 
 
+#: Shares of a zone's users, each the state of a key, and how many quakes' names go in one row at most.
+SHARES, NAMES = 64, 500
+
+
+def _distinct_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's distinct rows."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        found = pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([])
+        new = set(zip(*(c.to_pylist() for c in found.columns), strict=True)) - seen
+        if new:
+            seen |= new
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*new, strict=True), batch.schema, strict=True)], schema=batch.schema)
+
+
+def _named_by_zone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (region, names) of a task's distinct (region, name): lists as JSON, of bounded length."""
+    zones: dict[str, list] = {}
+    for batch in _distinct_rows(batches):
+        for region, name in zip(*batch.to_pydict().values(), strict=True):
+            zones.setdefault(region, []).append(name)
+    for region, names in zones.items():
+        lists = [json.dumps(part) for part in batched(sorted(names, key=lambda n: (n is None, n)), NAMES)]
+        yield pa.RecordBatch.from_pydict({"region": pa.array([region] * len(lists), pa.string()), "names": pa.array(lists, pa.string())})
+
+
+class AlertProcessor(StatefulProcessor):
+    """The alerts of a share of a zone's users that have not been sent. Its state is which users have been sent
+    which quakes, as a row for each set of quakes with all users who were sent just these."""
+
+    def __init__(self, user_id: str):
+        self.user_id = user_id
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sent = handle.getListState("sent", f"names array<string>, users array<{self.user_id}>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        sent: dict = {}
+        for names, users in self.sent.get() if self.sent.exists() else ():
+            sent |= dict.fromkeys(users, frozenset(names))
+        steps: dict[tuple, tuple[frozenset, list]] = {}  # what a user has been sent then, and what is new
+        for part in rows:
+            alerts: dict[tuple, tuple[list, list]] = {}
+            for user, username, names in zip(part["user_id"].tolist(), part["username"].tolist(), part["names"].tolist(), strict=True):
+                user, step = _plain(user), (sent.get(user, frozenset()), names)
+                if step not in steps:
+                    steps[step] = step[0].union(listed := json.loads(names)), [n for n in listed if n not in step[0]]
+                sent[user], new = steps[step]
+                if new:
+                    users, usernames = alerts.setdefault(step, ([], []))
+                    users.append(user)
+                    usernames.append(username)
+            yield pd.DataFrame([(key[0], steps[step][1], *found) for step, found in alerts.items()], columns=["region", "names", "users", "usernames"])
+        if any(new for _, new in steps.values()):
+            groups: dict[frozenset, list] = {}
+            for user, names in sent.items():
+                groups.setdefault(names, []).append(user)
+            self.sent.put([(list(names), users) for names, users in groups.items()])
+
+    def close(self) -> None:
+        pass
+
+
 def user_alerts(stream: DataFrame, users: DataFrame) -> DataFrame:
-    """Alerts of a quake stream to a table of users, each (user, quake) once over all batches: those sent are the
-    state of the query, which a zone's users and its magnitudes in tenths bound."""
-    return stats.alert_rows(stream, users).dropDuplicates(["user_id", "quake_id"])
+    """Alerts of a quake stream to a table of users, each (user, quake) once over all batches.
+
+    The distinct quakes of a batch meet users, not its rows: quakes are named by zone and magnitude in tenths, and
+    each user comes with the list of the zone's. What a user has been sent is the state of the query, so one who
+    subscribes later, or by another run of the query, is sent what comes from then on."""
+    spark = stream.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    kind = users.schema["user_id"].dataType.simpleString()
+    named = stats.alert_quakes(stream).filter("region IS NOT NULL").mapInArrow(_distinct_rows, "region string, name string")
+    names = named.repartition("region").mapInArrow(_named_by_zone, "region string, names string")
+    asked = users.filter("alerts_enabled").join(F.broadcast(names), "region")
+    share = F.pmod(F.xxhash64("user_id"), F.lit(SHARES)).alias("share")
+    keyed = asked.select("region", share, "user_id", "username", "names").groupBy("region", "share")
+    alerts = keyed.transformWithStateInPandas(AlertProcessor(kind), f"region string, names array<string>, users array<{kind}>, usernames array<string>", "append", "none")
+    each = alerts.select("region", "names", F.explode(F.arrays_zip("users", "usernames")).alias("user"))
+    each = each.select(F.col("user.users").alias("user_id"), F.col("user.usernames").alias("username"), "region", F.explode("names").alias("name"))
+    return each.select("user_id", "username", "region", stats.quake_id("name").alias("quake_id"))
 
 
 def live_zone_stats(stream: DataFrame) -> DataFrame:

@@ -109,6 +109,29 @@ def test_alerts_are_sent_once_over_batches(spark, tmp_path):
     assert got == sorted(map(tuple, stats.user_alerts(quakes, users).collect())) and len(got) == 6
 
 
+def test_alerts_are_not_made_row_by_row(spark, tmp_path):
+    """Later batches and another run of the query, with a user more; no alert is made only to be dropped."""
+    schema = "user_id long, username string, region string, alerts_enabled boolean"
+    quakes, seen = feed(spark, [(i, 2.0 + i % 40 / 10) for i in range(2000)]), []
+
+    def run(users, events):
+        quakes.filter(f"event_id >= {events[0]} AND event_id < {events[1]}").coalesce(1).write.parquet(f"{tmp_path}/in/{events[0]}")
+        stream = spark.readStream.schema(quakes.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        query = flows.user_alerts(stream, users).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        query.awaitTermination()
+        seen.extend(x for p in query.recentProgress for x in p["stateOperators"])
+        return sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))
+
+    users = [(i, f"user{i}", "Europe", i % 3 > 0) for i in range(200)]
+    first, more = spark.createDataFrame(users, schema), spark.createDataFrame([*users, (200, "late", "Europe", True)], schema)
+    early = quakes.filter("event_id < 1000")
+    assert run(first, (0, 1000)) == sorted(map(tuple, stats.user_alerts(early, first).collect()))
+    few = quakes.filter("event_id >= 1000 AND event_id < 1010")
+    want = sorted(map(tuple, stats.user_alerts(early, first).union(stats.user_alerts(few, more.filter("user_id = 200"))).collect()))
+    assert run(more, (1000, 1010)) == want and len(want) == 133 * 40 + 10
+    assert seen and sum(x["customMetrics"].get("numDroppedDuplicateRows", 0) for x in seen) == 0
+
+
 class Feed(BaseHTTPRequestHandler):
     replies: list = []
 
