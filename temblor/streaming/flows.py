@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import uuid
+from array import array
 from collections.abc import Iterator
 from itertools import batched
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +21,7 @@ from temblor.functions import geo
 from temblor.operators import anomaly, signals, stats
 from temblor.session import shared_dir, ship_package
 from temblor.sources.quakes import event_time, quakes
-from temblor.streaming.state import Cell, Zone
+from temblor.streaming.state import HELD, Cell, Zone
 
 #: How late a row may be, and the snapshot period.
 LATE, SNAPSHOT = "15 minutes", "20 seconds"
@@ -51,42 +54,135 @@ def _plain(x):
     return None if x is None or x != x else x.item() if hasattr(x, "item") else x
 
 
-def _in_order(rows: pd.DataFrame) -> Iterator[tuple]:
-    return rows.sort_values(["us", "event_id"]).itertuples(index=False)
+#: Rows that a state works on at once, rows of a sorted run and of a block of it, bytes of a piece of a state.
+PIECE, RUN, BLOCK, PART = 50_000, 200_000, 2_048, 1 << 22
+INPUT = {"event_id": pa.int64(), "us": pa.int64(), "time": pa.timestamp("ns"), "region": pa.string(), "cell": pa.string()}
+
+
+def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["us", "event_id"], ignore_index=True)
+
+
+def _up_to(rows: pd.DataFrame, us: int, event: float) -> int:
+    """How many of sorted rows do not come after a time and id; rows without an id are the last of their time."""
+    times, ids = rows["us"].to_numpy(), rows["event_id"].to_numpy()
+    low, high = np.searchsorted(times, us, "left"), np.searchsorted(times, us, "right")
+    return int(low + np.searchsorted(ids[low:high], event, "right"))
+
+
+class _Runs:
+    """Sorted runs of rows in a temporary file, in blocks that are read one at a time."""
+
+    def __init__(self, columns: list[str]):
+        self.schema = pa.schema([(c, INPUT.get(c, pa.float64())) for c in columns])
+        self.file, self.runs = tempfile.TemporaryFile(), []
+
+    def add(self, rows: pd.DataFrame) -> None:
+        blocks: list[tuple[int, int]] = []
+        for k in range(0, len(rows), BLOCK):
+            data = pa.RecordBatch.from_pandas(rows.iloc[k : k + BLOCK], self.schema, preserve_index=False).serialize()
+            blocks.append((self.file.tell(), data.size))
+            self.file.write(data)
+        self.runs.append(blocks)
+
+    def _blocks(self, blocks: list[tuple[int, int]]) -> Iterator[pd.DataFrame]:
+        for at, size in blocks:
+            self.file.seek(at)
+            yield pa.ipc.read_record_batch(pa.py_buffer(self.file.read(size)), self.schema).to_pandas()
+
+    def merged(self) -> Iterator[pd.DataFrame]:
+        """All rows in order. Those that no block still to be read can come before are the next ones."""
+        rest = [(b := self._blocks(blocks), next(b)) for blocks in self.runs]
+        while rest:
+            us, event = min((rows["us"].iat[-1], rows["event_id"].iat[-1]) for _, rows in rest)
+            found, left = [], []
+            for blocks, rows in rest:
+                n = _up_to(rows, us, event)
+                found.append(rows.iloc[:n])
+                after = rows.iloc[n:] if n < len(rows) else next(blocks, None)
+                if after is not None:
+                    left.append((blocks, after))
+            rest = left
+            yield _sorted(pd.concat(found))
+
+
+def _in_order(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a key in order of time and id, in pieces. Up to a run they are sorted in memory, others in runs
+    on disk: a zone of a batch may have any number of rows."""
+    held: list[pd.DataFrame] = []
+    runs, n = None, 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= RUN:
+            runs = runs or _Runs(list(part.columns))
+            runs.add(_sorted(pd.concat(held)))
+            held, n = [], 0
+    if runs is None:
+        rows = _sorted(pd.concat(held))
+        yield from (rows.iloc[k : k + PIECE] for k in range(0, n, PIECE))
+        return
+    if held:
+        runs.add(_sorted(pd.concat(held)))
+    with runs.file:
+        n = 0
+        held = []
+        for part in runs.merged():
+            held.append(part)
+            n += len(part)
+            if n >= PIECE:
+                yield pd.concat(held, ignore_index=True)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held, ignore_index=True)
+
+
+def _numbers(rows: pd.DataFrame, name: str) -> np.ndarray:
+    return rows[name].to_numpy(np.float64, na_value=np.nan)
+
+
+def _put_arrays(state, arrays: dict[str, array]) -> None:
+    """Arrays as the rows (name, part) of a list state; large ones are written one by one, in pieces."""
+    if 0 < sum(len(values) * values.itemsize for values in arrays.values()) <= PART:
+        state.put([(name, values.tobytes()) for name, values in arrays.items() if values])
+        return
+    state.clear()
+    for name, values in arrays.items():
+        step = PART // values.itemsize
+        for k in range(0, len(values), step):
+            state.appendValue((name, values[k : k + step].tobytes()))
+
+
+def _get_arrays(state, kinds: dict[str, str]) -> dict[str, array]:
+    out = {name: array(kind) for name, kind in kinds.items()}
+    for name, part in state.get() if state.exists() else ():
+        out[name].frombytes(part)
+    return out
 
 
 class ZoneProcessor(StatefulProcessor):
-    """A zone's scores; its state is a row of smoothed values, a list of what its windows hold, one of magnitudes."""
+    """A zone's scores; its state is a row of smoothed values and what its windows hold, as arrays."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.smooth = handle.getValueState("smooth", "foreshock double, energy double")
-        self.held = handle.getListState("held", "kind int, us long, a long, b long")
-        self.magnitudes = handle.getListState("magnitudes", "magnitude double")
-
-    def _zone(self) -> Zone:
-        row = tuple(map(_plain, self.smooth.get())) if self.smooth.exists() else None
-        held = [tuple(map(_plain, r)) for r in self.held.get()] if self.held.exists() else []
-        return Zone.of(row, held, [_plain(r[0]) for r in self.magnitudes.get()] if self.magnitudes.exists() else [])
-
-    def _keep(self, zone: Zone) -> None:
-        row, held, magnitudes = zone.kept()
+        self.held = handle.getListState("held", "name string, part binary")
+
+    def _run(self, key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zone = Zone.of(tuple(map(_plain, self.smooth.get())) if self.smooth.exists() else None, _get_arrays(self.held, HELD))
+        for rows in _in_order(parts):
+            found = zone.add_many(rows["us"].to_numpy(np.int64), *(_numbers(rows, c) for c in ("lat", "lon", "magnitude", "energy")))
+            own = {c: rows[c].to_numpy() for c in ("event_id", "us", "time", "cell", "magnitude")}
+            yield pd.DataFrame(own | {"region": key[0]} | found, columns=[c.split()[0] for c in ZONED.split(", ")])
+        row, held = zone.kept()
         self.smooth.update(row)
-        self.held.put(held)
-        self.magnitudes.put([(m,) for m in magnitudes])
-
-    def _run(self, rows: pd.DataFrame) -> list[tuple]:
-        zone, out = self._zone(), []
-        for r in _in_order(rows):
-            found = zone.add_zone(int(r.us), _plain(r.lat), _plain(r.lon), _plain(r.magnitude), _plain(r.energy))
-            out.append((r.event_id, r.us, r.time, r.region, r.cell, r.magnitude, *(found[n] for n in ZONE_SCORES)))
-        self._keep(zone)
-        return out
+        _put_arrays(self.held, held)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield pd.DataFrame(self._run(pd.concat(list(rows))), columns=[c.split()[0] for c in ZONED.split(", ")])
+        yield from self._run(key, rows)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self._run(initialState)
+        for _ in self._run(key, iter([initialState])):
+            pass
 
     def close(self) -> None:
         pass
@@ -100,32 +196,28 @@ class CellProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.kept = handle.getValueState("kept", "base double, since long, after long, after_base double, after_score double")
-        self.times = handle.getListState("times", "us long")
+        self.times = handle.getListState("times", "name string, part binary")
 
     def _cell(self) -> Cell:
-        row = tuple(map(_plain, self.kept.get())) if self.kept.exists() else None
-        return Cell.of(row, [int(r[0]) for r in self.times.get()] if self.times.exists() else [])
+        return Cell.of(tuple(map(_plain, self.kept.get())) if self.kept.exists() else None, _get_arrays(self.times, {"times": "q"})["times"])
 
     def _keep(self, cell: Cell) -> None:
         row, times = cell.kept()
         self.kept.update(row)
-        if times:
-            self.times.put([(t,) for t in times])
-        else:
-            self.times.clear()
-
-    def _run(self, rows: pd.DataFrame, placed: bool) -> list[tuple]:
-        cell, out = self._cell() if placed else None, []
-        for r in _in_order(rows):
-            found = cell.add(int(r.us), _plain(r.magnitude)) if placed else dict.fromkeys(CELL_SCORES, 0.0)
-            out.append((r.event_id, r.us, r.region, *(getattr(r, n, None) for n in ZONE_SCORES), *(found[n] for n in CELL_SCORES)))
-        if placed:
+        _put_arrays(self.times, {"times": times})
+
+    def _run(self, key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell = self._cell() if key[1] is not None else None
+        for rows in _in_order(parts):
+            found = dict.fromkeys(CELL_SCORES, 0.0) if cell is None else cell.add_many(rows["us"].to_numpy(np.int64), _numbers(rows, "magnitude"))
+            own = {c: rows[c].to_numpy() for c in ("event_id", "us", *ZONE_SCORES) if c in rows}
+            yield pd.DataFrame(own | {"region": key[0]} | found, columns=[c.split()[0] for c in SCORED.split(", ")])
+        if cell is not None:
             self._keep(cell)
             self.handle.registerTimer((cell.last() + signals.CLUSTER["window"]) // 1000 + 1)
-        return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield pd.DataFrame(self._run(pd.concat(list(rows)), key[1] is not None), columns=[c.split()[0] for c in SCORED.split(", ")])
+        yield from self._run(key, rows)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         cell = self._cell()
@@ -137,7 +229,8 @@ class CellProcessor(StatefulProcessor):
         yield pd.DataFrame(columns=[c.split()[0] for c in SCORED.split(", ")])
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        self._run(initialState, key[1] is not None)
+        for _ in self._run(key, iter([initialState])):
+            pass
 
     def close(self) -> None:
         pass

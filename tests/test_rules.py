@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from temblor.functions import geo
 from temblor.operators import anomaly, dbscan, kmeans, metrics, signals, sinks, slices, stats
+from temblor.plans import registry
 from temblor.sources import quakes as sources
 from temblor.streaming import flows
 from temblor.streaming.state import Cell, Zone, fused
@@ -212,6 +213,66 @@ def test_streamed_nulls_and_preloaded_states(spark, tmp_path):
     assert got == {i: t for i, t in want.items() if i >= 77}
 
 
+class HeldState:
+    """A value or list state in memory, and the bytes of its largest write."""
+
+    def __init__(self):
+        self.rows, self.most = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows if isinstance(self.rows, tuple) else iter(self.rows)
+
+    def update(self, row):
+        self.rows = row
+
+    def clear(self):
+        self.rows = []
+
+    def put(self, rows):
+        self.rows = rows
+        self.most = max(self.most, sum(len(part) for _, part in rows))
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows.append(row)
+        self.most = max(self.most, len(row[1]))
+
+    def registerTimer(self, at):  # noqa: N802
+        pass
+
+
+def test_states_take_large_batches_in_pieces(spark, monkeypatch):
+    """Rows of a zone and cell in any order, more than a run: scores of the table, pieces and state writes bounded."""
+    rng = np.random.default_rng(11)
+    n = 3000
+    df = feed(spark, [(round(m, 2), round(float(x), 1), 45.0 + round(float(a), 3), 12.0) for m, x, a in zip(rng.uniform(0, 120, n), rng.uniform(1, 5, n), rng.uniform(-0.04, 0.04, n), strict=True)])
+    want = as_tables(signals.all_signals(df))
+    rows = flows._signal_input(df).orderBy(F.xxhash64("event_id")).toPandas()
+    assert rows.cell.nunique() == 1 and not rows.us.is_monotonic_increasing
+    for name, size in (("RUN", 500), ("BLOCK", 40), ("PIECE", 300), ("PART", 2048)):
+        monkeypatch.setattr(flows, name, size)
+    zone, cell, scored = flows.ZoneProcessor(), flows.CellProcessor(), []
+    zone.smooth, zone.held, cell.kept, cell.times, cell.handle = (HeldState() for _ in range(5))
+    middle = rows.us.median()
+    for part in (rows[rows.us <= middle], rows[rows.us > middle]):
+        zoned = list(zone.handleInputRows(("z",), (part.iloc[k : k + 70] for k in range(0, len(part), 70)), None))
+        scored += cell.handleInputRows(("z", "c"), iter(zoned), None)
+        assert len(zoned) > 3 and max(map(len, [*zoned, *scored])) <= 300 + (500 // 40 + 1) * 40 and max(zone.held.most, cell.times.most) <= 2048
+    assert {r.event_id: tuple(getattr(r, x) for x in signals.SIGNALS) for part in scored for r in part.itertuples()} == want
+
+
+def test_a_table_of_files_of_the_same_time(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 4 = 0")
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    got = registry.QUERIES["q_stream_fusion"](spark, str(tmp_path)).collect()
+    want = signals.fused(signals.all_signals(sources.quakes(events))).collect()
+    assert len(got) == len(want) > 200
+    assert {r.event_id: tuple(r[n] for n in (*signals.SIGNALS, "global_score", "level")) for r in got} == {r.event_id: tuple(r[n] for n in (*signals.SIGNALS, "global_score", "level")) for r in want}
+
+
 def test_cells_expire_where_nothing_can_change():
     cell = Cell()
     for i in range(3):
